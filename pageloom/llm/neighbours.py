@@ -63,7 +63,7 @@ def by_part(parts: np.ndarray, columns: dict[str, np.ndarray]) -> dict[str, list
     """One row of bytes for each part."""
     order = np.argsort(parts, kind="stable")
     values, firsts = np.unique(parts[order], return_index=True)
-    ends = np.append(firsts[1:], len(order))
+    ends = np.append(firsts[1:], len(order))[: len(firsts)]
     return {"pid": values.tolist()} | {k: [x[order[a:b]].tobytes() for a, b in zip(firsts, ends, strict=True)] for k, x in columns.items()}
 
 

@@ -3,9 +3,8 @@
 Each text is tokenised whole and closed with an end id. Documents longer than a sequence are
 cut into full pieces, the first piece taking the remainder; full pieces are sequences of
 their own. The other pieces are dealt evenly to groups of a bounded number of pieces, and
-each group is packed: a piece goes where the squared counts of open bins per residual gap
-become smallest, ties to the tightest bin. At the end of a group the bins that stayed open
-are emptied and their pieces placed again, largest first, each into the tightest gap.
+each group is packed, largest piece first: a piece goes where the squared counts of open
+bins per residual gap become smallest, ties to the tightest bin.
 
 Cases: a null text is empty, and so is its end id alone; repeated rows are packed each;
 equal lengths keep the order of the hash that dealt them.
@@ -55,7 +54,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id
 
 
 def place(sizes: list[int], capacity: int) -> list[int]:
-    """The bin of each piece, by sum of squares."""
+    """The bin of each piece, by sum of squares; a bin is opened only for what fits none."""
     open_ = np.zeros(capacity + 1)
     held: list[list[int]] = [[] for _ in range(capacity + 1)]
     out, bins = [], 0
@@ -65,7 +64,7 @@ def place(sizes: list[int], capacity: int) -> list[int]:
         if before[0] > 0:
             change[0] -= 0.5  # a full bin counts no more, an open one would
         k = int(change.argmin())
-        if change[k] <= open_[capacity - s]:
+        if change[k] < np.inf:
             b = held[s + k].pop()
             open_[s + k] -= 1
         else:
@@ -79,33 +78,11 @@ def place(sizes: list[int], capacity: int) -> list[int]:
 
 
 def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """The bin of each piece: sum of squares, then the pieces of bins left open once more by best fit."""
-    bins = np.array(place(sizes.tolist(), capacity), dtype=np.int64)
-    filled = np.bincount(bins, sizes)
-    again = np.flatnonzero(filled[bins] < capacity)
-    if not len(again):
-        return bins
-    order = again[np.argsort(-sizes[again], kind="stable")]
-    gaps: list[list[int]] = [[] for _ in range(capacity + 1)]
-    used = np.zeros(capacity + 1, dtype=bool)
-    new = bins.copy()
-    free = int(bins.max()) + 1
-    for i in order.tolist():
-        s = int(sizes[i])
-        k = s + int(used[s:].argmax())
-        if used[k]:
-            b = gaps[k].pop()
-            used[k] = bool(gaps[k])
-        else:
-            b, k = free, capacity
-            free += 1
-        new[i] = b
-        if k > s:
-            gaps[k - s].append(b)
-            used[k - s] = True
-    if len(np.unique(new)) <= len(np.unique(bins)):
-        bins = new
-    return np.unique(bins, return_inverse=True)[1]
+    """The bin of each piece, placed largest first."""
+    order = np.argsort(-sizes, kind="stable")
+    bins = np.empty(len(sizes), dtype=np.int64)
+    bins[order] = place(sizes[order].tolist(), capacity)
+    return bins
 
 
 def packed(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
