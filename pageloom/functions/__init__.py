@@ -1 +1 @@
-"""Part of the engine."""
+"""Columns of text, and scalar rules."""

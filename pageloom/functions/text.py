@@ -27,16 +27,18 @@ def mend(text: str, known: Collection[str]) -> str:
 def mender(words: Broadcast) -> Callable[[Column], Column]:
     """``mend`` with a broadcast word set."""
 
-    @F.pandas_udf("string")
     def run(text: pd.Series) -> pd.Series:
         return text.map(lambda t: mend(t, words.value) if t and "-\n" in t else t)
 
-    return run
+    return F.pandas_udf(run, "string")
 
 
-@F.pandas_udf("string")
-def mend_with(text: pd.Series, known: pd.Series) -> pd.Series:
+def mend_with(text: Column, known: Column) -> Column:
     """``mend`` with the words that are known for each row."""
+    return F.pandas_udf(_mend_rows, "string")(text, known)
+
+
+def _mend_rows(text: pd.Series, known: pd.Series) -> pd.Series:
     return pd.Series([mend(t, set() if k is None else set(k)) if t and "-\n" in t else t for t, k in zip(text, known, strict=True)], dtype=object)
 
 
@@ -100,12 +102,19 @@ def drop_repetition(text: str | None, min_repeats: int = 10) -> tuple[str | None
     return re.sub(f"(?:{re.escape(phrase)}){{2,}}", lambda _: phrase, text), phrase
 
 
-@F.pandas_udf("struct<text: string, phrase: string>")
-def without_repetition(text: pd.Series) -> pd.DataFrame:
+def without_repetition(text: Column) -> Column:
+    """struct(text, phrase) of ``drop_repetition``."""
+    return F.pandas_udf(_drop_rows, "struct<text: string, phrase: string>")(text)
+
+
+def _drop_rows(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([drop_repetition(t) for t in text], columns=["text", "phrase"], dtype=object)
 
 
-@F.pandas_udf("array<string>")
-def blocks_without_repetition(blocks: pd.Series) -> pd.Series:
+def blocks_without_repetition(blocks: Column) -> Column:
     """``drop_repetition`` on each text of an array."""
+    return F.pandas_udf(_drop_blocks, "array<string>")(blocks)
+
+
+def _drop_blocks(blocks: pd.Series) -> pd.Series:
     return pd.Series([None if b is None else [drop_repetition(t)[0] for t in b] for b in blocks], dtype=object)

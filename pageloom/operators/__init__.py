@@ -1 +1 @@
-"""Part of the engine."""
+"""Steps over pages, lines and books."""

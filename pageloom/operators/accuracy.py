@@ -16,8 +16,10 @@ def similarity(a: str, b: str) -> tuple[float, float, int, int, int]:
     return SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, x, y).ratio(), len(b) - len(a), len(x), len(y)
 
 
-@F.pandas_udf("struct<char_similarity: double, word_similarity: double, length_difference: int, base_words: int, words: int>")
-def compared(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+MEASURES = "struct<char_similarity: double, word_similarity: double, length_difference: int, base_words: int, words: int>"
+
+
+def _compared(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([similarity(x, y) for x, y in zip(a, b, strict=True)], columns=["char_similarity", "word_similarity", "length_difference", "base_words", "words"])
 
 
@@ -29,7 +31,7 @@ def with_baseline(runs: DataFrame, setting: str = "rotation", baseline: float =
 
 def with_similarity(runs: DataFrame, setting: str = "rotation", baseline: float = 0) -> DataFrame:
     joined = with_baseline(runs, setting, baseline)
-    return joined.withColumn("_c", compared("base_text", "text")).select("*", "_c.*").drop("_c")
+    return joined.withColumn("_c", F.pandas_udf(_compared, MEASURES)("base_text", "text")).select("*", "_c.*").drop("_c")
 
 
 def averages(compared_runs: DataFrame, setting: str = "rotation") -> DataFrame:

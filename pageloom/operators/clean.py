@@ -19,7 +19,9 @@ MOST_WORDS = 2_000_000
 
 def known_words(pages: DataFrame, dictionary: DataFrame, texts: Column, key: list[str]) -> DataFrame:
     """(key, known): for each row the words of its broken pairs that are in the dictionary, by a join."""
-    pair = F.explode(F.array_distinct(F.flatten(F.transform(texts, lambda t: F.transform(F.sequence(F.lit(0), F.size(F.regexp_extract_all(t, F.lit(T.JAVA_BREAK), F.lit(1))) - 1), lambda i: F.lower(F.concat(F.get(F.regexp_extract_all(t, F.lit(T.JAVA_BREAK), F.lit(1)), i), F.get(F.regexp_extract_all(t, F.lit(T.JAVA_BREAK), F.lit(2)), i))))))))
+    whole = T.JAVA_BREAK.replace("(", "").replace(")", "")
+    joined = lambda t: F.transform(F.regexp_extract_all(t, F.lit(f"({whole})"), F.lit(1)), lambda x: F.lower(F.replace(x, F.lit("-\n"), F.lit(""))))
+    pair = F.explode(F.array_distinct(F.flatten(F.transform(texts, joined))))
     broken = pages.where(F.exists(texts, lambda t: t.rlike(T.JAVA_BREAK)))
     return broken.select(*key, pair.alias("word")).join(dictionary, "word", "left_semi").groupBy(*key).agg(F.collect_set("word").alias("known"))
 

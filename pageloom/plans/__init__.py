@@ -1 +1 @@
-"""Part of the engine."""
+"""Operators put together."""

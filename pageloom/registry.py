@@ -1,4 +1,638 @@
-"""Queries over the given tables, and their SQL."""
+"""Queries of all operators over the given tables, and the same in SQL.
+
+``documents`` stand for pages: a source is a book, its documents in order of doc_id its
+pages. Where raw texts would leave an operator without work, both sides enrich them alike,
+by page number.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import scalar, text
+from .functions.pystr import SPACES
+from .operators import accuracy, chapters, clean, headers, joiner, ocr, quality, resume, review, running
+from .plans import book
+from .sources import readers, writers
+from .streaming import progress
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def pages(spark: SparkSession, sf_dir: str, enriched: str | None = None) -> DataFrame:
+    """(book_id, page_no, doc_id, text, n_chars), the text as the SQL expression gives it."""
+    number = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), number.alias("page_no"), "doc_id", "text", "n_chars")
+    return rows.withColumn("text", F.expr(enriched)) if enriched else rows
+
+
+# SQL of the enriched pages; the same text serves both engines
+NL = "chr(10)"
+BREAKS = "regexp_replace(text, '([a-z]{3})([a-z]{3,}) ', concat('\\\\1-', chr(10), '\\\\2 '), 'g')"
+BREAKS_SPARK = "regexp_replace(text, '([a-z]{3})([a-z]{3,}) ', concat('$1-', chr(10), '$2 '))"
+RUNNING = f"case when page_no % 10 < 4 then concat('# Running ', cast(floor(page_no / 10) as int), {NL}, text) when page_no % 10 = 4 then concat('## ', doc_id, ' Unique', {NL}, text) else text end"
+DEFECTS = f"""case page_no % 5 when 0 then concat(text, repeat('■', cast(floor(n_chars / 40) as int))) when 1 then concat(text, repeat(' O0O IlI vvx aaaaaa', 5))
+ when 2 then concat(text, ' ((( [[[ \"\"\" ') when 3 then substr(text, 1, 30) else '' end"""
+LETTERS = "case when page_no % 2 = 0 then repeat('a b c ', 20) else text end"
+PARAGRAPHS = f"replace(text, concat('.', {NL}), concat('.', {NL}, {NL}))"
+ENDINGS = f"""case when page_no % 10 = 0 then concat('Chapter ', doc_id, {NL}, {NL}, text) when page_no % 10 in (2, 7) then lower(text) when page_no % 10 = 4 then ''
+ when page_no % 10 in (1, 6) then concat(text, ' etc.') when page_no % 10 = 8 then concat(text, ' hyph-') else text end"""
+REPEATS = "case when page_no % 4 = 0 then concat(substr(text, 1, 200), repeat(substr(text, 1, 20), 12)) else text end"
+EDGES = f"concat(case when page_no % 2 = 0 then concat(upper(book_id), {NL}) else '' end, text, case when page_no % 3 = 0 then concat({NL}, 'Printed edition') else '' end)"
+BOTH = f"concat(case when page_no % 2 = 0 then concat(upper(book_id), {NL}) else '' end, case when page_no % 10 < 4 then concat('# Running ', cast(floor(page_no / 10) as int), {NL}) else '' end, text)"
+SCRAPS = f"""case page_no % 3 when 0 then concat('[{{"text": "', replace(replace(replace(substr(text, 1, 300), '\\\\', ''), '"', ''), {NL}, concat(chr(92), 'n')), '", "category": "Text"}}, {{"text": "short"}}, {{"text": "', replace(replace(substr(text, 1, 90), '"', ''), {NL}, ' '), ' said ', chr(92), '"yes', chr(92), '"", "bb')
+ when 1 then concat('not json "text": "', substr(text, 1, 30), '"') else text end"""
+
+
+def p_sql(enriched: str = "text") -> str:
+    enriched = enriched.replace("\\\\", "\\")
+    return f"p as (select book_id, page_no, doc_id, {enriched} as text, n_chars from (select source book_id, cast(row_number() over (partition by source order by doc_id) - 1 as int) page_no, doc_id, text, n_chars from documents))"
+
+
+WS = "concat(" + ", ".join(f"chr({ord(c)})" for c in SPACES) + ")"
+
+
+def strip_sql(x: str) -> str:
+    return f"trim({x}, {WS})"
+
+
+def unwrap_macro(x: str) -> str:
+    # runs of two and more line ends as chr(3) per line end, then the single ones, then back
+    marked = f"regexp_replace({x}, '\\n\\n', chr(3) || chr(3), 'g')"
+    marked = f"regexp_replace({marked}, chr(3) || '\\n', chr(3) || chr(3), 'g')"
+    return strip_sql(f"regexp_replace(replace(replace({marked}, chr(10), ' '), chr(3), chr(10)), '  +', ' ', 'g')")
+
+
+# boundaries and books
+CLASSES = f"""
+s as (select book_id, page_no, {strip_sql('text')} t, text from p),
+b as (select *, lag(t) over w prev, lag(page_no) over w before_page from s window w as (partition by book_id order by page_no)),
+c as (select *, right(prev, 200) tail, left(t, 100) head from b),
+f as (select *, rtrim(tail, {WS}) tl, regexp_extract(rtrim(tail, {WS}), '(\\S+)$', 1) word from c),
+j as (select *,
+  regexp_matches(tl, '[.!?;:]["''\\)\\]]*$|[。！？；：」』）】]$') and lower(rtrim(word, '."'')]')) not in ({', '.join("'" + a + "'" for a in joiner.ABBREVIATIONS)}) complete,
+  regexp_matches(ltrim(head, {WS}), '^[a-z,;:\\-–—]') goes_on, regexp_matches(tl, '[\\p{{L}}\\p{{N}}_]-$') hyph,
+  regexp_matches(t, '(?i)^(chapter|part|section|#{{1,6}}\\s+|\\d+\\.\\s+[A-Z]|[IVXLCDM]+\\.\\s*[A-Z])') marker from f),
+d as (select *,
+  case when before_page is null then null when prev = '' or t = '' then 'paragraph' when marker then 'section' when complete and goes_on then 'direct' when complete then 'paragraph' when goes_on or hyph then 'direct' else 'paragraph' end decision,
+  case when before_page is null then null when prev = '' or t = '' then 'Empty page' when marker then 'New section/chapter detected' when complete and goes_on then 'Lowercase continuation after sentence'
+   when complete then 'Complete sentence at page boundary' when goes_on then 'Sentence continues across page' when hyph then 'Hyphenated word across page' else 'Ambiguous boundary, defaulting to paragraph' end reason from j)"""
+
+
+@query(f"with {p_sql(ENDINGS)}, {CLASSES} select book_id, before_page page_before, page_no page_after, decision, reason from d where before_page is not null")
+def page_boundaries(spark, sf_dir):
+    return joiner.boundaries(pages(spark, sf_dir, ENDINGS))
+
+
+@query(f"with {p_sql(ENDINGS)}, {CLASSES} select book_id, count(*) n_boundaries, count_if(decision = 'direct') n_direct, count_if(decision = 'paragraph') n_paragraph, count_if(decision = 'section') n_section from d where before_page is not null group by book_id")
+def boundary_counts(spark, sf_dir):
+    return joiner.decision_counts(joiner.boundaries(pages(spark, sf_dir, ENDINGS)))
+
+
+def pieces_sql(markers: bool) -> str:
+    mark = "'<!-- page ' || page_no || ' -->'" if markers else "''"
+    section = f"chr(10) || chr(10) || {mark} || chr(10) || chr(10)" if markers else "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
+    paragraph = f"chr(10) || chr(10) || {mark}" + (" || chr(10)" if markers else "")
+    return f"x as (select book_id, page_no, case when before_page is null then t when t = '' then '' when decision = 'direct' then ' ' || {mark} || t when decision = 'paragraph' then {paragraph} || t else {section} || t end piece from d)"
+
+
+@query(f"with {p_sql(ENDINGS)}, {CLASSES}, {pieces_sql(True)} select * from x")
+def joined_pieces(spark, sf_dir):
+    return joiner.joined_pages(pages(spark, sf_dir, ENDINGS))
+
+
+def books_sql(enriched: str, markers: bool) -> str:
+    return f"with {p_sql(enriched)}, {CLASSES}, {pieces_sql(markers)}, k as (select book_id, count(*) n_pages, string_agg(piece, '' order by page_no) content from x group by book_id)"
+
+
+@query(books_sql(ENDINGS, True) + " select book_id, n_pages, cast(length(content) as int) n_chars, md5(content) digest from k")
+def book_texts(spark, sf_dir):
+    found = joiner.books(pages(spark, sf_dir, ENDINGS))
+    return found.select("book_id", "n_pages", F.length("content").alias("n_chars"), F.md5(F.encode("content", "UTF-8")).alias("digest"))
+
+
+@query(books_sql(ENDINGS, False) + " select book_id, n_pages, cast(length(content) as int) n_chars, md5(content) digest from k")
+def book_texts_unmarked(spark, sf_dir):
+    found = joiner.books(pages(spark, sf_dir, ENDINGS), markers=False)
+    return found.select("book_id", "n_pages", F.length("content").alias("n_chars"), F.md5(F.encode("content", "UTF-8")).alias("digest"))
+
+
+@query()
+def books_without_running_headers(spark, sf_dir):
+    found = running.drop_running_headers(joiner.books(pages(spark, sf_dir, RUNNING)))
+    return found.select("book_id", "n_pages", F.length("content").alias("n_chars"), F.md5(F.encode("content", "UTF-8")).alias("digest"))
+
+
+CHAPTERS = (
+    books_sql(ENDINGS, False)
+    + """,
+ l as (select book_id, content, unnest(string_split(content, chr(10))) line, generate_subscripts(string_split(content, chr(10)), 1) i from k),
+ m as (select *, regexp_matches(line, '^(#{1,2}\\s+[^\\n]+|(?i:chapter|part)\\s+\\d+[^\\n]*)$') marker, sum(length(line) + 1) over (partition by book_id order by i) - length(line) - 1 at_ from l),
+ g as (select *, sum(cast(marker as int)) over (partition by book_id order by i) part from m),
+ h as (select book_id, part, min(at_) at_, """
+    + strip_sql("ltrim(" + strip_sql("arg_min(line, i)") + ", '#')")
+    + " title, "
+    + strip_sql("string_agg(line, chr(10) order by i)")
+    + """ content from g group by book_id, part),
+ good as (select * from h where part > 0 and length(content) > 100),
+ first_ as (select book_id, min(at_) at_ from h where part > 0 group by book_id),
+ every as (
+  select book_id, part, title, content from good
+  union all select h.book_id, 0, 'Introduction', h.content from h join first_ f using (book_id) where h.part = 0 and f.at_ > 100 and h.content <> '' and book_id in (select book_id from good)
+  union all select book_id, 0, 'Content', content from k where book_id not in (select book_id from good))
+ select book_id, cast(row_number() over (partition by book_id order by part) - 1 as int) chapter_no, title, cast(length(content) as int) n_chars, md5(content) digest from every"""
+)
+
+
+@query(CHAPTERS)
+def book_chapters(spark, sf_dir):
+    found = chapters.chapters(joiner.books(pages(spark, sf_dir, ENDINGS), markers=False))
+    return found.select("book_id", "chapter_no", "title", F.length("content").alias("n_chars"), F.md5(F.encode("content", "UTF-8")).alias("digest"))
+
+
+# quality
+def q_sql(enriched: str) -> str:
+    runs = "len(list_filter(list_zip(range(1, length(text) + 1), string_split(text, '')), lambda z: z[2] <> chr(10) and (z[1] = 1 or substr(text, z[1] - 1, 1) <> z[2]) and substr(text, z[1], 5) = repeat(z[2], 5)))"
+    rn = "(length(text) - length(replace(text, 'rn', ''))) // 2 - cast(not regexp_matches(text, 'x^') and regexp_matches(text, 'rn$') as int) - len(regexp_extract_all(text, 'rn[^\\p{L}\\p{N}_]'))"
+    vv = "len(regexp_extract_all(regexp_replace(text, '([^\\p{L}\\p{N}_])', '\\1\\1', 'g'), '(?:^|[^\\p{L}\\p{N}_])vv[\\p{L}\\p{N}_]'))"
+    pair = "abs((length(text) - length(replace(text, '{0}', ''))) - (length(text) - length(replace(text, '{1}', ''))))"
+    count = "(length(text) - length(replace(text, {0}, '')))"
+    ws = "[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+    no_ws = ws.replace("[", "[^", 1)
+    special = ws.replace("[", "[^\\p{L}\\p{N}", 1)
+    return f"""{p_sql(enriched)},
+ n as (select book_id, page_no, text, length({strip_sql('text')}) short, length(text) size, len(regexp_extract_all(text, '[{quality.GARBAGE}]')) garbage, {runs} runs,
+  len(regexp_extract_all(text, '[0O][0O][0O]')) c0, len(regexp_extract_all(text, '[1Il][1Il][1Il]')) c1, {rn} c2, {vv} c3,
+  len(regexp_extract_all(text, '{no_ws}+')) words, length(regexp_replace(text, '{ws}', '', 'g')) solid,
+  {pair.format('(', ')')} b0, {pair.format('[', ']')} b1, {pair.format('{', '}')} b2, {count.format("'\"'")} q0, {count.format("chr(39)")} q1, len(regexp_extract_all(text, '{special}')) special from p),
+ found as (
+  select book_id, page_no, 0 seq, case when size = 0 then 'error' else 'warning' end severity, 'SHORT_PAGE' error_type, short n from n where short < 50
+  union all select book_id, page_no, 1, 'warning', 'GARBAGE_CHARS', garbage from n where size > 0 and garbage / size > 0.01
+  union all select book_id, page_no, 2, 'warning', 'REPEATED_CHARS', runs from n where runs > 0
+  union all select book_id, page_no, 3, 'info', 'OCR_CONFUSION', c0 from n where c0 > 3
+  union all select book_id, page_no, 4, 'info', 'OCR_CONFUSION', c1 from n where c1 > 3
+  union all select book_id, page_no, 5, 'info', 'OCR_CONFUSION', c2 from n where c2 > 3
+  union all select book_id, page_no, 6, 'info', 'OCR_CONFUSION', c3 from n where c3 > 3
+  union all select book_id, page_no, 7, 'warning', 'SHORT_WORDS', words from n where words > 0 and solid / words < 2.0
+  union all select book_id, page_no, 8, 'info', 'UNBALANCED_BRACKETS', b0 from n where b0 > 2
+  union all select book_id, page_no, 9, 'info', 'UNBALANCED_BRACKETS', b1 from n where b1 > 2
+  union all select book_id, page_no, 10, 'info', 'UNBALANCED_BRACKETS', b2 from n where b2 > 2
+  union all select book_id, page_no, 11, 'info', 'UNBALANCED_QUOTES', q0 from n where q0 % 2 <> 0 and q0 > 2
+  union all select book_id, page_no, 12, 'info', 'UNBALANCED_QUOTES', q1 from n where q1 % 2 <> 0 and q1 > 2
+  union all select book_id, page_no, 13, 'warning', 'HIGH_SPECIAL_CHAR_RATIO', special from n where size > 0 and special / size > 0.15)"""
+
+
+@query(f"with {q_sql(DEFECTS)} select book_id, page_no, seq, severity, error_type, cast(n as bigint) n from found")
+def page_findings(spark, sf_dir):
+    return quality.findings(pages(spark, sf_dir, DEFECTS)).select("book_id", "page_no", "seq", "severity", "error_type", "n")
+
+
+@query(f"with {q_sql(LETTERS)} select book_id, page_no, seq, severity, error_type, cast(n as bigint) n from found where error_type = 'SHORT_WORDS'")
+def short_words(spark, sf_dir):
+    return quality.findings(pages(spark, sf_dir, LETTERS)).where("error_type = 'SHORT_WORDS'").select("book_id", "page_no", "seq", "severity", "error_type", "n")
+
+
+REPORT = f"""with {q_sql(DEFECTS)}, every as (select book_id, severity from found union all select book_id, 'error' from p where page_no % 7 = 3),
+ e as (select book_id, count_if(severity = 'error') n_errors, count_if(severity = 'warning') n_warnings, count_if(severity = 'info') n_infos from every group by book_id)
+ select book_id, t.total_pages, t.successful_pages, coalesce(n_errors, 0) n_errors, coalesce(n_warnings, 0) n_warnings, coalesce(n_infos, 0) n_infos, coalesce(n_errors, 0) > 0 has_critical_errors
+ from (select book_id, count(*) total_pages, count(*) - count_if(page_no % 7 = 3) successful_pages from p group by book_id) t left join e using (book_id)"""
+
+
+@query(REPORT)
+def book_reports(spark, sf_dir):
+    return quality.report(pages(spark, sf_dir, DEFECTS).withColumn("ok", F.col("page_no") % 7 != 3), success="ok")
+
+
+@query(f"""with {q_sql(DEFECTS)} select book_id, page_no, severity, seq, cast(row_number() over (partition by book_id order by page_no, severity, seq) as int) place from found""")
+def findings_in_report_order(spark, sf_dir):
+    found = quality.report_lines(quality.findings(pages(spark, sf_dir, DEFECTS)))
+    return found.select("book_id", "page_no", "severity", "seq", F.row_number().over(Window.partitionBy("book_id").orderBy("page_no", "severity", "seq")).alias("place"))
+
+
+@query()
+def error_reports(spark, sf_dir):
+    return quality.report_text(pages(spark, sf_dir, DEFECTS))
+
+
+# cleaning
+WORDS = "select distinct w word from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) w from documents) where length(w) % 2 = 0"
+
+
+def even_words(spark, sf_dir) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("word")).distinct()
+    return found.where(F.length("word") % 2 == 0)
+
+
+MENDED = f"""with {p_sql(BREAKS)}, dict as ({WORDS}),
+ t as (select book_id, page_no, string_split(regexp_replace(text, '([\\p{{L}}\\p{{N}}_]+)-\\n([a-z][\\p{{L}}\\p{{N}}_]*)', chr(1) || '\\1' || chr(2) || '\\2' || chr(1), 'g'), chr(1)) parts from p),
+ u as (select book_id, page_no, unnest(parts) part, generate_subscripts(parts, 1) i from t),
+ m as (select book_id, page_no, string_agg(case when not contains(part, chr(2)) then part when d.word is not null then replace(part, chr(2), '') else replace(part, chr(2), '-') end, '' order by i) text
+  from u left join dict d on contains(part, chr(2)) and d.word = lower(replace(part, chr(2), '')) group by book_id, page_no)
+ select book_id, page_no, {unwrap_macro('text')} cleaned from m"""
+
+
+@query(MENDED)
+def clean_text_blocks(spark, sf_dir):
+    return clean.clean_texts(pages(spark, sf_dir, BREAKS_SPARK), even_words(spark, sf_dir)).select("book_id", "page_no", "cleaned")
+
+
+@query(f"with {p_sql(BREAKS)} select book_id, page_no, " + unwrap_macro("regexp_replace(text, '([\\p{L}\\p{N}_]+)-\\n([a-z][\\p{L}\\p{N}_]*)', '\\1-\\2', 'g')") + " cleaned from p")
+def clean_without_dictionary(spark, sf_dir):
+    return clean.clean_texts(pages(spark, sf_dir, BREAKS_SPARK)).select("book_id", "page_no", "cleaned")
+
+
+@query(f"""with {p_sql(BREAKS)}, dict as ({WORDS}), b as (select distinct book_id, page_no, unnest(regexp_extract_all(text, '([\\p{{L}}\\p{{N}}_]+-\\n[a-z][\\p{{L}}\\p{{N}}_]*)', 1)) w from p),
+ j as (select book_id, page_no, lower(replace(w, '-' || chr(10), '')) word from b)
+ select book_id, page_no, count(distinct word) n_known from j where word in (select word from dict) group by book_id, page_no""")
+def known_broken_words(spark, sf_dir):
+    """The join that stands in for the broadcast where the dictionary is large."""
+    found = clean.known_words(pages(spark, sf_dir, BREAKS_SPARK), even_words(spark, sf_dir), F.array("text"), ["book_id", "page_no"])
+    return found.select("book_id", "page_no", F.size("known").cast("bigint").alias("n_known"))
+
+
+BLOCKS = "transform(split(text, '\\n'), (x, i) -> named_struct('bbox', array(0D), 'category', case i when 0 then 'Page-header' when 1 then 'Page-number' when 2 then null else 'Text' end, 'text', x))"
+
+
+@query(f"with {p_sql()}, l as (select book_id, page_no, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) i from p), c as (select book_id, page_no, i, {unwrap_macro('line')} t from l where i > 2) select p.book_id, p.page_no, coalesce(string_agg(t, chr(10) || chr(10) order by i) filter (where t <> ''), '') cleaned from p left join c using (book_id, page_no) group by p.book_id, p.page_no")
+def clean_layout_blocks(spark, sf_dir):
+    return clean.clean_blocks(pages(spark, sf_dir).withColumn("blocks", F.expr(BLOCKS)), repetition=False).select("book_id", "page_no", "cleaned")
+
+
+@query()
+def clean_layout_blocks_fully(spark, sf_dir):
+    rows = pages(spark, sf_dir, REPEATS).withColumn("blocks", F.expr(BLOCKS))
+    return clean.clean_blocks(rows, even_words(spark, sf_dir)).select("book_id", "page_no", "cleaned")
+
+
+SIMPLE = "regexp_replace(replace(replace(substr(text, 1, 200), '\\\\', ''), '\"', ''), '[\\n\\r\\t]', ' '{g})"
+RAW = "case page_no % 4 when 0 then concat('[{\"category\":\"Page-header\",\"text\":\"top\"},{\"category\":\"Text\",\"text\":\"', " + SIMPLE + ", '\"}]') when 1 then '[]' when 2 then '{\"raw_response\": \"x\"}' else null end"
+
+
+@query(
+    f"with {p_sql()}, r as (select *, {SIMPLE.replace('{g}', ', ' + chr(39) + 'g' + chr(39)).replace(chr(92) * 2, chr(92))} simple from p), m as (select book_id, page_no, unnest(regexp_split_to_array(text, '\\n\\n+')) part, generate_subscripts(regexp_split_to_array(text, '\\n\\n+'), 1) i from r where page_no % 4 <> 0), c as (select book_id, page_no, i, {unwrap_macro('part')} t from m) select book_id, page_no, {strip_sql(chr(114) + 'egexp_replace(simple, ' + chr(39) + '  +' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} cleaned from r where page_no % 4 = 0 union all select book_id, page_no, coalesce(string_agg(t, chr(10) || chr(10) order by i) filter (where t <> ''), '') from c group by book_id, page_no"
+)
+def clean_raw_layouts(spark, sf_dir):
+    rows = pages(spark, sf_dir).withColumn("raw", F.expr(RAW.replace("{g}", "").replace("\\n\\r\\t", "\\\\n\\\\r\\\\t")))
+    return clean.clean_raw(rows, repetition=False).select("book_id", "page_no", "cleaned")
+
+
+@query(f"with {p_sql(PARAGRAPHS)}, m as (select book_id, page_no, unnest(regexp_split_to_array(text, '\\n\\n+')) part, generate_subscripts(regexp_split_to_array(text, '\\n\\n+'), 1) i from p), c as (select book_id, page_no, i, {unwrap_macro('part')} t from m) select book_id, page_no, coalesce(string_agg(t, chr(10) || chr(10) order by i) filter (where t <> ''), '') cleaned from c group by book_id, page_no")
+def clean_markdown_pages(spark, sf_dir):
+    return clean.clean_markdown(pages(spark, sf_dir, PARAGRAPHS)).select("book_id", "page_no", "cleaned")
+
+
+@query(f"""with {p_sql(SCRAPS)}, m as (select book_id, page_no, contains(text, '"text":') looks, unnest(regexp_extract_all(text, '"text"\\s*:\\s*"((?:[^"\\\\]|\\\\.)*)(?:"|\\z)', 1)) x, generate_subscripts(regexp_extract_all(text, '"text"\\s*:\\s*"((?:[^"\\\\]|\\\\.)*)(?:"|\\z)', 1), 1) i from p),
+ u as (select book_id, page_no, i, replace(replace(replace(x, chr(92) || '"', '"'), chr(92) || 'n', chr(10)), chr(92) || chr(92), chr(92)) x from m where looks)
+ select p.book_id, p.page_no, string_agg(u.x, chr(10) || chr(10) order by i) filter (where length(u.x) > 50) salvaged from p left join u using (book_id, page_no) group by p.book_id, p.page_no""")
+def salvaged_fragments(spark, sf_dir):
+    return pages(spark, sf_dir, SCRAPS.replace("'\\\\'", "'\\\\\\\\'")).select("book_id", "page_no", text.fragments(F.col("text")).alias("salvaged"))
+
+
+# the shortest phrase with ten repeats at a sampled start
+PHRASES = f"""with {p_sql(REPEATS)}, s as (select *, length(text) n, least(50, length(text) // 15) samples from p where length(text) >= 160),
+ l as (select *, unnest(range(15, least(100, n // 10))) size from s),
+ k as (select *, greatest(1, (n - size * 10) // samples) step from l),
+ c as (select *, unnest(range(0, samples)) * step start_ from k),
+ h as (select book_id, page_no, size, start_, substr(text, start_ + 1, size) phrase from c where start_ + size * 10 <= n and substr(text, start_ + 1, 9 * size) = substr(text, start_ + 1 + size, 9 * size)),
+ g as (select * from h where length({strip_sql('phrase')}) >= 7)
+ select p.book_id, p.page_no, g.phrase from p left join (select book_id, page_no, arg_min(phrase, size * 1000000000 + start_) phrase from g group by book_id, page_no) g using (book_id, page_no)"""
+
+
+@query(PHRASES)
+def repeated_phrases(spark, sf_dir):
+    return clean.repetitions(pages(spark, sf_dir, REPEATS)).select("book_id", "page_no", "phrase")
+
+
+@query()
+def pages_without_repetition(spark, sf_dir):
+    return clean.repetitions(pages(spark, sf_dir, REPEATS)).select("book_id", "page_no", (F.col("cleaned") != F.col("text")).alias("changed"), F.length("cleaned").alias("n_chars"))
+
+
+# headers
+HEADER_LINES = """l as (select book_id, page_no, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 i from p),
+ hl as (select book_id, page_no, i, upper(trim(regexp_extract(line, '^#+\\s+(.+)$', 1))) header from l where regexp_matches(line, '^#+\\s+.+$')),
+ w as (select *, count(*) over (partition by book_id, header order by page_no range between current row and 19 following) n from hl where length(header) < 50),
+ rep as (select distinct book_id, header from w where n >= 3)"""
+
+
+@query(f"with {p_sql(RUNNING)}, {HEADER_LINES} select * from rep")
+def repeated_section_headers(spark, sf_dir):
+    return headers.repeated_section_headers(pages(spark, sf_dir, RUNNING))
+
+
+ONCE = """o as (select hl.*, row_number() over (partition by book_id, header order by page_no, i) k from hl join rep using (book_id, header)),
+ once as (select l.book_id, l.page_no, string_agg(l.line, chr(10) order by l.i) text from l left join o on o.book_id = l.book_id and o.page_no = l.page_no and o.i = l.i and o.k > 1 where o.k is null group by l.book_id, l.page_no)"""
+
+
+@query(f"with {p_sql(RUNNING)}, {HEADER_LINES}, {ONCE} select book_id, page_no, text from once")
+def pages_with_headers_once(spark, sf_dir):
+    rows = pages(spark, sf_dir, RUNNING)
+    return headers.drop_repeated_section_headers(rows, headers.repeated_section_headers(rows)).select("book_id", "page_no", "text")
+
+
+def edges_sql(source: str) -> str:
+    return f"""ends as (select book_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {strip_sql('x')}), lambda x: x <> '') a from {source}),
+ sides as (select book_id, 'header' side, a[1] phrase from ends where len(a) > 0 union all select book_id, 'footer', a[-1] from ends where len(a) > 0),
+ rep_edges as (select book_id, side, phrase, count(*) n from sides where length(phrase) < 80 group by all having count(*) >= 10)"""
+
+
+@query(f"with {p_sql(EDGES)}, {edges_sql('p')} select * from rep_edges")
+def repeated_edges(spark, sf_dir):
+    return headers.repeated_edges(pages(spark, sf_dir, EDGES))
+
+
+def stripped_sql(source: str) -> str:
+    return f"""sets as (select book_id, list(phrase) filter (where side = 'header') hs, list(phrase) filter (where side = 'footer') fs from rep_edges group by book_id),
+ ln as (select t.book_id, t.page_no, t.text, coalesce(hs, []) hs, coalesce(fs, []) fs, string_split({strip_sql('t.text')}, chr(10)) a, sets.book_id is not null has from {source} t left join sets using (book_id)),
+ cut1 as (select *, coalesce(list_position(list_transform(a, lambda x: not list_contains(hs, {strip_sql('x')})), true), 0) k from ln),
+ cut2 as (select *, case when k = 0 then [] else a[k:] end b from cut1),
+ cut3 as (select *, coalesce(list_position(list_transform(list_reverse(b), lambda x: not list_contains(fs, {strip_sql('x')})), true), 0) m from cut2),
+ stripped as (select book_id, page_no, case when not has or {strip_sql('text')} = '' then text else {strip_sql("array_to_string(case when m = 0 then [] else b[:len(b) - m + 1] end, chr(10))")} end text from cut3)"""
+
+
+@query(f"with {p_sql(EDGES)}, {edges_sql('p')}, {stripped_sql('p')} select book_id, page_no, text from stripped")
+def pages_without_edges(spark, sf_dir):
+    rows = pages(spark, sf_dir, EDGES)
+    return headers.drop_edges(rows, headers.repeated_edges(rows)).select("book_id", "page_no", "text")
+
+
+@query(f"with {p_sql(BOTH)}, {HEADER_LINES}, {ONCE}, {edges_sql('once')}, {stripped_sql('once')} select book_id, page_no, text from stripped")
+def clean_book_pages(spark, sf_dir):
+    return headers.clean_book_pages(pages(spark, sf_dir, BOTH)).select("book_id", "page_no", "text")
+
+
+# scalar rules
+@query("select event_id, left(replace(trim(regexp_replace(concat(' ', event_type, '/', props, ' é: x_', event_id, ' '), '[^\\p{L}\\p{N} _\\-]', '_', 'g'), " + WS + "), ' ', '_'), 100) file_name from events")
+def safe_filenames(spark, sf_dir):
+    title = F.concat(F.lit(" "), "event_type", F.lit("/"), "props", F.lit(" é: x_"), "event_id", F.lit(" "))
+    return table(spark, sf_dir, "events").select("event_id", scalar.safe_filename(title).alias("file_name"))
+
+
+@query("select event_id, replace(replace(replace(replace(replace(concat(props, ' <a> & ''b'''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&apos;') escaped from events")
+def escaped_xml(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", scalar.escape_xml(F.concat("props", F.lit(" <a> & 'b'"))).alias("escaped"))
+
+
+@query("""with h as (select page_id, concat(substr(html, 1, 2000), '<br><hr class="a"><img src="b"> & &amp; &#12; &x', chr(7)) x from pages),
+ a as (select page_id, regexp_replace(regexp_replace(x, '<(br|hr|img)([^/>]*)>', '<\\1\\2/>', 'g'), '<img([^>]*[^/>])>', '<img\\1/>', 'g') x from h),
+ b as (select page_id, replace(replace(regexp_replace(x, '&(#?[\\p{L}\\p{N}_]+;)', chr(2) || '\\1', 'g'), '&', '&amp;'), chr(2), '&') x from a)
+ select page_id, regexp_replace(x, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g') xhtml from b""")
+def sanitised_xhtml(spark, sf_dir):
+    html = F.concat(F.substring("html", 1, 2000), F.lit('<br><hr class="a"><img src="b"> & &amp; &#12; &x\x07'))
+    return table(spark, sf_dir, "pages").select("page_id", scalar.to_xhtml(html).alias("xhtml"))
+
+
+NAME = "concat(case event_id % 4 when 0 then 'IMG_' when 1 then 'x' when 2 then 'PXL_' else 'at ' end, case when event_id % 4 = 3 then {dash} when event_id % 5 = 0 then '20241399_250000' else {plain} end, '.jpg')"
+
+
+@query(f"select event_id, case when event_id % 4 <> 3 and event_id % 5 = 0 then null else date_trunc('second', ts) end captured from events")
+def captured_from_names(spark, sf_dir):
+    name = F.expr(NAME.format(dash="date_format(ts, 'yyyy-MM-dd_HH-mm-ss')", plain="date_format(ts, 'yyyyMMdd_HHmmss')"))
+    return table(spark, sf_dir, "events").select("event_id", scalar.name_time(name).alias("captured"))
+
+
+@query("select event_id, case when event_id % 3 = 0 then null else date_trunc('second', ts) end captured from events")
+def captured_from_exif(spark, sf_dir):
+    value = F.when(F.col("event_id") % 3 == 0, "2024:13:40 99:00:00").otherwise(F.date_format("ts", "yyyy:MM:dd HH:mm:ss"))
+    return table(spark, sf_dir, "events").select("event_id", scalar.exif_time(value).alias("captured"))
+
+
+@query("select event_id, cast(row_number() over (partition by event_type order by case when event_id % 9 = 0 then null else date_trunc('second', ts) end nulls first, path) - 1 as int) page_no from (select *, concat('/scan/', lpad(cast(event_id as varchar), 9, '0'), '.jpg') path from events)")
+def images_by_time(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("book_id"), F.concat(F.lit("/scan/"), F.lpad(F.col("event_id").cast("string"), 9, "0"), F.lit(".jpg")).alias("path"), F.when(F.col("event_id") % 9 != 0, F.date_trunc("second", "ts")).alias("captured"))
+    return ocr.ordered(rows).select("event_id", "page_no")
+
+
+@query("select event_id, cast(row_number() over (partition by event_type order by concat('IMG_', event_id, '.jpg')) - 1 as int) page_no from events")
+def images_by_name(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("book_id"), F.concat(F.lit("IMG_"), "event_id", F.lit(".jpg")).alias("name")).withColumn("path", F.col("name"))
+    return ocr.ordered(rows, by_time=False).select("event_id", "page_no")
+
+
+@query("select event_id, regexp_matches(path, '\\.(jpg|jpeg|png|webp|JPG|JPEG|PNG|WEBP)$') supported from (select event_id, concat('/a/', event_id, case event_id % 5 when 0 then '.jpg' when 1 then '.JPG' when 2 then '.Jpg' when 3 then '.webp' else '.txt' end) path from events)")
+def supported_images(spark, sf_dir):
+    path = F.expr("concat('/a/', event_id, case event_id % 5 when 0 then '.jpg' when 1 then '.JPG' when 2 then '.Jpg' when 3 then '.webp' else '.txt' end)")
+    return table(spark, sf_dir, "events").select("event_id", ocr.supported(path).alias("supported"))
+
+
+@query("select event_id, cast(case when least(w, h) <= 1150 then w else trunc(w * (1150.0::double / least(w, h))) end as int) width, cast(case when least(w, h) <= 1150 then h else trunc(h * (1150.0::double / least(w, h))) end as int) height, cast(trunc(w * 0.35::double) as int) scaled from (select event_id, cast(600 + event_id * 37 % 4000 as int) w, cast(500 + event_id * 91 % 4000 as int) h from events)")
+def image_sizes(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", (600 + F.col("event_id") * 37 % 4000).cast("int").alias("w"), (500 + F.col("event_id") * 91 % 4000).cast("int").alias("h"))
+    width, height = scalar.resized(F.col("w"), F.col("h"), 1150)
+    return rows.select("event_id", width.alias("width"), height.alias("height"), scalar.scaled(F.col("w"), F.lit(0.35)).alias("scaled"))
+
+
+CONFIDENCE = "cast(regexp_extract(props, '(\\d+)', 1) as double) / 100.0"
+
+
+@query(f"select event_id, case when c > 0.8 then 'high' when c > 0.5 then 'medium' else 'low' end severity, replace(event_type, '_', ' ') label from (select *, {CONFIDENCE} c from events)")
+def severities(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", scalar.severity_of(F.get_json_object("props", "$.k").cast("double") / F.lit(100.0)).alias("severity"), scalar.label(F.col("event_type")).alias("label"))
+
+
+@query("""select event_id, case when s is null then '--:--' when s < 60 then concat(cast(round_even(s, 0) as bigint), 's') when s < 3600 then concat(cast(floor(s / 60) as bigint), 'm ', cast(floor(s - 60 * floor(s / 60)) as bigint), 's')
+ else concat(cast(floor(s / 3600) as bigint), 'h ', cast(floor((s - 3600 * floor(s / 3600)) / 60) as bigint), 'm') end elapsed from (select event_id, case when event_id % 11 = 0 then null else cast(event_id % 7919 as double) + (event_id % 4) * 0.25 end s from events)""")
+def durations(spark, sf_dir):
+    s = F.when(F.col("event_id") % 11 != 0, (F.col("event_id") % 7919).cast("double") + F.col("event_id") % 4 * 0.25)
+    return table(spark, sf_dir, "events").select("event_id", scalar.duration(s).alias("elapsed"))
+
+
+@query("""with l as (select event_type run_id, 500000 total, 1 n, event_id % 5 <> 0 success, cast(event_id % 3000 as double) elapsed from events),
+ s as (select run_id, max(total) total, sum(n) "current", sum(case when success then n else 0 end) successful, sum(case when success then 0 else n end) failed, max(elapsed) elapsed from l group by run_id)
+ select run_id, total, cast("current" as bigint) "current", cast(successful as bigint) successful, cast(failed as bigint) failed, "current" / elapsed rate, (total - "current") / ("current" / elapsed) eta, "current" / total * 100 percent,
+ concat(cast(floor(elapsed / 60) as bigint), 'm ', cast(floor(elapsed - 60 * floor(elapsed / 60)) as bigint), 's') elapsed_text from s""")
+def run_progress(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select(F.col("event_type").alias("run_id"), F.lit(500000).alias("total"), F.lit(1).alias("n"), (F.col("event_id") % 5 != 0).alias("success"), (F.col("event_id") % 3000).cast("double").alias("elapsed"))
+    return progress.log_summary(log)
+
+
+# review
+@query("select doc_id, case when doc_id % 3 = 0 then text else concat(left(text, cast(doc_id % 20 as int)), 'FIX', substr(text, cast(doc_id % 20 + doc_id % 7 + 1 as int))) end fixed, substr(text, cast(doc_id % 20 + 1 as int), cast(doc_id % 7 as int)) removed from documents")
+def spliced_texts(spark, sf_dir):
+    start = (F.col("doc_id") % 20).cast("int")
+    end = (F.col("doc_id") % 20 + F.col("doc_id") % 7).cast("int")
+    fix = F.when(F.col("doc_id") % 3 == 0, "").otherwise("FIX")
+    return table(spark, sf_dir, "documents").select("doc_id", review.with_fix(F.col("text"), start, end, fix).alias("fixed"), scalar.sliced(F.col("text"), start, end).alias("removed"))
+
+
+def responses(spark, sf_dir) -> DataFrame:
+    """Responses that call a tool, some another one and some with arguments that aren't JSON."""
+    rows = table(spark, sf_dir, "events")
+    confidence = F.get_json_object("props", "$.k").cast("double") / F.lit(100.0)
+    good = F.to_json(F.struct(F.col("event_type").alias("issue_type"), (F.col("event_id") % 90).alias("start_offset"), confidence.alias("confidence")))
+    call = F.struct(F.when(F.col("event_id") % 6 == 0, "other").otherwise("suggest_fix").alias("name"), F.when(F.col("event_id") % 7 == 0, "not json").otherwise(good).alias("arguments"))
+    message = F.struct(F.struct(F.array(F.struct(call.alias("function"))).alias("tool_calls")).alias("message"))
+    return rows.select("event_id", F.to_json(F.struct(F.array(message).alias("choices"))).alias("response"))
+
+
+@query(f"select event_id, event_type \"type\", case when c > 0.8 then 'high' when c > 0.5 then 'medium' else 'low' end severity, '' description, cast(event_id % 90 as int) start_offset, 0 end_offset, '' suggestion, case when event_id % 4 = 0 then 'accepted' else 'pending' end status from (select *, {CONFIDENCE} c from events) where event_id % 6 <> 0 and event_id % 7 <> 0")
+def review_issues(spark, sf_dir):
+    found = review.issues(responses(spark, sf_dir), key=("event_id",))
+    decided = found.where(F.col("event_id") % 4 == 0).select("id", F.lit("accepted").alias("status"))
+    return review.with_status(found, decided).drop("id")
+
+
+@query("select event_type, count(*) n_pending from events where event_id % 6 <> 0 and event_id % 7 <> 0 and event_id % 4 <> 0 group by event_type")
+def pending_issues(spark, sf_dir):
+    found = review_issues(spark, sf_dir)
+    return review.pending(found).groupBy(F.col("type").alias("event_type")).agg(F.count("*").alias("n_pending"))
+
+
+@query(f"with {p_sql()} select book_id, page_no, case when page_no % 5 = 0 then concat('edited ', doc_id) else text end text from p")
+def pages_with_edits(spark, sf_dir):
+    rows = pages(spark, sf_dir).select("book_id", "page_no", "doc_id", "text")
+    edits = rows.where(F.col("page_no") % 5 == 0).select("book_id", "page_no", F.concat(F.lit("edited "), "doc_id").alias("text"))
+    unknown = spark.createDataFrame([("nobody", 0, "x")], "book_id string, page_no int, text string")
+    return review.upsert(rows, edits.unionByName(unknown)).select("book_id", "page_no", "text")
+
+
+@query("select event_id, cast(case when event_id % 3 = 0 then 1 when event_id % 3 = 1 then 0 else 0 end as int) n_blocks from events")
+def parsed_page_json(spark, sf_dir):
+    raw = F.expr("case event_id % 3 when 0 then '[{\"category\":\"Text\",\"text\":\"a\",\"bbox\":[0,0,1,1]}]' when 1 then '{\"raw_response\": \"a\"}' else '[{\"category\": ' end")
+    return table(spark, sf_dir, "events").select("event_id", F.size(review.parsed_blocks(raw)).alias("n_blocks"))
+
+
+def page_names(spark, sf_dir) -> DataFrame:
+    """Files of an imagined folder for each event type."""
+    rows = table(spark, sf_dir, "events").where("event_id < 3000").select("event_id", F.concat(F.lit("/b/"), "event_type").alias("base"))
+    stem = F.format_string("page_%04d", F.col("event_id").cast("int"))
+    bare = F.format_string("page_%d", F.col("event_id").cast("int"))
+    third = F.col("event_id") % 3
+
+    def file(folder: str, name: Column, suffix: str) -> Column:
+        return F.struct(F.concat("base", F.lit(folder)).alias("folder"), F.concat(name, F.lit(suffix)).alias("name"))
+
+    kinds = F.array(
+        file("/ocr_pages", stem, ".md"),
+        file("/ocr_pages", stem, "_nohf.md"),
+        F.when(F.col("event_id") % 2 == 0, file("/ocr_pages", stem, ".json")),
+        F.when(third == 0, file("/ocr_pages", stem, ".jpg")),
+        F.when(third == 1, file("/processed_images", stem, ".jpg")),
+        F.when(third == 2, file("/processed_images", bare, ".jpg")),
+    )
+    return rows.select(F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("f")).select("f.*")
+
+
+@query("select concat('/b/', event_type, '/ocr_pages') folder, cast(event_id as int) page_no, concat(s, '.md') markdown, case when event_id % 2 = 0 then concat(s, '.json') end json, case when event_id % 3 < 2 then concat(s, '.jpg') else concat('page_', event_id, '.jpg') end image from (select *, concat('page_', lpad(cast(event_id as varchar), 4, '0')) s from events where event_id < 3000)")
+def page_listing(spark, sf_dir):
+    return review.listing(page_names(spark, sf_dir))
+
+
+@query("select 'page_N' pattern")
+def page_naming(spark, sf_dir):
+    return readers.naming(page_names(spark, sf_dir))
+
+
+@query("select cast(event_id as int) page_no, concat('page_', lpad(cast(event_id as varchar), 4, '0'), '.md') name, cast(row_number() over (order by concat('page_', lpad(cast(event_id as varchar), 4, '0'), '.md')) as int) by_path, cast(row_number() over (order by event_id) as int) by_number from events where event_id between 9900 and 10200 or event_id < 100")
+def page_orders(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").where("event_id between 9900 and 10200 or event_id < 100").select(F.col("event_id").cast("int").alias("page_no"))
+    rows = rows.withColumn("name", F.concat(F.lit("page_"), F.when(F.col("page_no") > 9999, F.col("page_no").cast("string")).otherwise(F.lpad(F.col("page_no").cast("string"), 4, "0")), F.lit(".md")))
+    return rows.select("page_no", "name", F.row_number().over(Window.orderBy("name")).alias("by_path"), F.row_number().over(Window.orderBy(review.page_number(F.col("name")))).alias("by_number"))
+
+
+# resume
+OUTPUTS = "outputs as (select l_orderkey, max(l_shipdate) modified from lineitem where l_orderkey % 10 <> 3 group by l_orderkey)"
+
+
+def order_outputs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    images = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_no"), F.col("o_orderdate").alias("modified"))
+    made = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page_no")).agg(F.max("l_shipdate").alias("modified"))
+    flags = made.withColumn("has_json", F.lit(True)).withColumn("has_nohf", F.lit(True)).withColumn("json_valid", F.col("page_no") % 10 != 3)
+    return images, resume.valid_output(flags)
+
+
+@query(f"with {OUTPUTS} select o_orderkey page_no from orders left join outputs on o_orderkey = l_orderkey and modified >= o_orderdate where l_orderkey is null")
+def pages_to_process(spark, sf_dir):
+    return resume.to_process(*order_outputs(spark, sf_dir), key=("page_no",)).select("page_no")
+
+
+@query(f"with {OUTPUTS} select o_orderkey page_no from orders join outputs on o_orderkey = l_orderkey and modified >= o_orderdate")
+def pages_cached(spark, sf_dir):
+    return resume.cached(*order_outputs(spark, sf_dir), key=("page_no",)).select("page_no")
+
+
+@query(f"with {p_sql()} select book_id, page_no, case when page_no % 6 = 0 then null else left(text, 40) end text, page_no % 6 <> 0 and page_no % 6 <> 1 success, case when page_no % 6 = 0 then 'Processing failed or was interrupted' when page_no % 6 = 1 then 'bad image' end error_message from p")
+def results_with_gaps_filled(spark, sf_dir):
+    return results(spark, sf_dir)
+
+
+def results(spark, sf_dir) -> DataFrame:
+    images = pages(spark, sf_dir)
+    done = images.where("page_no % 6 <> 0").select("book_id", "page_no", F.left("text", F.lit(40)).alias("text"), (F.col("page_no") % 6 != 1).alias("success"), F.when(F.col("page_no") % 6 == 1, "bad image").alias("error_message"))
+    return resume.filled(images, done)
+
+
+@query(f"with {p_sql()} select book_id, count(*) n_pages, count_if(page_no % 6 > 1) n_success, count(*) - count_if(page_no % 6 > 1) n_failed, true ready from p group by book_id")
+def run_outcomes(spark, sf_dir):
+    return resume.outcome(results(spark, sf_dir))
+
+
+# accuracy
+RUNS = "runs as (select source image, (doc_id // 20) % 4 * 90 rotation, text, n_chars / 100.0::double ocr_time from documents)"
+
+
+def runs(spark, sf_dir, most: int | None = None) -> DataFrame:
+    body = F.left("text", F.lit(most)) if most else F.col("text")
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("image"), (F.floor(F.col("doc_id") / 20) % 4 * 90).alias("rotation"), body.alias("text"), (F.col("n_chars") / F.lit(100.0)).alias("ocr_time"), "doc_id")
+
+
+@query(f"with {RUNS}, m as (select rotation, avg(ocr_time) avg_time from runs group by rotation) select m.rotation, round(m.avg_time, 6) avg_time, round(b.avg_time / m.avg_time, 6) speedup from m, m b where b.rotation = 0")
+def accuracy_speedups(spark, sf_dir):
+    found = accuracy.speedups(runs(spark, sf_dir), "rotation", 0)
+    return found.select("rotation", F.round("avg_time", 6).alias("avg_time"), F.round("speedup", 6).alias("speedup"))
+
+
+@query(f"with {RUNS}, f as (select image, rotation, min(text) text, min(ocr_time) ocr_time from runs group by all) select r.image, r.rotation, length(r.text) - length(b.text) length_difference, b.ocr_time base_time from f r join f b on r.image = b.image and b.rotation = 0")
+def runs_with_baseline(spark, sf_dir):
+    one = runs(spark, sf_dir).groupBy("image", "rotation").agg(F.min("text").alias("text"), F.min("ocr_time").alias("ocr_time"))
+    return accuracy.with_baseline(one).select("image", "rotation", (F.length("text") - F.length("base_text")).cast("bigint").alias("length_difference"), "base_time")
+
+
+@query()
+def accuracy_averages(spark, sf_dir):
+    one = runs(spark, sf_dir, 400).groupBy("image", "rotation").agg(F.min("text").alias("text"), F.min("ocr_time").alias("ocr_time"))
+    return accuracy.averages(accuracy.with_similarity(one))
+
+
+@query("select distinct source image from documents order by 1 limit 5")
+def first_images(spark, sf_dir):
+    return accuracy.first_images(table(spark, sf_dir, "documents").select(F.col("source").alias("image")).distinct(), 5)
+
+
+# sources, sinks and the whole plan
+@query("select distinct lower(trim(w)) word from (select unnest(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ')) w from benchmark) where trim(w) <> ''")
+def dictionary_words(spark, sf_dir):
+    lines = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", r"\s+")).alias("value"))
+    return readers.words(lines)
+
+
+@query()
+def book_epubs(spark, sf_dir):
+    made = writers.epubs(chapters.chapters(joiner.books(pages(spark, sf_dir, ENDINGS), markers=False)))
+    return made.select("book_id", "n_chapters", F.sha1("epub").alias("digest"))
+
+
+@query()
+def full_run(spark, sf_dir):
+    rows = pages(spark, sf_dir, BOTH).select("book_id", "page_no", F.lit(None).cast("string").alias("raw"), F.col("text").alias("text_nohf"), F.lit(True).alias("success"))
+    done = book.run(rows, even_words(spark, sf_dir), formats=("md",))
+    return done.books.select("book_id", "n_pages", F.length("content").alias("n_chars"), F.md5(F.encode("content", "UTF-8")).alias("digest"))
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}

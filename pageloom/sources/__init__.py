@@ -1 +1 @@
-"""Part of the engine."""
+"""Reading and writing."""

@@ -1 +1 @@
-"""Part of the engine."""
+"""Streams and progress."""
