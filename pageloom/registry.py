@@ -102,7 +102,7 @@ def page_boundaries(spark, sf_dir):
     return joiner.boundaries(pages(spark, sf_dir, ENDINGS))
 
 
-@query(f"with {p_sql(ENDINGS)}, {CLASSES} select book_id, count(*) n_boundaries, count_if(decision = 'direct') n_direct, count_if(decision = 'paragraph') n_paragraph, count_if(decision = 'section') n_section from d where before_page is not null group by book_id")
+@query(f"with {p_sql(ENDINGS)}, {CLASSES} select book_id, count(*) n_boundaries, count_if(decision = 'direct')::bigint n_direct, count_if(decision = 'paragraph')::bigint n_paragraph, count_if(decision = 'section')::bigint n_section from d where before_page is not null group by book_id")
 def boundary_counts(spark, sf_dir):
     return joiner.decision_counts(joiner.boundaries(pages(spark, sf_dir, ENDINGS)))
 
@@ -212,8 +212,8 @@ def short_words(spark, sf_dir):
 
 REPORT = f"""with {q_sql(DEFECTS)}, every as (select book_id, severity from found union all select book_id, 'error' from p where page_no % 7 = 3),
  e as (select book_id, count_if(severity = 'error') n_errors, count_if(severity = 'warning') n_warnings, count_if(severity = 'info') n_infos from every group by book_id)
- select book_id, t.total_pages, t.successful_pages, coalesce(n_errors, 0) n_errors, coalesce(n_warnings, 0) n_warnings, coalesce(n_infos, 0) n_infos, coalesce(n_errors, 0) > 0 has_critical_errors
- from (select book_id, count(*) total_pages, count(*) - count_if(page_no % 7 = 3) successful_pages from p group by book_id) t left join e using (book_id)"""
+ select book_id, t.total_pages, t.successful_pages, coalesce(n_errors, 0)::bigint n_errors, coalesce(n_warnings, 0)::bigint n_warnings, coalesce(n_infos, 0)::bigint n_infos, coalesce(n_errors, 0) > 0 has_critical_errors
+ from (select book_id, count(*) total_pages, (count(*) - count_if(page_no % 7 = 3))::bigint successful_pages from p group by book_id) t left join e using (book_id)"""
 
 
 @query(REPORT)
@@ -580,7 +580,7 @@ def results(spark, sf_dir) -> DataFrame:
     return resume.filled(images, done)
 
 
-@query(f"with {p_sql()} select book_id, count(*) n_pages, count_if(page_no % 6 > 1) n_success, count(*) - count_if(page_no % 6 > 1) n_failed, true ready from p group by book_id")
+@query(f"with {p_sql()} select book_id, count(*) n_pages, count_if(page_no % 6 > 1)::bigint n_success, (count(*) - count_if(page_no % 6 > 1))::bigint n_failed, true ready from p group by book_id")
 def run_outcomes(spark, sf_dir):
     return resume.outcome(results(spark, sf_dir))
 

@@ -1,0 +1,163 @@
+"""Cleaning of texts: words over line ends, paragraphs, broken JSON, repetition."""
+
+import random
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from pageloom.functions import pystr, scalar, text
+from pageloom.operators import clean
+
+
+def column(spark, values, name="text", kind="string"):
+    return spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, {name} {kind}")
+
+
+def results(df, expression):
+    return [r[0] for r in df.orderBy("i").select(expression).collect()]
+
+
+def words(spark, *known):
+    return spark.createDataFrame([(w,) for w in known] or [], "word string")
+
+
+def cleaned(spark, values, *known, big=False, monkeypatch=None):
+    if big:
+        monkeypatch.setattr(clean, "MOST_WORDS", 0)
+    out = clean.clean_texts(column(spark, values), words(spark, *known), key=("i",))
+    return [r.cleaned for r in out.orderBy("i").collect()]
+
+
+@pytest.mark.parametrize("big", [False, True])
+def test_words_are_mended_by_the_dictionary(spark, big, monkeypatch):
+    given = ["I cur-\nrently read", "self-\naware", "CUR-\nrently", "cur-\nRently", "cur-\nérable", "a-\nb-\nc", None, "", "  x   y \n", "café-\nteria", "p1\n\np2", "a\nb"]
+    want = ["I currently read", "self-aware", "CURrently", "cur- Rently", "cur- érable", "ab- c", None, "", "x y", "caféteria", "p1\n\np2", "a b"]
+    assert cleaned(spark, given, "currently", "AB", "caféteria", big=big, monkeypatch=monkeypatch) == want
+
+
+def test_an_empty_dictionary_keeps_hyphens(spark):
+    assert cleaned(spark, ["cur-\nrently x-\ny"]) == ["cur-rently x-y"]
+    assert results(column(spark, ["cur-\nrently", None]), text.clean_block(F.col("text"))) == ["cur-rently", None]
+
+
+def test_native_and_python_breaks_agree(spark):
+    r = random.Random(1)
+    values = ["".join(r.choice("ab-\n é9Z_") for _ in range(30)) for _ in range(400)]
+    assert results(column(spark, values), text.keep_hyphens(F.col("text"))) == [text.mend(v, ()) for v in values]
+
+
+def test_fragments(spark):
+    long = "x" * 51
+    values = [f'[{{"text": "{long}"}}, {{"text": "short"}}', '{"text": "' + "y" * 50 + '"}', f'"text":"a \\"q\\" {long}\\nb"', f'"text": "{long}', "no json", None, '"text": "' + "z" * 200_000]
+    want = [long, None, f'a "q" {long}\nb', long, None, None, "z" * 200_000]
+    assert results(column(spark, values), text.fragments(F.col("text"))) == want
+
+
+def test_markdown(spark):
+    values = ["a\nb\n\n\n c  d \n\n \n\ne-\nf", "", f'[{{"text": "{"w" * 60}"}}', '"text": "tiny" rest\nhere', None]
+    want = ["a b\n\nc d\n\ne-f", "", "w" * 60, '"text": "tiny" rest here', None]
+    got = results(column(spark, values), text.clean_markdown(F.col("text")))
+    assert got[:4] == want[:4] and not got[4]
+
+
+def test_layout_blocks(spark):
+    block = lambda c, t: (None, c, t)
+    rows = [(0, [block("Page-header", "top"), block("Text", "a cur-\nrently"), block(None, "b\nc"), block("Page-number", "7"), block("Text", " "), block("Section-header", "# d"), block("Page-footer", "end")]), (1, []), (2, None), (3, [block("Text", None)])]
+    df = spark.createDataFrame(rows, f"i int, blocks {clean.BLOCKS}")
+    for repetition in (False, True):
+        got = {r.i: r.cleaned for r in clean.clean_blocks(df, words(spark, "currently"), repetition, key=("i",)).collect()}
+        assert got == {0: "a currently\n\nb c\n\n# d", 1: "", 2: "", 3: ""}
+
+
+def test_raw_layouts_choose_their_way(spark):
+    rows = [(0, '[{"category":"Text","text":"from\\njson"}]', "md"), (1, "[]", "md one"), (2, '{"raw_response": 1}', "md\ntwo"), (3, None, None), (4, "[broken", "md  three")]
+    got = {r.i: r.cleaned for r in clean.clean_raw(spark.createDataFrame(rows, "i int, raw string, text string"), key=("i",)).collect()}
+    assert got[0] == "from json" and got[1] == "md one" and got[2] == "md two" and got[3] == ""
+
+
+def repeats(phrase, n):
+    return phrase * n
+
+
+def test_repetition_bounds():
+    phrase = "abcdefghijklmno "
+    assert text.find_repetition(phrase * 11) == phrase and text.find_repetition("abcdefghijklmno" * 11) == "abcdefghijklmno" and text.find_repetition(phrase * 9 + "z" * 20) is None
+    assert text.find_repetition("abcdefghijklmno" * 10) is None  # 150 characters leave no length to search
+    assert text.find_repetition(" " * 400) is None and text.find_repetition(None) is None and text.find_repetition("") is None
+    assert text.drop_repetition("Start. " + "again and again " * 30 + "End.")[0].count("again and again") <= 2
+    assert text.drop_repetition("a\\1 $1 (x) b.c d " * 20)[0] == "a\\1 $1 (x) b.c d "
+
+
+def brute_repetition(t, least=10, low=15):
+    """All lengths and sampled starts, each counted piece by piece."""
+    n = len(t)
+    if n < least * low:
+        return None
+    samples = min(50, n // low)
+    for size in range(low, min(100, n // least)):
+        step = max(1, (n - size * least) // samples)
+        for k in range(samples):
+            at, piece = k * step, t[k * step : k * step + size]
+            if at + size * least <= n and len(piece.strip()) >= low // 2 and all(t[at + j * size : at + (j + 1) * size] == piece for j in range(least)):
+                return piece
+    return None
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab ", max_size=25), st.text("abc ", min_size=1, max_size=30), st.integers(1, 25), st.text("ab ", max_size=25))
+def test_repetition_against_brute_force(head, phrase, n, tail):
+    t = head + phrase * n + tail
+    assert text.find_repetition(t) == brute_repetition(t)
+
+
+def test_repetition_on_a_frame(spark):
+    df = column(spark, ["x " + "fifteen letters! " * 12, None, "plain"])
+    got = clean.repetitions(df).orderBy("i").collect()
+    assert got[0].phrase and got[0].cleaned.count("letters") == 1 and got[1].phrase is None and got[1].cleaned is None and got[2].cleaned == "plain"
+
+
+def test_python_strip(spark):
+    values = [c + "x" + c for c in pystr.SPACES] + [" \n", "", "\u200bx"]
+    assert results(column(spark, values), pystr.strip(F.col("text"))) == [v.strip() for v in values]
+
+
+# scalar rules
+def test_names_and_escapes(spark):
+    names = ["My Book: Part 1/2", "  é漢_-x ", "a" * 120, "***"]
+    df = column(spark, names)
+    assert results(df, scalar.safe_filename(F.col("text"))) == ["My_Book__Part_1_2", "é漢_-x", "a" * 100, "___"]
+    assert results(column(spark, ["<a & 'b'>\""]), scalar.escape_xml(F.col("text"))) == ["&lt;a &amp; &apos;b&apos;&gt;&quot;"]
+    html = ["<br>a<hr class='x'><img src='b'><br/>", "AT&T &amp; &#12; &x; & y", "a\x07b\x0bc\n"]
+    assert results(column(spark, html), scalar.to_xhtml(F.col("text"))) == ["<br/>a<hr class='x'/><img src='b'/><br/>", "AT&amp;T &amp; &#12; &x; &amp; y", "abc\n"]
+
+
+def test_times(spark):
+    names = ["IMG_20240229_101112.jpg", "x20240230_101112", "2024-01-02_03-04-05.png", "PXL_20240102_030405123.jpg", "20241399_250000 2024-01-02_03-04-05", "IMG_1.jpg", "20240101_240000", None, "00000101_000000"]
+    got = [str(x) if x else None for x in results(column(spark, names), scalar.name_time(F.col("text")))]
+    assert got == ["2024-02-29 10:11:12", None, "2024-01-02 03:04:05", "2024-01-02 03:04:05", "2024-01-02 03:04:05", None, None, None, None]
+    assert results(column(spark, ["2024:01:02 03:04:05", "2024-01-02", None]), scalar.exif_time(F.col("text")).cast("string")) == ["2024-01-02 03:04:05", None, None]
+
+
+def test_sizes_and_severities(spark):
+    df = spark.createDataFrame([(0, 2268, 4032), (1, 1150, 3000), (2, 1151, 2000), (3, 4032, 2268)], "i int, w int, h int")
+    for target in (1150, 0):
+        w, h = scalar.resized(F.col("w"), F.col("h"), target)
+        want = [(r.w, r.h) if target <= 0 or min(r.w, r.h) <= target else (int(r.w * (target / min(r.w, r.h))), int(r.h * (target / min(r.w, r.h)))) for r in df.orderBy("i").collect()]
+        assert [tuple(r) for r in df.orderBy("i").select(w, h).collect()] == want
+    assert results(column(spark, [0.5, 0.51, 0.8, 0.81, None], kind="double"), scalar.severity_of(F.col("text"))) == ["low", "medium", "medium", "high", "low"]
+
+
+def test_durations(spark):
+    from pageloom.streaming.progress import format_time
+
+    values = [5.0, 0.5, 1.5, 59.4, 59.6, 60.0, 90.0, 3599.9, 3600.0, 3661.0, None]
+    got = results(column(spark, values, kind="double"), scalar.duration(F.col("text")))
+    assert got == [format_time(v) for v in values] and got[6] == "1m 30s" and got[9] == "1h 1m" and got[10] == "--:--"
+
+
+def test_splices(spark):
+    df = spark.createDataFrame([(0, "hello wrld", 6, 10, "world"), (1, "abc", 1, 2, ""), (2, "abc", 0, 0, "x"), (3, "abc", 1, 2, None)], "i int, text string, s int, e int, f string")
+    assert results(df, scalar.spliced(F.col("text"), F.col("s"), F.col("e"), F.col("f"))) == ["hello world", "abc", "xabc", "abc"]
+    assert results(df, scalar.sliced(F.col("text"), F.col("s"), F.col("e"))) == ["wrld", "b", "", "b"]
