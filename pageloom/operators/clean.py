@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,24 +28,39 @@ def known_words(pages: DataFrame, dictionary: DataFrame, texts: Column, key: lis
     return broken.select(*key, pair.alias("word")).join(dictionary, "word", "left_semi").groupBy(*key).agg(F.collect_set("word").alias("known"))
 
 
-def dehyphenator(pages: DataFrame, dictionary: DataFrame | None, texts: Column, key: list[str]) -> tuple[DataFrame, Callable[[Column], Column]]:
+@dataclass
+class Words:
+    """A dictionary that is ready for use: its words, and a broadcast set of them if they are few enough."""
+
+    words: DataFrame
+    shared: Broadcast | None
+
+    @staticmethod
+    def of(dictionary: DataFrame | Words | None) -> Words | None:
+        if dictionary is None or isinstance(dictionary, Words):
+            return dictionary
+        words = dictionary.select(F.lower("word").alias("word")).where("word is not null").distinct()
+        few = words.limit(MOST_WORDS + 1).toArrow()["word"].to_pylist()
+        return Words(words, dictionary.sparkSession.sparkContext.broadcast(frozenset(few)) if len(few) <= MOST_WORDS else None)
+
+
+def dehyphenator(pages: DataFrame, dictionary: DataFrame | Words | None, texts: Column, key: list[str]) -> tuple[DataFrame, Callable[[Column], Column]]:
     """How broken words are mended: with a broadcast set if the dictionary is small enough, else with each row's known words joined to it."""
-    if dictionary is None:
+    ready = Words.of(dictionary)
+    if ready is None:
         return pages, T.keep_hyphens
-    words = dictionary.select(F.lower("word").alias("word")).distinct()
-    if words.limit(MOST_WORDS + 1).count() <= MOST_WORDS:
-        shared = pages.sparkSession.sparkContext.broadcast(frozenset(r.word for r in words.toLocalIterator()))
-        return pages, T.mender(shared)
-    return pages.join(known_words(pages, words, texts, key), key, "left"), lambda t: T.mend_with(t, F.col("known"))
+    if ready.shared is not None:
+        return pages, T.mender(ready.shared)
+    return pages.join(known_words(pages, ready.words, texts, key), key, "left"), lambda t: T.mend_with(t, F.col("known"))
 
 
-def clean_texts(pages: DataFrame, dictionary: DataFrame | None = None, key: tuple[str, ...] = ("book_id", "page_no"), text: str = "text", name: str = "cleaned") -> DataFrame:
+def clean_texts(pages: DataFrame, dictionary: DataFrame | Words | None = None, key: tuple[str, ...] = ("book_id", "page_no"), text: str = "text", name: str = "cleaned") -> DataFrame:
     """Adds each text as one cleaned block."""
     rows, mend = dehyphenator(pages, dictionary, F.array(text), list(key))
     return rows.withColumn(name, T.clean_block(F.col(text), mend)).drop("known")
 
 
-def clean_markdown(pages: DataFrame, dictionary: DataFrame | None = None, key: tuple[str, ...] = ("book_id", "page_no"), text: str = "text", name: str = "cleaned") -> DataFrame:
+def clean_markdown(pages: DataFrame, dictionary: DataFrame | Words | None = None, key: tuple[str, ...] = ("book_id", "page_no"), text: str = "text", name: str = "cleaned") -> DataFrame:
     """Adds each text cleaned as markdown, salvaged first where it looks like JSON."""
     rows, mend = dehyphenator(pages, dictionary, F.array(text), list(key))
     return rows.withColumn(name, T.clean_markdown(F.col(text), mend)).drop("known")
@@ -55,7 +72,7 @@ def body_texts(blocks: Column) -> Column:
     return F.filter(F.transform(body, lambda b: F.coalesce(b["text"], F.lit(""))), lambda t: t != "")
 
 
-def clean_blocks(pages: DataFrame, dictionary: DataFrame | None = None, repetition: bool = True, key: tuple[str, ...] = ("book_id", "page_no"), blocks: str = "blocks", name: str = "cleaned") -> DataFrame:
+def clean_blocks(pages: DataFrame, dictionary: DataFrame | Words | None = None, repetition: bool = True, key: tuple[str, ...] = ("book_id", "page_no"), blocks: str = "blocks", name: str = "cleaned") -> DataFrame:
     """Adds the page's text from its layout blocks: body texts, repetition cut, cleaned, empty ones dropped, as paragraphs. No blocks give an empty text."""
     rows = pages.withColumn("_texts", body_texts(F.col(blocks)))
     if repetition:
@@ -71,8 +88,9 @@ def clean_blocks(pages: DataFrame, dictionary: DataFrame | None = None, repetiti
     return rows.withColumn(name, F.coalesce(cleaned, F.lit(""))).drop("_texts", "known")
 
 
-def clean_raw(pages: DataFrame, dictionary: DataFrame | None = None, repetition: bool = True, key: tuple[str, ...] = ("book_id", "page_no"), raw: str = "raw", text: str = "text", name: str = "cleaned") -> DataFrame:
+def clean_raw(pages: DataFrame, dictionary: DataFrame | Words | None = None, repetition: bool = True, key: tuple[str, ...] = ("book_id", "page_no"), raw: str = "raw", text: str = "text", name: str = "cleaned") -> DataFrame:
     """Adds the page's text from its raw layout JSON: a non-empty list by its blocks, anything else from the markdown ``text``."""
+    dictionary = Words.of(dictionary)
     parsed = F.when(lstrip(F.col(raw)).startswith("["), F.from_json(raw, BLOCKS))
     rows = pages.withColumn("_blocks", parsed).withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     listed = F.col("_blocks").isNotNull() & (F.size("_blocks") > 0)

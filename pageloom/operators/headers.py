@@ -10,17 +10,18 @@ from ..functions.scalar import normal_header
 from .ordered import run_of
 
 HEADER = f"\\A#+{SPACE}+([^\\n]+)\\z"
-#: Phrases of books that fit so many rows are broadcast to the pages; more are joined.
-MOST_BROADCAST = 200_000
+#: Sets of phrases of at most so many books are broadcast to the pages; more are joined by a shuffle.
+MOST_BROADCAST = 100_000
 
 
 def lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def hint(small: DataFrame) -> DataFrame:
-    """Broadcast if it is known to be small."""
-    return F.broadcast(small) if small.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else small
+def kept_small(sets: DataFrame) -> DataFrame:
+    """A table of a row for each book, computed once, and broadcast if it is small enough."""
+    sets = sets.persist()
+    return F.broadcast(sets) if sets.count() <= MOST_BROADCAST else sets
 
 
 def header_lines(pages: DataFrame, text: str = "text") -> DataFrame:
@@ -45,13 +46,17 @@ def repeated_section_headers(pages: DataFrame, min_occurrences: int = 3, window_
 
 def drop_repeated_section_headers(pages: DataFrame, repeated: DataFrame, text: str = "text") -> DataFrame:
     """The pages with all but the first occurrence in the book of each repeated header dropped."""
-    found = header_lines(pages, text).join(hint(repeated), ["book_id", "header"], "left_semi")
+    found = header_lines(pages, text).join(repeated, ["book_id", "header"], "left_semi")
     first = found.groupBy("book_id", "header").agg(F.min(F.struct("page_no", "line_no")).alias("first"))
-    later = found.join(first, ["book_id", "header"]).where(F.struct("page_no", "line_no") > F.col("first"))
-    dropped = later.groupBy("book_id", "page_no").agg(F.collect_set("line_no").alias("_dropped"))
-    rows = pages.join(dropped, ["book_id", "page_no"], "left")
-    kept = F.array_join(F.filter(lines(F.col(text)), lambda x, i: ~F.array_contains("_dropped", i)), "\n")
-    return rows.withColumn(text, F.when(F.col("_dropped").isNull(), F.col(text)).otherwise(kept)).drop("_dropped")
+    sets = kept_small(first.groupBy("book_id").agg(F.map_from_entries(F.collect_list(F.struct("header", "first"))).alias("_first")))
+
+    def stays(line: Column, i: Column) -> Column:
+        first = F.col("_first")[normal_header(F.regexp_extract(line, HEADER, 1))]
+        return ~line.rlike(HEADER) | first.isNull() | (F.struct(F.col("page_no").alias("page_no"), i.alias("line_no")) <= first)
+
+    kept = F.array_join(F.filter(lines(F.col(text)), stays), "\n")
+    some = F.col("_first").isNotNull() & (F.col(text).startswith("#") | F.contains(text, F.lit("\n#")))
+    return pages.join(sets, "book_id", "left").withColumn(text, F.when(some, kept).otherwise(F.col(text))).drop("_first")
 
 
 def edge_lines(text: Column) -> tuple[Column, Column]:
@@ -84,7 +89,7 @@ def drop_edges(pages: DataFrame, repeated: DataFrame, text: str = "text") -> Dat
     """The pages without the repeated phrases at their top and bottom; books without any, and blank pages, stay as they are."""
     none = F.array().cast("array<string>")
     sets = repeated.groupBy("book_id").agg(F.collect_set(F.when(F.col("side") == "header", F.col("phrase"))).alias("_headers"), F.collect_set(F.when(F.col("side") == "footer", F.col("phrase"))).alias("_footers"))
-    rows = pages.join(hint(sets), "book_id", "left")
+    rows = pages.join(kept_small(sets), "book_id", "left")
     clean = without_edges(F.col(text), F.coalesce("_headers", none), F.coalesce("_footers", none))
     return rows.withColumn(text, F.when(F.col("_headers").isNull() | (strip(F.col(text)) == ""), F.col(text)).otherwise(clean)).drop("_headers", "_footers")
 

@@ -78,14 +78,17 @@ def separator(page: Column, decision: Column, markers: bool = True) -> Column:
 
 def joined_pages(pages: DataFrame, text: str = "text", markers: bool = True, run: int = RUN) -> DataFrame:
     """(book_id, page_no, piece): what each page adds to its book; concatenated in page order the pieces are the book."""
+    return _pieces(pages, text, markers, run).select("book_id", "page_no", "piece")
+
+
+def _pieces(pages: DataFrame, text: str, markers: bool, run: int) -> DataFrame:
     rows = with_boundaries(pages.select("book_id", "page_no", text), text, run)
     piece = F.when(F.col("before_page").isNull(), F.col("stripped")).when(F.col("stripped") == "", "").otherwise(F.concat(separator(F.col("page_no"), F.col("decision"), markers), F.col("stripped")))
-    return rows.select("book_id", "page_no", piece.alias("piece"))
+    return rows.withColumn("piece", piece)
 
 
 def books(pages: DataFrame, text: str = "text", markers: bool = True, run: int = RUN) -> DataFrame:
     """(book_id, n_pages, content), a row per book; the text of a book of one page isn't stripped."""
-    pieces = joined_pages(pages, text, markers, run)
-    whole = pieces.groupBy("book_id").agg(F.count("*").alias("n_pages"), F.expr("listagg(piece, '') within group (order by page_no)").alias("content"))
-    alone = pages.groupBy("book_id").agg(F.when(F.count("*") == 1, F.first(text)).alias("_alone"))
-    return whole.join(alone, "book_id").select("book_id", "n_pages", F.coalesce("_alone", "content", F.lit("")).alias("content"))
+    pieces = _pieces(pages, text, markers, run).withColumn("_whole", F.coalesce(F.col(text), F.lit("")))
+    made = pieces.groupBy("book_id").agg(F.count("*").alias("n_pages"), F.expr("listagg(piece, '') within group (order by page_no)").alias("content"), F.first("_whole").alias("_whole"))
+    return made.select("book_id", "n_pages", F.when(F.col("n_pages") == 1, F.col("_whole")).otherwise(F.coalesce("content", F.lit(""))).alias("content"))

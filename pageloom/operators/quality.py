@@ -28,35 +28,59 @@ def percent_text(ratio: Column) -> Column:
     return F.concat(F.format_string("%.1f", ratio * 100), F.lit("%"))
 
 
+def measured(text: Column) -> Column:
+    """All figures that the detectors judge by, as one struct."""
+    size = F.length(text)
+    figures = {
+        "full": text != "",
+        "size": size,
+        "short": F.length(strip(text)),
+        "head": F.left(text, F.lit(50)),
+        "garbage": F.regexp_extract_all(text, F.lit(f"([{GARBAGE}])"), F.lit(1)),
+        "runs": F.regexp_extract_all(text, F.lit(REPEATED), F.lit(1)),
+        "words": F.regexp_count(text, F.lit(f"{NOT_SPACE}+")),
+        "solid": F.length(F.regexp_replace(text, f"{SPACE}+", "")),
+        "special": size - F.length(F.regexp_replace(text, f"[^\\p{{L}}\\p{{N}}{SPACE_SET}]+", "")),
+    }
+    figures |= {f"confusion{k}": F.regexp_count(text, F.lit(p)) for k, (p, _) in enumerate(CONFUSIONS)}
+    figures |= {f"open{k}": occurrences(text, a) for k, (a, _) in enumerate(BRACKETS)}
+    figures |= {f"close{k}": occurrences(text, b) for k, (_, b) in enumerate(BRACKETS)}
+    figures |= {f"quotes{k}": occurrences(text, q) for k, q in enumerate(QUOTES)}
+    return F.struct(*[x.alias(name) for name, x in figures.items()])
+
+
 def page_findings(text: Column, min_length: int = 50, max_ratio: float = 0.15, min_word: float = 2.0) -> Column:
-    """The findings on one page's text, in the detectors' order."""
+    """The findings on one page's text, in the detectors' order; each figure is computed once."""
+    return F.get(F.transform(F.array(measured(text)), lambda m: judged(m, min_length, max_ratio, min_word)), F.lit(0))
+
+
+def judged(m: Column, min_length: int, max_ratio: float, min_word: float) -> Column:
+    """The findings that a page's figures give."""
 
     def finding(seq: int, severity: Column | str, kind: str, n: Column, message: Column, context: Column | None = None) -> Column:
         severity = F.lit(severity) if isinstance(severity, str) else severity
         return F.struct(F.lit(seq).alias("seq"), severity.alias("severity"), F.lit(kind).alias("error_type"), n.cast("bigint").alias("n"), message.alias("message"), (F.lit("") if context is None else context).alias("context"))
 
-    size, full = F.length(text), text != ""
-    short = F.length(strip(text))
-    found = [F.when(~full | (short < min_length), finding(0, F.when(full, "warning").otherwise("error"), "SHORT_PAGE", short, F.format_string("Page has only %d characters", short), F.left(text, F.lit(50))))]
-    garbage = F.regexp_count(text, F.lit(f"[{GARBAGE}]"))
-    seen = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(f"([{GARBAGE}])"), F.lit(1)))), "")
+    size, full, short = m["size"], m["full"], m["short"]
+    found = [F.when(~full | (short < min_length), finding(0, F.when(full, "warning").otherwise("error"), "SHORT_PAGE", short, F.format_string("Page has only %d characters", short), m["head"]))]
+    garbage = F.size(m["garbage"])
+    seen = F.array_join(F.array_sort(F.array_distinct(m["garbage"])), "")
     found.append(F.when(full & (garbage / size > 0.01), finding(1, "warning", "GARBAGE_CHARS", garbage, F.concat(F.format_string("Found %d suspicious characters (", garbage), percent_text(garbage / size), F.lit(")")), seen)))
-    runs = F.regexp_extract_all(text, F.lit(REPEATED), F.lit(1))
+    runs = m["runs"]
     found.append(F.when(F.size(runs) > 0, finding(2, "warning", "REPEATED_CHARS", F.size(runs), F.format_string("Found %d instances of repeated characters", F.size(runs)), F.concat(F.lit("["), F.array_join(F.transform(F.slice(runs, 1, 5), lambda c: F.concat(F.lit("'"), c, F.lit("'"))), ", "), F.lit("]")))))
-    for k, (pattern, said) in enumerate(CONFUSIONS):
-        n = F.regexp_count(text, F.lit(pattern))
+    for k, (_, said) in enumerate(CONFUSIONS):
+        n = m[f"confusion{k}"]
         found.append(F.when(n > 3, finding(3 + k, "info", "OCR_CONFUSION", n, F.format_string(f"{said}: found %d instances", n))))
-    words = F.regexp_count(text, F.lit(f"{NOT_SPACE}+"))
-    mean = F.length(F.regexp_replace(text, SPACE, "")) / words
-    found.append(F.when((words > 0) & (mean < min_word), finding(7, "warning", "SHORT_WORDS", words, F.format_string(f"Average word length is %.1f (expected >{min_word})", mean))))
+    mean = m["solid"] / m["words"]
+    found.append(F.when((m["words"] > 0) & (mean < min_word), finding(7, "warning", "SHORT_WORDS", m["words"], F.format_string(f"Average word length is %.1f (expected >{min_word})", mean))))
     for k, (opening, closing) in enumerate(BRACKETS):
-        a, b = occurrences(text, opening), occurrences(text, closing)
+        a, b = m[f"open{k}"], m[f"close{k}"]
         found.append(F.when(F.abs(a - b) > 2, finding(8 + k, "info", "UNBALANCED_BRACKETS", F.abs(a - b), F.format_string(f"Unbalanced {opening}{closing}: %d open, %d close", a, b))))
     for k, quote in enumerate(QUOTES):
-        n = occurrences(text, quote)
+        n = m[f"quotes{k}"]
         shown = "'\"'" if quote == '"' else '"\'"'
         found.append(F.when((n % 2 != 0) & (n > 2), finding(11 + k, "info", "UNBALANCED_QUOTES", n, F.concat(F.lit(f"Odd number of {shown} characters: "), n.cast("string")))))
-    special = F.regexp_count(text, F.lit(f"[^\\p{{L}}\\p{{N}}{SPACE_SET}]"))
+    special = m["special"]
     found.append(F.when(full & (special / size > max_ratio), finding(13, "warning", "HIGH_SPECIAL_CHAR_RATIO", special, F.concat(F.lit("Special character ratio is "), percent_text(special / size), F.lit(f" (threshold: {max_ratio:.1%})")))))
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 

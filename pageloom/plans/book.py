@@ -1,9 +1,15 @@
-"""The plans from pages to books: full run, join, analysis, EPUB. All are lazy until something is written."""
+"""The plans from pages to books: full run, join, analysis, EPUB.
+
+Pages that several steps read are kept on the executors' disks once they are cleaned; a lost
+executor's share is computed again. Small sets (dictionary, repeated phrases) are counted
+when a plan is made, to see whether they may be broadcast.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +36,7 @@ def cleaned_pages(results: DataFrame, dictionary: DataFrame | None = None) -> Da
 
 def joined_books(pages: DataFrame, markers: bool = True, running_headers: bool = True, min_occurrences: int = 10) -> DataFrame:
     """(book_id, n_pages, content): headers and footers that repeat dropped, pages joined, running headers dropped."""
-    whole = joiner.books(headers.clean_book_pages(pages, min_occurrences), markers=markers)
+    whole = joiner.books(headers.clean_book_pages(pages.persist(StorageLevel.DISK_ONLY), min_occurrences), markers=markers)
     return running.drop_running_headers(whole) if running_headers else whole
 
 
@@ -40,10 +46,10 @@ def run(results: DataFrame, dictionary: DataFrame | None = None, markers: bool =
         if results.limit(1).isEmpty():
             return Result(False, "No pages found")
         reports = quality.report(results, "text_nohf", "success", **limits)
-        pages = cleaned_pages(results, dictionary)
-        books = joined_books(pages, markers)
+        pages = headers.clean_book_pages(cleaned_pages(results, dictionary).persist(StorageLevel.DISK_ONLY))
+        books = running.drop_running_headers(joiner.books(pages, markers=markers))
         made = writers.epubs(chapters.chapters(books), author, language, date) if "epub" in formats else None
-        return Result(True, "", books, made, reports, joiner.boundaries(headers.clean_book_pages(pages)))
+        return Result(True, "", books, made, reports, joiner.boundaries(pages))
     except Exception as e:  # noqa: BLE001  the caller gets a failed result
         return Result(False, str(e))
 
