@@ -105,3 +105,13 @@ def sliced(text: Column, start: Column, end: Column) -> Column:
 
 def label(kind: Column) -> Column:
     return replace(kind, "_", " ")
+
+
+def zoomed(zoom: Column, change: Column) -> Column:
+    """A zoom in percent after a change, between 50 and 200."""
+    return F.greatest(F.least(zoom + change, F.lit(200)), F.lit(50))
+
+
+def page_progress(index: Column, total: Column) -> Column:
+    """How far a reader on this page (from 0) is, in percent; 0 without pages."""
+    return F.when(total > 0, (index + 1) / total * 100).otherwise(0.0)

@@ -548,6 +548,17 @@ def page_orders(spark, sf_dir):
     return rows.select("page_no", "name", F.row_number().over(Window.orderBy("name")).alias("by_path"), F.row_number().over(Window.orderBy(review.page_number(F.col("name")))).alias("by_number"))
 
 
+@query("select concat('/b/', event_type, '/ocr_pages') folder, cast(event_id as int) page_no, concat('page_', lpad(cast(event_id as varchar), 4, '0'), '.jpg') image from events where event_id = 1234")
+def page_image(spark, sf_dir):
+    return review.image_of(page_listing(spark, sf_dir), 1234)
+
+
+@query("select event_id, cast(greatest(least(50 + event_id % 200 + event_id % 3 * 25, 200), 50) as bigint) zoom, (event_id + 1) / 10000 * 100 progress from events")
+def reading_state(spark, sf_dir):
+    zoom = scalar.zoomed(50 + F.col("event_id") % 200, F.col("event_id") % 3 * 25)
+    return table(spark, sf_dir, "events").select("event_id", zoom.alias("zoom"), scalar.page_progress(F.col("event_id"), F.lit(10000)).alias("progress"))
+
+
 # resume
 OUTPUTS = "outputs as (select l_orderkey, max(l_shipdate) modified from lineitem where l_orderkey % 10 <> 3 group by l_orderkey)"
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -75,29 +75,40 @@ def epubs(chapters: DataFrame, author: str = "Unknown", language: str = "en", da
     return chapters.groupBy("book_id").applyInPandas(run, "book_id string, n_chapters int, epub binary")
 
 
-def resized_images(images: DataFrame, target: int = 1150, quality: int = 95) -> DataFrame:
-    """Images (path, content) upright and with their shorter edge at most ``target``, as JPEG; null where one can't be read or no image library is there."""
+def _jpegs(images: DataFrame, change: Callable, quality: int) -> DataFrame:
+    """Adds ``jpeg``, each image upright and changed; null where one can't be read or no image library is there."""
 
-    def run(content: pd.Series) -> pd.Series:
-        def one(data: bytes) -> bytes | None:
-            try:
-                from PIL import Image, ImageOps
-
-                image = ImageOps.exif_transpose(Image.open(io.BytesIO(data)))
-                short = min(image.size)
-                if 0 < target < short:
-                    image = image.resize(tuple(int(x * (target / short)) for x in image.size), Image.LANCZOS)
-                out = io.BytesIO()
-                image.convert("RGB").save(out, "JPEG", quality=quality)
-                return out.getvalue()
-            except Exception:  # noqa: BLE001
-                return None
+    def one(data: bytes) -> bytes | None:
+        try:
+            from PIL import Image, ImageOps
+
+            out = io.BytesIO()
+            change(ImageOps.exif_transpose(Image.open(io.BytesIO(data)))).convert("RGB").save(out, "JPEG", quality=quality)
+            return out.getvalue()
+        except Exception:  # noqa: BLE001  an unreadable image gives none
+            return None
 
+    def run(content: pd.Series) -> pd.Series:
         return content.map(one)
 
     return images.withColumn("jpeg", F.pandas_udf(run, "binary")("content"))
 
 
+def resized_images(images: DataFrame, target: int = 1150, quality: int = 95) -> DataFrame:
+    """Images (path, content) with their shorter edge at most ``target``."""
+
+    def change(image):
+        short = min(image.size)
+        return image.resize(tuple(int(x * (target / short)) for x in image.size)) if 0 < target < short else image
+
+    return _jpegs(images, change, quality)
+
+
+def rotated_images(images: DataFrame, degrees: int, quality: int = 95) -> DataFrame:
+    """Images (path, content) turned counter-clockwise, the whole image kept."""
+    return _jpegs(images, lambda image: image.rotate(degrees, expand=True), quality)
+
+
 def study(results: DataFrame, path: str) -> None:
     """Results of an accuracy study as JSON lines."""
     results.write.mode("overwrite").json(path)
