@@ -24,11 +24,16 @@ def kept_small(sets: DataFrame) -> DataFrame:
     return F.broadcast(sets) if sets.count() <= MOST_BROADCAST else sets
 
 
+def may_have_headers(text: Column) -> Column:
+    return text.startswith("#") | F.contains(text, F.lit("\n#"))
+
+
 def header_lines(pages: DataFrame, text: str = "text") -> DataFrame:
-    """(book_id, page_no, line_no, header): the markdown headers, normalised."""
-    exploded = pages.select("book_id", "page_no", F.posexplode(lines(F.col(text))).alias("line_no", "line")).where(F.col("line").startswith("#"))
-    found = F.regexp_extract("line", HEADER, 1)
-    return exploded.where(F.col("line").rlike(HEADER)).select("book_id", "page_no", "line_no", normal_header(found).alias("header"))
+    """(book_id, page_no, line_no, header): the markdown headers, normalised. Only header lines become rows."""
+    numbered = F.transform(lines(F.col(text)), lambda x, i: F.struct(i.alias("line_no"), x.alias("line")))
+    own = F.filter(numbered, lambda x: x["line"].startswith("#") & x["line"].rlike(HEADER))
+    rows = pages.where(may_have_headers(F.col(text))).select("book_id", "page_no", F.explode(own).alias("h"))
+    return rows.select("book_id", "page_no", "h.line_no", normal_header(F.regexp_extract("h.line", HEADER, 1)).alias("header"))
 
 
 def repeated_section_headers(pages: DataFrame, min_occurrences: int = 3, window_pages: int = 20, max_length: int = 50, text: str = "text") -> DataFrame:
@@ -55,7 +60,7 @@ def drop_repeated_section_headers(pages: DataFrame, repeated: DataFrame, text: s
         return ~line.rlike(HEADER) | first.isNull() | (F.struct(F.col("page_no").alias("page_no"), i.alias("line_no")) <= first)
 
     kept = F.array_join(F.filter(lines(F.col(text)), stays), "\n")
-    some = F.col("_first").isNotNull() & (F.col(text).startswith("#") | F.contains(text, F.lit("\n#")))
+    some = F.col("_first").isNotNull() & may_have_headers(F.col(text))
     return pages.join(sets, "book_id", "left").withColumn(text, F.when(some, kept).otherwise(F.col(text))).drop("_first")
 
 

@@ -6,6 +6,7 @@ one run to the next is one row per run.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,3 +26,20 @@ def previous(df: DataFrame, column: Column, name: str, book: str = "book_id", pa
     over = ends.select(book, "_run", F.lag("_last").over(Window.partitionBy(book).orderBy("_run")).alias("_carried"))
     out = within.join(over, [book, "_run"], "left").withColumn("_before", F.coalesce("_before", "_carried"))
     return out.withColumn(name, F.col("_before.v")).withColumn(f"{name}_page", F.col("_before.p")).drop("_run", "_own", "_before", "_carried")
+
+
+def numbered(df: DataFrame, order: list[Column], name: str, group: str = "book_id") -> DataFrame:
+    """Adds each row's place from 0 within its group in this order, without one task for a whole group.
+
+    Rows are dealt to tasks by ranges of (group, order) and numbered there; what came before a task's first row of a
+    group is one count per group and task. The ranges are drawn once: the dealt rows are kept on executors' disks.
+    Rows that are equal in the order are numbered as they come, so the order should be a total one.
+    """
+    keys = [F.col(group), *order]
+    marked = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_task", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    dealt = marked.persist(StorageLevel.DISK_ONLY)
+    counts = dealt.groupBy(group, "_task").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col(group).alias("_group"), F.col("_task").alias("_of"), (before - F.col("_first")).alias("_shift"))
+    same = F.col(group).eqNullSafe(F.col("_group")) & (F.col("_task") == F.col("_of"))
+    return dealt.join(starts, same).withColumn(name, (F.col("_at") + F.col("_shift")).cast("int")).drop("_task", "_at", "_group", "_of", "_shift")

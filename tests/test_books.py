@@ -59,6 +59,17 @@ def test_previous_skips_missing_pages(spark):
     assert got == {("a", 0): (None, None), ("a", 7): ("x", 0), ("a", 100): ("y", 7), ("b", 3): (None, None)}
 
 
+def test_rows_are_numbered_over_tasks(spark):
+    r = random.Random(3)
+    rows = [("hot" if r.random() < 0.8 else r.choice(["a", "b", None]), r.randrange(10**9)) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "book_id string, k bigint").repartition(7)
+    got = ordered.numbered(df, [F.col("k")], "place").collect()
+    for name in ("hot", "a", "b", None):
+        own = sorted(k for n, k in rows if n == name)
+        assert [x.k for x in sorted((x for x in got if x.book_id == name), key=lambda x: x.place)] == own
+        assert sorted(x.place for x in got if x.book_id == name) == list(range(len(own)))
+
+
 def test_books_are_joined(spark):
     whole = lambda texts, markers: joiner.books(book(spark, texts), markers=markers).first().content
     assert whole(["one two", "three.", "Four", "# Five"], True) == "one two <!-- page 1 -->three.\n\n<!-- page 2 -->\nFour\n\n<!-- page 3 -->\n\n# Five"
