@@ -33,7 +33,7 @@ from .batches import checkpoint, column
 DEGREE, HEARD, PASSED, ROUNDS, ORDERS = 32, 64, 12, 5, 3
 #: Nodes a query keeps, expands in a round, and its rounds.
 BEAM, EXPANDED, HOPS = 300, 80, 5
-PART, BLOCK = 4096, 1024
+PART, BLOCK = 2048, 1024
 NONE = -1
 
 
@@ -116,7 +116,7 @@ class Index:
                     raw = column(b, "v").flatten().to_numpy().reshape(-1, dim)
                     unit = raw / np.abs(raw).max(axis=1, keepdims=True)
                     unit = unit / np.sqrt((unit**2).sum(axis=1, keepdims=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(part_of(ids, parts)), pa.array(ids), pa.array([x.tobytes() for x in unit.astype("<f2")], pa.binary()), pa.array([x.tobytes() for x in unit.astype("<f8")], pa.binary())], names=["pid", "id", "vec", "raw"])
+                    yield pa.RecordBatch.from_arrays([pa.array(part_of(ids, parts)), pa.array(ids), pa.array([x.tobytes() for x in unit.astype("<f2")], pa.binary()), pa.array([x.tobytes() for x in unit.astype("<f4")], pa.binary())], names=["pid", "id", "vec", "raw"])
 
         self.vectors = checkpoint(first.select("id", "v").mapInArrow(encode, "pid int, id bigint, vec binary, raw binary"))
         self.graph = self.build(rounds)
@@ -133,7 +133,7 @@ class Index:
         state = checkpoint(self.merged(self.vectors.select("pid", "id", "vec", F.lit(b"").alias("near"), F.lit(b"").alias("sims")), found))
         for r in range(rounds):
             letters = self.to_lists(state).groupBy("pid")
-            sent = state.groupBy("pid").cogroup(letters).applyInArrow(send(parts, dim, degree, r), "pid int, id bigint, vec binary, least float, to binary")
+            sent = state.groupBy("pid").cogroup(letters).applyInArrow(send(parts, dim, degree, r), "pid int, id binary, vec binary, least binary, heard binary, to binary")
             pairs = sent.groupBy("pid").applyInArrow(compare(parts, dim, r), shape)
             state = checkpoint(self.merged(state, pairs))
         letters = self.to_lists(state).groupBy("pid")
@@ -195,25 +195,25 @@ class Index:
             for b in batches:
                 if b.num_rows:
                     q = column(b, "id").to_numpy()
-                    yield pa.RecordBatch.from_arrays([pa.array(part_of(q + 1, groups)), pa.array(q), column(b, "raw"), pa.array([np.array([x], "<i8").tobytes() for x in q]), pa.array([np.ones(1, "<f8").tobytes()] * len(q)), pa.array([b"\0"] * len(q))], names=["g", "q", "raw", "near", "sims", "done"])
+                    yield pa.RecordBatch.from_arrays([pa.array(part_of(q + 1, groups)), pa.array(q), column(b, "raw"), pa.array([np.array([x], "<i8").tobytes() for x in q]), pa.array([np.ones(1, "<f4").tobytes()] * len(q)), pa.array([b"\0"] * len(q))], names=["g", "q", "raw", "near", "sims", "done"])
 
         state_shape = "g int, q bigint, raw binary, near binary, sims binary, done binary"
         starts = asked.select(F.col("node").alias("id")).distinct().join(self.vectors, "id").select("id", "raw")
         state = checkpoint(starts.mapInArrow(begin, state_shape))
         for _ in range(hops):
-            asks = state.mapInArrow(ask(parts, expanded), "pid int, g int, q bigint, raw binary, ids binary")
-            told = self.graph.groupBy("pid").cogroup(asks.groupBy("pid")).applyInArrow(look_up(parts), "pid int, g int, q bigint, raw binary, ids binary")
-            scored = self.vectors.select("pid", "id", "raw").groupBy("pid").cogroup(told.groupBy("pid")).applyInArrow(measure(dim), "g int, q bigint, ids binary, sims binary")
+            asks = state.mapInArrow(ask(parts, dim, expanded), LETTER)
+            told = self.graph.groupBy("pid").cogroup(asks.groupBy("pid")).applyInArrow(look_up(parts, dim), LETTER)
+            scored = self.vectors.select("pid", "id", "raw").groupBy("pid").cogroup(told.groupBy("pid")).applyInArrow(measure(dim), "g int, q binary, n binary, ids binary, sims binary")
             state = checkpoint(state.groupBy("g").cogroup(scored.groupBy("g")).applyInArrow(keep_best(beam, expanded), state_shape))
 
         def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
                     near, n = flat(column(b, "near"), "<i8")
-                    sims, _ = flat(column(b, "sims"), "<f8")
+                    sims, _ = flat(column(b, "sims"), "<f4")
                     q = np.repeat(column(b, "q").to_numpy(), n)
                     few = rank(q) <= 2 * k + 2
-                    yield pa.RecordBatch.from_arrays([pa.array(q[few]), pa.array(near[few]), pa.array(sims[few])], names=["node", "first", "sim"])
+                    yield pa.RecordBatch.from_arrays([pa.array(q[few]), pa.array(near[few]), pa.array(sims[few].astype(np.float64))], names=["node", "first", "sim"])
 
         hits = state.mapInArrow(answers, "node bigint, first bigint, sim double")
         per = asked.join(hits, "node").join(known.select(F.col("v").alias("w"), F.col("node").alias("first")), "first")
@@ -265,26 +265,31 @@ def listeners(letters: pa.Table, most: int, turn: int) -> tuple[np.ndarray, np.n
 
 
 def send(parts: int, dim: int, degree: int, turn: int):
-    """Each node's vector to the parts of the nodes that are to hear of it."""
+    """Each node's vector to the parts of the nodes that are to hear of it: a row for each part."""
 
     def run(own: pa.Table, letters: pa.Table) -> pa.Table:
         ids = own["id"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        vectors = stack(own["vec"], "<f2", dim)
         near, n = flat(own["near"], "<i8")
         sims, _ = flat(own["sims"], "<f4")
         ends = np.cumsum(n)
         least = np.where(n == degree, sims[np.maximum(ends - 1, 0)] if len(sims) else 0, -9).astype(np.float32)
         node, by = listeners(letters, degree, turn)
         frm, to = np.concatenate([np.repeat(ids, n), node]), np.concatenate([near, by])
-        order = np.lexsort([to, part_of(to, parts), frm])
-        frm, to = frm[order], to[order]
-        fresh = np.concatenate([[True], (frm[1:] != frm[:-1]) | (to[1:] != to[:-1])]) if len(frm) else np.zeros(0, bool)
-        frm, to = frm[fresh], to[fresh]
         pid = part_of(to, parts)
-        cuts = np.flatnonzero(np.concatenate([[True], (frm[1:] != frm[:-1]) | (pid[1:] != pid[:-1])])) if len(frm) else np.zeros(0, np.int64)
-        stops = np.append(cuts[1:], len(frm))
-        order = np.argsort(ids, kind="stable")
-        at = order[np.searchsorted(ids[order], frm[cuts])] if len(cuts) else cuts
-        return pa.table({"pid": pa.array(pid[cuts], pa.int32()), "id": pa.array(frm[cuts], pa.int64()), "vec": own["vec"].combine_chunks().take(pa.array(at, pa.int64())), "least": pa.array(least[at], pa.float32()), "to": pa.array([to[a:b].astype("<i8").tobytes() for a, b in zip(cuts, stops, strict=True)], pa.binary())})
+        by_place = np.lexsort([to, frm, pid])
+        frm, to, pid = frm[by_place], to[by_place], pid[by_place]
+        fresh = np.concatenate([[True], (frm[1:] != frm[:-1]) | (to[1:] != to[:-1])]) if len(frm) else np.zeros(0, bool)
+        frm, to, pid = frm[fresh], to[fresh], pid[fresh]
+        rows: dict[str, list] = {c: [] for c in ("pid", "id", "vec", "least", "heard", "to")}
+        for p in np.unique(pid):
+            a, b = np.searchsorted(pid, p), np.searchsorted(pid, p, side="right")
+            some, heard = np.unique(frm[a:b], return_counts=True)
+            at = order[np.searchsorted(ids[order], some)]
+            for k, x in zip(rows, (int(p), some.astype("<i8").tobytes(), vectors[at].tobytes(), least[at].tobytes(), heard.astype("<i8").tobytes(), to[a:b].astype("<i8").tobytes()), strict=True):
+                rows[k].append(x)
+        return pa.table(rows, schema=pa.schema([("pid", pa.int32()), *((c, pa.binary()) for c in ("id", "vec", "least", "heard", "to"))]))
 
     return run
 
@@ -293,8 +298,8 @@ def compare(parts: int, dim: int, turn: int):
     """All that a node has heard of with one another; what is closer than the least that one of them has goes to it."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, x, least = table["id"].to_numpy(), stack(table["vec"], "<f2", dim).astype(np.float32), table["least"].to_numpy()
-        to, n = flat(table["to"], "<i8")
+        ids, least, n, to = (flat(table[c], k)[0] for c, k in (("id", "<i8"), ("least", "<f4"), ("heard", "<i8"), ("to", "<i8")))
+        x = stack(table["vec"], "<f2", dim).astype(np.float32)
         row = np.repeat(np.arange(len(ids)), n)
         order = np.lexsort([lottery(ids[row], to, turn), to])
         to, row = to[order], row[order]
@@ -340,67 +345,96 @@ def both_ways(degree: int):
     return run
 
 
-def ask(parts: int, expanded: int):
-    """Of each query, which of its beam to expand next, by part."""
+#: To one part, from many queries: their groups, ids and vectors, how many nodes each names, and these.
+LETTER = "pid int, g binary, q binary, raw binary, n binary, ids binary"
+
+
+def letters_to(parts_of: np.ndarray, owner: np.ndarray, ids: np.ndarray, g: np.ndarray, q: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
+    """A row for each part that nodes ``ids`` (of the queries at ``owner``) lie in."""
+    order = np.lexsort([ids, owner, parts_of])
+    parts_of, owner, ids = parts_of[order], owner[order], ids[order]
+    rows: dict[str, list] = {c: [] for c in ("pid", "g", "q", "raw", "n", "ids")}
+    values, firsts = np.unique(parts_of, return_index=True)
+    for p, a, b in zip(values, firsts, np.append(firsts[1:], len(ids))[: len(firsts)], strict=True):
+        own, n = np.unique(owner[a:b], return_counts=True)
+        for k, x in zip(rows, (int(p), g[own].astype("<i4").tobytes(), q[own].astype("<i8").tobytes(), raw[own].astype("<f4").tobytes(), n.astype("<i8").tobytes(), ids[a:b].astype("<i8").tobytes()), strict=True):
+            rows[k].append(x)
+    return pa.RecordBatch.from_pydict(rows, pa.schema([("pid", pa.int32()), *((c, pa.binary()) for c in ("g", "q", "raw", "n", "ids"))]))
+
+
+def opened(letters: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The queries of letters (one row each, by id): group, id, vector; and (query's row, node) without repeats."""
+    g, q, n, ids = (flat(letters[c], k)[0] for c, k in (("g", "<i4"), ("q", "<i8"), ("n", "<i8"), ("ids", "<i8")))
+    raw = stack(letters["raw"], "<f4", dim)
+    each, first, back = np.unique(q, return_index=True, return_inverse=True)
+    owner = np.repeat(back, n)
+    order = np.lexsort([ids, owner])
+    owner, ids = owner[order], ids[order]
+    fresh = np.concatenate([[True], (owner[1:] != owner[:-1]) | (ids[1:] != ids[:-1])]) if len(ids) else np.zeros(0, bool)
+    return g[first], each, raw[first], owner[fresh], ids[fresh]
+
+
+def ask(parts: int, dim: int, expanded: int):
+    """Of each query, which of its beam to expand next, to the parts where these are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: dict[str, list] = {"pid": [], "g": [], "q": [], "raw": [], "ids": []}
-            for r in b.to_pylist():
-                near, done = np.frombuffer(r["near"], "<i8"), np.frombuffer(r["done"], bool)
-                ids = near[~done][:expanded]
-                got = by_part(part_of(ids, parts), {"ids": ids})
-                for p, x in zip(got["pid"], got["ids"], strict=True):
-                    for k, v in zip(rows, (p, r["g"], r["q"], r["raw"], x), strict=True):
-                        rows[k].append(v)
-            yield pa.RecordBatch.from_pydict(rows, asked_shape)
+            if not b.num_rows:
+                continue
+            near, n = flat(column(b, "near"), "<i8")
+            owner = np.repeat(np.arange(b.num_rows), n)
+            todo = ~flat(column(b, "done"), "?")[0]
+            near, owner = near[todo], owner[todo]
+            few = rank(owner) < expanded
+            near, owner = near[few], owner[few]
+            yield letters_to(part_of(near, parts), owner, near, column(b, "g").to_numpy(), column(b, "q").to_numpy(), stack(column(b, "raw"), "<f4", dim))
 
     return run
 
 
-asked_shape = pa.schema([("pid", pa.int32()), ("g", pa.int32()), ("q", pa.int64()), ("raw", pa.binary()), ("ids", pa.binary())])
-
-
-def look_up(parts: int):
+def look_up(parts: int, dim: int):
     """The neighbours of the nodes asked for, to the parts where their vectors are."""
 
     def run(graph: pa.Table, asks: pa.Table) -> pa.Table:
         ids = graph["id"].to_numpy()
         order = np.argsort(ids)
-        ids = ids[order]
-        near = graph["near"].to_pylist()
-        rows: dict[str, list] = {"pid": [], "g": [], "q": [], "raw": [], "ids": []}
-        for r in asks.to_pylist():
-            at = order[np.searchsorted(ids, np.frombuffer(r["ids"], "<i8"))]
-            found = np.unique(np.frombuffer(b"".join(near[i] for i in at), "<i8"))
-            got = by_part(part_of(found, parts), {"ids": found})
-            for p, x in zip(got["pid"], got["ids"], strict=True):
-                for k, v in zip(rows, (p, r["g"], r["q"], r["raw"], x), strict=True):
-                    rows[k].append(v)
-        return pa.table(rows, schema=asked_shape)
+        near, n = flat(graph["near"], "<i8")
+        begins = np.cumsum(n) - n
+        g, q, raw, owner, asked = opened(asks, dim)
+        at = order[np.searchsorted(ids[order], asked)] if len(asked) else asked
+        times = n[at]
+        place = np.repeat(begins[at] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        found, owner = near[place], np.repeat(owner, times)
+        by = np.lexsort([found, owner])
+        found, owner = found[by], owner[by]
+        fresh = np.concatenate([[True], (owner[1:] != owner[:-1]) | (found[1:] != found[:-1])]) if len(found) else np.zeros(0, bool)
+        found, owner = found[fresh], owner[fresh]
+        return pa.Table.from_batches([letters_to(part_of(found, parts), owner, found, g, q, raw)])
 
     return run
 
 
 def measure(dim: int):
-    """The cosine of each query with the nodes it was told of."""
+    """The cosine of each query with the nodes it was told of, a row for each group of queries."""
 
     def run(vectors: pa.Table, told: pa.Table) -> pa.Table:
-        rows: dict[str, list] = {"g": [], "q": [], "ids": [], "sims": []}
-        if told.num_rows:
-            ids = vectors["id"].to_numpy()
-            order = np.argsort(ids)
-            ids, x = ids[order], stack(vectors["raw"], "<f8", dim)[order]
-            table = told.select(["g", "q", "raw", "ids"])
-            merged: dict[tuple[int, int], list] = {}
-            for r in table.to_pylist():
-                merged.setdefault((r["g"], r["q"]), [r["raw"]]).append(r["ids"])
-            for (g, q), (raw, *parts) in merged.items():
-                want = np.unique(np.frombuffer(b"".join(parts), "<i8"))
-                sims = x[np.searchsorted(ids, want)] @ np.frombuffer(raw, "<f8")
-                for k, v in zip(rows, (g, q, want.tobytes(), sims.astype("<f8").tobytes()), strict=True):
-                    rows[k].append(v)
-        return pa.table(rows, schema=pa.schema([("g", pa.int32()), ("q", pa.int64()), ("ids", pa.binary()), ("sims", pa.binary())]))
+        g, q, raw, owner, ids = opened(told, dim)
+        rows: dict[str, list] = {c: [] for c in ("g", "q", "n", "ids", "sims")}
+        if len(ids):
+            have = vectors["id"].to_numpy()
+            order = np.argsort(have)
+            x = stack(vectors["raw"], "<f4", dim)
+            at = order[np.searchsorted(have[order], ids)]
+            sims = np.concatenate([np.einsum("ij,ij->i", x[at[a : a + 65536]], raw[owner[a : a + 65536]]) for a in range(0, len(ids), 65536)])
+            groups = g[owner]
+            by = np.lexsort([owner, groups])
+            groups, owner, ids, sims = groups[by], owner[by], ids[by], sims[by]
+            values, firsts = np.unique(groups, return_index=True)
+            for v, a, b in zip(values, firsts, np.append(firsts[1:], len(ids)), strict=True):
+                own, n = np.unique(owner[a:b], return_counts=True)
+                for k, y in zip(rows, (int(v), q[own].astype("<i8").tobytes(), n.astype("<i8").tobytes(), ids[a:b].astype("<i8").tobytes(), sims[a:b].astype("<f4").tobytes()), strict=True):
+                    rows[k].append(y)
+        return pa.table(rows, schema=pa.schema([("g", pa.int32()), *((c, pa.binary()) for c in ("q", "n", "ids", "sims"))]))
 
     return run
 
@@ -409,21 +443,21 @@ def keep_best(beam: int, expanded: int):
     """The beam after a round; what was expanded is marked."""
 
     def run(state: pa.Table, scored: pa.Table) -> pa.Table:
-        new: dict[int, list] = {}
-        for r in scored.to_pylist():
-            new.setdefault(r["q"], []).append((r["ids"], r["sims"]))
+        q, n, ids, sims = (flat(scored[c], k)[0] for c, k in (("q", "<i8"), ("n", "<i8"), ("ids", "<i8"), ("sims", "<f4")))
+        owner = np.repeat(q, n)
+        by = np.argsort(owner, kind="stable")
+        owner, ids, sims = owner[by], ids[by], sims[by]
         out = []
         for r in state.to_pylist():
-            near, sims, done = np.frombuffer(r["near"], "<i8"), np.frombuffer(r["sims"], "<f8"), np.frombuffer(r["done"], bool).copy()
+            near, sim, done = np.frombuffer(r["near"], "<i8"), np.frombuffer(r["sims"], "<f4"), np.frombuffer(r["done"], bool).copy()
             done[np.flatnonzero(~done)[:expanded]] = True
-            more = new.get(r["q"], [])
-            ids = np.concatenate([near, *(np.frombuffer(a, "<i8") for a, _ in more)])
-            sim = np.concatenate([sims, *(np.frombuffer(b, "<f8") for _, b in more)])
-            flag = np.concatenate([done, np.zeros(len(ids) - len(near), dtype=bool)])
-            _, first = np.unique(ids, return_index=True)  # the marked one of equals comes first
-            ids, sim, flag = ids[first], sim[first], flag[first]
-            order = np.lexsort([ids, -sim])[:beam]
-            out.append(r | {"near": ids[order].tobytes(), "sims": sim[order].tobytes(), "done": flag[order].tobytes()})
+            a, b = np.searchsorted(owner, r["q"]), np.searchsorted(owner, r["q"], side="right")
+            every, sim = np.concatenate([near, ids[a:b]]), np.concatenate([sim, sims[a:b]])
+            flag = np.concatenate([done, np.zeros(b - a, dtype=bool)])
+            _, first = np.unique(every, return_index=True)  # the marked one of equals comes first
+            every, sim, flag = every[first], sim[first], flag[first]
+            order = np.lexsort([every, -sim])[:beam]
+            out.append(r | {"near": every[order].tobytes(), "sims": sim[order].tobytes(), "done": flag[order].tobytes()})
         return pa.Table.from_pylist(out, schema=pa.schema([("g", pa.int32()), ("q", pa.int64()), *((c, pa.binary()) for c in ("raw", "near", "sims", "done"))]))
 
     return run
