@@ -193,20 +193,42 @@ def matches(batch: list[str], index: Index) -> list[np.ndarray]:
     return [np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in found]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, item_id, start, end, edits, segments): each document and item that match, the stretch of the text from the first to the last match, the fewest edits of a segment, and how many segments match."""
+def indexes(benchmark: DataFrame, q: int = Q, rate: float = RATE, item_col: str = "item_id", item_text: str = "text") -> Iterator[Index]:
+    """The benchmark block by block."""
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item"), F.col(item_text).alias("text")).where("text is not null and item is not null").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_CHARS))
-    out = None
     for k in range(blocks):
         rows = [(r["item"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).orderBy("item", "text").toLocalIterator()]
-        found = in_block(docs, index_of(rows, q, rate), id_col, text_col)
+        yield index_of(rows, q, rate)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(id, item_id, start, end, edits, segments): each document and item that match, the stretch of the text from the first to the last match, the fewest edits of a segment, and how many segments match."""
+    out = None
+    for index in indexes(benchmark, q, rate, item_col, item_text):
+        found = in_block(docs, index, id_col, text_col)
         out = found if out is None else out.unionByName(found)
     merged = out.groupBy("id", "row", "item_id").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("edits").alias("edits"), F.sum("segments").alias("segments"))
     return merged.drop("row").withColumnRenamed("id", id_col)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, keep: list[str], q: int = Q, rate: float = RATE, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The ``keep`` columns (the text among them) of the documents without any match; each batch is filtered where it is read."""
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep])
+    for index in indexes(benchmark, q, rate, item_col, item_text):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in steps(batches, text_col, STEP):
+                stays = np.ones(b.num_rows, dtype=bool)
+                stays[matches(texts(b, text_col), shared.value)[0]] = False
+                yield b.filter(pa.array(stays))
+
+        rows = rows.mapInArrow(run, rows.schema)
+    return rows
+
+
 def in_block(docs: DataFrame, index: Index, id_col: str, text_col: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -97,7 +97,8 @@ def judge(batch: list[str], labels: list[str], matrix: np.ndarray, bits: int = B
 
 
 def identify(docs: DataFrame, labels: list[str], matrix: np.ndarray, keep: list[str], text: str = "text", bits: int = BITS, sizes: tuple[int, ...] = SIZES) -> DataFrame:
-    """The ``keep`` columns of docs with lang_pred and score."""
+    """The ``keep`` columns of docs (but for those of these names) with lang_pred and score."""
+    keep = [c for c in keep if c not in ("lang_pred", "score")]
     model = docs.sparkSession.sparkContext.broadcast((labels, matrix))
     names = [f"k{i}" for i in range(len(keep))]
     rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, names, strict=True)], F.col(text).alias("judged"))

@@ -1,7 +1,7 @@
 """Near-duplicate groups: SimHash candidates in tiles, then exact Jaccard similarity of shingle sets.
 
 Fingerprints of 256 bits over distinct five-word shingles find candidates: at a Jaccard
-similarity of 0.8 two fingerprints differ in about 39 bits (standard deviation 6), unrelated
+similarity of 0.8 two fingerprints differ in about 39 bits (48 for the smallest sets, standard deviation 6), unrelated
 ones in 128 (8). Pairs within ``RADIUS`` bits whose set sizes allow the similarity are
 linked, and only texts that share a candidate component are compared again, exactly: small
 components many to a task, large ones chunk by chunk, each pair of chunks a task. A task
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .batches import checkpoint, column, steps, texts
 from .simhash import STEP, components, fingerprints, forest, links, shingle_hashes
 
-WORDS, SIMILARITY, LANES, RADIUS, FIRST = 5, 0.8, 4, 58, 21
+WORDS, SIMILARITY, LANES, RADIUS, FIRST = 5, 0.8, 4, 72, 24
 #: Texts in a chunk of a large component, and in a task of small ones.
 CHUNK, TASK = 192, 384
 #: Ids of so few candidates are broadcast to the documents; more are joined by a shuffle.
@@ -116,9 +116,15 @@ def verified(docs: DataFrame, candidates: DataFrame, words: int, similarity: flo
 
 
 def representatives(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group: that of its smallest id."""
-    stays = groups(docs, id_col=id_col, text_col=text_col).where("id = component").select(F.col("id").alias(id_col)).distinct()
-    one = docs.join(stays, id_col, "left_semi")
-    copies = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    one = one.withColumn("_copy", F.row_number().over(copies)).where("_copy = 1")
-    return one.select(*keep).unionByName(docs.where(F.col(id_col).isNull()).select(*keep))
+    """One row of each group: that of its smallest id. The texts themselves are shuffled only if too many ids go to be broadcast."""
+    ids = checkpoint(groups(docs, id_col=id_col, text_col=text_col).groupBy("id").agg(F.bool_or(F.col("id") == F.col("component")).alias("stays"), F.count("*").alias("n")))
+    gone, again, n_gone, n_again = ids.where("not stays").select("id"), ids.where("stays and n > 1").select("id"), *ids.agg(F.count_if(~F.col("stays")), F.count_if(F.col("stays") & (F.col("n") > 1))).first()
+    small = lambda x, n: F.broadcast(x) if n <= MOST_BROADCAST else x
+    rows = docs.select(*keep)
+    one = rows.join(small(gone, n_gone).withColumnRenamed("id", id_col), id_col, "left_anti")
+    if n_again:  # rows that repeat an id
+        again = small(again, n_again).withColumnRenamed("id", id_col)
+        copies = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
+        first = one.join(again, id_col, "left_semi").withColumn("_copy", F.row_number().over(copies)).where("_copy = 1")
+        one = one.join(again, id_col, "left_anti").select(*keep).unionByName(first.select(*keep))
+    return one.select(*keep)

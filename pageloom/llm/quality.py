@@ -79,7 +79,8 @@ def scorer(docs: DataFrame, labels: DataFrame, trains: Column, fit_rows: int = F
 
 
 def score(docs: DataFrame, model: gam.Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The ``keep`` columns of docs with ``score``, the probability of label 1."""
+    """The ``keep`` columns of docs (but for one of this name) with ``score``, the probability of label 1."""
+    keep = [c for c in keep if c != "score"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"k{i}" for i in range(len(keep))]
     rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, names, strict=True)], F.col(text_col).alias("judged"))

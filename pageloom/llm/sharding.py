@@ -10,8 +10,8 @@ fill shards one after another in the order of ``row``'s sums; a single row over
 a shard alone.
 
 Cases: a null text has 0 bytes; a null key hashes as an empty one; an empty table gives an
-empty result; extra columns are kept, whatever their names (the helper columns are structs
-of our own).
+empty result; extra columns are kept in a struct until the end, so that their names clash
+with none of ours, but for those in ``RESULTS``, which give way.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ BITS = 60
 SLACK, DEEPER = 4, 12
 #: A directory of at most so many entries is broadcast; a larger one is joined by its prefix.
 MOST_BROADCAST = 200_000
+#: Columns of the result; columns of the input with these names give way to them.
+RESULTS = ("n_bytes", "shard", "depth")
 
 
 def hash60(key: Column) -> Column:
@@ -63,7 +65,7 @@ def directory(keyed: DataFrame, limit: int) -> tuple[list[tuple[int, DataFrame]]
 
 def sharded(df: DataFrame, limit: int, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The ``keep`` columns (all, if None) with n_bytes, shard (the bucket's hash prefix as bits; ``-`` and a number follow where equal hashes fill several shards) and depth."""
-    kept = df.columns if keep is None else keep
+    kept = [c for c in (df.columns if keep is None else keep) if c not in RESULTS]
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("kept"), hash60(F.col(key)).alias("h"), F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("bytes"))
     rounds, last = directory(rows.select("h", "bytes"), limit)
     out = rows

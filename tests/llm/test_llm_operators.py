@@ -222,7 +222,19 @@ def test_shards_of_equal_keys(spark):
         sizes[r.shard] += r.n_bytes
     assert len(got) == 403 and all(n <= 1000 for s, n in sizes.items() if n != 5000)
     assert sharding.sharded(df.limit(0), 1000, keep=["doc_id"]).count() == 0
-    assert "shard" in sharding.sharded(df.drop("shard"), 1000).columns
+    assert sharding.sharded(df, 1000).columns == ["doc_id", "text", "n_bytes", "shard", "depth"]
+
+
+def test_clashing_columns_give_way(spark):
+    df = docs_of(spark, ["the cat", None]).withColumn("score", F.lit("x")).withColumn("lang_pred", F.lit(1)).withColumn("id", F.lit("y")).withColumn("fp", F.lit("z")).withColumn("length", F.lit(0)).withColumn("end", F.lit(0))
+    assert langid.identify(df, *langid.train(df), df.columns).schema["score"].dataType.simpleString() == "double"
+    labels = spark.createDataFrame([(0, 1, "s")], "doc_id bigint, quality int, text string")
+    assert quality.score(df, quality.scorer(df, labels, F.lit(True)), df.columns).count() == 2
+    assert simhash.near_groups(df).count() == 2 and neardup.representatives(df, df.columns).columns == df.columns
+    assert packing.packed(df, queries.vocabulary("byte_bpe_50k.json")).count() == 2
+    assert tokens.token_counts(df, queries.vocabulary("word_bpe_49k.json")).count() == 2
+    bench = spark.createDataFrame([(1, "x" * 50, 2)], "item_id bigint, text string, item int")
+    assert decontam.contaminated(df, bench).count() == 0 and decontam.clean(df, bench, df.columns).count() == 2
 
 
 # decontamination
