@@ -31,36 +31,41 @@ def hyphenated(text: Column) -> Column:
     return rstrip(text).rlike(f"{WORD}-\\z")
 
 
-def classified(before: Column, after: Column) -> Column:
-    """struct(decision, reason) of the boundary between two stripped texts."""
-    tail, head = F.right(before, F.lit(200)), F.left(after, F.lit(100))
+def edge_facts(stripped: Column) -> Column:
+    """All that boundaries depend on, of one stripped text: a few flags."""
+    tail, head = F.right(stripped, F.lit(200)), F.left(stripped, F.lit(100))
+    return F.struct((stripped == "").alias("empty"), stripped.rlike(SECTION).alias("section"), continues(head).alias("goes_on"), ends_sentence(tail).alias("complete"), hyphenated(tail).alias("hyphen"))
+
+
+def judged(before: Column, after: Column) -> Column:
+    """struct(decision, reason) of the boundary between two pages, from their facts."""
 
     def result(decision: str, reason: str) -> Column:
         return F.struct(F.lit(decision).alias("decision"), F.lit(reason).alias("reason"))
 
-    complete, goes_on = ends_sentence(tail), continues(head)
     return (
-        F.when((before == "") | (after == ""), result(PARAGRAPH, "Empty page"))
-        .when(after.rlike(SECTION), result(NEW_SECTION, "New section/chapter detected"))
-        .when(complete & goes_on, result(DIRECT, "Lowercase continuation after sentence"))
-        .when(complete, result(PARAGRAPH, "Complete sentence at page boundary"))
-        .when(goes_on, result(DIRECT, "Sentence continues across page"))
-        .when(hyphenated(tail), result(DIRECT, "Hyphenated word across page"))
+        F.when(before["empty"] | after["empty"], result(PARAGRAPH, "Empty page"))
+        .when(after["section"], result(NEW_SECTION, "New section/chapter detected"))
+        .when(before["complete"] & after["goes_on"], result(DIRECT, "Lowercase continuation after sentence"))
+        .when(before["complete"], result(PARAGRAPH, "Complete sentence at page boundary"))
+        .when(after["goes_on"], result(DIRECT, "Sentence continues across page"))
+        .when(before["hyphen"], result(DIRECT, "Hyphenated word across page"))
         .otherwise(result(PARAGRAPH, "Ambiguous boundary, defaulting to paragraph"))
     )
 
 
-def with_boundaries(pages: DataFrame, text: str = "text", run: int = RUN) -> DataFrame:
-    """Pages (book_id, page_no, text) with ``stripped``, ``before_page``, ``decision`` and ``reason``; null on a book's first page."""
-    rows = pages.withColumn("stripped", strip(F.coalesce(F.col(text), F.lit(""))))
-    rows = previous(rows, F.struct(F.right("stripped", F.lit(200)).alias("tail")), "before", run=run)
-    judged = F.when(F.col("before_page").isNotNull(), classified(F.col("before.tail"), F.col("stripped")))
-    return rows.withColumn("_judged", judged).withColumn("decision", F.col("_judged.decision")).withColumn("reason", F.col("_judged.reason")).drop("_judged", "before")
+def decided(rows: DataFrame, run: int = RUN) -> DataFrame:
+    """Rows (book_id, page_no, facts, ...) with ``before_page``, ``decision`` and ``reason``; null on a book's first page."""
+    rows = previous(rows, F.col("facts"), "before", run=run)
+    found = F.when(F.col("before_page").isNotNull(), judged(F.col("before"), F.col("facts")))
+    return rows.withColumn("_judged", found).withColumn("decision", F.col("_judged.decision")).withColumn("reason", F.col("_judged.reason")).drop("_judged", "before", "facts")
 
 
 def boundaries(pages: DataFrame, text: str = "text", run: int = RUN) -> DataFrame:
-    """(book_id, page_before, page_after, decision, reason): a row for each two pages that follow one another."""
-    return with_boundaries(pages.select("book_id", "page_no", text), text, run).where("before_page is not null").select("book_id", F.col("before_page").alias("page_before"), F.col("page_no").alias("page_after"), "decision", "reason")
+    """(book_id, page_before, page_after, decision, reason): a row for each two pages that follow one another. Only flags of the texts are shuffled."""
+    stripped = strip(F.coalesce(F.col(text), F.lit("")))
+    rows = decided(pages.select("book_id", "page_no", edge_facts(stripped).alias("facts")), run)
+    return rows.where("before_page is not null").select("book_id", F.col("before_page").alias("page_before"), F.col("page_no").alias("page_after"), "decision", "reason")
 
 
 def decision_counts(found: DataFrame) -> DataFrame:
@@ -82,7 +87,8 @@ def joined_pages(pages: DataFrame, text: str = "text", markers: bool = True, run
 
 
 def _pieces(pages: DataFrame, text: str, markers: bool, run: int) -> DataFrame:
-    rows = with_boundaries(pages.select("book_id", "page_no", text), text, run)
+    rows = pages.select("book_id", "page_no", text).withColumn("stripped", strip(F.coalesce(F.col(text), F.lit(""))))
+    rows = decided(rows.withColumn("facts", edge_facts(F.col("stripped"))), run)
     piece = F.when(F.col("before_page").isNull(), F.col("stripped")).when(F.col("stripped") == "", "").otherwise(F.concat(separator(F.col("page_no"), F.col("decision"), markers), F.col("stripped")))
     return rows.withColumn("piece", piece)
 
