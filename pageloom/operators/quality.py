@@ -85,21 +85,27 @@ def judged(m: Column, min_length: int, max_ratio: float, min_word: float) -> Col
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
-def findings(pages: DataFrame, text: str = "text", success: str | None = None, min_length: int = 50, max_ratio: float = 0.15, min_word: float = 2.0) -> DataFrame:
-    """(book_id, page_no, seq, severity, error_type, n, message, context): one scan, a row per finding. ``success``: a flag column; false adds OCR_FAILED first. A null text is empty."""
+def with_findings(pages: DataFrame, text: str = "text", success: str | None = None, min_length: int = 50, max_ratio: float = 0.15, min_word: float = 2.0) -> DataFrame:
+    """(book_id, page_no, findings): the findings of each page as an array. ``success``: a flag column; false puts OCR_FAILED first. A null text is empty."""
     every = page_findings(F.coalesce(F.col(text), F.lit("")), min_length, max_ratio, min_word).cast(f"array<{FINDING}>")
     if success is not None:
         failed = F.array(F.struct(F.lit(-1).alias("seq"), F.lit("error").alias("severity"), F.lit("OCR_FAILED").alias("error_type"), F.lit(0).cast("bigint").alias("n"), F.lit("OCR processing failed for this page").alias("message"), F.lit("").alias("context"))).cast(f"array<{FINDING}>")
-        every = F.when(~F.coalesce(F.col(success), F.lit(True)), F.concat(failed, every)).otherwise(every)
-    return pages.select("book_id", "page_no", F.explode(every).alias("f")).select("book_id", "page_no", "f.*")
+        every = F.concat(F.when(~F.coalesce(F.col(success), F.lit(True)), failed).otherwise(F.array().cast(f"array<{FINDING}>")), every)
+    return pages.select("book_id", "page_no", every.alias("findings"))
+
+
+def findings(pages: DataFrame, text: str = "text", success: str | None = None, **limits) -> DataFrame:
+    """(book_id, page_no, seq, severity, error_type, n, message, context): one scan, a row per finding."""
+    return with_findings(pages, text, success, **limits).select("book_id", "page_no", F.explode("findings").alias("f")).select("book_id", "page_no", "f.*")
 
 
 def report(pages: DataFrame, text: str = "text", success: str | None = None, **limits) -> DataFrame:
-    """(book_id, total_pages, successful_pages, n_errors, n_warnings, n_infos, has_critical_errors) of each book."""
-    failed = F.count_if(~F.coalesce(F.col(success), F.lit(True))) if success else F.lit(0)
-    totals = pages.groupBy("book_id").agg(F.count("*").alias("total_pages"), (F.count("*") - failed).alias("successful_pages"))
-    severe = findings(pages, text, success, **limits).groupBy("book_id").agg(*[F.count_if(F.col("severity") == s).alias(f"n_{s}s") for s in ("error", "warning", "info")])
-    out = totals.join(severe, "book_id", "left").na.fill(0, ["n_errors", "n_warnings", "n_infos"])
+    """(book_id, total_pages, successful_pages, n_errors, n_warnings, n_infos, has_critical_errors) of each book, from one scan."""
+    severities = F.transform("findings", lambda f: f["severity"])
+    rows = with_findings(pages, text, success, **limits).withColumn("_severities", severities)
+    failed = F.count_if(F.exists("findings", lambda f: f["error_type"] == "OCR_FAILED"))
+    n = [F.sum(F.size("_severities") - F.size(F.array_remove("_severities", s))).alias(f"n_{s}s") for s in ("error", "warning", "info")]
+    out = rows.groupBy("book_id").agg(F.count("*").alias("total_pages"), (F.count("*") - failed).alias("successful_pages"), *n)
     return out.withColumn("has_critical_errors", F.col("n_errors") > 0)
 
 
