@@ -25,12 +25,12 @@ def mend(text: str, known: Collection[str]) -> str:
 
 
 def mender(words: Broadcast) -> Callable[[Column], Column]:
-    """``mend`` with a broadcast word set."""
+    """``mend`` with a broadcast word set; only texts with a broken word go to Python."""
 
     def run(text: pd.Series) -> pd.Series:
         return text.map(lambda t: mend(t, words.value) if t and "-\n" in t else t)
 
-    return F.pandas_udf(run, "string")
+    return lambda text: F.coalesce(F.pandas_udf(run, "string")(F.when(text.contains("-\n"), text)), text)
 
 
 def mend_with(text: Column, known: Column) -> Column:
