@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .batches import column, steps, texts
 from .features import code_points
 
-Q, RATE, SEGMENT, STRIDE, SHORTEST = 10, 0.08, 120, 60, 40
+Q, RATE, SEGMENT, STRIDE, SHORTEST = 10, 0.08, 80, 40, 40
 #: Characters of the benchmark that are indexed and broadcast at a time.
 BLOCK_CHARS = 1_000_000
 FILTER_BITS, ALIGN, STEP = 22, 256, 1 << 20
