@@ -27,8 +27,10 @@ from .batches import checkpoint, column, steps, texts
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-#: Fingerprints in a tile, and in a block within a tile.
-TILE, BLOCK = 4096, 64
+#: Fingerprints in a tile: one in so many of all, within these bounds (fewer, larger tiles for more rows: each is sent to each it must meet).
+TILE_SHARE, TILE_LEAST, TILE_MOST = 128, 4096, 65536
+#: Rows of a block within a tile, and columns that are compared with it at a time.
+BLOCK, COLUMNS = 64, 8192
 STEP = 1 << 20
 
 
@@ -135,23 +137,25 @@ def near(x: np.ndarray, y: np.ndarray, radius: int, first: int, same: bool, sx:
         cols = (by[met][:, None] + np.arange(BLOCK)).ravel()
         cols = cols[cols < len(y)]
         part = x[start : start + BLOCK]
-        r, c = np.nonzero(np.bitwise_count(part[:, :1] ^ y[cols, 0][None, :]) <= first)
-        r, c = r + start, cols[c]
-        keep = r < c if same else np.ones(len(r), dtype=bool)
-        r, c = r[keep], c[keep]
-        if x.shape[1] > 1:
-            keep = np.bitwise_count(x[r] ^ y[c]).sum(1, dtype=np.int64) <= radius
+        for k in range(0, len(cols), COLUMNS):
+            some = cols[k : k + COLUMNS]
+            own = root[start : start + len(part)]
+            if (own == own[0]).all():  # what is one with the whole block already needs no look
+                some = some[root[some + off] != own[0]]
+            r, c = np.nonzero(np.bitwise_count(part[:, :1] ^ y[some, 0][None, :]) <= first)
+            r, c = r + start, some[c]
+            keep = r < c if same else np.ones(len(r), dtype=bool)
+            if x.shape[1] > 1:
+                keep &= np.bitwise_count(x[r] ^ y[c]).sum(1, dtype=np.int64) <= radius
+            if ratio:
+                keep &= np.minimum(sx[r], sy[c]) >= ratio * np.maximum(sx[r], sy[c]) - 1e-9
             r, c = r[keep], c[keep]
-        if ratio:
-            keep = np.minimum(sx[r], sy[c]) >= ratio * np.maximum(sx[r], sy[c]) - 1e-9
-            r, c = r[keep], c[keep]
-        if len(r):
-            everything = np.arange(n)
-            root = forest(n, np.concatenate([everything, r]), np.concatenate([root, c + off]))
+            if len(r):
+                root = forest(n, np.concatenate([np.arange(n), r]), np.concatenate([root, c + off]))
     return root
 
 
-def links(fps: DataFrame, radius: int, lanes: int = 1, first: int | None = None, ratio: float = 0.0, tile: int = TILE) -> DataFrame:
+def links(fps: DataFrame, radius: int, lanes: int = 1, first: int | None = None, ratio: float = 0.0, tile: int | None = None) -> DataFrame:
     """(a, b): a spanning forest over the distinct fingerprints (id, fp, shingles) of the links between them, as ids."""
     first = radius if first is None else min(first, radius)
     spark = fps.sparkSession
@@ -168,6 +172,7 @@ def links(fps: DataFrame, radius: int, lanes: int = 1, first: int | None = None,
         steps_to = [a * wide + b for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if abs(a) + abs(b) <= radius and (a, b) >= (0, 0)]
     rows = fps.where(F.col("id").isNotNull()).withColumn("cell", cell)
     sizes = {r["cell"]: r["n"] for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most 65 x 65 cells, or as many as sizes have logarithms
+    tile = tile or min(max(sum(sizes.values()) // TILE_SHARE, TILE_LEAST), TILE_MOST)
     tiles_of = {c: -(-n // tile) for c, n in sizes.items()}
     shared = spark.sparkContext.broadcast(tiles_of)
     count = F.create_map(*[F.lit(x) for kv in tiles_of.items() for x in kv]) if tiles_of else F.create_map(F.lit(0), F.lit(1))
@@ -185,10 +190,11 @@ def links(fps: DataFrame, radius: int, lanes: int = 1, first: int | None = None,
             if s:
                 out += [(c, p, c + s, q) for q in range(shared.value.get(c + s, 0))]
                 out += [(c - s, q, c, p) for q in range(shared.value.get(c - s, 0))]
-        own = [(c, p) == k[:2] for k in out]
-        return pa.table({"c1": [k[0] for k in out], "p1": [k[1] for k in out], "c2": [k[2] for k in out], "p2": [k[3] for k in out], "left": own, "blob": [blob] * len(out)}, schema=tile_schema)
+        met = [{"c1": k[0], "p1": k[1], "c2": k[2], "p2": k[3], "left": (c, p) == k[:2]} for k in out]
+        return pa.table({"met": [met], "blob": [blob]}, schema=tile_schema)
 
-    tile_schema = pa.schema([("c1", pa.int32()), ("p1", pa.int32()), ("c2", pa.int32()), ("p2", pa.int32()), ("left", pa.bool_()), ("blob", pa.binary())])
+    key_type = pa.struct([("c1", pa.int32()), ("p1", pa.int32()), ("c2", pa.int32()), ("p2", pa.int32()), ("left", pa.bool_())])
+    tile_schema = pa.schema([("met", pa.list_(key_type)), ("blob", pa.binary())])
 
     def open_(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = len(blob) // (8 * lanes + 16)
@@ -196,8 +202,8 @@ def links(fps: DataFrame, radius: int, lanes: int = 1, first: int | None = None,
 
     def pair(key: tuple, table: pa.Table) -> pa.Table:
         side = dict(zip(table["left"].to_pylist(), table["blob"].to_pylist(), strict=True))
-        if True not in side or len(side) < 2 and (key[0], key[1]) != (key[2], key[3]):
-            return pa.table({"a": [], "b": []}, schema=link_schema)
+        if len(side) < 2 and (key[0], key[1]) != (key[2], key[3]):  # a tile that got no row
+            return link_schema.empty_table()
         x, ix, sx = open_(side[True])
         same = len(side) == 1
         y, iy, sy = (x, ix, sx) if same else open_(side[False])
@@ -207,7 +213,8 @@ def links(fps: DataFrame, radius: int, lanes: int = 1, first: int | None = None,
         return pa.table({"a": ids[root[at]], "b": ids[at]}, schema=link_schema)
 
     link_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    met = rows.select("cell", "part", "id", "fp", "shingles").groupBy("cell", "part").applyInArrow(tiles, "c1 int, p1 int, c2 int, p2 int, left boolean, blob binary")
+    whole = rows.select("cell", "part", "id", "fp", "shingles").groupBy("cell", "part").applyInArrow(tiles, "met array<struct<c1:int,p1:int,c2:int,p2:int,left:boolean>>, blob binary")
+    met = whole.select(F.explode("met").alias("m"), "blob").select("m.*", "blob")
     return met.groupBy("c1", "p1", "c2", "p2").applyInArrow(pair, "a bigint, b bigint")
 
 
