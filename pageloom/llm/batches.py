@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: UTF-8 bytes that one step of a Python operator holds at a time (a longer text stands alone).
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 def steps(batches: Iterator[pa.RecordBatch], text: str, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
