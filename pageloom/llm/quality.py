@@ -3,7 +3,8 @@
 The model is fitted on at most ``FIT_ROWS`` labelled documents, those first by a hash of
 their id; every text is scored. Cases: null and empty texts get the features of an empty
 text and a score like any other; labels that are null or not 0 or 1, and labels of unknown
-documents, don't train; one label repeated counts once, two different ones both count; with
+documents, don't train; one label repeated counts once, two different ones both count, and
+so does a document whose id is repeated (once, by the smallest of its rows' features); with
 no usable label every score is 0.5.
 """
 
@@ -72,7 +73,9 @@ def scorer(docs: DataFrame, labels: DataFrame, trains: Column, fit_rows: int = F
             x = features(texts(b, "text"))
             yield pa.RecordBatch.from_arrays([column(b, "id").cast(pa.string()), column(b, "y").cast(pa.float64()), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], names=["id", "y", "x"])
 
-    table = rows.mapInArrow(run, "id string, y double, x array<double>").limit(4 * fit_rows).toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
+    # rows that repeat an id count once, so there are no more than the labels chosen
+    once = rows.mapInArrow(run, "id string, y double, x array<double>").groupBy("id", "y").agg(F.min("x").alias("x"))
+    table = once.toArrow()
     x = np.array(table["x"].to_pylist(), dtype=float).reshape(-1, len(FEATURES))
     order = np.lexsort([*x.T, table["y"].to_numpy()]) if len(x) else np.zeros(0, dtype=int)
     return gam.fit(x[order], table["y"].to_numpy()[order] if len(x) else np.zeros(0))
