@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pystr import NOT_SPACE, SPACE, SPACE_SET, WORD, strip
+from ..functions.pystr import SPACE_SET, SPACES, WORD, strip
 
 # Characters that text seldom has; patterns of misread characters; brackets and quotes that should balance.
 GARBAGE = "□■◊◆●○►▼▲★☆♦♣♠♥※†‡¶§¤¢£¥€"
@@ -31,6 +31,7 @@ def percent_text(ratio: Column) -> Column:
 def measured(text: Column) -> Column:
     """All figures that the detectors judge by, as one struct."""
     size = F.length(text)
+    spaced = F.translate(text, SPACES, " " * len(SPACES))  # one kind of space, so that words are counted without listing them
     figures = {
         "full": text != "",
         "size": size,
@@ -38,8 +39,8 @@ def measured(text: Column) -> Column:
         "head": F.left(text, F.lit(50)),
         "garbage": F.regexp_extract_all(text, F.lit(f"([{GARBAGE}])"), F.lit(1)),
         "runs": F.regexp_extract_all(text, F.lit(REPEATED), F.lit(1)),
-        "words": F.regexp_count(text, F.lit(f"{NOT_SPACE}+")),
-        "solid": F.length(F.regexp_replace(text, f"{SPACE}+", "")),
+        "words": F.length(F.replace(F.regexp_replace(spaced, "[^ ]+", "x"), F.lit(" "), F.lit(""))),
+        "solid": F.length(F.replace(spaced, F.lit(" "), F.lit(""))),
         "special": size - F.length(F.regexp_replace(text, f"[^\\p{{L}}\\p{{N}}{SPACE_SET}]+", "")),
     }
     figures |= {f"confusion{k}": F.regexp_count(text, F.lit(p)) for k, (p, _) in enumerate(CONFUSIONS)}
