@@ -7,7 +7,6 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from pageloom.llm import chat, decontam, gam, langid, neardup, neighbours, packing, quality, queries, sharding, simhash, tokens, urls
