@@ -396,7 +396,7 @@ def escaped_xml(spark, sf_dir):
  b as (select page_id, replace(replace(regexp_replace(x, '&(#?[\\p{L}\\p{N}_]+;)', chr(2) || '\\1', 'g'), '&', '&amp;'), chr(2), '&') x from a)
  select page_id, regexp_replace(x, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g') xhtml from b""")
 def sanitised_xhtml(spark, sf_dir):
-    html = F.concat(F.substring("html", 1, 2000), F.lit('<br><hr class="a"><img src="b"> & &amp; &#12; &x\x07'))
+    html = F.concat("html", F.lit('<br><hr class="a"><img src="b"> & &amp; &#12; &x\x07'))
     return table(spark, sf_dir, "pages").select("page_id", scalar.to_xhtml(html).alias("xhtml"))
 
 
