@@ -1,6 +1,9 @@
 """Registered queries take whole texts and all rows."""
 
+import pytest
+
 from pageloom import registry
+from pageloom.operators.accuracy import similarity
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -18,3 +21,16 @@ def test_xhtml_of_whole_pages(spark):
     got = [(r.page_id, r.xhtml) for r in registry.sanitised_xhtml(spark, SMALL).collect()]
     whole = registry.ORACLE_SQL["sanitised_xhtml"].replace("substr(html, 1, 2000)", "html")
     assert sorted(got) == sorted(in_sql(whole, "pages")) and max(len(x) for _, x in got) > 13_000
+
+
+def test_every_run_is_compared_in_full(spark):
+    docs = {i: (t, n) for i, t, n in in_sql("select doc_id, text, n_chars from documents", "documents")}
+    want: dict[int, list] = {0: [], 90: [], 180: [], 270: []}
+    for i, (t, n) in docs.items():
+        quarter = i // 20 % 4
+        want[quarter * 90].append((n / 100, *similarity(docs[i - 20 * quarter][0], t)[:2]))
+    got = {r.rotation: r for r in registry.accuracy_averages(spark, SMALL).collect()}
+    assert sum(r.n_runs for r in got.values()) == len(docs) == 200 and set(got) == set(want)
+    for k, rows in want.items():
+        means = [sum(x) / len(rows) for x in zip(*rows, strict=True)]
+        assert [got[k].n_runs, got[k].avg_time, got[k].avg_char_similarity, got[k].avg_word_similarity] == pytest.approx([len(rows), *means])
