@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalar, text
 from .functions.pystr import SPACES
-from .operators import accuracy, chapters, clean, headers, joiner, ocr, quality, resume, review, running
+from .operators import accuracy, chapters, clean, headers, joiner, ocr, ordered, quality, resume, review, running
 from .plans import book
 from .sources import readers, writers
 from .streaming import progress
@@ -512,7 +512,7 @@ def parsed_page_json(spark, sf_dir):
 
 def page_names(spark, sf_dir) -> DataFrame:
     """Files of an imagined folder for each event type."""
-    rows = table(spark, sf_dir, "events").where("event_id < 3000").select("event_id", F.concat(F.lit("/b/"), "event_type").alias("base"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("/b/"), "event_type").alias("base"))
     stem = F.format_string("page_%04d", F.col("event_id").cast("int"))
     bare = F.format_string("page_%d", F.col("event_id").cast("int"))
     third = F.col("event_id") % 3
@@ -543,9 +543,10 @@ def page_naming(spark, sf_dir):
 
 @query("select cast(event_id as int) page_no, concat('page_', lpad(cast(event_id as varchar), 4, '0'), '.md') name, cast(row_number() over (order by concat('page_', lpad(cast(event_id as varchar), 4, '0'), '.md')) as int) by_path, cast(row_number() over (order by event_id) as int) by_number from events where event_id between 9900 and 10200 or event_id < 100")
 def page_orders(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("event_id between 9900 and 10200 or event_id < 100").select(F.col("event_id").cast("int").alias("page_no"))
+    rows = table(spark, sf_dir, "events").select(F.lit("/b").alias("book_id"), F.col("event_id").cast("int").alias("page_no"))
     rows = rows.withColumn("name", F.concat(F.lit("page_"), F.when(F.col("page_no") > 9999, F.col("page_no").cast("string")).otherwise(F.lpad(F.col("page_no").cast("string"), 4, "0")), F.lit(".md")))
-    return rows.select("page_no", "name", F.row_number().over(Window.orderBy("name")).alias("by_path"), F.row_number().over(Window.orderBy(review.page_number(F.col("name")))).alias("by_number"))
+    rows = ordered.numbered(ordered.numbered(rows, [F.col("name")], "by_path"), [review.page_number(F.col("name"))], "by_number")
+    return rows.select("page_no", "name", (F.col("by_path") + 1).alias("by_path"), (F.col("by_number") + 1).alias("by_number"))
 
 
 @query("select concat('/b/', event_type, '/ocr_pages') folder, cast(event_id as int) page_no, concat('page_', lpad(cast(event_id as varchar), 4, '0'), '.jpg') image from events where event_id = 1234")
