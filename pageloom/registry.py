@@ -587,8 +587,9 @@ def results_with_gaps_filled(spark, sf_dir):
 
 
 def results(spark, sf_dir) -> DataFrame:
-    images = pages(spark, sf_dir)
-    done = images.where("page_no % 6 <> 0").select("book_id", "page_no", F.left("text", F.lit(40)).alias("text"), (F.col("page_no") % 6 != 1).alias("success"), F.when(F.col("page_no") % 6 == 1, "bad image").alias("error_message"))
+    images = pages(spark, sf_dir).drop("text")  # numbered without the texts, which join by document
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = images.where("page_no % 6 <> 0").join(texts, "doc_id").select("book_id", "page_no", "text", (F.col("page_no") % 6 != 1).alias("success"), F.when(F.col("page_no") % 6 == 1, "bad image").alias("error_message"))
     return resume.filled(images, done)
 
 

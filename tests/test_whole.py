@@ -60,3 +60,10 @@ def test_all_events_are_ordered(spark, events):
     by_path = {i: k for k, i in enumerate(sorted(ids, key=lambda i: f"page_{i:04d}.md"), 1)}
     want = [(i, f"page_{i:04d}.md", by_path[i], k) for k, i in enumerate(sorted(ids), 1)]
     assert sorted((r.page_no, r.name, r.by_path, r.by_number) for r in registry.page_orders(spark, at).collect()) == want
+
+
+def test_results_keep_whole_texts(spark):
+    cols = "book_id, page_no, text, success, error_message"
+    whole = registry.ORACLE_SQL["results_with_gaps_filled"].replace("left(text, 40)", "text")
+    got = [tuple(r) for r in registry.results_with_gaps_filled(spark, SMALL).select(*cols.split(", ")).collect()]
+    assert sorted(got) == sorted(in_sql(f"select {cols} from ({whole})", "documents")) and max(len(r[2] or "") for r in got) > 10_000
