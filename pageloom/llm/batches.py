@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,9 +47,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def use_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the session's checkpoint folder; set one only where there is none, as in local tests."""
+    """Keep the session's checkpoint folder; set one only where there is none, and only for a local master, as in tests."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{os.getpid()}")
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(given or f"{tempfile.gettempdir()}/checkpoints/{os.getpid()}")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

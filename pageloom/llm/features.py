@@ -10,17 +10,20 @@ import numpy as np
 LETTER, UPPER, DIGIT, SPACE, MARK = 1, 2, 4, 8, 16
 
 
+#: Code points, and the ranges of those that Unicode assigns by character (the rest is unassigned or for private use).
+CODES, ASSIGNED = 0x110000, (range(0x34000), range(0xE0000, 0xE1000))
+
+
 @lru_cache
 def classes() -> np.ndarray:
-    """A bit set for each code point up to U+FFFF; entry 65536 stands for all beyond (a letter)."""
-    table = np.zeros(65537, dtype=np.uint8)
-    for c in range(65536):
-        ch = chr(c)
-        kind = unicodedata.category(ch)
-        table[c] = LETTER * kind.startswith("L") | UPPER * (kind in ("Lu", "Lt")) | DIGIT * kind.startswith("N") | SPACE * ch.isspace()
-        if not table[c] and not kind.startswith("M"):
-            table[c] = MARK
-    table[65536] = LETTER
+    """A bit set for each code point, by its own Unicode category."""
+    table = np.full(CODES, MARK, dtype=np.uint8)
+    for some in ASSIGNED:
+        for c in some:
+            ch = chr(c)
+            kind = unicodedata.category(ch)
+            found = LETTER * kind.startswith("L") | UPPER * (kind in ("Lu", "Lt")) | DIGIT * kind.startswith("N") | SPACE * ch.isspace()
+            table[c] = found or MARK * (not kind.startswith("M"))
     return table
 
 
@@ -33,7 +36,7 @@ def code_points(texts: list[str], gap: str = "\0") -> tuple[np.ndarray, np.ndarr
 
 
 def classes_of(codes: np.ndarray) -> np.ndarray:
-    return classes()[np.minimum(codes, 65536)]
+    return classes()[codes]
 
 
 def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
