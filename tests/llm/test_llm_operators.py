@@ -2,9 +2,11 @@
 
 import collections
 import random
+import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -271,42 +273,141 @@ def test_leaks_are_found_and_others_left(spark):
             assert items[x.item_id].lower().strip(".").endswith(inside.lower().strip(".")[-30:])
 
 
-def test_half_an_item_is_a_leak(spark):
-    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect() if len(r.text) > 260]
-    index = decontam.index_of(items)
-    for i, t in items:
-        for part in (t[: len(t) // 2 + 10], t[-(len(t) // 2 + 10) :]):
-            text, segment, edits, start, end = decontam.matches(["x y z " * 9 + part + " x y z" * 9], index)
-            assert set(index.item[segment]) == {i} and edits.max() == 0 or any(index.item[s] == i for s in segment)
-    assert len(decontam.matches([t[100:150] for _, t in items], index)[0]) == 0
+def index_over(items, limits=decontam.Limits()):
+    rows = [(i, t, p) for i, t in items for p in decontam.pieces_of(t)]
+    return decontam.index_of(pa.array([r[0] for r in rows], pa.int64()), [r[1] for r in rows], [r[2] for r in rows], limits)
+
+
+def items_in(texts, index):
+    """{(text, item)} of all matches."""
+    text, item, *_ = decontam.matches(texts, index)
+    return {(int(t), index.items[0][int(i)].as_py()) for t, i in zip(text, item, strict=True)}
 
 
-def test_leaks_in_blocks_are_the_same(spark, monkeypatch):
+def test_any_verbatim_passage_of_79_characters_is_a_leak(spark):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    index, r = index_over(items), random.Random(6)
+    for i, t in items:
+        plain = plain_of(t)
+        for _ in range(4):
+            size = r.randint(79, max(79, len(plain)))
+            if size <= len(plain):
+                at = r.randint(0, len(plain) - size)
+                assert (0, i) in items_in(["x y z " * 9 + plain[at : at + size] + " x y z" * 9], index)
+    assert not items_in([t[20:75] for _, t in items], index)
+
+
+def plain_of(text):
+    kept = "".join(c if unicodedata.category(c)[0] in "LNM" else " " for c in text or "")
+    return " ".join("".join(c.lower() if len(c.lower()) == 1 else c for c in kept).split())
+
+
+def fewest_edits(p, t):
+    """Of p against any stretch of t."""
+    row = np.zeros(len(t) + 1, dtype=int)
+    t = np.array([ord(c) for c in t])
+    for i, c in enumerate(p, 1):
+        new = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (t != ord(c)))])
+        row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+    return row.min()
+
+
+def brute_leaks(texts, items, q=decontam.Q, rate=decontam.RATE):
+    found = set()
+    for k, text in enumerate(map(plain_of, texts)):
+        for i, item in items:
+            p = plain_of(item)
+            if not p or i is None and not item:
+                continue
+            if len(p) < q:
+                hit = text == p
+            elif len(p) < decontam.SHORT:
+                hit = f" {p} " in f" {text} "
+            else:
+                last = max(len(p) - decontam.SEGMENT, 0)
+                some = [p[a : a + decontam.SEGMENT] for a in [*range(0, last, decontam.STRIDE), last]]
+                hit = any(fewest_edits(x, text) <= int(rate * len(x) + 1e-9) for x in some)
+            if hit:
+                found.add((k, i))
+    return found
+
+
+def test_leaks_against_all_pairs(monkeypatch):
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdeghinorst") for _ in range(r.randint(2, 8))) for _ in range(60)] + ["😀", "𐐀𐐁𐐂", "é", "12", "漢字"]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+    items = [(k, prose(n)) for k, n in enumerate([1, 2, 3, 4, 5, 6, 8, 10, 12, 15, 20, 30, 60])] + [(90, "𐐀" * 90), (91, "a ba " * 40), (92, ""), (93, "!?"), (None, prose(25))]
+    texts = ["", "!", prose(200), "𐐁" * 95, "ab a" * 50]
+    for _, t in items:
+        for share in (0, 0.03, 0.08, 0.15):
+            edited = [c if r.random() > share else r.choice(["", "q", c + "j"]) for c in t]
+            texts.append(prose(r.choice([0, 3, 20])) + r.choice([" ", ". ", "\n\n"]) + "".join(edited) + " " + prose(r.choice([0, 20])))
+    want = brute_leaks(texts, items)
+    assert items_in(texts, index_over(items)) == want and len(want) > 20
+    for k, t in enumerate(texts):  # alone or beside others, a text matches the same
+        assert items_in([t], index_over(items)) == {(0, i) for x, i in want if x == k}
+    monkeypatch.setattr(decontam, "PIECE", 64 * 3)
+    assert items_in(texts, index_over(items)) == want
+
+
+def test_texts_beyond_the_basic_plane_are_compared_by_their_own_characters():
+    one, other = "".join(chr(0x10400 + k % 40) for k in range(80)), "".join(chr(0x10300 + k % 30) for k in range(90))
+    assert items_in([other, "😀" * 90], index_over([(1, one)])) == set()
+    assert items_in([other, "x " + one], index_over([(1, one)])) == {(1, 1)}
+
+
+def test_short_items_match_as_whole_words():
+    index = index_over([(1, "The quick brown fox."), (2, "yes")])
+    assert items_in(["see THE quick, brown fox!", "the quick brown foxes", "Yes!", "yes indeed"], index) == {(0, 1), (2, 2)}
+
+
+def test_stretches_stay_in_their_texts():
+    t = "every good boy deserves fudge and so on until the end of the line comes about"
+    text, _, _, edits, start, end = decontam.matches([t[:60], t[60:] + " " + t, "x"], index_over([(1, t)]))
+    assert set(text.tolist()) == {1} and edits.max() == 0 and start.min() == len(t) - 59 and end.max() == len(t) - 59 + len(t)
+
+
+def test_repeated_documents_report_each(spark):
+    bench = spark.createDataFrame([(1, "word by word the whole of this sentence stands in some benchmark and nowhere else"), (1, "a second text under the very same id, long enough that it can be told from others")], "item_id bigint, text string")
+    texts = [r.text for r in bench.collect()]
+    docs = spark.createDataFrame([(5, texts[0]), (5, texts[0]), (6, texts[0] + " " + texts[1]), (None, texts[1])], "doc_id bigint, text string").repartition(4)
+    for most in (None, 30):
+        got = sorted((r.doc_id or 0, r.item_id, r.segments, r.edits) for r in decontam.contaminated(docs, bench, most=most).collect())
+        assert [g[:2] for g in got] == [(0, 1), (5, 1), (5, 1), (6, 1), (6, 1)] and len({g for g in got if g[0] == 5}) == 1
+        assert decontam.clean(docs, bench, ["doc_id", "text"], most=most).count() == 0
+
+
+def test_leaks_in_blocks_are_the_same(spark):
     docs, bench = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/benchmark.parquet")
-    one = sorted(map(tuple, decontam.contaminated(docs, bench).collect()))
-    monkeypatch.setattr(decontam, "BLOCK_CHARS", 3000)
-    assert sorted(map(tuple, decontam.contaminated(docs, bench).collect())) == one and one
-    odd = spark.createDataFrame([(1, None), (None, "x" * 90), (2, ""), (3, "short"), (4, "abc " * 40)], "item_id bigint, text string")
+    bench = bench.unionByName(spark.createDataFrame([(None, "anything at all under forty"), (77, "x")], "item_id bigint, text string"))
+    one = sorted(map(str, decontam.contaminated(docs, bench).collect()))
+    clean = sorted(r.doc_id for r in decontam.clean(docs, bench, ["doc_id", "text"]).collect())
+    assert sorted(map(str, decontam.contaminated(docs, bench, most=1500).collect())) == one and one
+    assert sorted(r.doc_id for r in decontam.clean(docs, bench, ["doc_id", "text"], most=1500).collect()) == clean and len(clean) < docs.count()
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "..."), (4, "abc " * 40)], "item_id bigint, text string")
     assert decontam.contaminated(docs, odd).count() == 0 and decontam.contaminated(docs.limit(0), bench).count() == 0
+    assert decontam.contaminated(docs, bench.limit(0)).columns == ["doc_id", "item_id", "start", "end", "edits", "segments"] and decontam.clean(docs, bench.limit(0), docs.columns).count() == docs.count()
 
 
-def test_alignment_against_edit_distance():
-    r = random.Random(8)
+def test_the_filter_lets_every_leak_pass(spark):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    limits = decontam.Limits()
+    table = np.zeros(1 << 13, dtype=np.uint8)
+    for _, t in items:
+        for x in decontam.two_bits(decontam.gram_hashes(decontam.pieces_of(t)[0], limits.q), 16):
+            np.bitwise_or.at(table, x >> 3, np.left_shift(1, x & 7).astype(np.uint8))
+    texts = [t for _, t in items] + ["nothing of that kind 12345 67890 " * 5]
+    assert decontam.may_match(texts, table, 13, limits).tolist()[: len(items)] == [True] * len(items)
 
-    def distance(p, t):
-        row = [0] * (len(t) + 1)
-        for i, c in enumerate(p, 1):
-            new = [i]
-            for j, d in enumerate(t, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
-            row = new
-        return min(row)
 
+def test_alignment_against_edit_distance():
+    r = random.Random(8)
     for _ in range(60):
-        p = [r.randint(97, 99) for _ in range(30)]
-        t = [r.randint(97, 99) for _ in range(20)] + [c for c in p if r.random() > 0.05] + [r.randint(97, 99) for _ in range(20)]
-        got, _ = decontam.align(np.array(t), np.array([-40]), 120, np.array([p]), 30)
-        assert got[0] == distance(p, t)
+        p = [r.choice("abc") for _ in range(30)]
+        t = [r.choice("abc") for _ in range(20)] + [c for c in p if r.random() > 0.05] + [r.choice("abc") for _ in range(20)]
+        codes = np.array([ord(c) for c in t + ["\0"]], dtype=np.uint32)
+        got, _ = decontam.align(codes, np.array([-40]), 120, np.array([[ord(c) for c in p]], dtype=np.uint32))
+        assert got[0] == fewest_edits(p, "".join(t))
 
 
 # packing
