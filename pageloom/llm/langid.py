@@ -2,17 +2,27 @@
 
 Counts of n-grams by language are gathered from every training document and summed by
 Spark; the smoothed log-probability matrix (languages x buckets, the buckets a parameter)
-is broadcast, and numpy scores each batch as a sparse product.
-
-Cases: a null text, or one without a letter, gets ``und`` and score 0; a document with a
-null label doesn't train; ties go to the label that sorts first; no training document at
-all leaves every prediction ``und``. Repeated rows count as often as they occur.
-More than ``MOST_LABELS`` labels raise ValueError, which bounds what is broadcast.
+is broadcast, and numpy scores each batch as a sparse product. More than ``MOST_LABELS``
+languages are scored in blocks of so many, one after another over each batch.
+
+The posterior probability is near 1 for nearly every text, right or wrong, since it sums
+over all n-grams. Two measures that don't saturate stand beside it: ``margin``, by how much
+an n-gram of the text is likelier in its language than in the second one on average, and
+``fit``, by how much it is likelier than an average n-gram of the language's training
+texts. A text in a language that wasn't learned has a low fit; one of several languages a
+low margin.
+
+Cases: a null text, or one without a letter (by Unicode's categories, all planes), gets
+``und``, score 0, and null margin and fit; a document with a null label doesn't train; ties
+go to the label that sorts first; no training document at all leaves every prediction
+``und``; with one label only, margin is null. Repeated rows count as often as they occur,
+and each is judged.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +32,26 @@ from pyspark.sql import functions as F
 from .batches import column, steps, texts
 from .features import LETTER, classes_of, code_points, sums
 
-BITS, SIZES, SMOOTHING, MOST_LABELS = 16, (1, 2, 3), 0.5, 500
+BITS, SIZES, SMOOTHING, MOST_LABELS = 16, (1, 2, 3), 0.5, 200
 STEP = 1 << 20
 UNKNOWN = "und"
+#: Columns of the result; columns of the input with these names give way to them.
+RESULTS = ("lang_pred", "score", "margin", "fit")
+
+
+@dataclass
+class Model:
+    """The labels, sorted; for each the log probabilities of the buckets, the log prior, and the mean log probability of its training n-grams."""
+
+    labels: list[str]
+    matrix: np.ndarray
+    prior: np.ndarray
+    usual: np.ndarray
+    bits: int = BITS
+    sizes: tuple[int, ...] = SIZES
+
+    def blocks(self, most: int) -> list[Model]:
+        return [Model(self.labels[a : a + most], self.matrix[a : a + most], self.prior[a : a + most], self.usual[a : a + most], self.bits, self.sizes) for a in range(0, max(len(self.labels), 1), most)]
 
 
 def grams(batch: list[str], bits: int = BITS, sizes: tuple[int, ...] = SIZES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -47,8 +74,8 @@ def grams(batch: list[str], bits: int = BITS, sizes: tuple[int, ...] = SIZES) ->
         yield (h >> np.uint64(64 - bits)).astype(np.int64), counts, starts, letters
 
 
-def train(docs: DataFrame, label: str = "lang", text: str = "text", bits: int = BITS, sizes: tuple[int, ...] = SIZES) -> tuple[list[str], np.ndarray]:
-    """The labels, sorted, and the matrix of log probabilities; its last column has the log priors."""
+def train(docs: DataFrame, label: str = "lang", text: str = "text", bits: int = BITS, sizes: tuple[int, ...] = SIZES) -> Model:
+    """Fit to all documents with a label; the driver gets one row for each label."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
@@ -63,55 +90,93 @@ def train(docs: DataFrame, label: str = "lang", text: str = "text", bits: int =
                 n = np.bincount(key[counts], minlength=len(names) << bits).reshape(len(names), -1)
                 for i, x in enumerate(names):
                     found[x][:-1] += n[i]
+            if len(found) > MOST_LABELS:  # what a task holds is bounded
+                yield from counted(found)
+                found = {}
+        yield from counted(found)
+
+    def counted(found: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for x, n in found.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([x] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n[at])], names=["label", "bucket", "n"])
 
+    def dense(key: tuple, table: pa.Table) -> pa.Table:
+        n = np.zeros((1 << bits) + 1)
+        n[table["bucket"].to_numpy()] = table["n"].to_numpy()
+        smooth = n[:-1] + SMOOTHING
+        logs = (np.log(smooth) - np.log(smooth.sum())).astype("<f4")
+        usual = float((n[:-1] * logs).sum() / max(n[:-1].sum(), 1))
+        return pa.table({"label": [key[0].as_py()], "docs": [int(n[-1])], "usual": [usual], "logs": pa.array([logs.tobytes()], pa.binary())})
+
     rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"))
     total = rows.mapInArrow(count, "label string, bucket bigint, n bigint").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
-    table = total.limit(((1 << bits) + 1) * MOST_LABELS + 1).toArrow()
-    labels = sorted(set(table["label"].to_pylist()))
-    if len(labels) > MOST_LABELS:
-        raise ValueError(f"{len(labels)} labels; at most {MOST_LABELS} are allowed")
-    counts = np.zeros((len(labels), (1 << bits) + 1))
-    at = {x: i for i, x in enumerate(labels)}
-    counts[[at[x] for x in table["label"].to_pylist()], table["bucket"].to_numpy()] = table["n"].to_numpy()
-    smooth = counts[:, :-1] + SMOOTHING
-    prior = np.log(counts[:, -1:] + 1) - np.log(counts[:, -1].sum() + len(labels)) if labels else np.zeros((0, 1))
-    return labels, np.hstack([np.log(smooth) - np.log(smooth.sum(axis=1, keepdims=True)), prior])
-
-
-def judge(batch: list[str], labels: list[str], matrix: np.ndarray, bits: int = BITS, sizes: tuple[int, ...] = SIZES) -> tuple[list[str], np.ndarray]:
-    """The likeliest label of each text and its posterior probability."""
-    total = np.repeat(matrix[:, -1:], len(batch), axis=1) if labels else np.zeros((1, len(batch)))
-    letters = np.zeros(len(batch), dtype=np.int64)
-    for h, counts, starts, letters in grams(batch, bits, sizes):  # noqa: B020
-        h[~counts] = 1 << bits
-        for i in range(len(labels)):
-            row = np.append(matrix[i, :-1], 0.0)
-            total[i] += sums(row[h], starts)
-    best = total.argmax(axis=0)
-    posterior = 1 / np.exp(total - total.max(axis=0)).sum(axis=0)
-    known = (letters > 0) & bool(labels)
-    return [labels[i] if k else UNKNOWN for i, k in zip(best, known, strict=True)], np.where(known, posterior, 0.0)
-
-
-def identify(docs: DataFrame, labels: list[str], matrix: np.ndarray, keep: list[str], text: str = "text", bits: int = BITS, sizes: tuple[int, ...] = SIZES) -> DataFrame:
-    """The ``keep`` columns of docs (but for those of these names) with lang_pred and score."""
-    keep = [c for c in keep if c not in ("lang_pred", "score")]
-    model = docs.sparkSession.sparkContext.broadcast((labels, matrix))
+    table = total.groupBy("label").applyInArrow(dense, "label string, docs bigint, usual double, logs binary").toArrow().sort_by("label")
+    labels, n = table["label"].to_pylist(), table["docs"].to_numpy().astype(float)
+    matrix = np.frombuffer(b"".join(table["logs"].to_pylist()), "<f4").reshape(len(labels), 1 << bits)
+    return Model(labels, matrix, np.log((n + 1) / (n.sum() + len(labels))) if labels else np.zeros(0), table["usual"].to_numpy(), bits, sizes)
+
+
+def judge(batch: list[str], model: Model, held: tuple | None = None) -> tuple:
+    """For each text: the likeliest label (None without a letter), its log probability with the text, the second one's, the logarithm of the sum of all, the label's ``usual``, and the n-grams; ``held``: the same from other labels, which sort before."""
+    total = np.repeat(model.prior[:, None], len(batch), axis=1)
+    letters, n = np.zeros(len(batch), dtype=np.int64), np.zeros(len(batch), dtype=np.int64)
+    for h, counts, starts, letters in grams(batch, model.bits, model.sizes):  # noqa: B020
+        h[~counts] = 1 << model.bits
+        n += sums(counts.astype(np.int64), starts)
+        for i in range(len(model.labels)):
+            row = np.append(model.matrix[i], np.float32(0))
+            total[i] += np.add.reduceat(row[h], starts[:-1], dtype=np.float64) if len(batch) else 0
+    label, best, second, usual = np.full(len(batch), None, dtype=object), *np.full((2, len(batch)), -np.inf), np.zeros(len(batch))
+    every = best.copy()
+    if held is not None:
+        label, best, second, every, usual = (np.array(x) for x in held)
+    for i, name in enumerate(model.labels):
+        better = total[i] > best
+        second = np.where(better, best, np.maximum(second, total[i]))
+        label[better], usual[better] = name, model.usual[i]
+        best = np.maximum(best, total[i])
+        every = np.logaddexp(every, total[i])
+    label[letters == 0] = None
+    return label, best, second, every, usual, n
+
+
+def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text", most: int = MOST_LABELS) -> DataFrame:
+    """The ``keep`` columns of docs (but for those of these names) with lang_pred, score, margin and fit."""
+    keep = [c for c in keep if c not in RESULTS]
     names = [f"k{i}" for i in range(len(keep))]
     rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, names, strict=True)], F.col(text).alias("judged"))
-    schema = rows.drop("judged").schema.add("lang_pred", "string").add("score", "double")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in steps(batches, "judged", STEP):
-            pred, score = judge(texts(b, "judged"), *model.value, bits, sizes)
-            yield pa.RecordBatch.from_arrays([*(column(b, k) for k in names), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
-
-    return rows.mapInArrow(run, schema).withColumnsRenamed(dict(zip(names, keep, strict=True)))
+    state = ["label", "best", "second", "every", "usual", "n"]
+    for turn, block in enumerate(model.blocks(most)):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        given = [*names, "judged"]
+        schema = rows.select(*given).schema.add("label", "string")
+        for x in state[1:]:
+            schema = schema.add(x, "double")
+
+        def run(batches: Iterator[pa.RecordBatch], turn=turn, shared=shared, given=given) -> Iterator[pa.RecordBatch]:
+            for b in steps(batches, "judged", STEP):
+                held = tuple(column(b, x).to_numpy(zero_copy_only=False) for x in state[:5]) if turn else None
+                found = judge(texts(b, "judged"), shared.value, held)
+                yield pa.RecordBatch.from_arrays([*(column(b, k) for k in given), pa.array(found[0], pa.string()), *(pa.array(x, pa.float64()) for x in found[1:])], names=[*given, *state])
+
+        rows = rows.mapInArrow(run, schema)
+    known = F.col("label").isNotNull()
+    finite = F.col("second") > float("-inf")
+    out = rows.select(*names, F.coalesce("label", F.lit(UNKNOWN)).alias("lang_pred"), F.when(known, F.exp(F.col("best") - F.col("every"))).otherwise(0.0).alias("score"), F.when(known & finite, (F.col("best") - F.col("second")) / F.col("n")).alias("margin"), F.when(known, F.col("best") / F.col("n") - F.col("usual")).alias("fit"))
+    return out.withColumnsRenamed(dict(zip(names, keep, strict=True)))
 
 
 def in_fold(id_col: str, folds: int, fold: int) -> Column:
     """The crc32 of the id as text falls in this fold."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
+
+
+def clear(docs: DataFrame, keep: list[str], margin: float, fit: float, id_col: str = "doc_id", label: str = "lang", text: str = "text") -> DataFrame:
+    """The ``keep`` columns of the documents whose language is told with at least this margin and fit. Each half of the documents, by the hash of the id (a null one is in the first half), is judged by a model of the other half."""
+    second = in_fold(id_col, 2, 1)
+    halves = docs.where(~second), docs.where(second)
+    out = []
+    for own, other in (halves, halves[::-1]):
+        found = identify(own, train(other, label, text), keep, text)
+        out.append(found.where((F.col("lang_pred") != UNKNOWN) & (F.coalesce("margin", F.lit(margin)) >= margin) & (F.col("fit") >= fit)).select(*[F.col(f"`{c}`") for c in keep]))
+    return out[0].unionByName(out[1])

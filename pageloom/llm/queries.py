@@ -65,9 +65,9 @@ def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    labels, matrix = langid.train(docs.where(~langid.in_fold("doc_id", 5, 0)))
-    found = langid.identify(docs, labels, matrix, ["doc_id"])
-    return found.select("doc_id", langid.in_fold("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
+    model = langid.train(docs.where(~langid.in_fold("doc_id", 5, 0)))
+    found = langid.identify(docs, model, ["doc_id"])
+    return found.select("doc_id", langid.in_fold("doc_id", 5, 0).alias("held_out"), "lang_pred", "score", "margin", "fit")
 
 
 QUERIES = {f.__name__: f for f in (op1_nn_descent, op2_token_counts, op3_url_filter, op4_simhash, op5_quality, op6_extendible_shards, op7_qgram_decontamination, op8_sum_of_squares, op9_quotation_linking, op10_language_id)}

@@ -240,7 +240,7 @@ def test_shards_of_equal_keys(spark):
 
 def test_clashing_columns_give_way(spark):
     df = docs_of(spark, ["the cat", None]).withColumn("score", F.lit("x")).withColumn("lang_pred", F.lit(1)).withColumn("id", F.lit("y")).withColumn("fp", F.lit("z")).withColumn("length", F.lit(0)).withColumn("end", F.lit(0))
-    assert langid.identify(df, *langid.train(df), df.columns).schema["score"].dataType.simpleString() == "double"
+    assert langid.identify(df, langid.train(df), df.columns).schema["score"].dataType.simpleString() == "double"
     labels = spark.createDataFrame([(0, 1, "s")], "doc_id bigint, quality int, text string")
     assert quality.score(df, quality.scorer(df, labels, F.lit(True)), df.columns).count() == 2
     assert simhash.near_groups(df).count() == 2 and neardup.representatives(df, df.columns).columns == df.columns
@@ -485,21 +485,69 @@ def test_languages_hold_out(spark):
     assert np.mean([r.lang_pred == given[r.doc_id] for r in got if r.held_out]) > 0.9
 
 
-def test_naive_bayes_against_brute_force(spark):
-    train = [("the cat", "en"), ("der hund", "de"), ("the dog", "en"), (None, "en"), ("x", None)]
-    df = spark.createDataFrame([(i, t, g, "s", 1) for i, (t, g) in enumerate(train)], DOC)
-    labels, matrix = langid.train(df)
-    counts = {g: collections.Counter() for g in labels}
-    for t, g in train[:3]:
-        for h, use, _, _ in langid.grams([t]):
-            counts[g].update(h[use].tolist())
-    for i, g in enumerate(labels):
-        for b in (5, *list(counts[g])[:10]):
-            assert matrix[i, b] == pytest.approx(np.log((counts[g][b] + 0.5) / (sum(counts[g].values()) + 0.5 * (1 << langid.BITS))))
-    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs_of(spark, [None, "", "12 !", "the", "hund"]), labels, matrix, ["doc_id"]).collect()}
-    assert [got[i][0] for i in range(5)] == ["und", "und", "und", "en", "de"] and got[0][1] == 0 and 0.5 < got[3][1] <= 1
-    labels, matrix = langid.train(df.limit(0))
-    assert {r.lang_pred for r in langid.identify(docs_of(spark, ["abc"]), labels, matrix, ["doc_id"]).collect()} == {"und"}
+def naive_bayes(train, text, bits=langid.BITS):
+    """(label, posterior, margin, fit) from scratch: n-grams of one to three characters, other than letters alike, hashed as the model says."""
+
+    def found(t):
+        low = "".join(c if unicodedata.category(c).startswith("L") else " " for c in t.lower())
+        out = []
+        for n in langid.SIZES:
+            for i in range(len(low) - n + 1):
+                gram = low[i : i + n]
+                if gram.strip(" "):
+                    h = 0
+                    for c in gram:
+                        h = (h * 0x100000001B3 + ord(c) + n) % 2**64
+                    out.append(h * 0x9E3779B97F4A7C15 % 2**64 >> 64 - bits)
+        return out
+
+    if not text or not any(unicodedata.category(c).startswith("L") for c in text):
+        return None, 0.0, None, None
+    rows = [(t, g) for t, g in train if t is not None and g is not None]
+    labels = sorted({g for _, g in rows})
+    total, usual = {}, {}
+    for g in labels:
+        n = collections.Counter(h for t, x in rows if x == g for h in found(t))
+        size = sum(n.values())
+        p = lambda h, n=n, size=size: np.log((n[h] + langid.SMOOTHING) / (size + langid.SMOOTHING * (1 << bits)))
+        total[g] = np.log((sum(x == g for _, x in rows) + 1) / (len(rows) + len(labels))) + sum(map(p, found(text)))
+        usual[g] = sum(k * p(h) for h, k in n.items()) / size
+    ranked = sorted(total.values())
+    best = min(g for g in labels if total[g] == ranked[-1])
+    n = len(found(text))
+    return best, 1 / sum(np.exp(x - ranked[-1]) for x in ranked), (ranked[-1] - ranked[-2]) / n, ranked[-1] / n - usual[best]
+
+
+@pytest.mark.parametrize("most", [200, 1])
+def test_naive_bayes_against_brute_force(spark, most):
+    train = [("the cat sat on it", "en"), ("der Hund läuft", "de"), ("the dog, and the 2 mice", "en"), (None, "en"), ("x", None), ("le chien 漢字 😀", "fr"), ("le chien 漢字 😀", "fr")]
+    model = langid.train(spark.createDataFrame([(i, t, g, "s", 1) for i, (t, g) in enumerate(train)], DOC))
+    asked = [None, "", "12 !", "the", "hund", "😀😀😀 12", "漢字 le", "𐐀𐐁", "the cat " * 500, "the\0dog", "le", "le"]
+    df = docs_of(spark, asked).withColumn("score", F.lit("x")).withColumn("fit", F.lit("y"))
+    got = {r.doc_id: r for r in langid.identify(df, model, df.columns, most=most).collect()}
+    for i, t in enumerate(asked):
+        label, score, margin, fit = naive_bayes(train, t)
+        assert (got[i].lang_pred, got[i].score) == (label or "und", pytest.approx(score, abs=1e-5)), t
+        assert got[i].margin == pytest.approx(margin, abs=1e-5) and got[i].fit == pytest.approx(fit, abs=1e-5)
+    assert [got[i].lang_pred for i in (2, 5, 7)] == ["und", "und", got[7].lang_pred] and got[7].lang_pred != "und"
+    none = langid.train(df.limit(0))
+    assert {r.lang_pred for r in langid.identify(docs_of(spark, ["abc"]), none, ["doc_id"]).collect()} == {"und"}
+    assert langid.identify(df.limit(0), model, ["doc_id"]).count() == 0
+
+
+def test_unclear_languages_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = random.Random(2)
+    odd = {
+        "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem.",
+        "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+        "it": "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti.",
+        "random": "".join(r.choice("bcdfghjklmnpqrstvwxz ") for _ in range(300)),
+        "emoji": "😀😀😀 12", "empty": "", "null": None,
+    }
+    planted = docs_of(spark, []).union(spark.createDataFrame([(10**9 + i, t, "en", "s", 1) for i, t in enumerate(odd.values())], DOC))
+    kept = {x.doc_id for x in langid.clear(docs.unionByName(planted), ["doc_id", "text"], 0.2, -2.5).collect()}
+    assert not any(i >= 10**9 for i in kept) and docs.count() - len(kept) <= 2
 
 
 # neighbours
