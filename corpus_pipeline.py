@@ -16,8 +16,8 @@ from pageloom.llm.batches import read, use_checkpoint_dir
 from pageloom.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document stays if the model gives it at least this probability of good quality, and of its likeliest language.
-LEAST_QUALITY, LEAST_LANGUAGE = 0.5, 0.5
+#: A document stays if the model gives it at least this probability of good quality, and its language this margin and fit (nats an n-gram).
+LEAST_QUALITY, LEAST_MARGIN, LEAST_FIT = 0.5, 0.2, -2.5
 CAPACITY = 1024
 
 
@@ -29,10 +29,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with confidence; those without letters go."""
-    labels, matrix = langid.train(docs)
-    found = langid.identify(docs, labels, matrix, COLUMNS)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select(*COLUMNS)
+    """Documents whose language is clear: an n-gram is on average as likely as this in a language that was learned, and by so much likelier than in the next one. Those without letters, of unlearned languages and of none go; each half of the documents is judged by a model of the other."""
+    return langid.clear(docs, COLUMNS, LEAST_MARGIN, LEAST_FIT)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
