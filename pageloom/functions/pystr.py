@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +32,11 @@ def replace(x: Column, old: str, new: str) -> Column:
     return F.replace(x, F.lit(old), F.lit(new))
 
 
+def given(value: Column, made: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is computed once, however often it occurs."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
 def quoted(x: str) -> str:
     """As a literal in SQL text."""
     return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -133,20 +133,28 @@ def test_clean_book_pages(spark):
 
 
 # running headers
-def test_running_headers():
-    clean = running.without_running_headers
-    assert clean("# Title\n\nIt was a\n\n# TITLE\n\ndark night.") == "# Title\n\nIt was a\n\ndark night."
-    assert clean("Some end.\n\n# Next\n\nText here.\n\n# next\n\nMore.") == "Some end.\n\n# Next\n\nText here.\n\nMore."
-    assert clean("it goes\n\n# Run\n\non and ends.\n\n# Run\n\nNew text.") == "it goes\n\non and ends.\n\n# Run\n\nNew text."
-    assert clean("ends here¹²\n\n# A\n\n* bullet") == "ends here¹²\n\n# A\n\n* bullet"
-    assert clean("He said.³\n\n# A\n\nlower case") == "He said.³\n\n# A\n\nlower case"
-    assert clean("the old <!-- page 3 -->\n\n# HEAD\n\n<!-- page 4 -->\nman went") == "the old <!-- page 3 -->\n\n<!-- page 4 -->\nman went"
-    assert clean(None) is None and clean("") == "" and clean("no headers\n\n\n\nhere ") == "no headers\n\nhere"
-
-
-def test_sentences():
-    assert running.sentences("Mr. Smith left. He ran!  Then (Bob) stopped") == ["Mr. Smith left.", "He ran!", "Then (Bob) stopped"]
-    assert running.sentences("") == []
+def test_running_headers(spark):
+    given = {
+        "# Title\n\nIt was a\n\n# TITLE\n\ndark night.": "# Title\n\nIt was a\n\ndark night.",
+        "Some end.\n\n# Next\n\nText here.\n\n# next\n\nMore.": "Some end.\n\n# Next\n\nText here.\n\nMore.",
+        "it goes\n\n# Run\n\non and ends.\n\n# Run\n\nNew text.": "it goes\n\non and ends.\n\n# Run\n\nNew text.",
+        "ends here¹²\n\n# A\n\n* bullet": "ends here¹²\n\n# A\n\n* bullet",
+        "He said.³\n\n# A\n\nlower case": "He said.³\n\n# A\n\nlower case",
+        "the old <!-- page 3 -->\n\n# HEAD\n\n<!-- page 4 -->\nman went": "the old <!-- page 3 -->\n\n<!-- page 4 -->\nman went",
+        "x" * 400 + "\n# A\n" + "y" * 2000 + "\n# a\nlast": "x" * 400 + "\n\n" + "y" * 2000 + "\n\nlast",
+        "it was Mr.\n# A\nSmith who came along that day. Then": "it was Mr.\n# A\nSmith who came along that day. Then",
+        "it was the old\n# A\nSmith who came along that day. Then": "it was the old\n\nSmith who came along that day. Then",
+        "it was the old\n# A\nSMITH WHO CAME ALONG THAT DAY": "it was the old\n# A\nSMITH WHO CAME ALONG THAT DAY",
+        "no headers\n\n\n\nhere ": "no headers\n\nhere", "": "", "# only": "# only",
+    }
+    df = spark.createDataFrame([(t, w) for t, w in given.items()] + [(None, None)], "t string, w string")
+    for r in df.select("t", "w", running.without_running_headers(F.col("t")).alias("got")).collect():
+        assert r.got == r.w, r.t
+
+
+def test_sentences(spark):
+    df = spark.createDataFrame([("Mr. Smith left. He ran!  Then (Bob) stopped",), ("",)], "t string")
+    assert [r[0] for r in df.select(running.sentences(F.col("t"))).collect()] == [["Mr. Smith left.", "He ran!", "Then (Bob) stopped"], [""]]
 
 
 # chapters
