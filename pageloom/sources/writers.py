@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import io
+import json
 import os
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +28,8 @@ def page_files(results: DataFrame, folder: str) -> DataFrame:
         for b in batches:
             n = []
             for r in b.itertuples(index=False):
-                stem = os.path.join(folder, r.book_id, f"page_{r.page_no:04d}")
-                os.makedirs(os.path.dirname(stem), exist_ok=True)
-                parts = {".md": r.text, "_nohf.md": r.text_nohf, ".json": r.raw}
+                stem = f"{folder}/{safe(r.book_id)}/page_{r.page_no:04d}"
+                parts = {".md": r.text, "_nohf.md": r.text_nohf, ".json": indented(r.raw)}
                 for suffix, text in parts.items():
                     if text is not None:
                         _put(stem + suffix, text.encode())
@@ -37,6 +39,14 @@ def page_files(results: DataFrame, folder: str) -> DataFrame:
     return results.select("book_id", "page_no", "text", "text_nohf", "raw").mapInPandas(run, "book_id string, page_no int, written int")
 
 
+def indented(raw: str | None) -> str | None:
+    """JSON with an indent of two; what isn't JSON stays as it is."""
+    try:
+        return raw if raw is None else json.dumps(json.loads(raw), ensure_ascii=False, indent=2)
+    except ValueError:
+        return raw
+
+
 def texts(books: DataFrame, folder: str, column: str = "content", suffix: str = ".md") -> DataFrame:
     """(book_id, path): a text file for each book in a shared folder."""
     return files(books.withColumn(column, F.encode(column, "UTF-8")), folder, column, suffix)
@@ -47,8 +57,7 @@ def files(books: DataFrame, folder: str, column: str, suffix: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            paths = [os.path.join(folder, f"{name}{suffix}") for name in b["book_id"]]
-            os.makedirs(folder, exist_ok=True)
+            paths = [f"{folder}/{safe(name)}{suffix}" for name in b["book_id"]]
             for p, data in zip(paths, b[column], strict=True):
                 _put(p, bytes(data))
             yield pd.DataFrame({"book_id": b["book_id"], "path": paths})
@@ -57,11 +66,18 @@ def files(books: DataFrame, folder: str, column: str, suffix: str) -> DataFrame:
 
 
 def _put(path: str, data: bytes) -> None:
-    """Whole or not at all, however often it is tried."""
-    part = f"{path}.{os.getpid()}.part"
-    with open(part, "wb") as f:
+    """Whole or not at all, however often it is tried; to any file system that Arrow knows."""
+    system, at = FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (LocalFileSystem(), path)
+    system.create_dir(at.rpartition("/")[0])
+    part = f"{at}.{os.getpid()}.part"
+    with system.open_output_stream(part) as f:
         f.write(data)
-    os.replace(part, path)
+    system.move(part, at)
+
+
+def safe(name: str) -> str:
+    """A book's id as the name of a file or folder."""
+    return re.sub(r"[^\w .-]", "_", name).lstrip(".") or "_"
 
 
 def epubs(chapters: DataFrame, author: str = "Unknown", language: str = "en", date: str = "1970-01-01") -> DataFrame:

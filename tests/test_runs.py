@@ -144,6 +144,14 @@ def test_cli(spark, folder, tmp_path, monkeypatch):
         assert z.namelist()[0] == "mimetype" and z.read("mimetype") == b"application/epub+zip"
 
 
+def test_lists_tables_and_contents():
+    made = epub.to_html("[TOC]\n\n# A\n\n## B & c\n\n- x\n- y\n    - z\n- v\n\n3. a\n\n| a | b |\n|:-|-:|\n| 1 |")
+    assert '<div class="toc"><ul><li><a href="#a">A</a><ul><li><a href="#b-c">B &amp; c</a></li></ul></li></ul></div>' in made
+    assert "<ul><li>x</li><li>y<ul><li>z</li></ul></li><li>v</li></ul>" in made and "<ol><li>a</li></ol>" in made
+    assert '<td style="text-align: left;">1</td><td style="text-align: right;"></td>' in made
+    assert writers.indented('{"a":["é"]}') == '{\n  "a": [\n    "é"\n  ]\n}' and writers.indented("no json") == "no json" and writers.indented(None) is None
+
+
 def test_epub():
     md = "# T & <x>\n\nA *b* **c** `d` [e](f) & g<br>\n\n- one\n- two\n\n1. x\n2. y\n\n> quote\n> more\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n```py\nif a < b:\n```\n\n---\n\n<!-- page 1 -->\n\n# T & <x>"
     data = epub.build(epub.Metadata("Title & more"), [("One & two", md), ("Two", "plain\x07 text")])
@@ -248,3 +256,13 @@ def test_queries_against_sql(spark, name):
     got = sorted(str(tuple(r[c] for c in cols)) for r in df.collect())
     want = sorted(map(str, con.execute(f"select {', '.join(chr(34) + c + chr(34) for c in cols)} from ({registry.ORACLE_SQL[name]})").fetchall()))
     assert got == want and got
+
+
+def test_page_files_are_read_whole(spark, tmp_path):
+    rows = spark.createDataFrame([("a/b", 0, "one\n\ntwo\n", "x\ny", '[1]'), ("a/b", 1, "three\r\nfour", "", None)], "book_id string, page_no int, text string, text_nohf string, raw string")
+    writers.page_files(rows, f"file:{tmp_path}").collect()
+    got = readers.page_texts(spark, str(tmp_path), ("*_nohf.md",)).orderBy("page_no").collect()
+    assert [(r.book_id, r.text) for r in got] == [("a_b", "x\ny"), ("a_b", "")]
+    assert [r.text for r in readers.page_texts(spark, str(tmp_path), ("page_????.md",)).orderBy("page_no").collect()] == ["one\n\ntwo\n", "three\r\nfour"]
+    assert [r.content for r in readers.markdown(spark, f"{tmp_path}/a_b/page_0000.md").collect()] == ["one\n\ntwo\n"]
+    assert [(r.page_no, r.has_json, r.json_valid) for r in readers.outputs(spark, f"{tmp_path}/a_b").orderBy("page_no").collect()] == [(0, True, True), (1, False, None)]
