@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .pystr import replace, strip
+from .pystr import given, replace, strip
 
 # Time stamps in file names, as (year, month, day, hour, minute, second), tried in this order.
 NAME_TIMES = (r"(\d{4})(\d{2})(\d{2})_(\d{2})(\d{2})(\d{2})", r"(\d{4})-(\d{2})-(\d{2})_(\d{2})-(\d{2})-(\d{2})")
@@ -94,13 +94,43 @@ def duration(seconds: Column) -> Column:
     return F.when(whole.isNull(), "--:--").when(whole < 60, short).when(whole < 3600, minutes).otherwise(hours)
 
 
+def one_decimal(x: Column) -> Column:
+    """A number of at least 0 with one decimal, rounded as its exact binary value asks for, ties to even."""
+
+    def rounded(s: Column) -> Column:
+        x, tenths = s["x"], s["tenths"]
+        # the sign of 20 x - (2 tenths + 1), without an error: 16 x and 4 x are exact, and so is what their sum leaves over
+        a, b = x * 16.0, x * 4.0
+        total = a + b
+        back = total - a
+        over = (total - (2 * tenths + 1)) + ((a - (total - back)) + (b - back))
+        return tenths + F.when(over > 0, 1).when((over == 0) & (tenths % 2 == 1), 1).otherwise(0)
+
+    n = given(given(x, lambda x: F.struct(x.alias("x"), F.floor(x * 10).alias("tenths"))), rounded)
+    return given(n, lambda n: F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string")))
+
+
+def units(text: Column, start: Column, end: Column | None = None) -> Column:
+    """The part [start, end) of a text, in UTF-16 units as a browser counts them; an offset within a pair stands before it."""
+    astral = text.rlike(r"[\x{10000}-\x{10ffff}]")
+    raw = F.encode(text, "UTF-16BE")
+
+    def byte(offset: Column) -> Column:
+        second = F.hex(F.substring(raw, 2 * offset + 1, F.lit(1))).between("DC", "DF")
+        return 2 * F.when(second & (offset > 0), offset - 1).otherwise(offset)
+
+    size = F.length(text) if end is None else F.greatest(end - start, F.lit(0))
+    bytes_ = F.length(raw) if end is None else F.greatest(byte(end) - byte(start), F.lit(0))
+    return F.when(astral, F.decode(F.substring(raw, byte(start) + 1, bytes_), "UTF-16BE")).otherwise(F.substring(text, start + 1, size))
+
+
 def spliced(text: Column, start: Column, end: Column, suggestion: Column) -> Column:
-    """``suggestion`` in place of [start, end); an empty one changes nothing."""
-    return F.when(F.coalesce(F.length(suggestion), F.lit(0)) == 0, text).otherwise(F.concat(F.left(text, start), suggestion, F.substring(text, end + 1, F.length(text))))
+    """``suggestion`` in place of [start, end), in UTF-16 units; an empty one changes nothing."""
+    return F.when(F.coalesce(F.length(suggestion), F.lit(0)) == 0, text).otherwise(F.concat(units(text, F.lit(0), start), suggestion, units(text, end)))
 
 
 def sliced(text: Column, start: Column, end: Column) -> Column:
-    return F.substring(text, start + 1, F.greatest(end - start, F.lit(0)))
+    return units(text, start, end)
 
 
 def label(kind: Column) -> Column:

@@ -34,12 +34,12 @@ def mender(words: Broadcast) -> Callable[[Column], Column]:
 
 
 def mend_with(text: Column, known: Column) -> Column:
-    """``mend`` with the words that are known for each row."""
-    return F.pandas_udf(_mend_rows, "string")(text, known)
-
-
-def _mend_rows(text: pd.Series, known: pd.Series) -> pd.Series:
-    return pd.Series([mend(t, set() if k is None else set(k)) if t and "-\n" in t else t for t, k in zip(text, known, strict=True)], dtype=object)
+    """``mend`` with the words that are known for each row: the text is cut around its broken words, by noncharacters."""
+    part, gap = "\ufdd0", "\ufdd1"
+    cut = F.split(F.regexp_replace(text, JAVA_BREAK, f"{part}$1{gap}$2{part}"), part)
+    whole = lambda x: F.coalesce(F.array_contains(known, F.lower(F.replace(x, F.lit(gap), F.lit("")))), F.lit(False))
+    mended = F.transform(cut, lambda x: F.when(~F.contains(x, F.lit(gap)), x).otherwise(F.replace(x, F.lit(gap), F.when(whole(x), "").otherwise("-"))))
+    return F.when(F.contains(text, F.lit("-\n")), F.array_join(mended, "")).otherwise(text)
 
 
 def keep_hyphens(text: Column) -> Column:

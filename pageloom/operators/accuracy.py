@@ -39,10 +39,10 @@ def averages(compared_runs: DataFrame, setting: str = "rotation") -> DataFrame:
 
 
 def speedups(runs: DataFrame, setting: str = "scale", baseline: float = 1.0) -> DataFrame:
-    """(setting, avg_time, speedup): the baseline's average time over each setting's; 0 where that is 0."""
+    """(setting, avg_time, speedup): the baseline's average time over each setting's; 0 where that is 0, null without a baseline."""
     mean = runs.groupBy(setting).agg(F.avg("ocr_time").alias("avg_time"))
     base = mean.where(F.col(setting) == baseline).select(F.col("avg_time").alias("_base"))
-    return mean.join(F.broadcast(base)).select(setting, "avg_time", F.when(F.col("avg_time") > 0, F.col("_base") / F.col("avg_time")).otherwise(0.0).alias("speedup"))
+    return mean.join(F.broadcast(base), F.lit(True), "left").select(setting, "avg_time", F.when(F.col("avg_time") > 0, F.col("_base") / F.col("avg_time")).otherwise(0.0).alias("speedup"))
 
 
 def first_images(images: DataFrame, n: int, name: str = "image") -> DataFrame:

@@ -7,21 +7,24 @@ from pyspark.sql import functions as F
 
 from ..functions.pystr import SPACE, strip
 from ..functions.scalar import normal_header
-from .ordered import run_of
+from .ordered import run_of, stored
 
 HEADER = f"\\A#+{SPACE}+([^\\n]+)\\z"
-#: Sets of phrases of at most so many books are broadcast to the pages; more are joined by a shuffle.
-MOST_BROADCAST = 100_000
+#: Sets of phrases of at most so many characters in all are broadcast to the pages; more are joined by a shuffle.
+MOST_BROADCAST = 16_000_000
+#: Characters that a book and a phrase count for beside their own.
+EACH = 64
 
 
 def lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def kept_small(sets: DataFrame) -> DataFrame:
-    """A table of a row for each book, computed once, and broadcast if it is small enough."""
-    sets = sets.persist()
-    return F.broadcast(sets) if sets.count() <= MOST_BROADCAST else sets
+def kept_small(sets: DataFrame, phrases: Column) -> DataFrame:
+    """A table of a row for each book, computed once, and broadcast if its phrases are few enough."""
+    sets = stored(sets)
+    size = F.aggregate(phrases, F.lit(EACH).cast("bigint"), lambda n, x: n + F.length(x) + EACH)
+    return F.broadcast(sets) if (sets.agg(F.sum(size)).first()[0] or 0) <= MOST_BROADCAST else sets
 
 
 def may_have_headers(text: Column) -> Column:
@@ -53,7 +56,7 @@ def drop_repeated_section_headers(pages: DataFrame, repeated: DataFrame, text: s
     """The pages with all but the first occurrence in the book of each repeated header dropped."""
     found = header_lines(pages, text).join(repeated, ["book_id", "header"], "left_semi")
     first = found.groupBy("book_id", "header").agg(F.min(F.struct("page_no", "line_no")).alias("first"))
-    sets = kept_small(first.groupBy("book_id").agg(F.map_from_entries(F.collect_list(F.struct("header", "first"))).alias("_first")))
+    sets = kept_small(first.groupBy("book_id").agg(F.map_from_entries(F.collect_list(F.struct("header", "first"))).alias("_first")), F.map_keys("_first"))
 
     def stays(line: Column, i: Column) -> Column:
         first = F.col("_first")[normal_header(F.regexp_extract(line, HEADER, 1))]
@@ -94,7 +97,7 @@ def drop_edges(pages: DataFrame, repeated: DataFrame, text: str = "text") -> Dat
     """The pages without the repeated phrases at their top and bottom; books without any, and blank pages, stay as they are."""
     none = F.array().cast("array<string>")
     sets = repeated.groupBy("book_id").agg(F.collect_set(F.when(F.col("side") == "header", F.col("phrase"))).alias("_headers"), F.collect_set(F.when(F.col("side") == "footer", F.col("phrase"))).alias("_footers"))
-    rows = pages.join(kept_small(sets), "book_id", "left")
+    rows = pages.join(kept_small(sets, F.concat("_headers", "_footers")), "book_id", "left")
     clean = without_edges(F.col(text), F.coalesce("_headers", none), F.coalesce("_footers", none))
     return rows.withColumn(text, F.when(F.col("_headers").isNull() | (strip(F.col(text)) == ""), F.col(text)).otherwise(clean)).drop("_headers", "_footers")
 

@@ -6,14 +6,32 @@ one run to the next is one row per run.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+import os
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Page numbers in a run.
 RUN = 4096
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder of ``spark.checkpoint.dir``, so that a lost executor's share is read again and not made anew."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; one of our own only where there is none, and only for a local master, as in tests."""
+    context, given = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None:
+        if not given and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(given or f"{tempfile.gettempdir()}/checkpoints/{os.getpid()}")
+    return context.getCheckpointDir()
+
+
 def run_of(page: str = "page_no", run: int = RUN) -> Column:
     return F.floor(F.col(page) / run)
 
@@ -32,12 +50,12 @@ def numbered(df: DataFrame, order: list[Column], name: str, group: str = "book_i
     """Adds each row's place from 0 within its group in this order, without one task for a whole group.
 
     Rows are dealt to tasks by ranges of (group, order) and numbered there; what came before a task's first row of a
-    group is one count per group and task. The ranges are drawn once: the dealt rows are kept on executors' disks.
+    group is one count per group and task. The ranges are drawn once: the dealt rows are written to the shared folder, so they should be narrow.
     Rows that are equal in the order are numbered as they come, so the order should be a total one.
     """
     keys = [F.col(group), *order]
     marked = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_task", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    dealt = marked.persist(StorageLevel.DISK_ONLY)
+    dealt = stored(marked)
     counts = dealt.groupBy(group, "_task").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select(F.col(group).alias("_group"), F.col("_task").alias("_of"), (before - F.col("_first")).alias("_shift"))

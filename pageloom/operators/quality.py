@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pystr import SPACE_SET, SPACES, WORD, strip
+from ..functions.pystr import SPACE_SET, SPACES, WORD, given, strip
+from ..functions.scalar import one_decimal
 
 # Characters that text seldom has; patterns of misread characters; brackets and quotes that should balance.
 GARBAGE = "□■◊◆●○►▼▲★☆♦♣♠♥※†‡¶§¤¢£¥€"
@@ -25,7 +26,7 @@ def occurrences(text: Column, char: str) -> Column:
 
 
 def percent_text(ratio: Column) -> Column:
-    return F.concat(F.format_string("%.1f", ratio * 100), F.lit("%"))
+    return F.concat(one_decimal(ratio * 100), F.lit("%"))
 
 
 def measured(text: Column) -> Column:
@@ -37,8 +38,9 @@ def measured(text: Column) -> Column:
         "size": size,
         "short": F.length(strip(text)),
         "head": F.left(text, F.lit(50)),
-        "garbage": F.regexp_extract_all(text, F.lit(f"([{GARBAGE}])"), F.lit(1)),
-        "runs": F.regexp_extract_all(text, F.lit(REPEATED), F.lit(1)),
+        "text": text,
+        "garbage": size - F.length(F.translate(text, GARBAGE, "")),
+        "runs": F.regexp_count(text, F.lit(REPEATED)),
         "words": F.length(F.replace(F.regexp_replace(spaced, "[^ ]+", "x"), F.lit(" "), F.lit(""))),
         "solid": F.length(F.replace(spaced, F.lit(" "), F.lit(""))),
         "special": size - F.length(F.regexp_replace(text, f"[^\\p{{L}}\\p{{N}}{SPACE_SET}]+", "")),
@@ -52,7 +54,7 @@ def measured(text: Column) -> Column:
 
 def page_findings(text: Column, min_length: int = 50, max_ratio: float = 0.15, min_word: float = 2.0) -> Column:
     """The findings on one page's text, in the detectors' order; each figure is computed once."""
-    return F.get(F.transform(F.array(measured(text)), lambda m: judged(m, min_length, max_ratio, min_word)), F.lit(0))
+    return given(measured(text), lambda m: judged(m, min_length, max_ratio, min_word))
 
 
 def judged(m: Column, min_length: int, max_ratio: float, min_word: float) -> Column:
@@ -64,16 +66,17 @@ def judged(m: Column, min_length: int, max_ratio: float, min_word: float) -> Col
 
     size, full, short = m["size"], m["full"], m["short"]
     found = [F.when(~full | (short < min_length), finding(0, F.when(full, "warning").otherwise("error"), "SHORT_PAGE", short, F.format_string("Page has only %d characters", short), m["head"]))]
-    garbage = F.size(m["garbage"])
-    seen = F.array_join(F.array_sort(F.array_distinct(m["garbage"])), "")
+    garbage = m["garbage"]
+    seen = F.array_join(F.filter(F.array(*map(F.lit, sorted(GARBAGE))), lambda c: F.contains(m["text"], c)), "")
     found.append(F.when(full & (garbage / size > 0.01), finding(1, "warning", "GARBAGE_CHARS", garbage, F.concat(F.format_string("Found %d suspicious characters (", garbage), percent_text(garbage / size), F.lit(")")), seen)))
-    runs = m["runs"]
-    found.append(F.when(F.size(runs) > 0, finding(2, "warning", "REPEATED_CHARS", F.size(runs), F.format_string("Found %d instances of repeated characters", F.size(runs)), F.concat(F.lit("["), F.array_join(F.transform(F.slice(runs, 1, 5), lambda c: F.concat(F.lit("'"), c, F.lit("'"))), ", "), F.lit("]")))))
+    firsts = F.slice(F.regexp_extract_all(m["text"], F.lit(REPEATED), F.lit(1)), 1, 5)
+    shown_runs = F.concat(F.lit("["), F.array_join(F.transform(firsts, lambda c: F.concat(F.lit("'"), c, F.lit("'"))), ", "), F.lit("]"))
+    found.append(F.when(m["runs"] > 0, finding(2, "warning", "REPEATED_CHARS", m["runs"], F.format_string("Found %d instances of repeated characters", m["runs"]), shown_runs)))
     for k, (_, said) in enumerate(CONFUSIONS):
         n = m[f"confusion{k}"]
         found.append(F.when(n > 3, finding(3 + k, "info", "OCR_CONFUSION", n, F.format_string(f"{said}: found %d instances", n))))
     mean = m["solid"] / m["words"]
-    found.append(F.when((m["words"] > 0) & (mean < min_word), finding(7, "warning", "SHORT_WORDS", m["words"], F.format_string(f"Average word length is %.1f (expected >{min_word})", mean))))
+    found.append(F.when((m["words"] > 0) & (mean < min_word), finding(7, "warning", "SHORT_WORDS", m["words"], F.concat(F.lit("Average word length is "), one_decimal(mean), F.lit(f" (expected >{min_word})")))))
     for k, (opening, closing) in enumerate(BRACKETS):
         a, b = m[f"open{k}"], m[f"close{k}"]
         found.append(F.when(F.abs(a - b) > 2, finding(8 + k, "info", "UNBALANCED_BRACKETS", F.abs(a - b), F.format_string(f"Unbalanced {opening}{closing}: %d open, %d close", a, b))))
@@ -100,29 +103,40 @@ def findings(pages: DataFrame, text: str = "text", success: str | None = None, *
     return with_findings(pages, text, success, **limits).select("book_id", "page_no", F.explode("findings").alias("f")).select("book_id", "page_no", "f.*")
 
 
+def totals() -> list[Column]:
+    """Over with_findings: total_pages, successful_pages, n_errors, n_warnings, n_infos."""
+    failed = F.count_if(F.exists("findings", lambda f: f["error_type"] == "OCR_FAILED"))
+    severities = F.transform("findings", lambda f: f["severity"])
+    n = [F.sum(F.size("findings") - F.size(F.array_remove(severities, s))).alias(f"n_{s}s") for s in ("error", "warning", "info")]
+    return [F.count("*").alias("total_pages"), (F.count("*") - failed).alias("successful_pages"), *n]
+
+
 def report(pages: DataFrame, text: str = "text", success: str | None = None, **limits) -> DataFrame:
     """(book_id, total_pages, successful_pages, n_errors, n_warnings, n_infos, has_critical_errors) of each book, from one scan."""
-    severities = F.transform("findings", lambda f: f["severity"])
-    rows = with_findings(pages, text, success, **limits).withColumn("_severities", severities)
-    failed = F.count_if(F.exists("findings", lambda f: f["error_type"] == "OCR_FAILED"))
-    n = [F.sum(F.size("_severities") - F.size(F.array_remove("_severities", s))).alias(f"n_{s}s") for s in ("error", "warning", "info")]
-    out = rows.groupBy("book_id").agg(F.count("*").alias("total_pages"), (F.count("*") - failed).alias("successful_pages"), *n)
+    out = with_findings(pages, text, success, **limits).groupBy("book_id").agg(*totals())
     return out.withColumn("has_critical_errors", F.col("n_errors") > 0)
 
 
+def report_line(page_no: Column, f: Column) -> Column:
+    """The report's line for a finding."""
+    marker = F.when(f["severity"] == "error", "[ERROR]").when(f["severity"] == "warning", "[WARN] ").otherwise("[INFO] ")
+    context = F.when(F.length(f["context"]) > 100, F.concat(F.left(f["context"], F.lit(100)), F.lit("..."))).otherwise(f["context"])
+    detail = F.when(context != "", F.concat(F.lit("\n           Context: '"), F.replace(context, F.lit("\n"), F.lit("\\n")), F.lit("'"))).otherwise("")
+    return F.concat(F.format_string("Page %4d ", page_no), marker, F.lit(" "), f["error_type"], F.lit("\n           "), f["message"], detail)
+
+
 def report_lines(found: DataFrame) -> DataFrame:
     """(book_id, page_no, severity, seq, line): the report's line for each finding; in the order of these columns."""
-    marker = F.when(F.col("severity") == "error", "[ERROR]").when(F.col("severity") == "warning", "[WARN] ").otherwise("[INFO] ")
-    context = F.when(F.length("context") > 100, F.concat(F.left("context", F.lit(100)), F.lit("..."))).otherwise(F.col("context"))
-    detail = F.when(context != "", F.concat(F.lit("\n           Context: '"), F.replace(context, F.lit("\n"), F.lit("\\n")), F.lit("'"))).otherwise("")
-    line = F.concat(F.format_string("Page %4d ", "page_no"), marker, F.lit(" "), F.col("error_type"), F.lit("\n           "), F.col("message"), detail)
-    return found.select("book_id", "page_no", "severity", "seq", line.alias("line"))
+    finding = F.struct("severity", "error_type", "message", "context")
+    return found.select("book_id", "page_no", "severity", "seq", report_line(F.col("page_no"), finding).alias("line"))
 
 
-def report_text(pages: DataFrame, text: str = "text", success: str | None = None) -> DataFrame:
-    """(book_id, report): the whole error report of each book."""
-    head = report(pages, text, success)
-    issues = report_lines(findings(pages, text, success)).groupBy("book_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "severity", "seq", "line"))), lambda x: x["line"]), "\n\n").alias("issues"))
+def report_text(pages: DataFrame, text: str = "text", success: str | None = None, **limits) -> DataFrame:
+    """(book_id, report): the whole error report of each book, from one scan. A page's findings become its lines before they are shuffled."""
+    ranked = F.array_sort(F.transform("findings", lambda f: F.struct(f["severity"].alias("severity"), f["seq"].alias("seq"), report_line(F.col("page_no"), f).alias("line"))))
+    page = F.when(F.size("findings") > 0, F.struct("page_no", F.array_join(F.transform(ranked, lambda x: x["line"]), "\n\n").alias("lines")))
+    rows = with_findings(pages, text, success, **limits).withColumn("_page", page)
+    made = rows.groupBy("book_id").agg(*totals(), F.array_join(F.transform(F.array_sort(F.collect_list("_page")), lambda x: x["lines"]), "\n\n").alias("_issues"))
     top = F.concat(F.lit("OCR Error Report\n================\nTotal pages: "), F.col("total_pages"), F.lit("\nSuccessful: "), F.col("successful_pages"), F.lit("\nErrors: "), F.col("n_errors"), F.lit("\nWarnings: "), F.col("n_warnings"), F.lit("\n"))
-    body = F.when(F.col("issues").isNotNull(), F.concat(F.lit("\nIssues by page:\n" + "-" * 40 + "\n"), F.col("issues"), F.lit("\n"))).otherwise("")
-    return head.join(issues, "book_id", "left").select("book_id", F.concat(top, body).alias("report"))
+    body = F.when(F.col("_issues") != "", F.concat(F.lit("\nIssues by page:\n" + "-" * 40 + "\n"), F.col("_issues"), F.lit("\n"))).otherwise("")
+    return made.select("book_id", F.concat(top, body).alias("report"))

@@ -1,7 +1,7 @@
 """The plans from pages to books: full run, join, analysis, EPUB.
 
-Pages that several steps read are kept on the executors' disks once they are cleaned; a lost
-executor's share is computed again. Small sets (dictionary, repeated phrases) are counted
+Pages that several steps read are written to the shared checkpoint folder once they are
+cleaned. Small sets (dictionary, repeated phrases) are counted
 when a plan is made, to see whether they may be broadcast.
 """
 
@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import chapters, clean, headers, joiner, quality, running
+from ..operators.ordered import stored
 from ..sources import writers
 
 
@@ -36,21 +37,21 @@ def cleaned_pages(results: DataFrame, dictionary: DataFrame | None = None) -> Da
 
 def joined_books(pages: DataFrame, markers: bool = True, running_headers: bool = True, min_occurrences: int = 10) -> DataFrame:
     """(book_id, n_pages, content): headers and footers that repeat dropped, pages joined, running headers dropped."""
-    whole = joiner.books(headers.clean_book_pages(pages.persist(StorageLevel.DISK_ONLY), min_occurrences), markers=markers)
+    whole = joiner.books(headers.clean_book_pages(stored(pages), min_occurrences), markers=markers)
     return running.drop_running_headers(whole) if running_headers else whole
 
 
 def run(results: DataFrame, dictionary: DataFrame | None = None, markers: bool = True, formats: tuple[str, ...] = ("md", "epub"), author: str = "Unknown", language: str = "en", date: str = "1970-01-01", **limits) -> Result:
-    """The full plan over OCR results: reports on the raw texts, then cleaned and joined books. No pages, or an error, is a failed result."""
+    """The full plan over OCR results: reports on the raw texts, then cleaned and joined books. No pages, or an error of Spark, is a failed result."""
     try:
         if results.limit(1).isEmpty():
             return Result(False, "No pages found")
         reports = quality.report(results, "text_nohf", "success", **limits)
-        pages = headers.clean_book_pages(cleaned_pages(results, dictionary).persist(StorageLevel.DISK_ONLY))
+        pages = headers.clean_book_pages(stored(cleaned_pages(results, dictionary)))
         books = running.drop_running_headers(joiner.books(pages, markers=markers))
         made = writers.epubs(chapters.chapters(books), author, language, date) if "epub" in formats else None
         return Result(True, "", books, made, reports, joiner.boundaries(pages))
-    except Exception as e:  # noqa: BLE001  the caller gets a failed result
+    except PySparkException as e:  # what Spark says of the data; errors of this program are raised
         return Result(False, str(e))
 
 
