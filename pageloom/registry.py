@@ -7,6 +7,7 @@ by page number.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,7 +17,7 @@ from .functions import scalar, text
 from .functions.pystr import SPACES
 from .operators import accuracy, chapters, clean, headers, joiner, ocr, ordered, quality, resume, review, running
 from .plans import book
-from .sources import readers, writers
+from .sources import epub, readers, writers
 from .streaming import progress
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,32 +40,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str, enriched: str | None = None) -> DataFrame:
     """(book_id, page_no, doc_id, text, n_chars), the text as the SQL expression gives it."""
-    number = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), number.alias("page_no"), "doc_id", "text", "n_chars")
+    docs = table(spark, sf_dir, "documents")
+    numbers = ordered.numbered(docs.select(F.col("source").alias("book_id"), "doc_id"), [F.col("doc_id")], "page_no")  # without the texts
+    rows = numbers.join(docs.select("doc_id", "text", "n_chars"), "doc_id").select("book_id", "page_no", "doc_id", "text", "n_chars")
     return rows.withColumn("text", F.expr(enriched)) if enriched else rows
 
 
+def defective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with DEFECTS, and in each book a short and an empty page more."""
+    books = table(spark, sf_dir, "documents").select(F.col("source").alias("book_id")).distinct()
+    more = books.select("book_id", F.explode(F.expr(f"array({', '.join(f'struct({n} as page_no, {t!r} as text)' for n, t in SHORT_PAGES)})")).alias("x")).select("book_id", "x.*")
+    return pages(spark, sf_dir, DEFECTS).select("book_id", "page_no", "text").unionByName(more)
+
+
 # SQL of the enriched pages; the same text serves both engines
 NL = "chr(10)"
 BREAKS = "regexp_replace(text, '([a-z]{3})([a-z]{3,}) ', concat('\\\\1-', chr(10), '\\\\2 '), 'g')"
 BREAKS_SPARK = "regexp_replace(text, '([a-z]{3})([a-z]{3,}) ', concat('$1-', chr(10), '$2 '))"
 RUNNING = f"case when page_no % 10 < 4 then concat('# Running ', cast(floor(page_no / 10) as int), {NL}, text) when page_no % 10 = 4 then concat('## ', doc_id, ' Unique', {NL}, text) else text end"
 DEFECTS = f"""case page_no % 5 when 0 then concat(text, repeat('■', cast(floor(n_chars / 40) as int))) when 1 then concat(text, repeat(' O0O IlI vvx aaaaaa', 5))
- when 2 then concat(text, ' ((( [[[ \"\"\" ') when 3 then substr(text, 1, 30) else '' end"""
-LETTERS = "case when page_no % 2 = 0 then repeat('a b c ', 20) else text end"
+ when 2 then concat(text, ' ((( [[[ \"\"\" ') when 3 then concat(text, repeat('!?', cast(floor(n_chars / 8) as int))) else text end"""
+SHORT_PAGES = ((1000000, "Too short a page."), (1000001, ""))
+LETTERS = "case when page_no % 2 = 0 then concat(text, repeat(' a b c', cast(floor(n_chars / 2) as int))) else text end"
 PARAGRAPHS = f"replace(text, concat('.', {NL}), concat('.', {NL}, {NL}))"
 ENDINGS = f"""case when page_no % 10 = 0 then concat('Chapter ', doc_id, {NL}, {NL}, text) when page_no % 10 in (2, 7) then lower(text) when page_no % 10 = 4 then ''
  when page_no % 10 in (1, 6) then concat(text, ' etc.') when page_no % 10 = 8 then concat(text, ' hyph-') else text end"""
-REPEATS = "case when page_no % 4 = 0 then concat(substr(text, 1, 200), repeat(substr(text, 1, 20), 12)) else text end"
+REPEATS = "case when page_no % 4 = 0 then concat(text, repeat(substr(text, 1, 20), 12 + cast(floor(n_chars / 20) as int))) else text end"
 EDGES = f"concat(case when page_no % 2 = 0 then concat(upper(book_id), {NL}) else '' end, text, case when page_no % 3 = 0 then concat({NL}, 'Printed edition') else '' end)"
 BOTH = f"concat(case when page_no % 2 = 0 then concat(upper(book_id), {NL}) else '' end, case when page_no % 10 < 4 then concat('# Running ', cast(floor(page_no / 10) as int), {NL}) else '' end, text)"
-SCRAPS = f"""case page_no % 3 when 0 then concat('[{{"text": "', replace(replace(replace(substr(text, 1, 300), '\\\\', ''), '"', ''), {NL}, concat(chr(92), 'n')), '", "category": "Text"}}, {{"text": "short"}}, {{"text": "', replace(replace(substr(text, 1, 90), '"', ''), {NL}, ' '), ' said ', chr(92), '"yes', chr(92), '"", "bb')
- when 1 then concat('not json "text": "', substr(text, 1, 30), '"') else text end"""
+SCRAPS = f"""case page_no % 3 when 0 then concat('[{{"text": "', replace(replace(replace(text, '\\\\', ''), '"', ''), {NL}, concat(chr(92), 'n')), '", "category": "Text"}}, {{"text": "short"}}, {{"text": "', replace(replace(text, '"', ''), {NL}, ' '), ' said ', chr(92), '"yes', chr(92), '"", "bb')
+ when 1 then concat('not json "text": "', replace(text, '"', ''), '"') else text end"""
 
 
-def p_sql(enriched: str = "text") -> str:
+def p_sql(enriched: str = "text", more: str = "") -> str:
     enriched = enriched.replace("\\\\", "\\")
-    return f"p as (select book_id, page_no, doc_id, {enriched} as text, n_chars from (select source book_id, cast(row_number() over (partition by source order by doc_id) - 1 as int) page_no, doc_id, text, n_chars from documents))"
+    return f"p as (select book_id, page_no, doc_id, {enriched} as text, n_chars from (select source book_id, cast(row_number() over (partition by source order by doc_id) - 1 as int) page_no, doc_id, text, n_chars from documents){more})"
 
 
 WS = "concat(" + ", ".join(f"chr({ord(c)})" for c in SPACES) + ")"
@@ -135,7 +145,32 @@ def book_texts_unmarked(spark, sf_dir):
     return found.select("book_id", "n_pages", F.length("content").alias("n_chars"), F.md5(F.encode("content", "UTF-8")).alias("digest"))
 
 
-@query()
+def without_running_sql(source: str) -> str:
+    """CTEs up to ``rr`` (book_id, n_pages, content): the source's books without running headers."""
+    ws = "[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+    header = f"'(?m)^#+{ws}+.+$'"
+    plain = lambda x: strip_sql(f"regexp_replace({x}, '(?s)<!--.*?-->', '', 'g')")
+    unquoted = lambda x: strip_sql(f"regexp_replace({x}, '(?m)^>{ws}*', '', 'g')")
+    chapter = lambda x: strip_sql(f"regexp_replace({x}, '(?i)\\*?Chapter\\*?{ws}*\\p{{Nd}}+\\*?', '', 'g')")
+    guarded = lambda x: f"regexp_replace({x}, '(?i)(^|[^\\p{{L}}\\p{{N}}_])({'|'.join(joiner.ABBREVIATIONS)})\\.', '\\1\\2' || chr(2), 'g')"
+    stops = lambda x: f"regexp_replace({guarded(x)}, '([.!?][\"'')\\]]*){ws}+([\"''(\\[]?[A-Z])', '\\1' || chr(1) || '\\2', 'g')"
+    parts = lambda x: f"string_split(replace({stops(x)}, chr(2), '.'), chr(1))"
+    fresh = f"'^(?:\\*\\*[^*]+\\*\\*{ws}*$|\\*{ws}+|\\p{{Nd}}+\\.{ws}+|>{ws}*[A-Z\"—]|—)'"
+    return f"""ra as (select book_id, n_pages, content, regexp_extract_all(content, {header}) hs, regexp_split_to_array(content, {header}) gs from {source}),
+ rb as (select book_id, hs, gs, unnest(range(1, len(hs) + 1)) i from ra),
+ rc as (select book_id, i, hs[i] h, gs[i + 1] g, {strip_sql("array_to_string(list_transform(range(1, i + 1), lambda j: gs[j] || case when j < i then hs[j] else '' end), '')")} before_,
+  {strip_sql("array_to_string(list_transform(range(i, len(hs) + 1), lambda j: case when j > i then hs[j] else '' end || gs[j + 1]), '')")} behind from rb),
+ rd as (select *, {plain('left(behind, 300)')} ahead, {unquoted(chapter(plain('right(before_, 300)')))} tail from rc),
+ re as (select *, {unquoted('ahead')} head, regexp_matches({strip_sql("string_split(ahead, chr(10))[1]")}, {fresh}) fresh from rd),
+ rf as (select *, {parts('head')}[1] first_, {parts('tail')}[-1] last_ from re),
+ rg as (select *, before_ = '' leads, case when before_ = '' or behind = '' or head = '' or tail = '' or fresh or regexp_matches(tail, '[.!?"][\\p{{Nd}}⁰¹²³⁴⁵⁶⁷⁸⁹]*$') then false when regexp_matches(head, '^\\p{{Ll}}') then true
+  else length(first_) > 20 and not (regexp_matches(first_, '\\p{{Lu}}') and not regexp_matches(first_, '\\p{{Ll}}')) and not contains({stops("last_ || ' ' || first_")}, chr(1)) end breaks, upper({strip_sql(f"regexp_replace(h, '^#+{ws}+', '')")}) name from rf),
+ rh as (select *, leads or (not breaks and row_number() over (partition by book_id, name, leads or not breaks order by i) = 1) stays from rg),
+ ri as (select book_id, string_agg(case when stays then h else '' end || g, '' order by i) rest from rh group by book_id),
+ rr as (select book_id, n_pages, case when content = '' then '' else {strip_sql("regexp_replace(gs[1] || coalesce(rest, ''), '\\n{3,}', chr(10) || chr(10), 'g')")} end content from ra left join ri using (book_id))"""
+
+
+@query(books_sql(RUNNING, True) + ", " + without_running_sql("k") + " select book_id, n_pages, cast(length(content) as int) n_chars, md5(content) digest from rr")
 def books_without_running_headers(spark, sf_dir):
     found = running.drop_running_headers(joiner.books(pages(spark, sf_dir, RUNNING)))
     return found.select("book_id", "n_pages", F.length("content").alias("n_chars"), F.md5(F.encode("content", "UTF-8")).alias("digest"))
@@ -169,40 +204,45 @@ def book_chapters(spark, sf_dir):
 
 
 # quality
-def q_sql(enriched: str) -> str:
-    runs = "len(list_filter(list_zip(range(1, length(text) + 1), string_split(text, '')), lambda z: z[2] <> chr(10) and (z[1] = 1 or substr(text, z[1] - 1, 1) <> z[2]) and substr(text, z[1], 5) = repeat(z[2], 5)))"
+def q_sql(enriched: str, more: str = "") -> str:
+    same = " and ".join(f"coalesce(a[i + {k}], '') = a[i]" for k in range(1, 5))
+    runs = f"list_transform(list_filter(range(1, len(a) + 1), lambda i: a[i] not in ('', chr(10)) and (i = 1 or a[i - 1] <> a[i]) and {same}), lambda i: a[i])"
     rn = "(length(text) - length(replace(text, 'rn', ''))) // 2 - cast(not regexp_matches(text, 'x^') and regexp_matches(text, 'rn$') as int) - len(regexp_extract_all(text, 'rn[^\\p{L}\\p{N}_]'))"
     vv = "len(regexp_extract_all(regexp_replace(text, '([^\\p{L}\\p{N}_])', '\\1\\1', 'g'), '(?:^|[^\\p{L}\\p{N}_])vv[\\p{L}\\p{N}_]'))"
-    pair = "abs((length(text) - length(replace(text, '{0}', ''))) - (length(text) - length(replace(text, '{1}', ''))))"
     count = "(length(text) - length(replace(text, {0}, '')))"
     ws = "[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
     no_ws = ws.replace("[", "[^", 1)
     special = ws.replace("[", "[^\\p{L}\\p{N}", 1)
-    return f"""{p_sql(enriched)},
+    brackets = ", ".join(f"{count.format(repr(a))} o{k}, {count.format(repr(z))} z{k}" for k, (a, z) in enumerate(quality.BRACKETS))
+    found = [
+        ("0", "case when size = 0 then 'error' else 'warning' end", "SHORT_PAGE", "short", "short < 50", "'Page has only ' || short || ' characters'", "left(text, 50)"),
+        ("1", "'warning'", "GARBAGE_CHARS", "garbage", "size > 0 and garbage / size > 0.01", "'Found ' || garbage || ' suspicious characters (' || printf('%.1f', garbage / size * 100) || '%)'", f"array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[{quality.GARBAGE}]'))), '')"),
+        ("2", "'warning'", "REPEATED_CHARS", "len(runs)", "len(runs) > 0", "'Found ' || len(runs) || ' instances of repeated characters'", "'[' || array_to_string(list_transform(runs[:5], lambda c: chr(39) || c || chr(39)), ', ') || ']'"),
+    ]
+    found += [(str(3 + k), "'info'", "OCR_CONFUSION", f"c{k}", f"c{k} > 3", f"{sql_text(said + ': found ')} || c{k} || ' instances'", "''") for k, (_, said) in enumerate(quality.CONFUSIONS)]
+    found += [("7", "'warning'", "SHORT_WORDS", "words", "words > 0 and solid / words < 2.0", "'Average word length is ' || printf('%.1f', solid / words) || ' (expected >2.0)'", "''")]
+    found += [(str(8 + k), "'info'", "UNBALANCED_BRACKETS", f"abs(o{k} - z{k})", f"abs(o{k} - z{k}) > 2", f"'Unbalanced {pair}: ' || o{k} || ' open, ' || z{k} || ' close'", "''") for k, pair in enumerate(quality.BRACKETS)]
+    found += [(str(11 + k), "'info'", "UNBALANCED_QUOTES", f"q{k}", f"q{k} % 2 <> 0 and q{k} > 2", sql_text(f"Odd number of {shown} characters: ") + f" || q{k}", "''") for k, shown in enumerate(("'\"'", '"\'"'))]
+    found += [("13", "'warning'", "HIGH_SPECIAL_CHAR_RATIO", "special", "size > 0 and special / size > 0.15", "'Special character ratio is ' || printf('%.1f', special / size * 100) || '% (threshold: 15.0%)'", "''")]
+    union = "\n  union all ".join(f"select book_id, page_no, {seq} seq, {severity} severity, '{kind}' error_type, {n} n, {message} message, {context} context from n where {where}" for seq, severity, kind, n, where, message, context in found)
+    return f"""{p_sql(enriched, more)},
  n as (select book_id, page_no, text, length({strip_sql('text')}) short, length(text) size, len(regexp_extract_all(text, '[{quality.GARBAGE}]')) garbage, {runs} runs,
   len(regexp_extract_all(text, '[0O][0O][0O]')) c0, len(regexp_extract_all(text, '[1Il][1Il][1Il]')) c1, {rn} c2, {vv} c3,
   len(regexp_extract_all(text, '{no_ws}+')) words, length(regexp_replace(text, '{ws}', '', 'g')) solid,
-  {pair.format('(', ')')} b0, {pair.format('[', ']')} b1, {pair.format('{', '}')} b2, {count.format("'\"'")} q0, {count.format("chr(39)")} q1, len(regexp_extract_all(text, '{special}')) special from p),
- found as (
-  select book_id, page_no, 0 seq, case when size = 0 then 'error' else 'warning' end severity, 'SHORT_PAGE' error_type, short n from n where short < 50
-  union all select book_id, page_no, 1, 'warning', 'GARBAGE_CHARS', garbage from n where size > 0 and garbage / size > 0.01
-  union all select book_id, page_no, 2, 'warning', 'REPEATED_CHARS', runs from n where runs > 0
-  union all select book_id, page_no, 3, 'info', 'OCR_CONFUSION', c0 from n where c0 > 3
-  union all select book_id, page_no, 4, 'info', 'OCR_CONFUSION', c1 from n where c1 > 3
-  union all select book_id, page_no, 5, 'info', 'OCR_CONFUSION', c2 from n where c2 > 3
-  union all select book_id, page_no, 6, 'info', 'OCR_CONFUSION', c3 from n where c3 > 3
-  union all select book_id, page_no, 7, 'warning', 'SHORT_WORDS', words from n where words > 0 and solid / words < 2.0
-  union all select book_id, page_no, 8, 'info', 'UNBALANCED_BRACKETS', b0 from n where b0 > 2
-  union all select book_id, page_no, 9, 'info', 'UNBALANCED_BRACKETS', b1 from n where b1 > 2
-  union all select book_id, page_no, 10, 'info', 'UNBALANCED_BRACKETS', b2 from n where b2 > 2
-  union all select book_id, page_no, 11, 'info', 'UNBALANCED_QUOTES', q0 from n where q0 % 2 <> 0 and q0 > 2
-  union all select book_id, page_no, 12, 'info', 'UNBALANCED_QUOTES', q1 from n where q1 % 2 <> 0 and q1 > 2
-  union all select book_id, page_no, 13, 'warning', 'HIGH_SPECIAL_CHAR_RATIO', special from n where size > 0 and special / size > 0.15)"""
-
-
-@query(f"with {q_sql(DEFECTS)} select book_id, page_no, seq, severity, error_type, cast(n as bigint) n from found")
+  {brackets}, {count.format("'\"'")} q0, {count.format("chr(39)")} q1, len(regexp_extract_all(text, '{special}')) special from (select *, string_split(text, '') a from p)),
+ found as ({union})"""
+
+
+def sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+SHORT = "".join(f" union all select distinct source, {n}, null, {sql_text(t)}, null from documents" for n, t in SHORT_PAGES)
+
+
+@query(f"with {q_sql(DEFECTS, SHORT)} select book_id, page_no, seq, severity, error_type, cast(n as bigint) n from found")
 def page_findings(spark, sf_dir):
-    return quality.findings(pages(spark, sf_dir, DEFECTS)).select("book_id", "page_no", "seq", "severity", "error_type", "n")
+    return quality.findings(defective(spark, sf_dir)).select("book_id", "page_no", "seq", "severity", "error_type", "n")
 
 
 @query(f"with {q_sql(LETTERS)} select book_id, page_no, seq, severity, error_type, cast(n as bigint) n from found where error_type = 'SHORT_WORDS'")
@@ -210,7 +250,7 @@ def short_words(spark, sf_dir):
     return quality.findings(pages(spark, sf_dir, LETTERS)).where("error_type = 'SHORT_WORDS'").select("book_id", "page_no", "seq", "severity", "error_type", "n")
 
 
-REPORT = f"""with {q_sql(DEFECTS)}, every as (select book_id, severity from found union all select book_id, 'error' from p where page_no % 7 = 3),
+REPORT = f"""with {q_sql(DEFECTS, SHORT)}, every as (select book_id, severity from found union all select book_id, 'error' from p where page_no % 7 = 3),
  e as (select book_id, count_if(severity = 'error') n_errors, count_if(severity = 'warning') n_warnings, count_if(severity = 'info') n_infos from every group by book_id)
  select book_id, t.total_pages, t.successful_pages, coalesce(n_errors, 0)::bigint n_errors, coalesce(n_warnings, 0)::bigint n_warnings, coalesce(n_infos, 0)::bigint n_infos, coalesce(n_errors, 0) > 0 has_critical_errors
  from (select book_id, count(*) total_pages, (count(*) - count_if(page_no % 7 = 3))::bigint successful_pages from p group by book_id) t left join e using (book_id)"""
@@ -218,18 +258,29 @@ REPORT = f"""with {q_sql(DEFECTS)}, every as (select book_id, severity from foun
 
 @query(REPORT)
 def book_reports(spark, sf_dir):
-    return quality.report(pages(spark, sf_dir, DEFECTS).withColumn("ok", F.col("page_no") % 7 != 3), success="ok")
+    return quality.report(defective(spark, sf_dir).withColumn("ok", F.col("page_no") % 7 != 3), success="ok")
 
 
-@query(f"""with {q_sql(DEFECTS)} select book_id, page_no, severity, seq, cast(row_number() over (partition by book_id order by page_no, severity, seq) as int) place from found""")
+@query(f"""with {q_sql(DEFECTS, SHORT)} select book_id, page_no, severity, seq, cast(row_number() over (partition by book_id order by page_no, severity, seq) as int) place from found""")
 def findings_in_report_order(spark, sf_dir):
-    found = quality.report_lines(quality.findings(pages(spark, sf_dir, DEFECTS)))
+    found = quality.report_lines(quality.findings(defective(spark, sf_dir)))
     return found.select("book_id", "page_no", "severity", "seq", F.row_number().over(Window.partitionBy("book_id").orderBy("page_no", "severity", "seq")).alias("place"))
 
 
-@query()
+MARKER = "case severity when 'error' then '[ERROR]' when 'warning' then '[WARN] ' else '[INFO] ' end"
+ERROR_REPORTS = f"""with {q_sql(DEFECTS, SHORT)},
+ shown as (select *, case when length(context) > 100 then left(context, 100) || '...' else context end c from found),
+ lines_ as (select book_id, page_no, severity, seq, 'Page ' || lpad(cast(page_no as varchar), cast(greatest(4, length(cast(page_no as varchar))) as int), ' ') || ' ' || {MARKER} || ' ' || error_type || chr(10) || repeat(' ', 11) || message
+  || case when c <> '' then chr(10) || repeat(' ', 11) || 'Context: ' || chr(39) || replace(c, chr(10), chr(92) || 'n') || chr(39) else '' end line from shown),
+ per as (select book_id, count_if(severity = 'error') e, count_if(severity = 'warning') w, count_if(severity = 'info') i, string_agg(line, chr(10) || chr(10) order by page_no, severity, seq) issues from lines_ group by book_id),
+ t as (select book_id, count(*) n from p group by book_id)
+ select book_id, 'OCR Error Report' || chr(10) || '================' || chr(10) || 'Total pages: ' || n || chr(10) || 'Successful: ' || n || chr(10) || 'Errors: ' || coalesce(e, 0) || chr(10) || 'Warnings: ' || coalesce(w, 0) || chr(10)
+  || case when issues is null then '' else chr(10) || 'Issues by page:' || chr(10) || repeat('-', 40) || chr(10) || issues || chr(10) end report from t left join per using (book_id)"""
+
+
+@query(ERROR_REPORTS)
 def error_reports(spark, sf_dir):
-    return quality.report_text(pages(spark, sf_dir, DEFECTS))
+    return quality.report_text(defective(spark, sf_dir))
 
 
 # cleaning
@@ -241,12 +292,31 @@ def even_words(spark, sf_dir) -> DataFrame:
     return found.where(F.length("word") % 2 == 0)
 
 
-MENDED = f"""with {p_sql(BREAKS)}, dict as ({WORDS}),
- t as (select book_id, page_no, string_split(regexp_replace(text, '([\\p{{L}}\\p{{N}}_]+)-\\n([a-z][\\p{{L}}\\p{{N}}_]*)', chr(1) || '\\1' || chr(2) || '\\2' || chr(1), 'g'), chr(1)) parts from p),
- u as (select book_id, page_no, unnest(parts) part, generate_subscripts(parts, 1) i from t),
- m as (select book_id, page_no, string_agg(case when not contains(part, chr(2)) then part when d.word is not null then replace(part, chr(2), '') else replace(part, chr(2), '-') end, '' order by i) text
-  from u left join dict d on contains(part, chr(2)) and d.word = lower(replace(part, chr(2), '')) group by book_id, page_no)
- select book_id, page_no, {unwrap_macro('text')} cleaned from m"""
+def mend_sql(source: str, key: str = "book_id, page_no") -> str:
+    """CTEs up to ``mended`` (key, text): the source's texts with broken words mended by ``dict``."""
+    return f"""mt as (select {key}, string_split(regexp_replace(text, '([\\p{{L}}\\p{{N}}_]+)-\\n([a-z][\\p{{L}}\\p{{N}}_]*)', chr(1) || '\\1' || chr(2) || '\\2' || chr(1), 'g'), chr(1)) parts from {source}),
+ mu as (select {key}, unnest(parts) part, generate_subscripts(parts, 1) part_no from mt),
+ mended as (select {key}, string_agg(case when not contains(part, chr(2)) then part when d.word is not null then replace(part, chr(2), '') else replace(part, chr(2), '-') end, '' order by part_no) text
+  from mu left join dict d on contains(part, chr(2)) and d.word = lower(replace(part, chr(2), '')) group by {key})"""
+
+
+def cut_sql(source: str, key: str = "book_id, page_no") -> str:
+    """CTEs up to ``cut`` (key, text, phrase): the source's texts with the runs of their repeated phrase cut to one; the phrase is the shortest with ten repeats at a sampled start."""
+    return f"""cs as (select *, length(text) n, least(50, length(text) // 15) samples from {source} where length(text) >= 160),
+ cl as (select *, unnest(range(15, least(100, n // 10))) size from cs),
+ ck as (select *, greatest(1, (n - size * 10) // samples) step from cl),
+ cc as (select *, unnest(range(0, samples)) * step start_ from ck),
+ ch as (select {key}, size, start_, substr(text, start_ + 1, size) phrase from cc where start_ + size * 10 <= n and substr(text, start_ + 1, 1) = substr(text, start_ + 1 + size, 1) and substr(text, start_ + 1, 9 * size) = substr(text, start_ + 1 + size, 9 * size)),
+ cg as (select {key}, arg_min(phrase, size * 1000000000 + start_) phrase from ch where length({strip_sql('phrase')}) >= 7 group by {key}),
+ cut as (select {key}, case when phrase is null then text else regexp_replace(text, '(?:' || regexp_escape(phrase) || '){{2,}}', replace(phrase, chr(92), chr(92) || chr(92)), 'g') end text, phrase from {source} left join cg using ({key}))"""
+
+
+def blocks_sql(source: str, name: str, key: str = "book_id, page_no") -> str:
+    """A CTE ``name`` (book_id, page_no, text): the texts of a source's blocks (``block_no``) cleaned and joined as paragraphs."""
+    return f"{name} as (select book_id, page_no, coalesce(string_agg(t, chr(10) || chr(10) order by block_no) filter (where t <> ''), '') text from (select book_id, page_no, block_no, {unwrap_macro('text')} t from {source}) group by book_id, page_no)"
+
+
+MENDED = f"with {p_sql(BREAKS)}, dict as ({WORDS}), {mend_sql('p')} select book_id, page_no, {unwrap_macro('text')} cleaned from mended"
 
 
 @query(MENDED)
@@ -276,13 +346,17 @@ def clean_layout_blocks(spark, sf_dir):
     return clean.clean_blocks(pages(spark, sf_dir).withColumn("blocks", F.expr(BLOCKS)), repetition=False).select("book_id", "page_no", "cleaned")
 
 
-@query()
+BLOCK = "book_id, page_no, block_no"
+
+
+@query(f"""with {p_sql(REPEATS)}, dict as ({WORDS}), bl as (select book_id, page_no, unnest(string_split(text, chr(10))) text, generate_subscripts(string_split(text, chr(10)), 1) block_no from p), b as (select * from bl where block_no > 2),
+ {cut_sql('b', BLOCK)}, {mend_sql('cut', BLOCK)}, {blocks_sql('mended', 'done')} select p.book_id, p.page_no, coalesce(done.text, '') cleaned from p left join done using (book_id, page_no)""")
 def clean_layout_blocks_fully(spark, sf_dir):
     rows = pages(spark, sf_dir, REPEATS).withColumn("blocks", F.expr(BLOCKS))
     return clean.clean_blocks(rows, even_words(spark, sf_dir)).select("book_id", "page_no", "cleaned")
 
 
-SIMPLE = "regexp_replace(replace(replace(substr(text, 1, 200), '\\\\', ''), '\"', ''), '[\\n\\r\\t]', ' '{g})"
+SIMPLE = "regexp_replace(replace(replace(text, '\\\\', ''), '\"', ''), '[\\n\\r\\t]', ' '{g})"
 RAW = "case page_no % 4 when 0 then concat('[{\"category\":\"Page-header\",\"text\":\"top\"},{\"category\":\"Text\",\"text\":\"', " + SIMPLE + ", '\"}]') when 1 then '[]' when 2 then '{\"raw_response\": \"x\"}' else null end"
 
 
@@ -306,14 +380,7 @@ def salvaged_fragments(spark, sf_dir):
     return pages(spark, sf_dir, SCRAPS.replace("'\\\\'", "'\\\\\\\\'")).select("book_id", "page_no", text.fragments(F.col("text")).alias("salvaged"))
 
 
-# the shortest phrase with ten repeats at a sampled start
-PHRASES = f"""with {p_sql(REPEATS)}, s as (select *, length(text) n, least(50, length(text) // 15) samples from p where length(text) >= 160),
- l as (select *, unnest(range(15, least(100, n // 10))) size from s),
- k as (select *, greatest(1, (n - size * 10) // samples) step from l),
- c as (select *, unnest(range(0, samples)) * step start_ from k),
- h as (select book_id, page_no, size, start_, substr(text, start_ + 1, size) phrase from c where start_ + size * 10 <= n and substr(text, start_ + 1, 9 * size) = substr(text, start_ + 1 + size, 9 * size)),
- g as (select * from h where length({strip_sql('phrase')}) >= 7)
- select p.book_id, p.page_no, g.phrase from p left join (select book_id, page_no, arg_min(phrase, size * 1000000000 + start_) phrase from g group by book_id, page_no) g using (book_id, page_no)"""
+PHRASES = f"with {p_sql(REPEATS)}, {cut_sql('p')} select book_id, page_no, phrase from cut"
 
 
 @query(PHRASES)
@@ -321,7 +388,7 @@ def repeated_phrases(spark, sf_dir):
     return clean.repetitions(pages(spark, sf_dir, REPEATS)).select("book_id", "page_no", "phrase")
 
 
-@query()
+@query(f"with {p_sql(REPEATS)}, {cut_sql('p')} select book_id, page_no, cut.text <> p.text changed, cast(length(cut.text) as int) n_chars from cut join p using (book_id, page_no)")
 def pages_without_repetition(spark, sf_dir):
     return clean.repetitions(pages(spark, sf_dir, REPEATS)).select("book_id", "page_no", (F.col("cleaned") != F.col("text")).alias("changed"), F.length("cleaned").alias("n_chars"))
 
@@ -391,7 +458,7 @@ def escaped_xml(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", scalar.escape_xml(F.concat("props", F.lit(" <a> & 'b'"))).alias("escaped"))
 
 
-@query("""with h as (select page_id, concat(substr(html, 1, 2000), '<br><hr class="a"><img src="b"> & &amp; &#12; &x', chr(7)) x from pages),
+@query("""with h as (select page_id, concat(html, '<br><hr class="a"><img src="b"> & &amp; &#12; &x', chr(7)) x from pages),
  a as (select page_id, regexp_replace(regexp_replace(x, '<(br|hr|img)([^/>]*)>', '<\\1\\2/>', 'g'), '<img([^>]*[^/>])>', '<img\\1/>', 'g') x from h),
  b as (select page_id, replace(replace(regexp_replace(x, '&(#?[\\p{L}\\p{N}_]+;)', chr(2) || '\\1', 'g'), '&', '&amp;'), chr(2), '&') x from a)
  select page_id, regexp_replace(x, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g') xhtml from b""")
@@ -531,7 +598,7 @@ def page_names(spark, sf_dir) -> DataFrame:
     return rows.select(F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("f")).select("f.*")
 
 
-@query("select concat('/b/', event_type, '/ocr_pages') folder, cast(event_id as int) page_no, concat(s, '.md') markdown, case when event_id % 2 = 0 then concat(s, '.json') end json, case when event_id % 3 < 2 then concat(s, '.jpg') else concat('page_', event_id, '.jpg') end image from (select *, concat('page_', lpad(cast(event_id as varchar), 4, '0')) s from events where event_id < 3000)")
+@query("select concat('/b/', event_type, '/ocr_pages') folder, cast(event_id as int) page_no, concat(s, '.md') markdown, case when event_id % 2 = 0 then concat(s, '.json') end json, case when event_id % 3 < 2 then concat(s, '.jpg') else concat('page_', event_id, '.jpg') end image from (select *, concat('page_', case when event_id > 9999 then cast(event_id as varchar) else lpad(cast(event_id as varchar), 4, '0') end) s from events)")
 def page_listing(spark, sf_dir):
     return review.listing(page_names(spark, sf_dir))
 
@@ -541,7 +608,7 @@ def page_naming(spark, sf_dir):
     return readers.naming(page_names(spark, sf_dir))
 
 
-@query("select cast(event_id as int) page_no, concat('page_', lpad(cast(event_id as varchar), 4, '0'), '.md') name, cast(row_number() over (order by concat('page_', lpad(cast(event_id as varchar), 4, '0'), '.md')) as int) by_path, cast(row_number() over (order by event_id) as int) by_number from events where event_id between 9900 and 10200 or event_id < 100")
+@query("select page_no, name, cast(row_number() over (order by name) as int) by_path, cast(row_number() over (order by page_no) as int) by_number from (select cast(event_id as int) page_no, concat('page_', case when event_id > 9999 then cast(event_id as varchar) else lpad(cast(event_id as varchar), 4, '0') end, '.md') name from events)")
 def page_orders(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.lit("/b").alias("book_id"), F.col("event_id").cast("int").alias("page_no"))
     rows = rows.withColumn("name", F.concat(F.lit("page_"), F.when(F.col("page_no") > 9999, F.col("page_no").cast("string")).otherwise(F.lpad(F.col("page_no").cast("string"), 4, "0")), F.lit(".md")))
@@ -581,7 +648,7 @@ def pages_cached(spark, sf_dir):
     return resume.cached(*order_outputs(spark, sf_dir), key=("page_no",)).select("page_no")
 
 
-@query(f"with {p_sql()} select book_id, page_no, case when page_no % 6 = 0 then null else left(text, 40) end text, page_no % 6 <> 0 and page_no % 6 <> 1 success, case when page_no % 6 = 0 then 'Processing failed or was interrupted' when page_no % 6 = 1 then 'bad image' end error_message from p")
+@query(f"with {p_sql()} select book_id, page_no, case when page_no % 6 = 0 then null else text end text, page_no % 6 <> 0 and page_no % 6 <> 1 success, case when page_no % 6 = 0 then 'Processing failed or was interrupted' when page_no % 6 = 1 then 'bad image' end error_message from p")
 def results_with_gaps_filled(spark, sf_dir):
     return results(spark, sf_dir)
 
@@ -612,17 +679,19 @@ def accuracy_speedups(spark, sf_dir):
     return found.select("rotation", F.round("avg_time", 6).alias("avg_time"), F.round("speedup", 6).alias("speedup"))
 
 
-@query(f"with {RUNS}, f as (select image, rotation, min(text) text, min(ocr_time) ocr_time from runs group by all) select r.image, r.rotation, length(r.text) - length(b.text) length_difference, b.ocr_time base_time from f r join f b on r.image = b.image and b.rotation = 0")
+def own_runs(spark, sf_dir) -> DataFrame:
+    """Every run with an image of its own: an image's four runs are documents 20 apart; its key is the doc_id of its baseline."""
+    return runs(spark, sf_dir).withColumn("image", F.col("doc_id") - (F.col("rotation") / 90 * 20).cast("bigint"))
+
+
+@query("with r as (select doc_id - doc_id // 20 % 4 * 20 image, doc_id // 20 % 4 * 90 rotation, text, n_chars / 100.0::double ocr_time from documents) select r.image, r.rotation, length(r.text) - length(b.text) length_difference, b.ocr_time base_time from r join r b on r.image = b.image and b.rotation = 0")
 def runs_with_baseline(spark, sf_dir):
-    one = runs(spark, sf_dir).groupBy("image", "rotation").agg(F.min("text").alias("text"), F.min("ocr_time").alias("ocr_time"))
-    return accuracy.with_baseline(one).select("image", "rotation", (F.length("text") - F.length("base_text")).cast("bigint").alias("length_difference"), "base_time")
+    return accuracy.with_baseline(own_runs(spark, sf_dir)).select("image", "rotation", (F.length("text") - F.length("base_text")).cast("bigint").alias("length_difference"), "base_time")
 
 
 @query()
 def accuracy_averages(spark, sf_dir):
-    # an image's four runs are documents 20 apart; its key is the doc_id of its baseline
-    own = runs(spark, sf_dir).withColumn("image", F.col("doc_id") - (F.col("rotation") / 90 * 20).cast("bigint"))
-    return accuracy.averages(accuracy.with_similarity(own))
+    return accuracy.averages(accuracy.with_similarity(own_runs(spark, sf_dir)))
 
 
 @query("select distinct source image from documents order by 1 limit 5")
@@ -637,15 +706,80 @@ def dictionary_words(spark, sf_dir):
     return readers.words(lines)
 
 
-@query()
+def own_folder(spark) -> str:
+    """A fresh folder that driver and executors share."""
+    return f"{ordered.shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+def written(files: DataFrame) -> None:
+    files.write.format("noop").mode("overwrite").save()
+
+
+@query(f"with {p_sql()} select book_id, page_no, 'markdown' kind, cast(length(text) as int) n_chars, md5(text) digest from p")
+def page_files(spark, sf_dir):
+    """Pages written as files, each in a folder of its book, and read again."""
+    folder = own_folder(spark)
+    rows = pages(spark, sf_dir).select("book_id", "page_no", "text", F.col("text").alias("text_nohf"), F.when(F.col("page_no") % 2 == 0, "[]").alias("raw"))
+    written(writers.page_files(rows, folder))
+    return readers.page_texts(spark, folder, readers.TIERS["analyze"]).select("book_id", "page_no", "kind", F.length("text").alias("n_chars"), F.md5(F.encode("text", "UTF-8")).alias("digest"))
+
+
+@query("select cast(doc_id as int) page_no, doc_id % 3 <> 0 has_json, doc_id % 5 <> 0 has_nohf, case when doc_id % 3 = 0 then null else doc_id % 3 = 1 end json_valid from documents where doc_id % 3 <> 0 or doc_id % 5 <> 0")
+def earlier_outputs(spark, sf_dir):
+    """What an earlier run left in a folder: some pages without JSON or with a broken one, some without their text."""
+    folder = own_folder(spark)
+    n = F.col("doc_id")
+    raw = F.when(n % 3 == 1, F.to_json(F.array("source"))).when(n % 3 == 2, "[broken")
+    rows = table(spark, sf_dir, "documents").select(F.lit("all").alias("book_id"), n.cast("int").alias("page_no"), F.lit(None).cast("string").alias("text"), F.when(n % 5 != 0, F.col("text")).alias("text_nohf"), raw.alias("raw"))
+    written(writers.page_files(rows, folder))
+    return readers.outputs(spark, f"{folder}/all").select("page_no", "has_json", "has_nohf", "json_valid")
+
+
+@query(books_sql(ENDINGS, True) + " select book_id, cast(length(content) as int) n_chars, md5(content) digest from k")
+def book_files(spark, sf_dir):
+    """Books written as markdown files and read again."""
+    folder = own_folder(spark)
+    written(writers.texts(joiner.books(pages(spark, sf_dir, ENDINGS)), folder))
+    return readers.markdown(spark, folder).select("book_id", F.length("content").alias("n_chars"), F.md5(F.encode("content", "UTF-8")).alias("digest"))
+
+
+@query("with f as (select 'IMG_' || page_id || case page_id % 3 when 0 then '.jpg' when 1 then '.PNG' else '.txt' end as name from pages) select name, case when name like '%.jpg' then cast(row_number() over (partition by name like '%.jpg' order by name) - 1 as int) end page_no from f where not name like '%.txt'")
+def image_files(spark, sf_dir):
+    """Images of a folder among other files, and the jpg files as pages by path."""
+    folder = own_folder(spark)
+    rows = table(spark, sf_dir, "pages").select(F.concat(F.lit("IMG_"), "page_id").alias("book_id"), "page_id", F.encode("url", "UTF-8").alias("content"))
+    for k, suffix in enumerate((".jpg", ".PNG", ".txt")):
+        written(writers.files(rows.where(F.col("page_id") % 3 == k), folder, "content", suffix))
+    numbers = readers.processed_images(spark, folder).select("name", "page_no")
+    return readers.images(spark, folder).select("name").join(numbers, "name", "left")
+
+
+EPUB_FILES = "mimetype META-INF/container.xml OEBPS/content.opf OEBPS/toc.ncx OEBPS/nav.xhtml OEBPS/stylesheet.css".split()
+
+
+@query(CHAPTERS.rpartition(" select book_id, cast(row_number()")[0] + f" select book_id, cast(count(*) as int) n_chapters, cast(count(*) + {len(EPUB_FILES)} as int) n_files, string_agg(title, chr(10) order by part) titles from every group by book_id")
 def book_epubs(spark, sf_dir):
+    """The chapters as the files themselves have them."""
     made = writers.epubs(chapters.chapters(joiner.books(pages(spark, sf_dir, ENDINGS), markers=False)))
-    return made.select("book_id", "n_chapters", F.sha1("epub").alias("digest"))
+    listed = F.pandas_udf(epub.listing, "struct<n_files: int, titles: array<string>>")("epub")
+    return made.select("book_id", "n_chapters", listed.alias("x")).select("book_id", "n_chapters", "x.n_files", F.array_join("x.titles", "\n").alias("titles"))
 
 
-@query()
+FULL_RUN = f"""with {p_sql(BOTH)}, dict as ({WORDS}),
+ raws as (select book_id, page_no, 1 block_no, {SIMPLE.replace('{g}', ", 'g'").replace(chr(92) * 2, chr(92))} text from p where page_no % 4 = 0),
+ by_blocks as (with {cut_sql('raws', BLOCK)}, {mend_sql('cut', BLOCK)}, {blocks_sql('mended', 'done')} select * from done),
+ marks as (select book_id, page_no, text from p where page_no % 4 <> 0),
+ by_text as (with {cut_sql('marks')}, {mend_sql('cut')}, parts as (select book_id, page_no, unnest(regexp_split_to_array(text, '\\n\\n+')) text, generate_subscripts(regexp_split_to_array(text, '\\n\\n+'), 1) block_no from mended), {blocks_sql('parts', 'done')} select * from done),
+ cleaned as (select * from by_blocks union all select * from by_text),
+ final as (with p as (select * from cleaned), {HEADER_LINES}, {ONCE}, {edges_sql('once')}, {stripped_sql('once')} select book_id, page_no, text from stripped),
+ whole as (with p as (select * from final), {CLASSES}, {pieces_sql(True)}, k as (select book_id, count(*) n_pages, string_agg(piece, '' order by page_no) content from x group by book_id), {without_running_sql('k')} select * from rr)
+ select book_id, n_pages, cast(length(content) as int) n_chars, md5(content) digest from whole"""
+
+
+@query(FULL_RUN)
 def full_run(spark, sf_dir):
-    rows = pages(spark, sf_dir, BOTH).select("book_id", "page_no", F.lit(None).cast("string").alias("raw"), F.col("text").alias("text_nohf"), F.lit(True).alias("success"))
+    """From recognised pages, each fourth with its layout as JSON, to books."""
+    raw = f"case when page_no % 4 = 0 then concat('[{{\"category\":\"Page-header\",\"text\":\"top\"}},{{\"category\":\"Text\",\"text\":\"', {SIMPLE}, '\"}}]') end"
+    rows = pages(spark, sf_dir, BOTH).select("book_id", "page_no", F.expr(raw.replace("{g}", "").replace("\\n\\r\\t", "\\\\n\\\\r\\\\t")).alias("raw"), F.col("text").alias("text_nohf"), F.lit(True).alias("success"))
     done = book.run(rows, even_words(spark, sf_dir), formats=("md",))
     return done.books.select("book_id", "n_pages", F.length("content").alias("n_chars"), F.md5(F.encode("content", "UTF-8")).alias("digest"))
-

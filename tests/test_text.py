@@ -161,3 +161,29 @@ def test_splices(spark):
     df = spark.createDataFrame([(0, "hello wrld", 6, 10, "world"), (1, "abc", 1, 2, ""), (2, "abc", 0, 0, "x"), (3, "abc", 1, 2, None)], "i int, text string, s int, e int, f string")
     assert results(df, scalar.spliced(F.col("text"), F.col("s"), F.col("e"), F.col("f"))) == ["hello world", "abc", "xabc", "abc"]
     assert results(df, scalar.sliced(F.col("text"), F.col("s"), F.col("e"))) == ["wrld", "b", "", "b"]
+
+
+def test_one_decimal_is_rounded_from_the_exact_value(spark):
+    r = random.Random(4)
+    values = [0.0, 0.05, 0.15, 0.25, 0.35, 0.45, 2.25, 2.75, 0.29999999999999998, 99.95, 0.95] + [r.randint(0, 2000) / r.choice([8, 20, 40, 200, 400, 7]) for _ in range(3000)] + [r.randint(1, 99) / r.randint(100, 4000) * 100 for _ in range(3000)]
+    df = column(spark, values, kind="double")
+    assert results(df, scalar.one_decimal(F.col("text"))) == [f"{v:.1f}" for v in values]
+
+
+def test_offsets_count_utf_16_units(spark):
+    t = "a😀b𐐀c"
+    raw = t.encode("utf-16-le")
+    df = spark.createDataFrame([(t, s, e) for s in range(8) for e in range(s, 8)], "t string, s int, e int")
+    for x in df.select("*", scalar.sliced(F.col("t"), F.col("s"), F.col("e")).alias("part"), scalar.spliced(F.col("t"), F.col("s"), F.col("e"), F.lit("-")).alias("done")).collect():
+        if {x.s, x.e} & {2, 5}:  # within a pair: the offset before it counts
+            continue
+        assert x.part == raw[2 * x.s : 2 * x.e].decode("utf-16-le") and x.done == (raw[: 2 * x.s] + b"-\0" + raw[2 * x.e :]).decode("utf-16-le")
+    inside = spark.createDataFrame([(t, 2, 5)], "t string, s int, e int").select(scalar.sliced(F.col("t"), F.col("s"), F.col("e"))).first()[0]
+    assert inside == "😀b"
+
+
+@pytest.mark.parametrize("odd", [None, "", "x", "a-\nb", "ab-\nCd ef-\ngh"])
+def test_joined_words_mend_like_the_set(spark, odd):
+    df = spark.createDataFrame([(odd, ["ab", "efgh"]), (odd, None)], "t string, known array<string>")
+    got = [r[0] for r in df.select(text.mend_with(F.col("t"), F.col("known"))).collect()]
+    assert got == [None if odd is None else text.mend(odd, {"ab", "efgh"}), None if odd is None else text.mend(odd, set())]
