@@ -78,9 +78,9 @@ def majorities(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
-    """(id, fp, shingles): ``lanes`` numbers of 64 bits as bytes, and how many shingles they are of; ``distinct``: each shingle once. ``extra``: columns to keep."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(f"`{c}`") for c in extra))
+def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp, shingles): ``lanes`` numbers of 64 bits as bytes, and how many shingles they are of. ``distinct``: each shingle once, and ``digest``, 128 bits that tell the set of shingles."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "text", STEP):
@@ -90,12 +90,17 @@ def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, distinct: bool
             sizes = np.array([len(x) for x in each])
             joined = np.concatenate(each)
             fp = np.column_stack([majorities(mix(joined, k), sizes) for k in range(lanes)])
-            yield pa.RecordBatch.from_arrays([column(b, "id"), pa.array([x.tobytes() for x in fp], pa.binary()), pa.array(sizes, pa.int64()), *(column(b, c) for c in extra)], names=["id", "fp", "shingles", *extra])
+            yield pa.RecordBatch.from_arrays([column(b, "id"), pa.array([x.tobytes() for x in fp], pa.binary()), pa.array(sizes, pa.int64()), *([pa.array([set_digest(x) for x in each], pa.binary())] if distinct else [])], names=["id", "fp", "shingles", *(["digest"] if distinct else [])])
 
-    schema = rows.select("id", F.lit(b"").alias("fp"), F.lit(0).cast("bigint").alias("shingles"), *(F.col(f"`{c}`") for c in extra)).schema
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, fp binary, shingles bigint" + (", digest binary" if distinct else "")
     return rows.mapInArrow(run, schema)
 
 
+def set_digest(hashes: np.ndarray) -> bytes:
+    """Of a set of shingles, sorted."""
+    return xxhash.xxh3_128_digest(hashes.astype("<u8").tobytes())
+
+
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The component, as its smallest member, of each of n nodes linked by a-b."""
     root = np.arange(n)
@@ -120,7 +125,7 @@ def bit_counts(fp: np.ndarray) -> np.ndarray:
 
 
 def near(x: np.ndarray, y: np.ndarray, radius: int, first: int, same: bool, sx: np.ndarray | None = None, sy: np.ndarray | None = None, ratio: float = 0.0) -> np.ndarray:
-    """Component of each row of tile x, then tile y (if it isn't x), over links of at most ``radius`` differing bits and a shingle-set size ratio of at least ``ratio``. ``first``: bits that the first 64 may differ by, at most ``radius``."""
+    """Component of each row of tile x, then tile y (if it isn't x), over links of at most ``radius`` differing bits and a shingle-set size ratio of at least ``ratio``. ``first``: bits that the first half of the lanes may differ by, at most ``radius``."""
     n, off = len(x) + (0 if same else len(y)), 0 if same else len(x)
     cx, cy = bit_counts(x), bit_counts(y)
     bx, by = np.arange(0, len(x), BLOCK), np.arange(0, len(y), BLOCK)
@@ -142,7 +147,10 @@ def near(x: np.ndarray, y: np.ndarray, radius: int, first: int, same: bool, sx:
             own = root[start : start + len(part)]
             if (own == own[0]).all():  # what is one with the whole block already needs no look
                 some = some[root[some + off] != own[0]]
-            r, c = np.nonzero(np.bitwise_count(part[:, :1] ^ y[some, 0][None, :]) <= first)
+            apart = np.bitwise_count(part[:, :1] ^ y[some, 0][None, :])
+            for lane in range(1, x.shape[1] // 2):
+                apart += np.bitwise_count(part[:, lane : lane + 1] ^ y[some, lane][None, :])
+            r, c = np.nonzero(apart <= first)
             r, c = r + start, some[c]
             keep = r < c if same else np.ones(len(r), dtype=bool)
             if x.shape[1] > 1:

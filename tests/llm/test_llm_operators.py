@@ -163,6 +163,9 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch):
             texts.append(" ".join(r.choice(vocabulary) if r.random() < share else w for w in base))
     hot = [r.choice(vocabulary) for _ in range(200)]
     texts += [" ".join(w if j != k else "new" for j, w in enumerate(hot)) for k in range(30)]
+    texts += [" ".join("drift" if j < 3 * k else w for j, w in enumerate(hot)) for k in range(40)]
+    for share in (0.03, 0.05):
+        texts += [" ".join(r.choice(vocabulary) if r.random() < share else w for w in hot) for _ in range(30)]
     texts += [None, "", texts[0].upper()]
     sets = [shingle_set(t) for t in texts]
     same = [(a, b) for a in range(len(texts)) for b in range(a) if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
@@ -170,7 +173,39 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch):
     got = {x.id: x.component for x in neardup.groups(docs_of(spark, texts)).collect()}
     assert got == want
     kept = neardup.representatives(docs_of(spark, texts, [(None, "x", None, None, None), (0, "again", None, None, None)]), ["doc_id", "text"]).collect()
-    assert sorted(x.doc_id for x in kept if x.doc_id is not None) == sorted(set(want.values())) and sum(x.doc_id is None for x in kept) == 1
+    # another text under the id 0 is in no group with the first one, so both stay
+    assert sorted(x.doc_id for x in kept if x.doc_id is not None) == sorted([0, *set(want.values())]) and sum(x.doc_id is None for x in kept) == 1
+
+
+def test_near_duplicate_pairs_of_the_documents_are_all_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    holders, sets = collections.defaultdict(list), {}
+    for r in docs.collect():
+        sets[r.doc_id] = shingle_set(r.text)
+        for s in sets[r.doc_id]:
+            holders[s].append(r.doc_id)
+    shared = collections.Counter()
+    for ids in holders.values():
+        if len(ids) <= 400:  # more than a shingle of a license line says nothing of two texts that share 0.8 of theirs
+            shared.update((a, b) for k, a in enumerate(ids) for b in ids[:k])
+    pairs = [(a, b) for (a, b), n in shared.items() if n >= 0.5 * min(len(sets[a]), len(sets[b])) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = {x.id: x.component for x in neardup.groups(docs).collect()}
+    assert len(pairs) > 1000 and got == components_of(sets, [*pairs, *((i, j) for ids in by_equal(sets).values() for i, j in zip(ids, ids[1:]))])
+
+
+def by_equal(sets):
+    found = collections.defaultdict(list)
+    for i, s in sets.items():
+        found[frozenset(s)].append(i)
+    return found
+
+
+def test_rows_that_repeat_an_id(spark):
+    long = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(3, long), (3, long), (3, "something else stands here for once"), (2, "something else stands here for once"), (5, long + " x"), (None, long), (None, None), (7, None), (7, "")]
+    df = spark.createDataFrame([(i, t, "k") for i, t in rows], "`doc.id` bigint, text string, digest string").repartition(3)
+    got = [(x["doc.id"], x.text or "") for x in neardup.representatives(df, ["doc.id", "text", "digest"], id_col="doc.id").collect()]
+    assert sorted(got, key=str) == sorted([(None, long), (None, ""), (2, rows[3][1]), (3, long), (7, "")], key=str)
 
 
 # quality
