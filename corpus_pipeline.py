@@ -55,11 +55,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another over documents, each written to the shared folder and read again."""
+    """The stages one after another over documents, each written to the shared folder and read again; what the next stage has read is deleted, the last result stays."""
     use_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = read(spark, sf_dir, "documents").select(*COLUMNS)
-    for name, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if k:
+            done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{STAGES[k - 1][0]}")
+            done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(done, True)
     return docs
