@@ -1,13 +1,19 @@
 """URL filter: rules on host and path first, logistic regression on hashed n-grams for the rest.
 
+The labelled table that stands in for a given one is made from words by one rule for both
+classes, so that the model learns the words' n-grams and no form of host or path.
+
 Cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is
 allowed (score 0); of the rules that fit, the longest wins, and of equally long ones that
-with the longer host; repeated rows are judged alike. The rules and the labelled table are
-bounded by ``MOST_RULES`` and ``MOST_LABELLED`` rows (ValueError beyond).
+with the longer host; repeated rows are judged alike; an empty table gives an empty result;
+a control character in a url is a character like any other, and urls are scored whole,
+however long. The rules and the labelled table are bounded by ``MOST_RULES`` and
+``MOST_LABELLED`` rows (ValueError beyond).
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -19,24 +25,37 @@ from .batches import column, steps, texts
 from .features import code_points, sums
 
 BITS, SIZES, MOST_RULES, MOST_LABELLED = 16, (3, 4, 5), 100_000, 100_000
-# The small labelled table, as words that stand in hosts and paths of pages to block and of pages to keep.
-BLOCKED_WORDS = "ads adserver adult banner bets betting bonus casino cheap clickbait coupon dating doubleclick escort farm free gamble jackpot lottery loans nude payday pills poker porn popup promo sex slots spam spamlink tracker track viagra warez win winner xxx".split()
-KEPT_WORDS = "about archive article blog books city college culture docs edu forum garden guide health help history home journal library magazine map museum music news notes open paper people photos press recipe research river school science shop sports stories support teach travel university village weather wiki".split()
-#: Names put together from these are kept too, so that an unknown name isn't held against a page.
-SYLLABLES = "al an ar con del en er es for gra hal in ing ion ka la lin mar mer nor on or per ra ren sa ser sol st ter th ti tion tor un ver wen".split()
-BLOCKED_HOSTS = ("{0}.example.com", "www.{0}.example.net", "{0}-{1}.example.org", "m.{0}-{1}.example.com", "blog.{1}{0}.test")
-KEPT_HOSTS = ("{0}.example.com", "www.{0}.example.net", "{0}.{1}.example.org", "m.{0}.example.com", "blog.{0}.test")
-PATHS = ("/en/{2}", "/de/{2}.html", "/fr/{2}/", "/es/{2}", "/")
+#: Rows of the labelled table that have names only; weight of the rows to block beside the others.
+NAMES, BALANCE = 2000, 0.5
+# Words of hosts and paths to block, words of those to keep, and sounds of names that say nothing.
+BLOCKED_WORDS = "ads adserver adult banner bet bets betting bingo bonus casino cheap clickbait coupon dating escort gamble jackpot loan loans lottery nude payday pills poker popup porn promo roulette sex sexy slots spam spin tracker viagra wager warez win winner xxx".split()
+KEPT_WORDS = "about archive art article blog book books church city college culture docs edu family forum garden guide health help history home house journal law library magazine map museum music news notes open paper park people photos press recipe research river royal school science shop sports stories support teach theatre travel university village weather wiki".split()
+SOUNDS = "b c d f g h k l m n p r s t v w ch sh th st tr br gr".split()
+#: Both classes have these forms in the same shares: {0} and {1} are words of the class or names, {2} a number.
+HOSTS = ("{0}.example.com", "www.{0}.example.net", "{0}-{1}.example.org", "m.{0}.example.com", "blog.{0}{1}.test", "{1}.{0}.example", "{0}{2}.test", "the{0}{1}.example")
+PATHS = ("/", "/en/{2}", "/de/{2}.html", "/{1}/{2}", "/fr/{1}-{2}", "/p/{2}/{1}.php", "", "/es/{2}/")
+
+
+def names(n: int) -> list[str]:
+    """Names put together from sounds, the same ones each time."""
+    drawn = random.Random(1)
+    return ["".join(drawn.choice(SOUNDS) + drawn.choice("aeiou") + drawn.choice(("", "", "n", "r", "s", "l")) for _ in range(drawn.randint(2, 3))) for _ in range(n)]
 
 
 def labelled() -> list[tuple[str, str, int]]:
-    """(host, path, 1 to block) rows made from the words."""
+    """(host, path, 1 to block): each word in each host form, beside another word or a name; then names alone, which are kept."""
     rows = []
-    names = [a + SYLLABLES[(7 * i + k * k) % len(SYLLABLES)] + SYLLABLES[(3 * i + 11 * k) % len(SYLLABLES)] * (k % 2) for i, a in enumerate(SYLLABLES) for k in range(4)]
-    for words, hosts, y in ((BLOCKED_WORDS, BLOCKED_HOSTS, 1), (KEPT_WORDS + names, KEPT_HOSTS, 0)):
+    other = names(2 * NAMES)
+    for words, y in ((BLOCKED_WORDS, 1), (KEPT_WORDS, 0)):
         for i, w in enumerate(words):
-            for j, h in enumerate(hosts):
-                rows.append((h.format(w, words[(i + j + 1) % len(words)]), PATHS[(i + j) % len(PATHS)].format(w, "", 1000 * j + i), y))
+            for j, h in enumerate(HOSTS):
+                beside = words[(i * 3 + j + 1) % len(words)] if (i + j) % 2 else other[(i * len(HOSTS) + j) % len(other)]
+                # a word stands first or second alike
+                one, two = (w, beside) if j % 3 else (beside, w)
+                path = PATHS[(i + j) % len(PATHS)].format("", w, 1000 * j + i)
+                rows.append((h.format(one, two, (31 * i + j) % 400), path, y))
+    for i, w in enumerate(other[:NAMES]):
+        rows.append((HOSTS[i % len(HOSTS)].format(w, other[-1 - i], i % 400), PATHS[i // 8 % len(PATHS)].format("", other[(i + 400) % len(other)], 7 * i), 0))
     return rows
 
 
@@ -57,26 +76,24 @@ def rest_of(url: Column) -> Column:
 
 def buckets(hosts: Sequence[str], paths: Sequence[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of the n-grams of ``^host$`` and, apart from them, of the path; the starts of each row."""
-    parts = [f"^{h}$\1{p}" for h, p in zip(hosts, paths, strict=True)]
-    codes, starts = code_points(parts)
-    cut = np.cumsum(codes == 1)
-    side = (cut - np.repeat(np.concatenate([[0], cut[starts[1:-1] - 1]]), np.diff(starts))).astype(bool).astype(np.uint64) if len(parts) else np.zeros(0, np.uint64)
+    parts = [x for h, p in zip(hosts, paths, strict=True) for x in (f"^{h}$", p)]
+    codes, cuts = code_points(parts)
+    width = np.diff(cuts)
+    side = np.repeat(np.arange(len(parts)) % 2, width).astype(np.uint64)
+    left = np.repeat(cuts[1:] - 1, width) - np.arange(len(codes))  # characters of the own part from here on
     found = []
     for n in SIZES:
         h = side * np.uint64(0x51ED270B)
-        bad = np.zeros(len(codes), dtype=bool)
         for k in range(n):
             m = len(codes) - k
             h[:m] = h[:m] * np.uint64(0x100000001B3) + codes[k:]
-            bad[:m] |= codes[k:] <= 1
-            bad[m:] = True
         h = (h + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
-        found.append(np.where(bad, 1 << bits, (h >> np.uint64(64 - bits)).astype(np.int64)))
-    return np.stack(found), starts
+        found.append(np.where(left < n, 1 << bits, (h >> np.uint64(64 - bits)).astype(np.int64)))
+    return np.stack(found), cuts[::2] if len(parts) else cuts
 
 
-def fit(rows: Sequence[tuple[str, str, int]], bits: int = BITS, rounds: int = 300, rate: float = 1.0, ridge: float = 1e-3) -> np.ndarray:
-    """Weights of the buckets, then 0 for none, then the intercept; by gradient steps scaled with each bucket's frequency."""
+def fit(rows: Sequence[tuple[str, str, int]], bits: int = BITS, rounds: int = 300, rate: float = 1.0, ridge: float = 0.1, balance: float = BALANCE) -> np.ndarray:
+    """Weights of the buckets, then 0 for none, then the intercept; by gradient steps scaled with each bucket's frequency. The rows to block count ``balance`` times as much in all as the others."""
     if len(rows) > MOST_LABELLED:
         raise ValueError(f"{len(rows)} labelled rows; at most {MOST_LABELLED} are allowed")
     w = np.zeros((1 << bits) + 2)
@@ -87,12 +104,13 @@ def fit(rows: Sequence[tuple[str, str, int]], bits: int = BITS, rounds: int = 30
     y, own = np.array(y, dtype=float), np.repeat(np.arange(len(rows)), np.diff(starts))
     size = np.maximum(sums((b < 1 << bits).sum(0), starts), 1)
     seen = np.zeros_like(w)
+    share = np.where(y > 0, balance * (y == 0).sum() / max(y.sum(), 1), 1.0) if 0 < y.sum() < len(y) else np.ones(len(y))
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-margin(w, b, starts, size)))
+        off = share * (y - 1 / (1 + np.exp(-margin(w, b, starts, size))))
         grad = np.zeros_like(w)
         for row in b:
-            grad[:-1] += np.bincount(row, ((y - p) / np.sqrt(size))[own], len(w) - 1)
-        grad[-2], grad[-1] = 0, (y - p).sum()
+            grad[:-1] += np.bincount(row, (off / np.sqrt(size))[own], len(w) - 1)
+        grad[-2], grad[-1] = 0, off.sum()
         grad -= ridge * w
         seen += grad**2
         w += rate * grad / np.sqrt(seen + 1e-12) * 0.1
