@@ -38,8 +38,10 @@ def hash60(key: Column) -> Column:
 def leaves(sizes: DataFrame, depth: int, base: int, limit: int) -> tuple[DataFrame, DataFrame]:
     """From (prefix, bytes) at ``depth``: (prefix, shard depth) of those that fit a bucket between the depths ``base`` and ``depth``, and (prefix) of those that don't."""
     levels = sizes.select("prefix", "bytes", F.explode(F.sequence(F.lit(base), F.lit(depth))).alias("d")).withColumn("p", F.expr(f"shiftright(prefix, {depth} - d)"))
-    sums = levels.groupBy("d", "p").agg(F.sum("bytes").alias("bytes"))
-    fits = levels.select("prefix", "d", "p").join(sums.where(F.col("bytes") <= limit).select("d", "p"), ["d", "p"]).groupBy("prefix").agg(F.min("d").alias("d"))
+    sums = checkpoint(levels.groupBy("d", "p").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") <= limit).select("d", "p"))
+    # the shallow prefixes that fit nowhere would bring all rows to a few keys
+    least = sums.agg(F.min("d")).first()[0]
+    fits = levels.where(F.col("d") >= (depth if least is None else least)).select("prefix", "d", "p").join(sums, ["d", "p"]).groupBy("prefix").agg(F.min("d").alias("d"))
     return fits, sizes.select("prefix").join(fits, "prefix", "left_anti")
 
 
@@ -79,7 +81,7 @@ def sharded(df: DataFrame, limit: int, key: str = "doc_id", text: str = "text",
     prefix = F.expr(f"substring(lpad(bin(h), {BITS}, '0'), 1, depth)")
     done = out.where("depth is not null").select("kept", "bytes", prefix.alias("shard"), "depth")
     if last == BITS:  # equal hashes over the limit: fill by running sums within slices of the rows, a slice at a time
-        same = out.where("depth is null").withColumn("row", F.monotonically_increasing_id()).withColumn("slice", F.shiftright("row", 33))
+        same = checkpoint(out.where("depth is null")).withColumn("row", F.monotonically_increasing_id()).withColumn("slice", F.shiftright("row", 33))
         alone = F.col("bytes") > limit // 2
         part = Window.partitionBy("h", "slice", F.pmod(F.xxhash64("row"), F.lit(16))).orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
         room = limit - limit // 2
