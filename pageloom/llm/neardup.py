@@ -2,17 +2,18 @@
 
 Documents of equal shingle sets (by a 128-bit digest of the set) meet as one node. Fingerprints
 of 256 bits over distinct five-word shingles find candidates: at a Jaccard similarity of 0.8
-two fingerprints differ in about 39 bits (48 for sets of 4 and 5 shingles; standard deviation
-6), unrelated ones in 128 (8). Pairs within ``RADIUS`` bits, of which ``FIRST`` may lie in the
-first half, and whose set sizes allow the similarity are candidates; a pair at 0.8 lies beyond
-with a chance below 1 in 10^6 (``tests/llm`` counts none missed among all pairs).
+two fingerprints differ in at most 38 bits on average (48 for sets of 4 and 5 shingles;
+standard deviation 6), unrelated ones in 128 (8). Pairs within ``RADIUS`` bits (``WIDE`` for
+sets under so many shingles), of which ``FIRST`` may lie in the first half, and whose set sizes
+allow the similarity are candidates; a pair at 0.8 lies beyond with a chance below 1 in 10^6
+(``tests/llm`` counts none missed among all pairs of 10,000 documents).
 
 Only texts that share a candidate component are compared again, exactly: all pairs within
 chunks of a bounded number of texts, small components many to a task; then one text of each
 group that a chunk has made, with those of the component's other chunks; and last, only for
-components that are still in several groups, each text outside the largest group with all of
-the component's texts in other chunks. So a large family of copies is read a few times, not
-once for each of its chunks, and no link between texts is lost. A task reports a spanning
+components that are still in several groups, what these two steps have left open between the
+texts outside the largest group and all others. So a large family of copies is read a few
+times, not once for each of its chunks, and no link between texts is lost. A task reports a spanning
 forest of the pairs it confirms. Groups are the components over confirmed pairs.
 
 Cases: texts without words are equal to each other; null texts are empty; of rows with the
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .batches import checkpoint, column, steps, texts
 from .simhash import STEP, components, fingerprints, forest, links, set_digest, shingle_hashes
 
-WORDS, SIMILARITY, LANES, RADIUS, FIRST = 5, 0.8, 4, 84, 46
+WORDS, SIMILARITY, LANES, RADIUS, WIDE, FIRST = 5, 0.8, 4, 66, (8, 84), 46
 #: Texts in a chunk of a large component, and in a task of small ones.
 CHUNK, TASK = 192, 384
 #: Ids of so few candidates are broadcast to the documents; more are joined by a shuffle.
@@ -72,7 +73,7 @@ def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
     fps = checkpoint(fingerprints(docs.where(F.col(f"`{id_col}`").isNotNull()), words, LANES, True, id_col, text_col))
     sets = fps.groupBy("digest").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("shingles").alias("shingles"))
     nodes = checkpoint(sets.withColumn("node", F.monotonically_increasing_id()))
-    found = components(links(nodes.select(F.col("node").alias("id"), "fp", "shingles"), RADIUS, LANES, FIRST, similarity))
+    found = components(links(nodes.select(F.col("node").alias("id"), "fp", "shingles"), RADIUS, LANES, FIRST, similarity, wide=WIDE))
     both = found.unionByName(found.select(F.col("component").alias("id"), "component")).distinct().withColumnRenamed("id", "node")
     candidates = checkpoint(both.join(nodes.select("node", "id", "digest"), "node"))
     pairs = checkpoint(verified(docs, candidates, words, similarity, id_col, text_col))
@@ -143,7 +144,7 @@ def verified(docs: DataFrame, candidates: DataFrame, words: int, similarity: flo
     """(a, b): a spanning forest of the confirmed pairs of nodes within the components of (node, id, digest, component)."""
     sets = shingle_sets(docs, candidates, words, id_col, text_col)
     tasks = max(1, -(-candidates.count() // TASK))
-    yes, no = F.lit(True), F.lit(False)
+    yes = F.lit(True)
     small = F.struct(F.lit(-1).cast("bigint").alias("c"), F.pmod(F.xxhash64("component"), F.lit(tasks)).cast("int").alias("i"), F.lit(0).alias("j"))
     large = F.struct(F.col("component").alias("c"), F.col("chunk").alias("i"), F.col("chunk").alias("j"))
     own = sets.select(F.when(F.col("chunks") > 1, large).otherwise(small).alias("task"), F.col("component").alias("job"), yes.alias("left"), yes.alias("right"), "node", "shingles")
@@ -152,27 +153,25 @@ def verified(docs: DataFrame, candidates: DataFrame, words: int, similarity: flo
     if spread.isEmpty():
         return within
     # one text of each group of a chunk, with those of the other chunks
-    first = grouped(spread, within).groupBy("component", "chunk", "root").agg(F.min("node").alias("node"))
+    first = checkpoint(grouped(spread, within).groupBy("component", "chunk", "root").agg(F.min("node").alias("node")))
     counted = first.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
     chosen = checkpoint(spread.select("node", "shingles").join(first.select("node", "component"), "node").join(counted, "component"))
     met = meeting(chosen, F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.col("parts"), yes, yes)
     across = checkpoint(within.unionByName(compared(met, similarity)))
-    # what is still outside its component's largest group, with all texts of the component
-    named = checkpoint(grouped(spread, across))
+    # between what is outside a component's largest group and the rest, all but pairs of those that have met already
+    named = checkpoint(grouped(spread, across).join(first.select("node", F.lit(True).alias("met")), "node", "left").withColumn("met", F.coalesce("met", F.lit(False))))
     sizes = named.groupBy("component", "root").agg(F.count("*").alias("n"))
     most = sizes.groupBy("component").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("groups")).where("groups > 1")
-    left_over = named.join(most, "component").select("node", (F.col("root") != F.col("most")).alias("outside"))
-    open_ = spread.join(left_over, "node")
-    outside = open_.where("outside").groupBy("component", "chunk").agg(F.count("*").alias("n"))
-    if outside.isEmpty():
+    open_ = checkpoint(named.join(most, "component").select("node", "component", "chunk", "met", (F.col("root") != F.col("most")).alias("outside")))
+    if open_.where("not met").isEmpty():
         return across
-    chunks = outside.groupBy("component").agg(F.collect_list("chunk").alias("_outside"))
-    rest = open_.join(chunks, "component")
-    # a chunk meets those that hold such texts; one that holds some itself meets all
-    partners = F.when(F.col("outside"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.col("_outside"))
-    dealt = rest.withColumn("_other", F.explode(partners))
+    chunks_with = lambda c: F.collect_set(F.when(c, F.col("chunk")))
+    new, out = ~F.col("met"), F.col("outside")
+    held = open_.groupBy("component").agg(chunks_with(new).alias("_new"), chunks_with(out).alias("_out"), chunks_with(new & out).alias("_both"))
+    partners = F.when(new & out, F.sequence(F.lit(0), F.col("chunks") - 1)).when(out, F.col("_new")).when(new, F.col("_out")).otherwise(F.col("_both"))
+    rest = spread.select("node", "chunks", "shingles").join(open_, "node").join(held, "component").withColumn("_other", F.explode(partners))
     task = F.struct(F.col("component").alias("c"), F.least("chunk", "_other").alias("i"), F.greatest("chunk", "_other").alias("j"))
-    pairs = dealt.where("chunk <> _other").select(task.alias("task"), F.lit(0).cast("bigint").alias("job"), F.col("outside").alias("left"), yes.alias("right"), "node", "shingles")
+    pairs = rest.where("chunk <> _other").select(task.alias("task"), F.lit(0).cast("bigint").alias("job"), out.alias("left"), yes.alias("right"), "node", "shingles")
     return across.unionByName(compared(pairs, similarity))
 
 

@@ -124,8 +124,8 @@ def bit_counts(fp: np.ndarray) -> np.ndarray:
     return np.bitwise_count(np.ascontiguousarray(fp).view(np.uint16)).astype(np.int16)
 
 
-def near(x: np.ndarray, y: np.ndarray, radius: int, first: int, same: bool, sx: np.ndarray | None = None, sy: np.ndarray | None = None, ratio: float = 0.0) -> np.ndarray:
-    """Component of each row of tile x, then tile y (if it isn't x), over links of at most ``radius`` differing bits and a shingle-set size ratio of at least ``ratio``. ``first``: bits that the first half of the lanes may differ by, at most ``radius``."""
+def near(x: np.ndarray, y: np.ndarray, radius: int, first: int, same: bool, sx: np.ndarray | None = None, sy: np.ndarray | None = None, ratio: float = 0.0, wide: tuple[int, int] | None = None) -> np.ndarray:
+    """Component of each row of tile x, then tile y (if it isn't x), over links of at most ``radius`` differing bits and a shingle-set size ratio of at least ``ratio``. ``first``: bits that the first half of the lanes may differ by. ``wide``: (n, bits), another radius, no smaller, for pairs with a set under n shingles."""
     n, off = len(x) + (0 if same else len(y)), 0 if same else len(x)
     cx, cy = bit_counts(x), bit_counts(y)
     bx, by = np.arange(0, len(x), BLOCK), np.arange(0, len(y), BLOCK)
@@ -134,7 +134,7 @@ def near(x: np.ndarray, y: np.ndarray, radius: int, first: int, same: bool, sx:
     root = np.arange(n)
     for i, start in enumerate(bx):
         gap = np.maximum(np.maximum(low_x[i] - high_y, low_y - high_x[i]), 0).sum(1)
-        met = np.flatnonzero(gap <= radius)
+        met = np.flatnonzero(gap <= (wide[1] if wide else radius))
         if same:
             met = met[met >= i]
         if not len(met):
@@ -154,7 +154,8 @@ def near(x: np.ndarray, y: np.ndarray, radius: int, first: int, same: bool, sx:
             r, c = r + start, some[c]
             keep = r < c if same else np.ones(len(r), dtype=bool)
             if x.shape[1] > 1:
-                keep &= np.bitwise_count(x[r] ^ y[c]).sum(1, dtype=np.int64) <= radius
+                most = np.where(np.minimum(sx[r], sy[c]) < wide[0], wide[1], radius) if wide else radius
+                keep &= np.bitwise_count(x[r] ^ y[c]).sum(1, dtype=np.int64) <= most
             if ratio:
                 keep &= np.minimum(sx[r], sy[c]) >= ratio * np.maximum(sx[r], sy[c]) - 1e-9
             r, c = r[keep], c[keep]
@@ -163,7 +164,7 @@ def near(x: np.ndarray, y: np.ndarray, radius: int, first: int, same: bool, sx:
     return root
 
 
-def links(fps: DataFrame, radius: int, lanes: int = 1, first: int | None = None, ratio: float = 0.0, tile: int | None = None) -> DataFrame:
+def links(fps: DataFrame, radius: int, lanes: int = 1, first: int | None = None, ratio: float = 0.0, tile: int | None = None, wide: tuple[int, int] | None = None) -> DataFrame:
     """(a, b): a spanning forest over the distinct fingerprints (id, fp, shingles) of the links between them, as ids."""
     first = radius if first is None else min(first, radius)
     spark = fps.sparkSession
@@ -175,9 +176,9 @@ def links(fps: DataFrame, radius: int, lanes: int = 1, first: int | None = None,
             raise ValueError("wider fingerprints and radii need a size ratio")
         high = F.bit_count(F.conv(F.hex(F.substring("fp", 1, 4)), 16, 10).cast("bigint"))
         low = F.bit_count(F.conv(F.hex(F.substring("fp", 5, 4)), 16, 10).cast("bigint"))
-        wide = 64
-        cell = (high * wide + low).cast("int")
-        steps_to = [a * wide + b for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if abs(a) + abs(b) <= radius and (a, b) >= (0, 0)]
+        base = 64
+        cell = (high * base + low).cast("int")
+        steps_to = [a * base + b for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if abs(a) + abs(b) <= radius and (a, b) >= (0, 0)]
     rows = fps.where(F.col("id").isNotNull()).withColumn("cell", cell)
     sizes = {r["cell"]: r["n"] for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most 65 x 65 cells, or as many as sizes have logarithms
     tile = tile or min(max(sum(sizes.values()) // TILE_SHARE, TILE_LEAST), TILE_MOST)
@@ -215,7 +216,7 @@ def links(fps: DataFrame, radius: int, lanes: int = 1, first: int | None = None,
         x, ix, sx = open_(side[True])
         same = len(side) == 1
         y, iy, sy = (x, ix, sx) if same else open_(side[False])
-        root = near(x, y, radius, first, same, sx, sy, ratio)
+        root = near(x, y, radius, first, same, sx, sy, ratio, wide)
         ids = ix if same else np.concatenate([ix, iy])
         at = np.flatnonzero(root != np.arange(len(root)))
         return pa.table({"a": ids[root[at]], "b": ids[at]}, schema=link_schema)
