@@ -17,7 +17,7 @@ from pageloom.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document stays if the model gives it at least this probability of good quality, and its language this margin and fit (nats an n-gram).
-LEAST_QUALITY, LEAST_MARGIN, LEAST_FIT = 0.5, 0.2, -2.5
+LEAST_QUALITY, LEAST_MARGIN, LEAST_FIT = 0.5, 0.1, -2.5
 CAPACITY = 1024
 
 

@@ -1,463 +1,374 @@
 """Approximate nearest neighbours by largest cosine: NN-descent and greedy graph search.
 
-Index: equal vectors become one node (the smallest id; its few smallest ids are kept for
-answers). Nodes are dealt to parts of a bounded number of rows. A few random-hyperplane
-orders give first neighbours from blocks of neighbours in the order; then each round is a
-chain of Spark joins on the part: every node sends its vector to the nodes that it lists and
-to a sample of those that list it, each node compares all that it received with one another,
-and pairs closer than what a node already has go home and are merged into its list.
-
-Search: every query keeps a beam of the closest nodes found. Each round the closest ones not
-yet expanded are looked up in the graph, their neighbours are scored exactly against the
-original vectors where these live, and the results are merged into the beam.
-
-Sizes of lists, samples and beams are parameters; every row is indexed and every query
-answered. Cases: vectors that are null, empty, zero, hold null or non-finite numbers, or
-are not of the table's most frequent dimension (of equally frequent ones the larger) take no
-part, neither as query nor as candidate; null ids neither; repeated ids with different
-vectors count as candidates each.
+Index: equal vectors become one node, named by a hash of the vector; its few smallest ids are
+kept for answers. A tree over a bounded sample deals nodes to parts of about ``PART`` rows, so
+that near ones mostly share a part; each node is also a guest of the next part. Blocks within
+a part give first neighbours. Then each round is two joins on the part: a part asks the others
+for the neighbours of its nodes' neighbours, both ways, and every node keeps the closest of
+all it meets (``nngraph.merge``); only steps that are new since the last round are taken.
+Vectors travel as signed bytes, once for each part that needs them. Parts are kept in tables
+bucketed by part in the session's warehouse, so they are never shuffled themselves.
+
+Search: a query goes to the two parts that the tree names, and there to the leaves of a finer
+tree; from these it follows the graph greedily, within a part until its beam holds nothing to
+expand, then on to the parts where the rest of the beam lives. The closest nodes found are
+scored on the original vectors in double precision. A query needn't be a row of the table.
+
+Every row is indexed and every query answered; sizes of lists, beams and rounds are
+parameters. Vectors of different lengths have no cosine: each length has a graph of its own.
+Cases: vectors that are null, empty, zero, or hold null or non-finite numbers take no part,
+neither as query nor as candidate; null ids neither; rows that repeat an id and vector count
+once; an id with several vectors is a query with each, and an answer once, by its closest;
+a query's own id is no answer; ties go to the smaller id; other columns don't matter.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import nngraph as G
 from .batches import checkpoint, column
 
-#: Neighbours of a node, those it hears of in a round, new pairs it passes on for each, rounds, orders to start from.
-DEGREE, HEARD, PASSED, ROUNDS, ORDERS = 32, 64, 12, 5, 3
-#: Nodes a query keeps, expands in a round, and its rounds.
-BEAM, EXPANDED, HOPS = 300, 80, 5
-PART, BLOCK = 2048, 1024
-NONE = -1
+#: Neighbours of a node, those that list it and join a round, rounds at most, and the share of changed neighbours below which they end.
+DEGREE, LISTERS, ROUNDS, STILL = 16, 8, 4, 0.05
+#: Nodes of a part, about, and vectors that its tree is fitted on at most.
+PART, SAMPLE = 16_384, 65_536
+#: Nodes that a query keeps, expands at a time, and times that it moves on to other parts.
+BEAM, WIDTH, HOPS = 128, 8, 8
+#: Queries of a group, and shares that the answers of equal queries are dealt in.
+GROUP, SALTS = 512, 8
 
+PART_COLUMNS = {"ids": "<i8", "vec": "i1", "near": "<i8", "nearp": "<i4", "sims": "<f4", "fresh": "?", "hid": "<i8", "hpart": "<i4", "hvec": "i1"}
+ASK = {"vids": "<i8", "vvec": "i1", "v": "<i4", "m": "<i8", "watch": "<i8"}
+REPLY = {"m": "<i8", "count": "<i4", "e": "<i4", "uids": "<i8", "upart": "<i4", "uvec": "i1"}
+INDEX = {"ids": "<i8", "vec": "i1", "links": "<i4", "hid": "<i8", "hpart": "<i4", "hvec": "i1", "directions": "<f4", "cuts": "<f4", "leaf": "<i4"}
+FOUND = {"ids": "<i8", "parts": "<i4", "sims": "<f4", "done": "?"}
 
-def part_of(ids: np.ndarray, parts: int) -> np.ndarray:
-    x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-    return ((x ^ x >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
 
+def shape(columns: dict[str, str], *first: str) -> str:
+    return ", ".join([*first, *(f"{c} binary" for c in columns)])
 
-def lottery(a: np.ndarray, b: np.ndarray, turn: int) -> np.ndarray:
-    """A number for each pair that says which pairs a sample takes."""
-    x = (a.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) ^ b.astype(np.uint64)) + np.uint64(turn)
-    return (x ^ x >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
 
+def packed(kind: dict[str, str], arrays: G.Part) -> dict[str, bytes]:
+    return {c: np.ascontiguousarray(arrays[c], dtype=t).tobytes() for c, t in kind.items()}
 
-def stack(col: pa.ChunkedArray, kind: str, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), dtype=kind).reshape(-1, width)
 
+def opened(kind: dict[str, str], row: dict, widths: dict[str, int]) -> G.Part:
+    """The arrays of a row; a column with a width is a matrix."""
+    return {c: (x.reshape(-1, widths[c]) if c in widths else x) for c, t in kind.items() for x in [np.frombuffer(row[c], dtype=t)]}
 
-def flat(col: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """All values of a binary column, and how many each row has."""
-    raw = col.to_pylist()
-    return np.frombuffer(b"".join(raw), dtype=kind), np.array([len(x) for x in raw], dtype=np.int64) // np.dtype(kind).itemsize
 
+def usable(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(id, v array<double>) of the rows that take part."""
+    rows = table.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{vec_col}`").cast("array<double>").alias("v")).where(F.col("id").isNotNull() & (F.size("v") > 0))
+    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    return rows.where(fine)
 
-def by_part(parts: np.ndarray, columns: dict[str, np.ndarray]) -> dict[str, list]:
-    """One row of bytes for each part."""
-    order = np.argsort(parts, kind="stable")
-    values, firsts = np.unique(parts[order], return_index=True)
-    ends = np.append(firsts[1:], len(order))[: len(firsts)]
-    return {"pid": values.tolist()} | {k: [x[order[a:b]].tobytes() for a, b in zip(firsts, ends, strict=True)] for k, x in columns.items()}
 
+def matrix(vectors: pa.Array, dim: int) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
-def best(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each owner's closest others without repeats, at most so many; the owners ascending, the closest first, ties to the smaller."""
-    order = np.lexsort([-sim, other, owner])
-    owner, other, sim = owner[order], other[order], sim[order]
-    fresh = np.concatenate([[True], (owner[1:] != owner[:-1]) | (other[1:] != other[:-1])]) if len(owner) else np.zeros(0, bool)
-    owner, other, sim = owner[fresh], other[fresh], sim[fresh]
-    order = np.lexsort([other, -sim, owner])
-    owner, other, sim = owner[order], other[order], sim[order]
-    keep = rank(owner) < most
-    return owner[keep], other[keep], sim[keep]
 
+def unit_of(raw: np.ndarray) -> np.ndarray:
+    """Scaled first, so that no square overflows or vanishes."""
+    x = raw / np.abs(raw).max(axis=1, keepdims=True)
+    return (x / np.sqrt((x**2).sum(axis=1, keepdims=True))).astype(np.float32)
 
-def rank(owner: np.ndarray) -> np.ndarray:
-    """Place of each row among its owner's (rows of an owner stand together)."""
-    if not len(owner):
-        return np.zeros(0, np.int64)
-    firsts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-    return np.arange(len(owner)) - np.repeat(firsts, np.diff(np.append(firsts, len(owner))))
 
-
-def usable(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v array<double>) of the rows that take part."""
-    rows = table.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & (F.size("v") > 0))
-    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = rows.where(fine)
-    top = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    return rows.where(F.size("v") == (top["d"] if top else 0))
+def hashes(raw: np.ndarray) -> np.ndarray:
+    """A name for each vector, not negative; -0.0 and 0.0 are equal."""
+    return np.array([xxhash.xxh3_64_intdigest(x.tobytes()) >> 1 for x in raw + 0.0], dtype=np.int64)
 
 
 class Index:
-    """The neighbour graph of a table's vectors."""
+    """The neighbour graphs of a table's vectors, one for each length."""
 
-    def __init__(self, table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", answers: int = 5, degree: int = DEGREE, rounds: int = ROUNDS):
+    def __init__(self, table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", answers: int = 5, degree: int = DEGREE, rounds: int = ROUNDS, part: int = PART):
         rows = usable(table, id_col, vec_col)
-        same = Window.partitionBy("v").orderBy("id")
-        self.members = checkpoint(rows.withColumn("k", F.row_number().over(same)).where(F.col("k") <= answers + 1).select("id", "v", "k"))
-        first = self.members.where("k = 1")
-        self.n = first.count()
-        self.parts, self.degree = max(1, -(-self.n // PART)), degree
-        self.dim = len((first.select("v").first() or [[0]])[0])
-        parts, dim = self.parts, self.dim
-
-        def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        self.spark = table.sparkSession
+        found = rows.groupBy(F.size("v").alias("dim")).count().collect()  # one row for each length of vectors
+        self.graphs = {r["dim"]: Graph(rows.where(F.size("v") == r["dim"]), r["dim"], r["count"], answers, degree, rounds, part) for r in sorted(found)}
+
+    def search(self, queries: DataFrame, k: int = 5, beam: int = BEAM, width: int = WIDTH, hops: int = HOPS, id_col: str = "id", vec_col: str = "v") -> DataFrame:
+        """(query_id, rank, vec_id, score) for queries of any table; a query whose length no row has finds nothing."""
+        rows = usable(queries, id_col, vec_col)
+        out = self.spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+        for dim, graph in self.graphs.items():
+            out = out.unionByName(graph.search(rows.where(F.size("v") == dim), k, beam, width, hops))
+        return out
+
+    def close(self) -> None:
+        """Drops the tables; results that aren't written yet are lost."""
+        for graph in self.graphs.values():
+            graph.close()
+
+
+class Graph:
+    def __init__(self, rows: DataFrame, dim: int, n: int, answers: int, degree: int, rounds: int, part: int):
+        self.spark, self.dim, self.degree = rows.sparkSession, dim, degree
+        self.name, self.tables, self.scored = f"neighbours_{uuid.uuid4().hex}", [], None
+        depth = max(0, int(np.ceil(np.log2(n / part)))) if n else 0
+        self.buckets = 1 << depth
+        self.keys = part_keys(self.spark, self.buckets)
+        self.tree = G.grow(self.sample(rows, n, min(SAMPLE, max(4096, 64 << depth))), depth)
+        self.widths = {"vec": dim, "hvec": dim, "vvec": dim, "uvec": dim, "near": degree, "nearp": degree, "sims": degree, "fresh": degree, "links": degree + LISTERS, "directions": dim}
+        begun = self.deal(rows, answers).groupBy("pid").applyInArrow(self.starter(answers), shape(PART_COLUMNS | {"raw": "", "counts": "", "members": ""}, "pid int", "changed bigint", "held bigint"))
+        self.raw = state = self.saved(begun)
+        for turn in range(rounds):
+            if self.buckets == 1 and turn == 0:
+                pass  # a single part has all that it asks for
+            told = self.joined(state, self.asked(state, False), self.replier(turn), shape(REPLY, "pid int"))
+            new = self.saved(self.joined(state, told, self.merger(turn), shape(PART_COLUMNS, "pid int", "changed bigint", "held bigint")))
+            if turn:
+                self.drop(state)
+            state = new
+            changed, held = state.agg(F.sum("changed"), F.sum("held")).first()
+            if not held or changed < STILL * held:
+                break
+        self.index = self.saved(self.joined(state, self.asked(state, True), self.finisher(), shape(INDEX, "pid int")))
+
+    def sample(self, rows: DataFrame, n: int, most: int) -> np.ndarray:
+        """A sample by hash, of at most twice so many rows."""
+        share = min(1.0, most / max(n, 1)) * (1 << 30)
+        got = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= share).select("v").limit(2 * most).toArrow()["v"]
+        return unit_of(matrix(got.combine_chunks(), self.dim)) if len(got) else np.zeros((0, self.dim), np.float32)
+
+    def saved(self, df: DataFrame) -> DataFrame:
+        """As a table bucketed by part: reading it needs no shuffle to meet messages to the parts."""
+        name = f"{self.name}_{len(self.tables)}"
+        df.write.bucketBy(self.buckets, "pid").format("parquet").saveAsTable(name)
+        self.tables.append(name)
+        return self.spark.table(name)
+
+    def drop(self, df: DataFrame) -> None:
+        name = next(t for t in self.tables if t == df.select("pid").inputFiles()[0].split("/")[-2])
+        self.spark.sql(f"drop table if exists {name}")
+
+    def close(self) -> None:
+        for name in self.tables:
+            self.spark.sql(f"drop table if exists {name}")
+
+    def deal(self, rows: DataFrame, answers: int) -> DataFrame:
+        """Each distinct vector of a batch to its part with its smallest ids, and without them to the next one as a guest."""
+        dim, tree, keys = self.dim, self.tree, self.keys
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if b.num_rows:
-                    ids = column(b, "id").to_numpy()
-                    raw = column(b, "v").flatten().to_numpy().reshape(-1, dim)
-                    unit = raw / np.abs(raw).max(axis=1, keepdims=True)
-                    unit = unit / np.sqrt((unit**2).sum(axis=1, keepdims=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(part_of(ids, parts)), pa.array(ids), pa.array([x.tobytes() for x in unit.astype("<f2")], pa.binary()), pa.array([x.tobytes() for x in unit.astype("<f4")], pa.binary())], names=["pid", "id", "vec", "raw"])
-
-        self.vectors = checkpoint(first.select("id", "v").mapInArrow(encode, "pid int, id bigint, vec binary, raw binary"))
-        self.graph = self.build(rounds)
-
-    def build(self, rounds: int) -> DataFrame:
-        """(pid, id, vec, near, sims), then (pid, id, near) with those that list a node added."""
-        parts, dim, degree = self.parts, self.dim, self.degree
-        shape = "pid int, who binary, other binary, sim binary"
-        found = None
-        for t in range(ORDERS):
-            planes = np.random.default_rng(t).standard_normal((dim, max(1, int(np.ceil(np.log2(max(2, self.n / BLOCK)))))))
-            one = self.ordered(planes, t).mapInArrow(block_pairs(parts, dim, degree), shape)
-            found = one if found is None else found.unionByName(one)
-        state = checkpoint(self.merged(self.vectors.select("pid", "id", "vec", F.lit(b"").alias("near"), F.lit(b"").alias("sims")), found))
-        for r in range(rounds):
-            letters = self.to_lists(state).groupBy("pid")
-            sent = state.groupBy("pid").cogroup(letters).applyInArrow(send(parts, dim, degree, r), "pid int, id binary, vec binary, least binary, heard binary, to binary")
-            pairs = sent.groupBy("pid").applyInArrow(compare(parts, dim, r), shape)
-            state = checkpoint(self.merged(state, pairs))
-        letters = self.to_lists(state).groupBy("pid")
-        return checkpoint(state.groupBy("pid").cogroup(letters).applyInArrow(both_ways(degree), "pid int, id bigint, near binary"))
-
-    def ordered(self, planes: np.ndarray, turn: int) -> DataFrame:
-        """Rows in the order of their sides of the planes, in blocks of a bounded size."""
-        dim = self.dim
-
-        def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                if not b.num_rows:
+                    continue
+                raw, ids = matrix(column(b, "v"), dim) + 0.0, column(b, "id").to_numpy()
+                named = hashes(raw)
+                order = np.lexsort([ids, named])
+                fresh = np.concatenate([[True], (named[order][1:] != named[order][:-1]) | (raw[order][1:] != raw[order][:-1]).any(axis=1)])
+                first, end = np.flatnonzero(fresh), np.append(np.flatnonzero(fresh)[1:], len(order))
+                members = [np.unique(ids[order[x:y]])[: answers + 1].astype("<i8").tobytes() for x, y in zip(first, end, strict=True)]
+                raw, named = raw[order[first]], named[order[first]]
+                unit = unit_of(raw)
+                own, beside = (keys[x] for x in G.leaves(unit, tree))
+                guest = np.flatnonzero(own != beside)
+                none = [None] * len(guest)
+                columns = [
+                    np.concatenate([own, beside[guest]]).astype(np.int32), np.concatenate([own, own[guest]]).astype(np.int32), np.concatenate([named, named[guest]]),
+                    pa.array([*(x.tobytes() for x in raw), *none], pa.binary()), pa.array([*([None] * len(own)), *(x.tobytes() for x in G.bytes_of(unit[guest]))], pa.binary()), pa.array([*members, *none], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=["pid", "home", "node", "raw", "vec", "members"])
+
+        return rows.mapInArrow(run, "pid int, home int, node bigint, raw binary, vec binary, members binary")
+
+    def starter(self, answers: int) -> Callable:
+        dim, degree = self.dim, self.degree
+
+        def run(key: tuple, table: pa.Table) -> pa.Table:
+            pid = key[0].as_py()
+            held = {"raw": [], "ids": [], "members": []}
+            own = table.filter(pa.compute.is_valid(table["raw"])).sort_by([("node", "ascending"), ("raw", "ascending")])
+            nodes, raws, lists = own["node"].to_numpy(), own["raw"].to_pylist(), own["members"].to_pylist()
+            for node, raw, some in zip(nodes, raws, lists, strict=True):
+                if held["raw"] and held["raw"][-1] == raw:
+                    held["members"][-1].append(some)
+                else:  # another vector of the same name takes the next free one
+                    held["ids"].append(max(int(node), held["ids"][-1] + 1 if held["ids"] else 0))
+                    held["raw"].append(raw)
+                    held["members"].append([some])
+            members = [np.unique(np.frombuffer(b"".join(x), "<i8"))[: answers + 1] for x in held["members"]]
+            raw = np.frombuffer(b"".join(held["raw"]), "<f8").reshape(-1, dim)
+            guests = table.filter(pa.compute.is_valid(table["vec"])).sort_by("node")
+            gids, gpart, gvec = G.once(guests["node"].to_numpy(), guests["home"].to_numpy(), np.frombuffer(b"".join(guests["vec"].to_pylist()), "i1").reshape(-1, dim))
+            vec = G.bytes_of(unit_of(raw)) if len(raw) else np.zeros((0, dim), np.int8)
+            part = G.begin(np.array(held["ids"], np.int64), vec, pid, gids, gpart, gvec, degree)
+            row = packed(PART_COLUMNS, part) | {"raw": raw.tobytes(), "counts": np.array([len(x) for x in members], "<i4").tobytes(), "members": np.concatenate([np.zeros(0, "<i8"), *members]).astype("<i8").tobytes()}
+            return rows_of([{"pid": pid, "changed": 0, "held": 0} | row], ["pid", "changed", "held"])
+
+        return run
+
+    def asked(self, state: DataFrame, every: bool) -> DataFrame:
+        """(pid, frm, ...): the messages of each part to the others."""
+        widths, need = self.widths, [c for c in PART_COLUMNS if c not in ("sims", "hid", "hpart", "hvec")]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if b.num_rows:
-                    side = stack(column(b, "vec"), "<f2", dim).astype(np.float32) @ planes > 0
-                    code = side @ (1 << np.arange(planes.shape[1]))
-                    deal = lottery(column(b, "id").to_numpy(), np.zeros(b.num_rows, np.int64), turn).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(deal), column(b, "id"), column(b, "vec")], names=["code", "deal", "id", "vec"])
+                for r in b.to_pylist():
+                    part = opened({c: PART_COLUMNS[c] for c in need}, r, widths)
+                    out = [{"pid": q, "frm": r["pid"]} | packed(ASK, x) for q, x in G.asks(part, r["pid"], every).items()]
+                    yield from rows_of(out, ["pid", "frm"], ASK).to_batches()
 
-        rows = self.vectors.mapInArrow(sides, "code bigint, deal bigint, id bigint, vec binary")
-        return rows.repartitionByRange(max(1, -(-self.n // BLOCK)), "code", "deal")
+        return state.select("pid", *need).mapInArrow(run, shape(ASK, "pid int", "frm int"))
 
-    def to_lists(self, state: DataFrame) -> DataFrame:
-        """To each part, who lists whom in it."""
-        parts = self.parts
+    def joined(self, state: DataFrame, messages: DataFrame, run: Callable, result: str) -> DataFrame:
+        """Each part with the messages to it; only the messages are shuffled."""
+        names = [c.split()[0] for c in result.split(", ")]
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def one(own: pa.Table, sent: pa.Table) -> pa.Table:
+            out = [x for r in own.to_pylist() for x in run(r, sent.to_pylist())]
+            return rows_of(out, [n for n, c in zip(names, result.split(", "), strict=True) if not c.endswith("binary")], [n for n, c in zip(names, result.split(", "), strict=True) if c.endswith("binary")])
+
+        return state.select("pid", *(c for c in state.columns if c in PART_COLUMNS)).groupBy("pid").cogroup(messages.groupBy("pid")).applyInArrow(one, result)
+
+    def replier(self, turn: int) -> Callable:
+        widths = self.widths
+
+        def run(r: dict, sent: list[dict]) -> list[dict]:
+            letters = [(x["frm"], opened(ASK, x, widths)) for x in sorted(sent, key=lambda x: x["frm"])]
+            return [{"pid": q} | packed(REPLY, x) for q, x in G.replies(opened(PART_COLUMNS, r, widths), r["pid"], letters, LISTERS, turn).items()]
+
+        return run
+
+    def merger(self, turn: int) -> Callable:
+        widths = self.widths
+
+        def run(r: dict, sent: list[dict]) -> list[dict]:
+            part = G.merge(opened(PART_COLUMNS, r, widths), r["pid"], [opened(REPLY, x, widths) for x in sent], LISTERS, turn)
+            return [{"pid": r["pid"], "changed": int(part["fresh"].sum()), "held": int((part["near"] >= 0).sum())} | packed(PART_COLUMNS, part)]
+
+        return run
+
+    def finisher(self) -> Callable:
+        widths = self.widths
+
+        def run(r: dict, sent: list[dict]) -> list[dict]:
+            letters = [(x["frm"], opened(ASK, x, widths)) for x in sorted(sent, key=lambda x: x["frm"])]
+            return [{"pid": r["pid"]} | packed(INDEX, G.finished(opened(PART_COLUMNS, r, widths), r["pid"], letters, LISTERS))]
+
+        return run
+
+    def search(self, queries: DataFrame, k: int, beam: int, width: int, hops: int) -> DataFrame:
+        """(query_id, rank, vec_id, score) for queries (id, v). ``scored`` is then a table of (q, scored): how many nodes each query was compared with."""
+        dim, tree, keys, widths = self.dim, self.tree, self.keys, self.widths
+
+        def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    near, n = flat(column(b, "near"), "<i8")
-                    yield pa.RecordBatch.from_pydict(by_part(part_of(near, parts), {"listed": near, "by": np.repeat(column(b, "id").to_numpy(), n)}), pa.schema([("pid", pa.int32()), ("listed", pa.binary()), ("by", pa.binary())]))
-
-        return state.select("id", "near").mapInArrow(run, "pid int, listed binary, by binary")
-
-    def merged(self, state: DataFrame, pairs: DataFrame) -> DataFrame:
-        degree = self.degree
-
-        def run(own: pa.Table, new: pa.Table) -> pa.Table:
-            ids = own["id"].to_numpy()
-            near, n = flat(own["near"], "<i8")
-            sims, _ = flat(own["sims"], "<f4")
-            who, other, sim = (flat(new[c], k)[0] for c, k in (("who", "<i8"), ("other", "<i8"), ("sim", "<f4")))
-            owner, other, sim = best(np.concatenate([np.repeat(ids, n), who]), np.concatenate([near, other]), np.concatenate([sims, sim]), degree)
-            order = np.argsort(ids, kind="stable")
-            a, b = np.searchsorted(owner, ids[order]), np.searchsorted(owner, ids[order], side="right")
-            own = own.take(pa.array(order))
-            out = own.select(["pid", "id", "vec"])
-            out = out.append_column("near", pa.array([other[x:y].astype("<i8").tobytes() for x, y in zip(a, b, strict=True)], pa.binary()))
-            return out.append_column("sims", pa.array([sim[x:y].astype("<f4").tobytes() for x, y in zip(a, b, strict=True)], pa.binary()))
-
-        return state.groupBy("pid").cogroup(pairs.groupBy("pid")).applyInArrow(run, "pid int, id bigint, vec binary, near binary, sims binary")
-
-    def search(self, queries: DataFrame, k: int = 5, beam: int = BEAM, expanded: int = EXPANDED, hops: int = HOPS) -> DataFrame:
-        """(query_id, rank, vec_id, score) for queries (id, v) that are rows of the index; a query's own id is no answer."""
-        parts, dim = self.parts, self.dim
-        known = self.members.select("v", "id", "k").where("k = 1").select("v", F.col("id").alias("node"))
-        asked = queries.select("id", "v").join(known, "v").select(F.col("id").alias("q"), "node").distinct()
-        groups = max(1, -(-asked.select("node").distinct().count() // 512))
-
-        def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                    raw = matrix(column(b, "v"), dim) + 0.0
+                    own, beside = (keys[x].astype(np.int32) for x in G.leaves(unit_of(raw), tree))
+                    yield pa.RecordBatch.from_arrays([column(b, "id"), pa.array(hashes(raw)), pa.array([x.tobytes() for x in raw], pa.binary()), pa.array([np.unique(x).tolist() for x in np.stack([own, beside], axis=1)], pa.list_(pa.int32()))], names=["id", "q", "raw", "pids"])
+
+        asked = checkpoint(queries.mapInArrow(name, "id bigint, q bigint, raw binary, pids array<int>"))
+        one = asked.groupBy("q").agg(F.min(F.struct("raw", "pids")).alias("x")).select("q", "x.*")
+        groups = max(1, -(-asked.select("q").distinct().count() // GROUP))
+        empty = {c: F.lit(b"").alias(c) for c in FOUND}
+        state = checkpoint(one.select(F.pmod("q", F.lit(groups)).cast("int").alias("g"), "q", "raw", F.lit(0).cast("bigint").alias("scored"), *empty.values()))
+        asks = one.select(F.explode("pids").alias("pid"), "q", "raw", F.lit(b"").alias("ids"), F.lit(b"").alias("done"))
+
+        def look(own: pa.Table, sent: pa.Table) -> pa.Table:
+            out, letters = [], sent.to_pylist()
+            for r in own.to_pylist():
+                if letters:
+                    unit = unit_of(np.frombuffer(b"".join(x["raw"] for x in letters), "<f8").reshape(-1, dim))
+                    seeds = [(np.frombuffer(x["ids"], "<i8"), np.frombuffer(x["done"], "?")) for x in letters]
+                    for x, (ids, parts, sims, done, scored) in zip(letters, G.explore(opened(INDEX, r, widths), r["pid"], unit, seeds, beam, width), strict=True):
+                        out.append({"g": x["q"] % groups, "q": x["q"], "scored": scored} | packed(FOUND, {"ids": ids, "parts": parts, "sims": sims, "done": done}))
+            return rows_of(out, ["g", "q", "scored"], FOUND, ("q", "scored"))
+
+        def gather(own: pa.Table, sent: pa.Table) -> pa.Table:
+            out, told = [], {}
+            for x in sent.to_pylist():
+                told.setdefault(x["q"], []).append(x)
+            for r in own.to_pylist():
+                found = [opened(FOUND, x, {}) for x in [r, *told.get(r["q"], ())]]
+                ids, parts, sims, done = (np.concatenate([x[c] for x in found]) for c in FOUND)
+                order = np.lexsort([~done, ids])  # what has been expanded anywhere is
+                ids, parts, sims, done = ids[order], parts[order], sims[order], done[order]
+                ids, parts, sims, done = G.once(ids, parts, sims, done)
+                order = np.lexsort([ids, -sims])[:beam]
+                out.append({"g": r["g"], "q": r["q"], "raw": r["raw"], "scored": r["scored"] + sum(x["scored"] for x in told.get(r["q"], ()))} | packed(FOUND, {"ids": ids[order], "parts": parts[order], "sims": sims[order], "done": done[order]}))
+            return rows_of(out, ["g", "q", "scored"], ["raw", *FOUND], ("q", "scored"))
+
+        def onward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if b.num_rows:
-                    q = column(b, "id").to_numpy()
-                    yield pa.RecordBatch.from_arrays([pa.array(part_of(q + 1, groups)), pa.array(q), column(b, "raw"), pa.array([np.array([x], "<i8").tobytes() for x in q]), pa.array([np.ones(1, "<f4").tobytes()] * len(q)), pa.array([b"\0"] * len(q))], names=["g", "q", "raw", "near", "sims", "done"])
-
-        state_shape = "g int, q bigint, raw binary, near binary, sims binary, done binary"
-        starts = asked.select(F.col("node").alias("id")).distinct().join(self.vectors, "id").select("id", "raw")
-        state = checkpoint(starts.mapInArrow(begin, state_shape))
-        for _ in range(hops):
-            asks = state.mapInArrow(ask(parts, dim, expanded), LETTER)
-            told = self.graph.groupBy("pid").cogroup(asks.groupBy("pid")).applyInArrow(look_up(parts, dim), LETTER)
-            scored = self.vectors.select("pid", "id", "raw").groupBy("pid").cogroup(told.groupBy("pid")).applyInArrow(measure(dim), "g int, q binary, n binary, ids binary, sims binary")
-            state = checkpoint(state.groupBy("g").cogroup(scored.groupBy("g")).applyInArrow(keep_best(beam, expanded), state_shape))
-
-        def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                out = []
+                for r in b.to_pylist():
+                    x = opened(FOUND, r, {})
+                    for p in np.unique(x["parts"][~x["done"]]):
+                        mine = x["parts"] == p
+                        out.append({"pid": int(p), "q": r["q"], "raw": r["raw"], "ids": x["ids"][mine].tobytes(), "done": x["done"][mine].tobytes()})
+                yield from rows_of(out, ["pid", "q"], ["raw", "ids", "done"], ("q",)).to_batches()
+
+        index = self.index.groupBy("pid")
+        for hop in range(hops):
+            found = index.cogroup(asks.groupBy("pid")).applyInArrow(look, shape(FOUND, "g int", "q bigint", "scored bigint"))
+            state = checkpoint(state.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(gather, "g int, q bigint, scored bigint, raw binary, " + shape(FOUND)))
+            if hop + 1 < hops:
+                asks = checkpoint(state.mapInArrow(onward, "pid int, q bigint, raw binary, ids binary, done binary"))
+                if asks.isEmpty():
+                    break
+        self.scored = state.select("q", "scored")
+
+        def closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if b.num_rows:
-                    near, n = flat(column(b, "near"), "<i8")
-                    sims, _ = flat(column(b, "sims"), "<f4")
-                    q = np.repeat(column(b, "q").to_numpy(), n)
-                    few = rank(q) <= 2 * k + 2
-                    yield pa.RecordBatch.from_arrays([pa.array(q[few]), pa.array(near[few]), pa.array(sims[few].astype(np.float64))], names=["node", "first", "sim"])
-
-        hits = state.mapInArrow(answers, "node bigint, first bigint, sim double")
-        per = asked.join(hits, "node").join(known.select(F.col("v").alias("w"), F.col("node").alias("first")), "first")
-        every = per.join(self.members.select(F.col("v").alias("w"), F.col("id").alias("vec_id")), "w").where("vec_id <> q")
-        mine = asked.join(known, "node").select("q", F.col("v").alias("u"))
-        dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        exact = every.join(mine, "q").withColumn("score", dot("u", "w") / (F.sqrt(dot("u", "u")) * F.sqrt(dot("w", "w"))))
-        place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
-        return exact.select(F.col("q").alias("query_id"), place.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
-
-
-def block_pairs(parts: int, dim: int, degree: int):
-    """The closest within a block of rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        ids, x = table["id"].to_numpy(), stack(table["vec"], "<f2", dim).astype(np.float32)
-        for a in range(0, len(ids), BLOCK):
-            b = min(len(ids), a + 2 * BLOCK) if len(ids) - a <= 2 * BLOCK else a + BLOCK
-            part = slice(a, b)
-            sims = x[part] @ x[part].T
-            np.fill_diagonal(sims, -9)
-            n = min(degree, sims.shape[1] - 1)
-            if n > 0:
-                at = np.argpartition(-sims, n - 1, axis=1)[:, :n]
-                who, other, sim = np.repeat(ids[part], n), ids[part][at].ravel(), np.take_along_axis(sims, at, 1).ravel()
-                yield packed_pairs(who, other, sim, parts)
-            if b == len(ids):
-                break
-
-    return run
-
-
-def packed_pairs(who: np.ndarray, other: np.ndarray, sim: np.ndarray, parts: int) -> pa.RecordBatch:
-    rows = by_part(part_of(who, parts), {"who": who.astype("<i8"), "other": other.astype("<i8"), "sim": sim.astype("<f4")})
-    return pa.RecordBatch.from_pydict(rows, pa.schema([("pid", pa.int32()), ("who", pa.binary()), ("other", pa.binary()), ("sim", pa.binary())]))
-
-
-def listeners(letters: pa.Table, most: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
-    """(node, one that lists it): for each node a sample of at most so many."""
-    listed, by = flat(letters["listed"], "<i8")[0], flat(letters["by"], "<i8")[0]
-    order = np.lexsort([lottery(by, listed, turn), listed])
-    listed, by = listed[order], by[order]
-    keep = rank(listed) < most
-    return listed[keep], by[keep]
-
-
-def send(parts: int, dim: int, degree: int, turn: int):
-    """Each node's vector to the parts of the nodes that are to hear of it: a row for each part."""
-
-    def run(own: pa.Table, letters: pa.Table) -> pa.Table:
-        ids = own["id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        vectors = stack(own["vec"], "<f2", dim)
-        near, n = flat(own["near"], "<i8")
-        sims, _ = flat(own["sims"], "<f4")
-        ends = np.cumsum(n)
-        least = np.where(n == degree, sims[np.maximum(ends - 1, 0)] if len(sims) else 0, -9).astype(np.float32)
-        node, by = listeners(letters, degree, turn)
-        frm, to = np.concatenate([np.repeat(ids, n), node]), np.concatenate([near, by])
-        pid = part_of(to, parts)
-        by_place = np.lexsort([to, frm, pid])
-        frm, to, pid = frm[by_place], to[by_place], pid[by_place]
-        fresh = np.concatenate([[True], (frm[1:] != frm[:-1]) | (to[1:] != to[:-1])]) if len(frm) else np.zeros(0, bool)
-        frm, to, pid = frm[fresh], to[fresh], pid[fresh]
-        rows: dict[str, list] = {c: [] for c in ("pid", "id", "vec", "least", "heard", "to")}
-        for p in np.unique(pid):
-            a, b = np.searchsorted(pid, p), np.searchsorted(pid, p, side="right")
-            some, heard = np.unique(frm[a:b], return_counts=True)
-            at = order[np.searchsorted(ids[order], some)]
-            for k, x in zip(rows, (int(p), some.astype("<i8").tobytes(), vectors[at].tobytes(), least[at].tobytes(), heard.astype("<i8").tobytes(), to[a:b].astype("<i8").tobytes()), strict=True):
-                rows[k].append(x)
-        return pa.table(rows, schema=pa.schema([("pid", pa.int32()), *((c, pa.binary()) for c in ("id", "vec", "least", "heard", "to"))]))
-
-    return run
-
-
-def compare(parts: int, dim: int, turn: int):
-    """All that a node has heard of with one another; what is closer than the least that one of them has goes to it."""
-
-    def run(table: pa.Table) -> pa.Table:
-        ids, least, n, to = (flat(table[c], k)[0] for c, k in (("id", "<i8"), ("least", "<f4"), ("heard", "<i8"), ("to", "<i8")))
-        x = stack(table["vec"], "<f2", dim).astype(np.float32)
-        row = np.repeat(np.arange(len(ids)), n)
-        order = np.lexsort([lottery(ids[row], to, turn), to])
-        to, row = to[order], row[order]
-        place = rank(to)
-        keep = place < HEARD
-        to, row, place = to[keep], row[keep], place[keep]
-        number = np.cumsum(np.concatenate([[0], to[1:] != to[:-1]])) if len(to) else to
-        heard = np.full((int(number[-1]) + 1 if len(number) else 0, HEARD), NONE)
-        heard[number, place] = row
-        out: list[tuple[np.ndarray, ...]] = []
-        most = min(PASSED, HEARD - 1)
-        for a in range(0, len(heard), 128):
-            some = heard[a : a + 128]
-            v = x[some]
-            sims = v @ v.transpose(0, 2, 1)
-            no = some < 0
-            sims[no[:, :, None] | no[:, None, :]] = -9
-            sims[:, np.arange(HEARD), np.arange(HEARD)] = -9
-            at = np.argpartition(-sims, most, axis=2)[:, :, :most]
-            s = np.take_along_axis(sims, at, 2)
-            w = np.take_along_axis(np.broadcast_to(some[:, None, :], sims.shape), at, 2)
-            u = np.broadcast_to(some[:, :, None], w.shape)
-            good = (s > -9) & (s > least[u])
-            out.append((ids[u[good]], ids[w[good]], s[good]))
-        who, other, sim = (np.concatenate([x[i] for x in out]) if out else np.zeros(0) for i in range(3))
-        who, other, sim = best(who.astype(np.int64), other.astype(np.int64), sim.astype(np.float32), 4 * HEARD)
-        return pa.Table.from_batches([packed_pairs(who, other, sim, parts)])
-
-    return run
-
-
-def both_ways(degree: int):
-    def run(own: pa.Table, letters: pa.Table) -> pa.Table:
-        ids = own["id"].to_numpy()
-        near, n = flat(own["near"], "<i8")
-        node, by = listeners(letters, 2 * degree, NONE & 0xFF)
-        frm, to = np.concatenate([np.repeat(ids, n), node]), np.concatenate([near, by])
-        order = np.lexsort([to, frm])
-        frm, to = frm[order], to[order]
-        a, b = np.searchsorted(frm, ids), np.searchsorted(frm, ids, side="right")
-        return own.select(["pid", "id"]).append_column("near", pa.array([np.unique(to[x:y]).astype("<i8").tobytes() for x, y in zip(a, b, strict=True)], pa.binary()))
-
-    return run
-
-
-#: To one part, from many queries: their groups, ids and vectors, how many nodes each names, and these.
-LETTER = "pid int, g binary, q binary, raw binary, n binary, ids binary"
-
-
-def letters_to(parts_of: np.ndarray, owner: np.ndarray, ids: np.ndarray, g: np.ndarray, q: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
-    """A row for each part that nodes ``ids`` (of the queries at ``owner``) lie in."""
-    order = np.lexsort([ids, owner, parts_of])
-    parts_of, owner, ids = parts_of[order], owner[order], ids[order]
-    rows: dict[str, list] = {c: [] for c in ("pid", "g", "q", "raw", "n", "ids")}
-    values, firsts = np.unique(parts_of, return_index=True)
-    for p, a, b in zip(values, firsts, np.append(firsts[1:], len(ids))[: len(firsts)], strict=True):
-        own, n = np.unique(owner[a:b], return_counts=True)
-        for k, x in zip(rows, (int(p), g[own].astype("<i4").tobytes(), q[own].astype("<i8").tobytes(), raw[own].astype("<f4").tobytes(), n.astype("<i8").tobytes(), ids[a:b].astype("<i8").tobytes()), strict=True):
-            rows[k].append(x)
-    return pa.RecordBatch.from_pydict(rows, pa.schema([("pid", pa.int32()), *((c, pa.binary()) for c in ("g", "q", "raw", "n", "ids"))]))
-
-
-def opened(letters: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The queries of letters (one row each, by id): group, id, vector; and (query's row, node) without repeats."""
-    g, q, n, ids = (flat(letters[c], k)[0] for c, k in (("g", "<i4"), ("q", "<i8"), ("n", "<i8"), ("ids", "<i8")))
-    raw = stack(letters["raw"], "<f4", dim)
-    each, first, back = np.unique(q, return_index=True, return_inverse=True)
-    owner = np.repeat(back, n)
-    order = np.lexsort([ids, owner])
-    owner, ids = owner[order], ids[order]
-    fresh = np.concatenate([[True], (owner[1:] != owner[:-1]) | (ids[1:] != ids[:-1])]) if len(ids) else np.zeros(0, bool)
-    return g[first], each, raw[first], owner[fresh], ids[fresh]
-
-
-def ask(parts: int, dim: int, expanded: int):
-    """Of each query, which of its beam to expand next, to the parts where these are."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            near, n = flat(column(b, "near"), "<i8")
-            owner = np.repeat(np.arange(b.num_rows), n)
-            todo = ~flat(column(b, "done"), "?")[0]
-            near, owner = near[todo], owner[todo]
-            few = rank(owner) < expanded
-            near, owner = near[few], owner[few]
-            yield letters_to(part_of(near, parts), owner, near, column(b, "g").to_numpy(), column(b, "q").to_numpy(), stack(column(b, "raw"), "<f4", dim))
-
-    return run
-
-
-def look_up(parts: int, dim: int):
-    """The neighbours of the nodes asked for, to the parts where their vectors are."""
-
-    def run(graph: pa.Table, asks: pa.Table) -> pa.Table:
-        ids = graph["id"].to_numpy()
-        order = np.argsort(ids)
-        near, n = flat(graph["near"], "<i8")
-        begins = np.cumsum(n) - n
-        g, q, raw, owner, asked = opened(asks, dim)
-        at = order[np.searchsorted(ids[order], asked)] if len(asked) else asked
-        times = n[at]
-        place = np.repeat(begins[at] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-        found, owner = near[place], np.repeat(owner, times)
-        by = np.lexsort([found, owner])
-        found, owner = found[by], owner[by]
-        fresh = np.concatenate([[True], (owner[1:] != owner[:-1]) | (found[1:] != found[:-1])]) if len(found) else np.zeros(0, bool)
-        found, owner = found[fresh], owner[fresh]
-        return pa.Table.from_batches([letters_to(part_of(found, parts), owner, found, g, q, raw)])
-
-    return run
-
-
-def measure(dim: int):
-    """The cosine of each query with the nodes it was told of, a row for each group of queries."""
-
-    def run(vectors: pa.Table, told: pa.Table) -> pa.Table:
-        g, q, raw, owner, ids = opened(told, dim)
-        rows: dict[str, list] = {c: [] for c in ("g", "q", "n", "ids", "sims")}
-        if len(ids):
-            have = vectors["id"].to_numpy()
-            order = np.argsort(have)
-            x = stack(vectors["raw"], "<f4", dim)
-            at = order[np.searchsorted(have[order], ids)]
-            sims = np.concatenate([np.einsum("ij,ij->i", x[at[a : a + 65536]], raw[owner[a : a + 65536]]) for a in range(0, len(ids), 65536)])
-            groups = g[owner]
-            by = np.lexsort([owner, groups])
-            groups, owner, ids, sims = groups[by], owner[by], ids[by], sims[by]
-            values, firsts = np.unique(groups, return_index=True)
-            for v, a, b in zip(values, firsts, np.append(firsts[1:], len(ids)), strict=True):
-                own, n = np.unique(owner[a:b], return_counts=True)
-                for k, y in zip(rows, (int(v), q[own].astype("<i8").tobytes(), n.astype("<i8").tobytes(), ids[a:b].astype("<i8").tobytes(), sims[a:b].astype("<f4").tobytes()), strict=True):
-                    rows[k].append(y)
-        return pa.table(rows, schema=pa.schema([("g", pa.int32()), *((c, pa.binary()) for c in ("q", "n", "ids", "sims"))]))
-
-    return run
-
-
-def keep_best(beam: int, expanded: int):
-    """The beam after a round; what was expanded is marked."""
-
-    def run(state: pa.Table, scored: pa.Table) -> pa.Table:
-        q, n, ids, sims = (flat(scored[c], k)[0] for c, k in (("q", "<i8"), ("n", "<i8"), ("ids", "<i8"), ("sims", "<f4")))
-        owner = np.repeat(q, n)
-        by = np.argsort(owner, kind="stable")
-        owner, ids, sims = owner[by], ids[by], sims[by]
-        out = []
-        for r in state.to_pylist():
-            near, sim, done = np.frombuffer(r["near"], "<i8"), np.frombuffer(r["sims"], "<f4"), np.frombuffer(r["done"], bool).copy()
-            done[np.flatnonzero(~done)[:expanded]] = True
-            a, b = np.searchsorted(owner, r["q"]), np.searchsorted(owner, r["q"], side="right")
-            every, sim = np.concatenate([near, ids[a:b]]), np.concatenate([sim, sims[a:b]])
-            flag = np.concatenate([done, np.zeros(b - a, dtype=bool)])
-            _, first = np.unique(every, return_index=True)  # the marked one of equals comes first
-            every, sim, flag = every[first], sim[first], flag[first]
-            order = np.lexsort([every, -sim])[:beam]
-            out.append(r | {"near": every[order].tobytes(), "sims": sim[order].tobytes(), "done": flag[order].tobytes()})
-        return pa.Table.from_pylist(out, schema=pa.schema([("g", pa.int32()), ("q", pa.int64()), *((c, pa.binary()) for c in ("raw", "near", "sims", "done"))]))
-
-    return run
+                out = []
+                for r in b.to_pylist():
+                    x = opened(FOUND, r, {})
+                    ids, parts = x["ids"][: 2 * k + 6], x["parts"][: 2 * k + 6]
+                    out += [{"pid": int(p), "q": r["q"], "raw": r["raw"], "ids": ids[parts == p].tobytes()} for p in np.unique(parts)]
+                yield from rows_of(out, ["pid", "q"], ["raw", "ids"], ("q",)).to_batches()
+
+        def measure(own: pa.Table, sent: pa.Table) -> pa.Table:
+            q, vec_id, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+            for r in own.to_pylist():
+                ids, counts, members = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["counts"], "<i4").astype(np.int64), np.frombuffer(r["members"], "<i8")
+                raw, begins = np.frombuffer(r["raw"], "<f8").reshape(-1, dim), np.cumsum(counts) - counts
+                for x in sent.to_pylist():
+                    at = G.place_of(ids, np.frombuffer(x["ids"], "<i8"))
+                    at = at[at >= 0]
+                    n = counts[at]
+                    vec_id.append(members[G.ranges(begins[at], n)])
+                    score.append(np.repeat(cosines(np.frombuffer(x["raw"], "<f8"), raw[at]), n))
+                    q.append(np.full(n.sum(), x["q"]))
+            return pa.table({"q": np.concatenate(q), "vec_id": np.concatenate(vec_id), "score": np.concatenate(score)})
+
+        last = state.mapInArrow(closest, "pid int, q bigint, raw binary, ids binary")
+        hits = self.raw.select("pid", "ids", "raw", "counts", "members").groupBy("pid").cogroup(last.groupBy("pid")).applyInArrow(measure, "q bigint, vec_id bigint, score double")
+        # many queries may share a vector: its answers go out in several shares
+        dealt = hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        mine = asked.select(F.col("id").alias("query_id"), "q", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")).distinct()
+        met = mine.join(dealt, ["q", "salt"]).where("vec_id <> query_id").groupBy("query_id", "q", "vec_id").agg(F.max("score").alias("score"))
+        place = F.row_number().over(Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id"))
+        return checkpoint(met.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+
+
+def cosines(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """In double precision; scaled by powers of two first where squares would overflow or vanish."""
+    scale = lambda x: np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True))[1])
+    u, w = scale(u), scale(w)
+    return (w * u).sum(axis=1) / (np.sqrt((w * w).sum(axis=1)) * np.sqrt((u * u).sum()))
+
+
+def part_keys(spark: SparkSession, buckets: int) -> np.ndarray:
+    """A number for each part, such that every bucket of a table holds one of them."""
+    tries = spark.range(buckets * 24 + 64).select(F.col("id").cast("int").alias("key")).select("key", F.pmod(F.hash("key"), F.lit(buckets)).alias("bucket"))
+    found = tries.groupBy("bucket").agg(F.min("key").alias("key")).orderBy("bucket").toArrow()["key"].to_numpy()
+    return found if len(found) == buckets else np.arange(buckets)
+
+
+def rows_of(rows: list[dict], numbers: list[str], blobs: dict | list = (), wide: tuple[str, ...] = ("changed", "held")) -> pa.Table:
+    """A table of rows with 32-bit numbers (64 for ``wide``) and bytes."""
+    names = [*numbers, *(blobs if blobs else [c for c in (rows[0] if rows else ()) if c not in numbers])]
+    kinds = [(pa.int64() if c in wide else pa.int32()) if c in numbers else pa.binary() for c in names]
+    return pa.table([pa.array([r[c] for r in rows], t) for c, t in zip(names, kinds, strict=True)], schema=pa.schema(list(zip(names, kinds, strict=True))))
