@@ -122,12 +122,10 @@ class Graph:
         begun = self.deal(rows, answers).groupBy("pid").applyInArrow(self.starter(answers), shape(PART_COLUMNS | {"raw": "", "counts": "", "members": ""}, "pid int", "changed bigint", "held bigint"))
         self.raw = state = self.saved(begun)
         for turn in range(rounds):
-            if self.buckets == 1 and turn == 0:
-                pass  # a single part has all that it asks for
             told = self.joined(state, self.asked(state, False), self.replier(turn), shape(REPLY, "pid int"))
             new = self.saved(self.joined(state, told, self.merger(turn), shape(PART_COLUMNS, "pid int", "changed bigint", "held bigint")))
-            if turn:
-                self.drop(state)
+            if turn:  # the first one has the original vectors
+                self.spark.sql(f"drop table if exists {self.tables[-2]}")
             state = new
             changed, held = state.agg(F.sum("changed"), F.sum("held")).first()
             if not held or changed < STILL * held:
@@ -147,10 +145,6 @@ class Graph:
         self.tables.append(name)
         return self.spark.table(name)
 
-    def drop(self, df: DataFrame) -> None:
-        name = next(t for t in self.tables if t == df.select("pid").inputFiles()[0].split("/")[-2])
-        self.spark.sql(f"drop table if exists {name}")
-
     def close(self) -> None:
         for name in self.tables:
             self.spark.sql(f"drop table if exists {name}")

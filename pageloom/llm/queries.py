@@ -23,8 +23,9 @@ def vocabulary(name: str) -> str:
 def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = read(spark, sf_dir, "embeddings")
     index = neighbours.Index(table)
-    asked = neighbours.usable(table, "vec_id", "embedding").where("id % 50 = 0")
-    return index.search(asked, 5)
+    found = index.search(table.where("vec_id % 50 = 0"), 5, id_col="vec_id", vec_col="embedding")
+    index.close()  # what was found is checkpointed
+    return found
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pageloom.llm import chat, decontam, gam, langid, neardup, neighbours, packing, quality, queries, sharding, simhash, tokens, urls
+from pageloom.llm import chat, decontam, gam, langid, neardup, neighbours, nngraph, packing, quality, queries, sharding, simhash, tokens, urls
 
 SMALL = "/root/testdata/sf0.001"
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -754,6 +754,75 @@ def test_neighbours_recall(spark):
     assert hits / (5 * len(got)) >= 0.95
 
 
+def clustered(n, clusters, seed=0, dim=32, inner=8):
+    """Vectors of clusters that each span a few directions."""
+    r = np.random.default_rng(seed)
+    centre, along = r.standard_normal((clusters, dim)), 0.45 * r.standard_normal((clusters, inner, dim))
+    k = r.integers(0, clusters, n)
+    return centre[k] + np.einsum("ni,nid->nd", r.standard_normal((n, inner)), along[k]) + 0.05 * r.standard_normal((n, dim))
+
+
+def test_rounds_of_nn_descent_find_the_neighbours():
+    """Without Spark: eight parts that exchange messages; each round brings the graph nearer to the true one."""
+    x = nngraph.units(nngraph.bytes_of(clustered(6000, 40)))
+    tree = nngraph.grow(x[::4], 3)
+    own, guest = nngraph.leaves(x, tree)
+    ids, vec, parts = np.arange(len(x)) * 3 + 1, nngraph.bytes_of(x), {}
+    for p in range(8):
+        o, g = np.flatnonzero(own == p), np.flatnonzero((guest == p) & (own != p))
+        parts[p] = nngraph.begin(ids[o], vec[o], p, ids[g], own[g].astype(np.int32), vec[g], 12)
+    sims = x @ x.T
+    np.fill_diagonal(sims, -9)
+    true = np.argsort(-sims, axis=1)[:, :8]
+    recalls = []
+    for turn in range(5):
+        near = {int(i): set(row.tolist()) for part in parts.values() for i, row in zip(part["ids"], part["near"], strict=True)}
+        recalls.append(np.mean([len(near[int(ids[k])] & set(ids[true[k]].tolist())) / 8 for k in range(0, len(x), 7)]))
+        for p, part in parts.items():
+            assert all(nngraph.place_of(part["ids"], part["near"][(part["near"] >= 0) & (part["nearp"] == p)]) >= 0)
+            assert all(nngraph.place_of(part["hid"], part["near"][(part["near"] >= 0) & (part["nearp"] != p)]) >= 0)
+        sent = {p: nngraph.asks(part, p) for p, part in parts.items()}
+        told = {q: nngraph.replies(parts[q], q, [(p, sent[p][q]) for p in parts if q in sent[p]], 8, turn) for q in parts}
+        parts = {p: nngraph.merge(part, p, [told[q][p] for q in told if p in told[q]], 8, turn) for p, part in parts.items()}
+    assert recalls == sorted(recalls) and recalls[0] < 0.7 and recalls[-1] > 0.97, recalls
+
+
+def test_search_looks_at_few_and_takes_queries_from_anywhere(spark):
+    x = clustered(13_000, 60, 1)
+    rows, asked = x[:12_000].astype(np.float32), x[12_000:12_200].astype(np.float32)
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(rows.tolist())], "vec_id bigint, embedding array<float>").repartition(4)
+    index = neighbours.Index(table, part=2048)
+    found = collections.defaultdict(set)
+    queries_ = spark.createDataFrame([(i, v) for i, v in enumerate(asked.tolist())], "id bigint, v array<float>")
+    for r in index.search(queries_, 5, beam=32, width=4).collect():
+        found[r.query_id].add(r.vec_id)
+    scored = index.graphs[32].scored.agg(F.avg("scored")).first()[0]
+    plans = index.graphs[32].index.groupBy("pid").cogroup(queries_.withColumn("pid", F.lit(1)).groupBy("pid")).applyInArrow(lambda a, b: a, "pid int")._jdf.queryExecution().toString()
+    index.close()
+    sims = (asked / np.linalg.norm(asked, axis=1, keepdims=True)) @ (rows / np.linalg.norm(rows, axis=1, keepdims=True)).T
+    for q in range(200):
+        sims[q, q] = -9  # an id of the table is no answer to a query of that id
+    hits = sum(len(found[q] & set(np.argsort(-sims[q])[:5].tolist())) for q in range(200))
+    assert hits / 1000 >= 0.9 and scored < 0.1 * len(rows), (hits, scored)
+    assert plans.split("== Physical Plan ==")[1].count("Exchange") == 1  # only the messages are shuffled
+    assert spark.sql("show tables like 'neighbours_*'").count() == 0
+
+
+def test_repeated_rows_and_ids(spark):
+    rows = [(0, [1.0, 0.0])] * 7 + [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, -1.0]), (0, [0.0, 3.0]), (5, [1.0, 2.0, 2.0]), (6, [2.0, 4.0, 4.0]), (7, [1e200, 1e200]), (8, [1e-200, 2e-200])]
+    table = spark.createDataFrame([(i, v, "q") for i, v in rows], "vec_id bigint, embedding array<double>, rank string").repartition(3)
+    index = neighbours.Index(table)
+    got = collections.defaultdict(list)
+    for r in index.search(table, 5, id_col="vec_id", vec_col="embedding").orderBy("rank").collect():
+        got[r.query_id].append((r["rank"], r.vec_id, round(r.score, 9)))
+    assert sorted(got[0]) == [(1, 1, 1.0), (1, 2, 1.0), (2, 2, 1.0), (2, 8, round(2 / 5**0.5, 9)), (3, 7, round(0.5**0.5, 9)), (3, 7, round(0.5**0.5, 9)), (4, 1, 0.0), (4, 8, round(1 / 5**0.5, 9)), (5, 3, -1.0), (5, 3, 0.0)]
+    assert got[5] == [(1, 6, 1.0)] and [x[1] for x in got[1]][:2] == [0, 2] and got[7][0] == (1, 8, round(3 / 10**0.5, 9))
+    assert index.search(table.limit(0), 5, id_col="vec_id", vec_col="embedding").count() == 0
+    other = spark.createDataFrame([(9, [1.0, 1.0, 1.0, 1.0])], "id bigint, v array<double>")
+    assert index.search(other, 5).count() == 0
+    index.close()
+
+
 def test_neighbours_of_odd_vectors(spark):
     rows = [(i, [1.0, float(i % 3)]) for i in range(12)] + [(50, [1.0, 0.0]), (100, None), (101, []), (102, [0.0, 0.0]), (103, [float("nan"), 1.0]), (104, [None, 1.0]), (105, [float("inf"), 1.0]), (106, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]
     table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
