@@ -161,6 +161,14 @@ def test_simhash_against_all_pairs(spark):
     assert got == {i: (f"{fp[i]:016x}", want[i]) for i in fp}
 
 
+def test_simhash_of_odd_tables(spark):
+    df = spark.createDataFrame([(None, "a b c d"), (3, "a b c d"), (3, "a b c d"), (2, None), (4, ""), (None, None)], "doc_id bigint, text string").withColumn("fp", F.lit(1)).withColumn("fingerprint", F.lit("x"))
+    got = sorted(((r.doc_id or 0, r.fingerprint, r.component_id) for r in simhash.near_groups(df).collect()), key=str)
+    fp = f"{brute_fingerprint('a b c d'):016x}"
+    assert got == sorted([(0, fp, 3), (3, fp, 3), (3, fp, 3), (2, "0" * 16, 2), (4, "0" * 16, 2), (0, "0" * 16, 2)], key=str)
+    assert simhash.near_groups(df.limit(0)).columns == ["doc_id", "fingerprint", "component_id"] and simhash.near_groups(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("tile", [5, None])
 def test_links_between_planted_fingerprints(spark, tile):
     r = random.Random(5)
@@ -274,6 +282,38 @@ def test_quality_of_odd_texts(spark):
     assert quality.score(docs.limit(0), model, ["doc_id"]).count() == 0
 
 
+def test_gam_trees_and_scores_against_brute_force():
+    r = np.random.default_rng(3)
+    for n in (2, 5, 40):
+        g, h = r.standard_normal(n), r.random(n) * 5 + 0.1
+        gains = []
+        for cut in range(1, n):
+            (a, b), (c, d) = (g[:cut].sum(), h[:cut].sum()), (g[cut:].sum(), h[cut:].sum())
+            gains.append((a * a / (b + 1) + c * c / (d + 1) - g.sum() ** 2 / (h.sum() + 1) if min(b, d) >= 0.5 else 0.0, cut))
+        step = gam.shallow_tree(g, h, 2, 0.5)
+        gain, cut = max(gains, key=lambda x: (x[0], -x[1]))
+        parts = [(0, cut), (cut, n)] if gain > 1e-9 else [(0, n)]
+        want = np.concatenate([np.full(b - a, g[a:b].sum() / (h[a:b].sum() + 1)) for a, b in parts])
+        assert step == pytest.approx(want)
+    x, y = r.random((500, 4)), (r.random(500) > 0.4).astype(float)
+    model = gam.fit(x, y, rounds=20)
+    for row, p in zip(x[:50], model.score(x[:50]), strict=True):
+        bins = [sum(v >= e for e in edges) for v, edges in zip(row, model.edges, strict=True)]
+        total = model.intercept + sum(t[b] for t, b in zip(model.tables, bins, strict=True))
+        total += sum(t[bins[i] // model.coarse, bins[j] // model.coarse] for (i, j), t in zip(model.pairs, model.pair_tables, strict=True))
+        assert p == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_features_by_hand():
+    text = "Red red blue.\nRed red blue.\n(1|2) 漢字 😀!"
+    f = dict(zip(quality.FEATURES, quality.features(["x", text, ""])[1], strict=True))
+    n, words = len(text), text.split()
+    kinds = [unicodedata.category(c) for c in text]
+    assert f["size"] == pytest.approx(np.log1p(n)) and f["digits"] == pytest.approx(2 / n) and f["brackets"] == pytest.approx(2 / n) and f["bars"] == pytest.approx(1 / n)
+    assert f["upper"] == pytest.approx(2 / sum(k.startswith("L") for k in kinds)) and f["top_word"] == pytest.approx(2 / len(words)) and f["distinct"] == pytest.approx(np.log(len(set(words))) / np.log(len(words)))
+    assert f["marks"] == pytest.approx(sum(k[0] not in "LNMZ" and c != "\n" for k, c in zip(kinds, text, strict=True)) / n) and f["same_lines"] == pytest.approx(1 / 3)
+
+
 def test_gam_learns_an_interaction():
     r = np.random.default_rng(1)
     x = r.random((4000, 3))
@@ -518,6 +558,13 @@ def test_packing_keeps_every_token(spark):
     assert packing.packed(docs_of(spark, []), path).count() == 0
 
 
+def test_packing_of_repeated_rows_and_null_ids(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (None, None)], "doc_id bigint, text string").withColumn("offset", F.lit("x"))
+    rows = packing.packed(df, queries.vocabulary("byte_bpe_50k.json")).collect()
+    assert len(rows) == 4 and sorted(str(r.doc_id) for r in rows) == ["1", "1", "None", "None"] and len({r.sequence_id for r in rows}) == 1
+    assert sorted(r.offset for r in rows) == sorted(np.cumsum([0, *[r.length for r in sorted(rows, key=lambda r: r.offset)][:-1]]).tolist())
+
+
 def brute_places(sizes, capacity):
     """Each piece where the squared counts of open bins per gap become smallest, ties to the tightest bin and the bin that came last to its gap; a new bin where nothing fits."""
     gaps, order, out = {}, {}, []
