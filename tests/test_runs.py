@@ -266,3 +266,29 @@ def test_page_files_are_read_whole(spark, tmp_path):
     assert [r.text for r in readers.page_texts(spark, str(tmp_path), ("page_????.md",)).orderBy("page_no").collect()] == ["one\n\ntwo\n", "three\r\nfour"]
     assert [r.content for r in readers.markdown(spark, f"{tmp_path}/a_b/page_0000.md").collect()] == ["one\n\ntwo\n"]
     assert [(r.page_no, r.has_json, r.json_valid) for r in readers.outputs(spark, f"{tmp_path}/a_b").orderBy("page_no").collect()] == [(0, True, True), (1, False, None)]
+
+
+def test_review_requests_go_over_http(spark):
+    import http.server
+    import threading
+
+    class Model(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            good = asked["max_tokens"] == 4096 and asked["tools"][0]["function"]["name"] == "suggest_fix" and asked["messages"][1]["content"] != "bad"
+            call = {"function": {"name": "suggest_fix", "arguments": json.dumps({"issue_type": "spelling", "start_offset": 1, "end_offset": 2, "confidence": 0.9})}}
+            data = json.dumps({"choices": [{"message": {"tool_calls": [call]}}]}).encode()
+            self.send_response(200 if good else 500)
+            self.end_headers()
+            self.wfile.write(data if good else b"")
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Model)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    pages = spark.createDataFrame([("b", 0, "texxt"), ("b", 1, "bad")], "book_id string, page_no int, text string")
+    got = ocr.reviewed(pages, ocr.http_client(f"http://127.0.0.1:{server.server_port}/")).persist()
+    assert [(r.page_no, r.success) for r in got.orderBy("page_no").collect()] == [(0, True), (1, False)]
+    assert [(r.page_no, r.type, r.severity) for r in review.issues(got).collect()] == [(0, "spelling", "high")]
+    server.shutdown()
