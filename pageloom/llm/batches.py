@@ -55,5 +55,10 @@ def use_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(given or f"{tempfile.gettempdir()}/checkpoints/{os.getpid()}")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -7,7 +7,7 @@ a part give first neighbours. Then each round is two joins on the part: a part a
 for the neighbours of its nodes' neighbours, both ways, and every node keeps the closest of
 all it meets (``nngraph.merge``); only steps that are new since the last round are taken.
 Vectors travel as signed bytes, once for each part that needs them. Parts are kept in tables
-bucketed by part in the session's warehouse, so they are never shuffled themselves.
+bucketed by part, in the shared checkpoint folder, so they are never shuffled themselves.
 
 Search: a query goes to the two parts that the tree names, and there to the leaves of a finer
 tree; from these it follows the graph greedily, within a part until its beam holds nothing to
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import nngraph as G
-from .batches import checkpoint, column
+from .batches import checkpoint, column, delete, use_checkpoint_dir
 
 #: Neighbours of a node, those that list it and join a round, rounds at most, and the share of changed neighbours below which they end.
 DEGREE, LISTERS, ROUNDS, STILL = 16, 8, 4, 0.05
@@ -114,6 +114,8 @@ class Graph:
     def __init__(self, rows: DataFrame, dim: int, n: int, answers: int, degree: int, rounds: int, part: int):
         self.spark, self.dim, self.degree = rows.sparkSession, dim, degree
         self.name, self.tables, self.scored = f"neighbours_{uuid.uuid4().hex}", [], None
+        use_checkpoint_dir(self.spark)
+        self.folder = self.spark.sparkContext.getCheckpointDir()
         depth = max(0, int(np.ceil(np.log2(n / part)))) if n else 0
         self.buckets = 1 << depth
         self.keys = part_keys(self.spark, self.buckets)
@@ -125,7 +127,7 @@ class Graph:
             told = self.joined(state, self.asked(state, False), self.replier(turn), shape(REPLY, "pid int"))
             new = self.saved(self.joined(state, told, self.merger(turn), shape(PART_COLUMNS, "pid int", "changed bigint", "held bigint")))
             if turn:  # the first one has the original vectors
-                self.spark.sql(f"drop table if exists {self.tables[-2]}")
+                self.drop(self.tables[-2])
             state = new
             changed, held = state.agg(F.sum("changed"), F.sum("held")).first()
             if not held or changed < STILL * held:
@@ -141,13 +143,17 @@ class Graph:
     def saved(self, df: DataFrame) -> DataFrame:
         """As a table bucketed by part: reading it needs no shuffle to meet messages to the parts."""
         name = f"{self.name}_{len(self.tables)}"
-        df.write.bucketBy(self.buckets, "pid").format("parquet").saveAsTable(name)
+        df.write.bucketBy(self.buckets, "pid").format("parquet").option("path", f"{self.folder}/{name}").saveAsTable(name)
         self.tables.append(name)
         return self.spark.table(name)
 
+    def drop(self, name: str) -> None:
+        self.spark.sql(f"drop table if exists {name}")
+        delete(self.spark, f"{self.folder}/{name}")
+
     def close(self) -> None:
         for name in self.tables:
-            self.spark.sql(f"drop table if exists {name}")
+            self.drop(name)
 
     def deal(self, rows: DataFrame, answers: int) -> DataFrame:
         """Each distinct vector of a batch to its part with its smallest ids, and without them to the next one as a guest."""
