@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm import decontam, langid, neardup, packing, quality
-from pageloom.llm.batches import read, use_checkpoint_dir
+from pageloom.llm.batches import delete, read, use_checkpoint_dir
 from pageloom.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -63,6 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
         if k:
-            done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{STAGES[k - 1][0]}")
-            done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(done, True)
+            delete(spark, f"{folder}/{STAGES[k - 1][0]}")
     return docs
