@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.pystr import lstrip
+from .ordered import stored
 
 # Layout categories that aren't body text.
 EXCLUDED = ("Page-header", "Page-footer", "Page-number")
 BLOCKS = "array<struct<bbox:array<double>,category:string,text:string>>"
-#: A dictionary of at most so many words is broadcast to the workers; a larger one is joined.
-MOST_WORDS = 2_000_000
+#: A dictionary of at most so many words and characters is broadcast to the workers; a larger one is joined.
+MOST_WORDS, MOST_CHARACTERS = 500_000, 8_000_000
 
 
 def known_words(pages: DataFrame, dictionary: DataFrame, texts: Column, key: list[str]) -> DataFrame:
@@ -39,9 +40,11 @@ class Words:
     def of(dictionary: DataFrame | Words | None) -> Words | None:
         if dictionary is None or isinstance(dictionary, Words):
             return dictionary
-        words = dictionary.select(F.lower("word").alias("word")).where("word is not null").distinct()
-        few = words.limit(MOST_WORDS + 1).toArrow()["word"].to_pylist()
-        return Words(words, dictionary.sparkSession.sparkContext.broadcast(frozenset(few)) if len(few) <= MOST_WORDS else None)
+        words = stored(dictionary.select(F.lower("word").alias("word")).where("word is not null").distinct())
+        n, size = words.agg(F.count("*"), F.coalesce(F.sum(F.length("word")), F.lit(0))).first()
+        if n > MOST_WORDS or size > MOST_CHARACTERS:
+            return Words(words, None)
+        return Words(words, dictionary.sparkSession.sparkContext.broadcast(frozenset(words.toArrow()["word"].to_pylist())))
 
 
 def dehyphenator(pages: DataFrame, dictionary: DataFrame | Words | None, texts: Column, key: list[str]) -> tuple[DataFrame, Callable[[Column], Column]]:
