@@ -37,11 +37,11 @@ from . import nngraph as G
 from .batches import checkpoint, column, delete, use_checkpoint_dir
 
 #: Neighbours of a node, those that list it and join a round, rounds at most, and the share of changed neighbours below which they end.
-DEGREE, LISTERS, ROUNDS, STILL = 16, 8, 4, 0.05
+DEGREE, LISTERS, ROUNDS, STILL = 16, 8, 4, 0.1
 #: Nodes of a part, about, and vectors that its tree is fitted on at most.
-PART, SAMPLE = 16_384, 65_536
+PART, SAMPLE = 32_768, 65_536
 #: Nodes that a query keeps, expands at a time, and times that it moves on to other parts.
-BEAM, WIDTH, HOPS = 128, 8, 8
+BEAM, WIDTH, HOPS = 200, 8, 8
 #: Queries of a group, and shares that the answers of equal queries are dealt in.
 GROUP, SALTS = 512, 8
 

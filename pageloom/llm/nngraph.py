@@ -13,7 +13,7 @@ import numpy as np
 Part = dict[str, np.ndarray]
 NONE, LOW = np.int64(-1), np.float32(-9)
 #: Rows that a block of first neighbours has at most, how many orders of blocks, and pairs scored at a time.
-BLOCK, ORDERS, PAIRS = 128, 3, 1 << 20
+BLOCK, ORDERS, PAIRS = 128, 3, 1 << 18
 #: Own nodes of a leaf where a search begins, and evenly spread ones.
 LEAF, ENTRIES = 32, 16
 
@@ -56,12 +56,27 @@ def place_of(ids: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(ids[at] == wanted, at, -1)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Ascending and without repeats (by sorting, which is faster here than hashing)."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def once(ids: np.ndarray, *rest: np.ndarray) -> tuple[np.ndarray, ...]:
     """Ascending and without repeats, the rest alike."""
     ids, first = np.unique(ids, return_index=True)
     return (ids, *(x[first] for x in rest))
 
 
+def cosines(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of rows i of x with rows j of y, some at a time."""
+    out = np.empty(len(i), np.float32)
+    for a in range(0, len(i), PAIRS // 8):
+        some = slice(a, a + PAIRS // 8)
+        np.einsum("ij,ij->i", x[i[some]], y[j[some]], out=out[some])
+    return out
+
+
 # the tree that deals vectors to parts
 def grow(sample: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(directions, thresholds) of a balanced tree: each node halves its share of the sample along the line between two far members."""
@@ -297,12 +312,12 @@ def merge(part: Part, pid: int, letters: list[Part], most: int, turn: int) -> Pa
         i, j = np.searchsorted(do, [a, b])
         owner = np.concatenate([np.repeat(rr, count), do[i:j]])
         other = np.concatenate([dst[ranges(first[via], count)], dd[i:j]])
-        key = np.unique(owner * len(every) + other)
+        key = distinct(owner * len(every) + other)
         owner, other = key // len(every), key % len(every)
-        held = np.unique(rr * len(every) + via)
+        held = distinct(rr * len(every) + via)
         keep = (owner != other) & (place_of(held, key) < 0)
         owner, other = owner[keep], other[keep]
-        sim = np.concatenate([np.zeros(0, np.float32), *(np.einsum("ij,ij->i", x[owner[s : s + PAIRS]], x[other[s : s + PAIRS]]) for s in range(0, len(owner), PAIRS))])
+        sim = cosines(x, owner, x, other)
         better = sim > part["sims"][owner, -1]
         owner, other, sim = owner[better], other[better], sim[better]
         out[a:b], sims[a:b] = best_of(np.concatenate([rr, owner]) - a, np.concatenate([via, other]), np.concatenate([part["sims"][rr, cc], sim]), b - a, degree)
@@ -372,7 +387,7 @@ def explore(part: Part, pid: int, queries: np.ndarray, seeds: list[tuple[np.ndar
         while len(row):
             seen[row, node] = True
             scored += np.bincount(row, minlength=c)
-            sim = np.concatenate([np.einsum("ij,ij->i", q[row[s : s + PAIRS]], x[node[s : s + PAIRS]]) for s in range(0, len(row), PAIRS)])
+            sim = cosines(q, row, x, node)
             pool, sims, done = kept_best(pool, sims, done, row, node, sim, flag, beam)
             todo = ~done & (pool >= 0) & (pool < n)
             pick = todo & (np.cumsum(todo, axis=1) <= width)
@@ -381,7 +396,7 @@ def explore(part: Part, pid: int, queries: np.ndarray, seeds: list[tuple[np.ndar
             found = part["links"][pool[r, k]].astype(np.int64)
             row, node = np.repeat(r, found.shape[1]), found.ravel()
             good = node >= 0
-            key = np.unique(row[good] * (n + h) + node[good])
+            key = distinct(row[good] * (n + h) + node[good])
             row, node = key // max(n + h, 1), key % max(n + h, 1)
             new = ~seen[row, node]
             row, node = row[new], node[new]
