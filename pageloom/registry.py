@@ -765,15 +765,17 @@ def book_epubs(spark, sf_dir):
     return made.select("book_id", "n_chapters", listed.alias("x")).select("book_id", "n_chapters", "x.n_files", F.array_join("x.titles", "\n").alias("titles"))
 
 
+#: From ``cleaned`` (book_id, page_no, text) to books: headers and footers, joining, running headers.
+FROM_CLEANED = f"""final as (with p as (select * from cleaned), {HEADER_LINES}, {ONCE}, {edges_sql('once')}, {stripped_sql('once')} select book_id, page_no, text from stripped),
+ whole as (with p as (select * from final), {CLASSES}, {pieces_sql(True)}, k as (select book_id, count(*) n_pages, string_agg(piece, '' order by page_no) content from x group by book_id), {without_running_sql('k')} select * from rr)
+ select book_id, n_pages, cast(length(content) as int) n_chars, md5(content) digest from whole"""
 FULL_RUN = f"""with {p_sql(BOTH)}, dict as ({WORDS}),
  raws as (select book_id, page_no, 1 block_no, {SIMPLE.replace('{g}', ", 'g'").replace(chr(92) * 2, chr(92))} text from p where page_no % 4 = 0),
  by_blocks as (with {cut_sql('raws', BLOCK)}, {mend_sql('cut', BLOCK)}, {blocks_sql('mended', 'done')} select * from done),
  marks as (select book_id, page_no, text from p where page_no % 4 <> 0),
  by_text as (with {cut_sql('marks')}, {mend_sql('cut')}, parts as (select book_id, page_no, unnest(regexp_split_to_array(text, '\\n\\n+')) text, generate_subscripts(regexp_split_to_array(text, '\\n\\n+'), 1) block_no from mended), {blocks_sql('parts', 'done')} select * from done),
  cleaned as (select * from by_blocks union all select * from by_text),
- final as (with p as (select * from cleaned), {HEADER_LINES}, {ONCE}, {edges_sql('once')}, {stripped_sql('once')} select book_id, page_no, text from stripped),
- whole as (with p as (select * from final), {CLASSES}, {pieces_sql(True)}, k as (select book_id, count(*) n_pages, string_agg(piece, '' order by page_no) content from x group by book_id), {without_running_sql('k')} select * from rr)
- select book_id, n_pages, cast(length(content) as int) n_chars, md5(content) digest from whole"""
+{FROM_CLEANED}"""
 
 
 @query(FULL_RUN)
@@ -783,3 +785,18 @@ def full_run(spark, sf_dir):
     rows = pages(spark, sf_dir, BOTH).select("book_id", "page_no", F.expr(raw.replace("{g}", "").replace("\\n\\r\\t", "\\\\n\\\\r\\\\t")).alias("raw"), F.col("text").alias("text_nohf"), F.lit(True).alias("success"))
     done = book.run(rows, even_words(spark, sf_dir), formats=("md",))
     return done.books.select("book_id", "n_pages", F.length("content").alias("n_chars"), F.md5(F.encode("content", "UTF-8")).alias("digest"))
+
+
+PAGE_JSON = f"case when page_no % 4 = 3 then concat('[{{\"category\": ', text) when page_no % 4 = 2 then '{{\"raw_response\": \"x\"}}' else concat('[{{\"category\":\"Page-footer\",\"text\":\"end\"}},{{\"category\":\"Text\",\"text\":\"', {SIMPLE}, '\"}}]') end"
+
+
+@query(f"""with {p_sql(BOTH)}, dict as ({WORDS}),
+ raws as (select book_id, page_no, 1 block_no, {SIMPLE.replace('{g}', ", 'g'").replace(chr(92) * 2, chr(92))} text from p where page_no % 4 < 2),
+ by_blocks as (with {cut_sql('raws', BLOCK)}, {mend_sql('cut', BLOCK)}, {blocks_sql('mended', 'done')} select * from done),
+ cleaned as (select * from by_blocks union all select book_id, page_no, '' from p where page_no % 4 >= 2),
+ {FROM_CLEANED}""")
+def books_from_page_json(spark, sf_dir):
+    """Books from the layout JSON of pages alone; what isn't a list of blocks is an empty page."""
+    json = PAGE_JSON.replace("{g}", "").replace("\\n\\r\\t", "\\\\n\\\\r\\\\t")
+    made = book.join_only(pages(spark, sf_dir, BOTH).select("book_id", "page_no", F.expr(json).alias("text")), "json", even_words(spark, sf_dir))
+    return made.select("book_id", "n_pages", F.length("content").alias("n_chars"), F.md5(F.encode("content", "UTF-8")).alias("digest"))
