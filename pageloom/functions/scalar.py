@@ -9,6 +9,8 @@ from .pystr import given, replace, strip
 
 # Time stamps in file names, as (year, month, day, hour, minute, second), tried in this order.
 NAME_TIMES = (r"(\d{4})(\d{2})(\d{2})_(\d{2})(\d{2})(\d{2})", r"(\d{4})-(\d{2})-(\d{2})_(\d{2})-(\d{2})-(\d{2})")
+# Durations under a minute, under an hour, longer ones, and unknown ones.
+DURATIONS = ("%ds", "%dm %ds", "%dh %dm", "--:--")
 # The image types that are read.
 IMAGE_TYPES = (".jpg", ".jpeg", ".png", ".webp")
 
@@ -88,10 +90,10 @@ def percent(total: Column, done: Column) -> Column:
 def duration(seconds: Column) -> Column:
     """``5s``, ``1m 30s``, ``1h 1m``; ``--:--`` for null."""
     whole = seconds.cast("double")
-    short = F.format_string("%ds", F.bround(whole).cast("bigint"))
-    minutes = F.format_string("%dm %ds", F.floor(whole / 60), F.floor(F.pmod(whole, F.lit(60.0))))
-    hours = F.format_string("%dh %dm", F.floor(whole / 3600), F.floor(F.pmod(whole, F.lit(3600.0)) / 60))
-    return F.when(whole.isNull(), "--:--").when(whole < 60, short).when(whole < 3600, minutes).otherwise(hours)
+    short = F.format_string(DURATIONS[0], F.bround(whole).cast("bigint"))
+    minutes = F.format_string(DURATIONS[1], F.floor(whole / 60), F.floor(F.pmod(whole, F.lit(60.0))))
+    hours = F.format_string(DURATIONS[2], F.floor(whole / 3600), F.floor(F.pmod(whole, F.lit(3600.0)) / 60))
+    return F.when(whole.isNull(), DURATIONS[3]).when(whole < 60, short).when(whole < 3600, minutes).otherwise(hours)
 
 
 def one_decimal(x: Column) -> Column:

@@ -13,7 +13,17 @@ SENTENCE_END = "[.!?;:][\"')\\]]*\\z|[。！？；：」』）】]\\z"
 SECTION = rf"(?i)\A(?:chapter|part|section|#{{1,6}}{SPACE}+|\d+\.{SPACE}+[A-Z]|[IVXLCDM]+\.{SPACE}*[A-Z])"
 CONTINUATION = r"\A[a-z,;:\-–—]"
 ABBREVIATIONS = "mr mrs ms dr prof sr jr vs etc al inc ltd corp eg ie viz cf fig no vol pp ed eds trans rev st ave blvd".split()
+# Decisions on a boundary and their reasons.
 DIRECT, PARAGRAPH, NEW_SECTION = "direct", "paragraph", "section"
+REASONS = {
+    "empty": "Empty page",
+    "section": "New section/chapter detected",
+    "goes_on_after": "Lowercase continuation after sentence",
+    "complete": "Complete sentence at page boundary",
+    "goes_on": "Sentence continues across page",
+    "hyphen": "Hyphenated word across page",
+    "unclear": "Ambiguous boundary, defaulting to paragraph",
+}
 
 
 def ends_sentence(text: Column) -> Column:
@@ -41,16 +51,16 @@ def judged(before: Column, after: Column) -> Column:
     """struct(decision, reason) of the boundary between two pages, from their facts."""
 
     def result(decision: str, reason: str) -> Column:
-        return F.struct(F.lit(decision).alias("decision"), F.lit(reason).alias("reason"))
+        return F.struct(F.lit(decision).alias("decision"), F.lit(REASONS[reason]).alias("reason"))
 
     return (
-        F.when(before["empty"] | after["empty"], result(PARAGRAPH, "Empty page"))
-        .when(after["section"], result(NEW_SECTION, "New section/chapter detected"))
-        .when(before["complete"] & after["goes_on"], result(DIRECT, "Lowercase continuation after sentence"))
-        .when(before["complete"], result(PARAGRAPH, "Complete sentence at page boundary"))
-        .when(after["goes_on"], result(DIRECT, "Sentence continues across page"))
-        .when(before["hyphen"], result(DIRECT, "Hyphenated word across page"))
-        .otherwise(result(PARAGRAPH, "Ambiguous boundary, defaulting to paragraph"))
+        F.when(before["empty"] | after["empty"], result(PARAGRAPH, "empty"))
+        .when(after["section"], result(NEW_SECTION, "section"))
+        .when(before["complete"] & after["goes_on"], result(DIRECT, "goes_on_after"))
+        .when(before["complete"], result(PARAGRAPH, "complete"))
+        .when(after["goes_on"], result(DIRECT, "goes_on"))
+        .when(before["hyphen"], result(DIRECT, "hyphen"))
+        .otherwise(result(PARAGRAPH, "unclear"))
     )
 
 

@@ -10,6 +10,7 @@ from ..functions.scalar import IMAGE_TYPES
 FORMATS = ("md", "epub")
 
 
+# Names and defaults of the settings.
 @dataclass(frozen=True)
 class Config:
     input_dir: str

@@ -11,20 +11,18 @@ from typing import TextIO
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import duration, percent, rate, remaining
+from ..functions.scalar import DURATIONS, duration, percent, rate, remaining
 
 CELLS, NAME = 20, 25
 
 
 def format_time(seconds: float | None) -> str:
+    """``duration`` of one number."""
     if seconds is None:
-        return "--:--"
-    if seconds < 60:
-        return f"{seconds:.0f}s"
-    minutes, rest = divmod(seconds, 60)
-    if seconds < 3600:
-        return f"{int(minutes)}m {int(rest)}s"
-    return f"{int(minutes // 60)}h {int(minutes % 60)}m"
+        return DURATIONS[3]
+    minutes = seconds // 60
+    parts = (round(seconds),) if seconds < 60 else (minutes, seconds % 60) if seconds < 3600 else (minutes // 60, minutes % 60)
+    return DURATIONS[(seconds >= 60) + (seconds >= 3600)] % parts
 
 
 @dataclass
