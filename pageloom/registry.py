@@ -18,7 +18,7 @@ from .functions.pystr import SPACES
 from .operators import accuracy, chapters, clean, headers, joiner, ocr, ordered, quality, resume, review, running
 from .plans import book
 from .sources import epub, readers, writers
-from .streaming import progress
+from .streaming import incremental, progress
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -800,3 +800,57 @@ def books_from_page_json(spark, sf_dir):
     json = PAGE_JSON.replace("{g}", "").replace("\\n\\r\\t", "\\\\n\\\\r\\\\t")
     made = book.join_only(pages(spark, sf_dir, BOTH).select("book_id", "page_no", F.expr(json).alias("text")), "json", even_words(spark, sf_dir))
     return made.select("book_id", "n_pages", F.length("content").alias("n_chars"), F.md5(F.encode("content", "UTF-8")).alias("digest"))
+
+
+def stub_model():
+    """Stands in for a recogniser: the path's number decides whether it fails."""
+
+    def read(path: str, content: bytes) -> dict:
+        if int(path) % 7 == 0:
+            raise ValueError(f"unreadable {path}")
+        said = content.decode()
+        return {"text": f"# {path}\n{said}", "text_nohf": said, "layout": [{"category": "Text", "text": path}]}
+
+    return read
+
+
+@query("""select 'web' book_id, cast(page_id as int) page_no, cast(page_id as varchar) path, case when page_id % 7 = 0 then '' else '# ' || page_id || chr(10) || url end text, case when page_id % 7 = 0 then '' else url end text_nohf,
+ case when page_id % 7 <> 0 then '[{"category": "Text", "text": "' || page_id || '"}]' end raw, page_id % 7 <> 0 success, case when page_id % 7 = 0 then 'unreadable ' || page_id end error_message from pages""")
+def recognised_pages(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select(F.lit("web").alias("book_id"), F.col("page_id").cast("int").alias("page_no"), F.col("page_id").cast("string").alias("path"), F.encode("url", "UTF-8").alias("content"))
+    return ocr.recognised(rows, stub_model, pause=0)
+
+
+def stub_reviewer():
+    def ask(text: str) -> str:
+        if "/de/" in text:
+            raise ConnectionError("no answer")
+        return f"{len(text)} characters"
+
+    return ask
+
+
+@query("select 'web' book_id, cast(page_id as int) page_no, case when not contains(url, '/de/') then length(url) || ' characters' end response, not contains(url, '/de/') success, case when contains(url, '/de/') then 'LLM request failed: no answer' end error_message from pages")
+def reviewed_pages(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select(F.lit("web").alias("book_id"), F.col("page_id").cast("int").alias("page_no"), F.col("url").alias("text"))
+    return ocr.reviewed(rows, stub_reviewer)
+
+
+@query(f"with {p_sql(PARAGRAPHS)}, n as ({q_sql(PARAGRAPHS).partition(' n as (')[2]}, {cut_sql('p')}, m as (select book_id, page_no, unnest(regexp_split_to_array(text, '\\n\\n+')) text, generate_subscripts(regexp_split_to_array(text, '\\n\\n+'), 1) block_no from cut), {blocks_sql('m', 'done')}, e as (select book_id, page_no, count_if(severity = 'error') e, count_if(severity = 'warning') w, count_if(severity = 'info') i from found group by all) select done.book_id, done.page_no, md5(done.text) digest, cast(coalesce(e, 0) as int) n_errors, cast(coalesce(w, 0) as int) n_warnings, cast(coalesce(i, 0) as int) n_infos from done left join e using (book_id, page_no)")
+def streamed_pages(spark, sf_dir):
+    """Pages that arrive in files in two goes, taken up by a stream."""
+    folder = own_folder(spark)
+    rows = pages(spark, sf_dir, PARAGRAPHS).select("book_id", "page_no", F.lit(None).cast("string").alias("raw"), F.col("text").alias("text_nohf"), F.lit(True).alias("success"))
+    for half in (0, 1):
+        rows.where(F.col("page_no") % 2 == half).write.mode("append").parquet(f"{folder}/in")
+        incremental.run(incremental.stream(spark, f"{folder}/in"), f"{folder}/out", f"{folder}/state").awaitTermination()
+    done = spark.read.parquet(f"{folder}/out")
+    return done.select("book_id", "page_no", F.md5(F.encode("text", "UTF-8")).alias("digest"), "n_errors", "n_warnings", "n_infos")
+
+
+@query(f"with {RUNS}, m as (select rotation, avg(ocr_time) avg_time from runs group by rotation) select m.rotation, round(m.avg_time, 6) avg_time, round(b.avg_time / m.avg_time, 6) speedup from m, m b where b.rotation = 0")
+def study_files(spark, sf_dir):
+    """A study's results written as JSON lines and read again."""
+    folder = own_folder(spark)
+    writers.study(accuracy.speedups(runs(spark, sf_dir), "rotation", 0), folder)
+    return spark.read.schema("rotation bigint, avg_time double, speedup double").json(folder).select("rotation", F.round("avg_time", 6).alias("avg_time"), F.round("speedup", 6).alias("speedup"))
