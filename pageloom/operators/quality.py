@@ -100,7 +100,9 @@ def with_findings(pages: DataFrame, text: str = "text", success: str | None = No
 
 def findings(pages: DataFrame, text: str = "text", success: str | None = None, **limits) -> DataFrame:
     """(book_id, page_no, seq, severity, error_type, n, message, context): one scan, a row per finding."""
-    return with_findings(pages, text, success, **limits).select("book_id", "page_no", F.explode("findings").alias("f")).select("book_id", "page_no", "f.*")
+    rows = with_findings(pages, text, success, **limits)
+    # an inner explode would have Spark filter by the findings' number first, and so find them twice
+    return rows.select("book_id", "page_no", F.explode_outer("findings").alias("f")).where("f is not null").select("book_id", "page_no", "f.*")
 
 
 def totals() -> list[Column]:

@@ -38,11 +38,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Page numbers (a narrow row each) that are broadcast to the texts at most; more are joined by a shuffle.
+MOST_BROADCAST = 500_000
+
+
 def pages(spark: SparkSession, sf_dir: str, enriched: str | None = None) -> DataFrame:
     """(book_id, page_no, doc_id, text, n_chars), the text as the SQL expression gives it."""
     docs = table(spark, sf_dir, "documents")
     numbers = ordered.numbered(docs.select(F.col("source").alias("book_id"), "doc_id"), [F.col("doc_id")], "page_no")  # without the texts
-    rows = numbers.join(docs.select("doc_id", "text", "n_chars"), "doc_id").select("book_id", "page_no", "doc_id", "text", "n_chars")
+    numbers = F.broadcast(numbers) if numbers.count() <= MOST_BROADCAST else numbers
+    texts = docs.select("doc_id", "text", "n_chars")
+    cores = spark.sparkContext.defaultParallelism
+    if texts.rdd.getNumPartitions() < cores:  # a table of one small file would be one task's work; a large one is not shuffled
+        texts = texts.repartition(cores)
+    rows = texts.join(numbers, "doc_id").select("book_id", "page_no", "doc_id", "text", "n_chars")
     return rows.withColumn("text", F.expr(enriched)) if enriched else rows
 
 
