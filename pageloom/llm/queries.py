@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, neighbours, packing, quality, sharding, simhash, tokens, urls
+from . import chat, decontam, fim, langid, neighbours, packing, quality, sharding, simhash, tokens, urls
 from .batches import read
 
 #: Bytes of text that a shard holds at most.
@@ -71,7 +71,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.in_fold("doc_id", 5, 0).alias("held_out"), "lang_pred", "score", "margin", "fit")
 
 
-QUERIES = {f.__name__: f for f in (op1_nn_descent, op2_token_counts, op3_url_filter, op4_simhash, op5_quality, op6_extendible_shards, op7_qgram_decontamination, op8_sum_of_squares, op9_quotation_linking, op10_language_id)}
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transformed(read(spark, sf_dir, "documents"))
+    chars = [F.length(c).cast("bigint").alias(f"{c}_chars") for c in ("prefix", "middle")]
+    return made.select("doc_id", "n", "form", *chars, F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_nn_descent, op2_token_counts, op3_url_filter, op4_simhash, op5_quality, op6_extendible_shards, op7_qgram_decontamination, op8_sum_of_squares, op9_quotation_linking, op10_language_id, op12_fill_in_middle)}
 
 #: The shortest prefix of the hash bits whose documents fit a shard; documents of equal hashes are taken to fit.
 SHARD_SQL = f"""
@@ -88,4 +94,20 @@ bucket as (
 select r.doc_id, r.n_bytes, substr(lpad(bin(r.h), 60, '0'), 1, b.depth) shard, cast(b.depth as integer) "depth"
 from rows_ r join bucket b on (r.h >> (60 - b.depth)) = b.p where b.bytes <= {SHARD_BYTES}"""
 
-ORACLE_SQL = {"op6_extendible_shards": SHARD_SQL}
+#: The units as a list, cut by position; what is rebuilt is the text itself.
+FIM_SQL = """
+with units as (
+  select doc_id, coalesce(text, '') text, sha256('42:' || coalesce(cast(doc_id as varchar), '')) d,
+         regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') u from documents),
+drawn as (
+  select *, len(u) n, cast(('0x' || d[1:8]) as bigint) h1, cast(('0x' || d[9:16]) as bigint) h2, cast(('0x' || d[17:24]) as bigint) h3, cast(('0x' || d[25:32]) as bigint) h4 from units),
+cut as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) a, greatest(h1 % (n + 1), h2 % (n + 1)) b,
+         case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 50 then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end form from drawn),
+parts as (
+  select doc_id, cast(n as bigint) n, form, text, array_to_string(u[1:a], '') p, array_to_string(u[a + 1:b], '') m, array_to_string(u[b + 1:], '') s from cut)
+select doc_id, n, form, case when form <> 'plain' then length(p) end prefix_chars, case when form <> 'plain' then length(m) end middle_chars,
+       sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) output_sha256,
+       sha256(case form when 'plain' then text else p || m || s end) restored_sha256 from parts"""
+
+ORACLE_SQL = {"op12_fill_in_middle": FIM_SQL, "op6_extendible_shards": SHARD_SQL}
