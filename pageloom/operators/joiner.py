@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pystr import NOT_SPACE, SPACE, WORD, lstrip, rstrip, strip
-from .ordered import RUN, previous
+from ..functions.pystr import NOT_SPACE, SPACE, SPACE_SET, WORD, lstrip, rstrip, strip
+from .ordered import RUN, last_before, previous
 
 # What ends a sentence, begins a section or goes on with one; abbreviations whose dot ends nothing.
 SENTENCE_END = "[.!?;:][\"')\\]]*\\z|[。！？；：」』）】]\\z"
@@ -41,10 +41,17 @@ def hyphenated(text: Column) -> Column:
     return rstrip(text).rlike(f"{WORD}-\\z")
 
 
+def ends_in_text(stripped: Column) -> Column:
+    """The last line of a stripped text is no header and no part of one: the line before it says something too."""
+    last = F.substring_index(stripped, "\n", -1)
+    before = F.substring_index(F.rtrim(F.left(stripped, F.length(stripped) - F.length(last)), F.lit("\n")), "\n", -1)
+    return ~last.startswith("#") & before.rlike(f"[^#{SPACE_SET}]")
+
+
 def edge_facts(stripped: Column) -> Column:
     """All that boundaries depend on, of one stripped text: a few flags."""
     tail, head = F.right(stripped, F.lit(200)), F.left(stripped, F.lit(100))
-    return F.struct((stripped == "").alias("empty"), stripped.rlike(SECTION).alias("section"), continues(head).alias("goes_on"), ends_sentence(tail).alias("complete"), hyphenated(tail).alias("hyphen"))
+    return F.struct((stripped == "").alias("empty"), stripped.rlike(SECTION).alias("section"), continues(head).alias("goes_on"), ends_sentence(tail).alias("complete"), hyphenated(tail).alias("hyphen"), ends_in_text(stripped).alias("closed"))
 
 
 def judged(before: Column, after: Column) -> Column:
@@ -65,10 +72,10 @@ def judged(before: Column, after: Column) -> Column:
 
 
 def decided(rows: DataFrame, run: int = RUN) -> DataFrame:
-    """Rows (book_id, page_no, facts, ...) with ``before_page``, ``decision`` and ``reason``; null on a book's first page."""
-    rows = previous(rows, F.col("facts"), "before", run=run)
+    """Rows (book_id, page_no, facts, ...) with ``before_page``, ``before_closed``, ``decision`` and ``reason``, null on a book's first page, and ``last``."""
+    rows = previous(rows, F.col("facts"), "before", run=run).withColumnRenamed("before_last", "last")
     found = F.when(F.col("before_page").isNotNull(), judged(F.col("before"), F.col("facts")))
-    return rows.withColumn("_judged", found).withColumn("decision", F.col("_judged.decision")).withColumn("reason", F.col("_judged.reason")).drop("_judged", "before", "facts")
+    return rows.withColumn("_judged", found).withColumn("decision", F.col("_judged.decision")).withColumn("reason", F.col("_judged.reason")).withColumn("before_closed", F.col("before.closed")).drop("_judged", "before", "facts")
 
 
 def boundaries(pages: DataFrame, text: str = "text", run: int = RUN) -> DataFrame:
@@ -103,6 +110,35 @@ def _pieces(pages: DataFrame, text: str, markers: bool, run: int) -> DataFrame:
     return rows.withColumn("piece", piece)
 
 
+#: What a block may begin behind: a line with more than white space that is no header, and the line ends after it, where the next line is no header and isn't indented.
+CUT = rf"\n(?!#)[{SPACE_SET}&&[^\n]]*+{NOT_SPACE}[^\n]*+\n++(?=[^#{SPACE_SET}])"
+#: The block that a book begins with.
+FIRST = -(1 << 40)
+
+
+def blocks(pages: DataFrame, text: str = "text", markers: bool = True, run: int = RUN) -> DataFrame:
+    """(book_id, block, first, last, n_pages, text): books as rows of whole lines; concatenated in order of ``block`` they are the book.
+
+    A block begins with what a page adds, if that begins with a line end and the page before ended in plain text, or else
+    behind the page's first ``CUT``; a page without either belongs to the block before. So no line, no header and no run
+    of line ends lies in two blocks, even where headers between are dropped. The text of a book of one page isn't
+    stripped; pages of no book (null) are left out.
+    """
+    rows = _pieces(pages.where("book_id is not null"), text, markers, run)
+    piece = F.when(F.col("last") & F.col("before_page").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.col("piece"))
+    begins = F.coalesce("before_closed", F.lit(False)) & F.startswith(F.col("piece"), F.lit("\n"))
+    rows = rows.select("book_id", F.col("page_no").cast("bigint").alias("page_no"), "last", piece.alias("piece"), begins.alias("_begins"))
+    rows = rows.withColumn("_cut", F.when(F.col("_begins"), "").otherwise(F.regexp_substr("piece", F.lit(CUT))))
+    rows = last_before(rows, F.when(F.col("_cut").isNotNull(), F.col("page_no")), "_of", run=run)
+    at = F.expr("locate(_cut, piece) + length(_cut)")
+    cut = F.col("_cut").isNotNull()
+    own = F.struct(F.col("page_no").alias("block"), (2 * F.col("page_no") + 1).alias("at"), F.substring("piece", at, F.length("piece")).alias("text"), F.col("last").alias("last"), F.lit(0).alias("page"))
+    before = F.struct(F.coalesce("_of", F.lit(FIRST)).alias("block"), (2 * F.col("page_no")).alias("at"), F.when(cut, F.substring("piece", F.lit(1), at - 1)).otherwise(F.col("piece")).alias("text"), (F.col("last") & ~cut).alias("last"), F.lit(1).alias("page"))
+    parts = rows.select("book_id", F.explode(F.when(cut, F.array(before, own)).otherwise(F.array(before))).alias("x")).select("book_id", "x.*")
+    made = parts.groupBy("book_id", "block").agg(F.expr("listagg(text, '') within group (order by at)").alias("text"), F.bool_or("last").alias("last"), F.sum("page").alias("n_pages"))
+    return made.select("book_id", "block", (F.col("block") == FIRST).alias("first"), "last", "n_pages", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def books(pages: DataFrame, text: str = "text", markers: bool = True, run: int = RUN) -> DataFrame:
     """(book_id, n_pages, content), a row per book; the text of a book of one page isn't stripped."""
     pieces = _pieces(pages, text, markers, run).withColumn("_whole", F.coalesce(F.col(text), F.lit("")))

@@ -37,13 +37,39 @@ def run_of(page: str = "page_no", run: int = RUN) -> Column:
 
 
 def previous(df: DataFrame, column: Column, name: str, book: str = "book_id", page: str = "page_no", run: int = RUN) -> DataFrame:
-    """Adds the value of the page before in the book's order, null on the first, and its page number as ``<name>_page``."""
+    """Adds the value of the page before in the book's order, null on the first, its page number as ``<name>_page``, and ``<name>_last``: no page follows."""
     rows = df.withColumn("_run", run_of(page, run)).withColumn("_own", F.struct(F.col(page).alias("p"), column.alias("v")))
     within = rows.withColumn("_before", F.lag("_own").over(Window.partitionBy(book, "_run").orderBy(page)))
     ends = rows.groupBy(book, "_run").agg(F.max_by("_own", page).alias("_last"))
-    over = ends.select(book, "_run", F.lag("_last").over(Window.partitionBy(book).orderBy("_run")).alias("_carried"))
+    by_run = Window.partitionBy(book).orderBy("_run")
+    over = ends.select(book, "_run", F.lag("_last").over(by_run).alias("_carried"), F.when(F.lead("_run").over(by_run).isNull(), F.col("_last.p")).alias("_end"))
     out = within.join(over, [book, "_run"], "left").withColumn("_before", F.coalesce("_before", "_carried"))
-    return out.withColumn(name, F.col("_before.v")).withColumn(f"{name}_page", F.col("_before.p")).drop("_run", "_own", "_before", "_carried")
+    out = out.withColumn(name, F.col("_before.v")).withColumn(f"{name}_page", F.col("_before.p")).withColumn(f"{name}_last", F.coalesce(F.col("_end") == F.col(page), F.lit(False)))
+    return out.drop("_run", "_own", "_before", "_carried", "_end")
+
+
+def totals_before(df: DataFrame, columns: dict[str, Column], group: str = "book_id", order: str = "page_no", run: int = RUN) -> DataFrame:
+    """Adds, by name, the sum of each column over the rows before in a group's order: within runs, plus one row per run of what came before it."""
+    rows = df.withColumn("_run", run_of(order, run))
+    within = Window.partitionBy(group, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(group).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = rows.groupBy(group, "_run").agg(*(F.sum(c).alias(f"_sum_{n}") for n, c in columns.items()))
+    carried = runs.select(group, "_run", *(F.sum(f"_sum_{n}").over(across).alias(f"_carried_{n}") for n in columns))
+    out = rows.withColumns({n: F.sum(c).over(within) for n, c in columns.items()}).join(carried, [group, "_run"])
+    zero = F.lit(0).cast("bigint")
+    return out.withColumns({n: F.coalesce(n, zero) + F.coalesce(f"_carried_{n}", zero) for n in columns}).drop("_run", *(f"_carried_{n}" for n in columns))
+
+
+def last_before(df: DataFrame, column: Column, name: str, group: str = "book_id", order: str = "page_no", run: int = RUN) -> DataFrame:
+    """Adds the last value that isn't null of the rows before in a group's order; null if there is none."""
+    rows = df.withColumn("_run", run_of(order, run)).withColumn("_value", column)
+    within = Window.partitionBy(group, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(group).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = rows.where("_value is not null").groupBy(group, "_run").agg(F.max_by("_value", order).alias("_of_run"))
+    every = rows.select(group, "_run").distinct().join(runs, [group, "_run"], "left")
+    carried = every.select(group, "_run", F.last("_of_run", ignorenulls=True).over(across).alias("_carried"))
+    out = rows.withColumn(name, F.last("_value", ignorenulls=True).over(within)).join(carried, [group, "_run"])
+    return out.withColumn(name, F.coalesce(name, "_carried")).drop("_run", "_value", "_carried")
 
 
 def numbered(df: DataFrame, order: list[Column], name: str, group: str = "book_id") -> DataFrame:

@@ -15,17 +15,16 @@ from pyspark.sql import functions as F
 
 from ..operators import chapters, clean, headers, joiner, quality, running
 from ..operators.ordered import stored
-from ..sources import writers
 
 
 @dataclass
 class Result:
-    """What a run made, or why it failed."""
+    """What a run made, or why it failed. ``books``: rows (book_id, block, n_pages, text, ...) for ``writers.text_files``; ``chapters``: rows for ``writers.epub_files``."""
 
     success: bool
     message: str = ""
     books: DataFrame | None = None
-    epubs: DataFrame | None = None
+    chapters: DataFrame | None = None
     reports: DataFrame | None = None
     boundaries: DataFrame | None = None
 
@@ -36,27 +35,27 @@ def cleaned_pages(results: DataFrame, dictionary: DataFrame | None = None) -> Da
 
 
 def joined_books(pages: DataFrame, markers: bool = True, running_headers: bool = True, min_occurrences: int = 10) -> DataFrame:
-    """(book_id, n_pages, content): headers and footers that repeat dropped, pages joined, running headers dropped."""
-    whole = joiner.books(headers.clean_book_pages(stored(pages), min_occurrences), markers=markers)
+    """Books as rows (``joiner.blocks``): headers and footers that repeat dropped, pages joined, running headers dropped."""
+    whole = joiner.blocks(headers.clean_book_pages(stored(pages), min_occurrences), markers=markers)
     return running.drop_running_headers(whole) if running_headers else whole
 
 
-def run(results: DataFrame, dictionary: DataFrame | None = None, markers: bool = True, formats: tuple[str, ...] = ("md", "epub"), author: str = "Unknown", language: str = "en", date: str = "1970-01-01", **limits) -> Result:
+def run(results: DataFrame, dictionary: DataFrame | None = None, markers: bool = True, formats: tuple[str, ...] = ("md", "epub"), **limits) -> Result:
     """The full plan over OCR results: reports on the raw texts, then cleaned and joined books. No pages, or an error of Spark, is a failed result."""
     try:
         if results.limit(1).isEmpty():
             return Result(False, "No pages found")
         reports = quality.report(results, "text_nohf", "success", **limits)
         pages = headers.clean_book_pages(stored(cleaned_pages(results, dictionary)))
-        books = running.drop_running_headers(joiner.books(pages, markers=markers))
-        made = writers.epubs(chapters.chapters(books), author, language, date) if "epub" in formats else None
+        books = running.drop_running_headers(joiner.blocks(pages, markers=markers))
+        made = chapters.of_blocks(stored(books)) if "epub" in formats else None
         return Result(True, "", books, made, reports, joiner.boundaries(pages))
     except PySparkException as e:  # what Spark says of the data; errors of this program are raised
         return Result(False, str(e))
 
 
 def join_only(pages: DataFrame, kind: str = "markdown", dictionary: DataFrame | None = None, markers: bool = True, running_headers: bool = True) -> DataFrame:
-    """Books from page files: JSON by its blocks (unreadable ones are empty), markdown without the search for repetition."""
+    """Books, as rows, from page files: JSON by its blocks (unreadable ones are empty), markdown without the search for repetition."""
     if kind == "json":
         listed = pages.withColumn("_raw", F.when(F.ltrim("text").startswith("["), F.col("text")))
         done = clean.clean_raw(listed.withColumn("_none", F.lit("")), dictionary, raw="_raw", text="_none")

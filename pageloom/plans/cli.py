@@ -6,6 +6,7 @@ import argparse
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import chapters, quality
 from ..sources import readers, writers
@@ -24,17 +25,18 @@ def main(argv: list[str] | None = None) -> int:
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("pageloom").getOrCreate()
     if args.plan == "epub":
-        made = writers.epubs(chapters.chapters(readers.markdown(spark, args.input)), args.author, args.language)
-        return int(not writers.files(made, args.output, "epub", ".epub").count())
+        found = chapters.chapters(readers.markdown(spark, args.input)).withColumnsRenamed({"content": "text"})
+        rows = found.withColumns({"block": F.lit(0).cast("bigint"), "part": F.lit(0)})
+        return int(not writers.epub_files(rows, args.output, args.author, args.language).count())
     tiers = readers.TIERS["join" if args.plan == "join" else "analyze"]
     pages = readers.page_texts(spark, args.input, tiers)
     if args.plan == "analyze":
-        writers.texts(quality.report_text(pages), args.output, "report", "_error_report.txt").count()
+        writers.text_files(quality.report_text(pages), args.output, (), "report", "_error_report.txt").count()
         return int(not quality.report(pages).where("has_critical_errors").isEmpty())
     words = readers.dictionary(spark, args.dictionary)
     kind = (pages.select("kind").first() or ["markdown"])[0]
     books = book.join_only(pages, kind, words, not args.no_markers)
-    return int(not writers.texts(books, args.output).count())
+    return int(not writers.text_files(books, args.output).count())
 
 
 if __name__ == "__main__":

@@ -181,8 +181,15 @@ def without_running_sql(source: str) -> str:
 
 @query(books_sql(RUNNING, True) + ", " + without_running_sql("k") + " select book_id, n_pages, cast(length(content) as int) n_chars, md5(content) digest from rr")
 def books_without_running_headers(spark, sf_dir):
-    found = running.drop_running_headers(joiner.books(pages(spark, sf_dir, RUNNING)))
-    return found.select("book_id", "n_pages", F.length("content").alias("n_chars"), F.md5(F.encode("content", "UTF-8")).alias("digest"))
+    return book_digests(running.drop_running_headers(joiner.blocks(pages(spark, sf_dir, RUNNING))))
+
+
+def book_digests(blocks: DataFrame) -> DataFrame:
+    """Of books as rows the pages, the length and the digest of the whole text."""
+    rows = ordered.stored(blocks)
+    counted = rows.groupBy("book_id").agg(F.sum("n_pages").alias("n_pages"))
+    found = writers.digests(rows, ["book_id"], ["block"]).withColumn("n_chars", F.col("n_chars").cast("int"))
+    return found.join(counted, "book_id").select("book_id", "n_pages", "n_chars", "digest")
 
 
 CHAPTERS = (
@@ -208,8 +215,9 @@ CHAPTERS = (
 
 @query(CHAPTERS)
 def book_chapters(spark, sf_dir):
-    found = chapters.chapters(joiner.books(pages(spark, sf_dir, ENDINGS), markers=False))
-    return found.select("book_id", "chapter_no", "title", F.length("content").alias("n_chars"), F.md5(F.encode("content", "UTF-8")).alias("digest"))
+    found = chapters.of_blocks(joiner.blocks(pages(spark, sf_dir, ENDINGS), markers=False))
+    made = writers.digests(found, ["book_id", "chapter_no", "title"], ["block", "part"])
+    return made.select("book_id", F.col("chapter_no").cast("int").alias("chapter_no"), "title", F.col("n_chars").cast("int").alias("n_chars"), "digest")
 
 
 # quality
@@ -748,7 +756,7 @@ def earlier_outputs(spark, sf_dir):
 def book_files(spark, sf_dir):
     """Books written as markdown files and read again."""
     folder = own_folder(spark)
-    written(writers.texts(joiner.books(pages(spark, sf_dir, ENDINGS)), folder))
+    written(writers.text_files(joiner.blocks(pages(spark, sf_dir, ENDINGS)), folder))
     return readers.markdown(spark, folder).select("book_id", F.length("content").alias("n_chars"), F.md5(F.encode("content", "UTF-8")).alias("digest"))
 
 
@@ -763,15 +771,45 @@ def image_files(spark, sf_dir):
     return readers.images(spark, folder).select("name").join(numbers, "name", "left")
 
 
+#: The bytes of a JPEG file with EXIF data, by event: in either byte order, the time stamp in the main directory, in the EXIF directory or, unreadable, in both; a directory that is cut, one that points to itself, none.
+def jpeg(stamp: Column, kind: Column) -> Column:
+    big = kind % 2 == 1
+    number = lambda x, n: F.when(big, F.lit(x.to_bytes(n, "big").hex())).otherwise(F.lit(x.to_bytes(n, "little").hex()))
+    entry = lambda tag, type_, count, value: F.concat(number(tag, 2), number(type_, 2), number(count, 4), number(value, 4))
+    said, unread = F.hex(F.encode(stamp, "UTF-8")), F.lit(b"0000:00:00 unread!!".hex())
+    last = number(0, 4)
+    main = F.concat(number(1, 2), entry(36867, 2, 20, 26), last, said, F.lit("00"))
+    below = F.concat(number(1, 2), entry(0x8769, 4, 1, 26), last, number(1, 2), entry(36867, 2, 20, 44), last, said, F.lit("00"))
+    both = F.concat(number(2, 2), entry(36867, 2, 20, 38), entry(0x8769, 4, 1, 58), last, unread, F.lit("00"), number(1, 2), entry(36867, 2, 20, 76), last, said, F.lit("00"))
+    cut = F.concat(number(9, 2), entry(36867, 2, 20, 26), said)
+    loop = F.concat(number(1, 2), entry(0x8769, 4, 1, 8), last)
+    inner = F.when(kind < 2, main).when(kind < 4, below).when(kind < 6, both).when(kind < 8, cut).otherwise(loop)
+    tiff = F.concat(F.when(big, F.lit(b"MM\0*".hex())).otherwise(F.lit(b"II*\0".hex())), number(8, 4), inner)
+    size = F.lpad(F.hex((F.length(tiff) / 2).cast("int") + 8), 4, "0")
+    exif = F.when(kind < 10, F.concat(F.lit("ffe1"), size, F.lit(b"Exif\0\0".hex()), tiff)).otherwise("")
+    return F.unhex(F.concat(F.lit("ffd8ffe00004"), F.lit("0000"), exif, F.lit("ffda0002"), F.hex(F.encode(F.repeat(F.lit("pixels"), 50), "UTF-8")), F.lit("ffd9")))
+
+
+@query("select 'IMG_20240102_030405_' || event_id || '.jpg' name, case when event_id % 12 < 6 then date_trunc('second', ts) else timestamp '2024-01-02 03:04:05' end captured from events")
+def captured_files(spark, sf_dir):
+    """Image files with EXIF data of all kinds, written and read for their time stamps; the name counts where there is none."""
+    folder = own_folder(spark)
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("IMG_20240102_030405_"), "event_id").alias("book_id"), jpeg(F.date_format("ts", "yyyy:MM:dd HH:mm:ss"), F.col("event_id") % 12).alias("content"))
+    written(writers.files(rows, folder, "content", ".jpg"))
+    return readers.captured_images(spark, folder).select("name", "captured")
+
+
 EPUB_FILES = "mimetype META-INF/container.xml OEBPS/content.opf OEBPS/toc.ncx OEBPS/nav.xhtml OEBPS/stylesheet.css".split()
 
 
 @query(CHAPTERS.rpartition(" select book_id, cast(row_number()")[0] + f" select book_id, cast(count(*) as int) n_chapters, cast(count(*) + {len(EPUB_FILES)} as int) n_files, string_agg(title, chr(10) order by part) titles from every group by book_id")
 def book_epubs(spark, sf_dir):
     """The chapters as the files themselves have them."""
-    made = writers.epubs(chapters.chapters(joiner.books(pages(spark, sf_dir, ENDINGS), markers=False)))
-    listed = F.pandas_udf(epub.listing, "struct<n_files: int, titles: array<string>>")("epub")
-    return made.select("book_id", "n_chapters", listed.alias("x")).select("book_id", "n_chapters", "x.n_files", F.array_join("x.titles", "\n").alias("titles"))
+    folder = own_folder(spark)
+    made = ordered.stored(writers.epub_files(chapters.of_blocks(joiner.blocks(pages(spark, sf_dir, ENDINGS), markers=False)), folder))
+    listed = F.pandas_udf(epub.listing, "struct<n_files: int, titles: array<string>>")("content")
+    files = spark.read.format("binaryFile").load(folder).select(F.regexp_replace(readers.name_of(F.col("path")), r"\.epub\z", "").alias("book_id"), listed.alias("x"))
+    return made.join(files, "book_id").select("book_id", "n_chapters", "x.n_files", F.array_join("x.titles", "\n").alias("titles"))
 
 
 #: From ``cleaned`` (book_id, page_no, text) to books: headers and footers, joining, running headers.
@@ -792,8 +830,7 @@ def full_run(spark, sf_dir):
     """From recognised pages, each fourth with its layout as JSON, to books."""
     raw = f"case when page_no % 4 = 0 then concat('[{{\"category\":\"Page-header\",\"text\":\"top\"}},{{\"category\":\"Text\",\"text\":\"', {SIMPLE}, '\"}}]') end"
     rows = pages(spark, sf_dir, BOTH).select("book_id", "page_no", F.expr(raw.replace("{g}", "").replace("\\n\\r\\t", "\\\\n\\\\r\\\\t")).alias("raw"), F.col("text").alias("text_nohf"), F.lit(True).alias("success"))
-    done = book.run(rows, even_words(spark, sf_dir), formats=("md",))
-    return done.books.select("book_id", "n_pages", F.length("content").alias("n_chars"), F.md5(F.encode("content", "UTF-8")).alias("digest"))
+    return book_digests(book.run(rows, even_words(spark, sf_dir), formats=("md",)).books)
 
 
 PAGE_JSON = f"case when page_no % 4 = 3 then concat('[{{\"category\": ', text) when page_no % 4 = 2 then '{{\"raw_response\": \"x\"}}' else concat('[{{\"category\":\"Page-footer\",\"text\":\"end\"}},{{\"category\":\"Text\",\"text\":\"', {SIMPLE}, '\"}}]') end"
@@ -807,8 +844,7 @@ PAGE_JSON = f"case when page_no % 4 = 3 then concat('[{{\"category\": ', text) w
 def books_from_page_json(spark, sf_dir):
     """Books from the layout JSON of pages alone; what isn't a list of blocks is an empty page."""
     json = PAGE_JSON.replace("{g}", "").replace("\\n\\r\\t", "\\\\n\\\\r\\\\t")
-    made = book.join_only(pages(spark, sf_dir, BOTH).select("book_id", "page_no", F.expr(json).alias("text")), "json", even_words(spark, sf_dir))
-    return made.select("book_id", "n_pages", F.length("content").alias("n_chars"), F.md5(F.encode("content", "UTF-8")).alias("digest"))
+    return book_digests(book.join_only(pages(spark, sf_dir, BOTH).select("book_id", "page_no", F.expr(json).alias("text")), "json", even_words(spark, sf_dir)))
 
 
 def stub_model():

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
-import os
 import re
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
+from itertools import groupby
+from operator import itemgetter
+from typing import BinaryIO
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type as to_arrow
 
 from . import epub
 
@@ -28,11 +35,11 @@ def page_files(results: DataFrame, folder: str) -> DataFrame:
         for b in batches:
             n = []
             for r in b.itertuples(index=False):
-                stem = f"{folder}/{safe(r.book_id)}/page_{r.page_no:04d}"
+                stem = f"{safe(r.book_id)}/page_{r.page_no:04d}"
                 parts = {".md": r.text, "_nohf.md": r.text_nohf, ".json": indented(r.raw)}
                 for suffix, text in parts.items():
                     if text is not None:
-                        _put(stem + suffix, text.encode())
+                        _put(folder, stem + suffix, text.encode())
                 n.append(sum(x is not None for x in parts.values()))
             yield b[["book_id", "page_no"]].assign(written=n)
 
@@ -47,9 +54,49 @@ def indented(raw: str | None) -> str | None:
         return raw
 
 
-def texts(books: DataFrame, folder: str, column: str = "content", suffix: str = ".md") -> DataFrame:
-    """(book_id, path): a text file for each book in a shared folder."""
-    return files(books.withColumn(column, F.encode(column, "UTF-8")), folder, column, suffix)
+def text_files(rows: DataFrame, folder: str, order: tuple[str, ...] = ("block",), text: str = "text", suffix: str = ".md") -> DataFrame:
+    """(book_id, path, n_chars, digest): a text file for each book in a shared folder, from rows in this order, written as they come: a book is never held as a whole. ``digest``: MD5."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, own in groupby(each(batches), itemgetter("book_id")):
+            n, state = 0, hashlib.md5(usedforsecurity=False)
+            with stream(folder, file := f"{safe(name)}{suffix}") as f:
+                for r in own:
+                    data = (r[text] or "").encode()
+                    n += len(r[text] or "")
+                    state.update(data)
+                    f.write(data)
+            yield pa.RecordBatch.from_pydict({"book_id": pa.array([name], pa.string()), "path": [f"{folder}/{file}"], "n_chars": [n], "digest": [state.hexdigest()]})
+
+    dealt = rows.select("book_id", *order, text).repartition("book_id").sortWithinPartitions("book_id", *order)
+    return dealt.mapInArrow(run, "book_id string, path string, n_chars bigint, digest string")
+
+
+def epub_files(chapters: DataFrame, folder: str, author: str = "Unknown", language: str = "en", date: str = "1970-01-01", suffix: str = ".epub") -> DataFrame:
+    """(book_id, path, n_chapters): an EPUB for each book in a shared folder, from rows (book_id, chapter_no, title, block, part, text) of ``chapters.of_blocks``: first a book's titles, then its text, converted and compressed as it comes."""
+    titles = chapters.groupBy("book_id", "chapter_no").agg(F.min("title").alias("title"))
+    rows = titles.select("book_id", F.lit(0).alias("kind"), "chapter_no", F.lit(0).cast("bigint").alias("block"), F.lit(0).alias("part"), F.col("title").alias("text"))
+    rows = rows.unionByName(chapters.select("book_id", F.lit(1).alias("kind"), "chapter_no", "block", "part", "text"))
+    order = ["book_id", "kind", "chapter_no", "block", "part"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, own in groupby(each(batches), itemgetter("book_id")):
+            kinds = groupby(own, itemgetter("kind"))
+            names = [r["text"] or "" for r in next(kinds)[1]]
+            texts = ((r["text"] or "" for r in part) for _, part in groupby(next(kinds)[1], itemgetter("chapter_no")))
+            meta = epub.Metadata(name or "", author, language, f"urn:book:{name}", date, f"{date}T00:00:00Z")
+            with stream(folder, file := f"{safe(name)}{suffix}") as f:
+                epub.write(f, meta, names, texts)
+            yield pa.RecordBatch.from_pydict({"book_id": pa.array([name], pa.string()), "path": [f"{folder}/{file}"], "n_chapters": pa.array([len(names)], pa.int32())})
+
+    dealt = rows.repartition("book_id").sortWithinPartitions(*order)
+    return dealt.mapInArrow(run, "book_id string, path string, n_chapters int")
+
+
+def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for k in range(0, b.num_rows, 64):  # few rows are Python objects at a time
+            yield from b.slice(k, 64).to_pylist()
 
 
 def files(books: DataFrame, folder: str, column: str, suffix: str) -> DataFrame:
@@ -57,38 +104,40 @@ def files(books: DataFrame, folder: str, column: str, suffix: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            paths = [f"{folder}/{safe(name)}{suffix}" for name in b["book_id"]]
-            for p, data in zip(paths, b[column], strict=True):
-                _put(p, bytes(data))
-            yield pd.DataFrame({"book_id": b["book_id"], "path": paths})
+            names = [f"{safe(name)}{suffix}" for name in b["book_id"]]
+            for name, data in zip(names, b[column], strict=True):
+                _put(folder, name, bytes(data))
+            yield pd.DataFrame({"book_id": b["book_id"], "path": [f"{folder}/{name}" for name in names]})
 
     return books.select("book_id", column).mapInPandas(run, "book_id string, path string")
 
 
-def _put(path: str, data: bytes) -> None:
-    """Whole or not at all, however often it is tried; to any file system that Arrow knows."""
-    system, at = FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (LocalFileSystem(), path)
-    system.create_dir(at.rpartition("/")[0])
-    part = f"{at}.{os.getpid()}.part"
-    with system.open_output_stream(part) as f:
+def _put(folder: str, name: str, data: bytes) -> None:
+    with stream(folder, name) as f:
         f.write(data)
-    system.move(part, at)
 
 
-def safe(name: str) -> str:
-    """A book's id as the name of a file or folder."""
-    return re.sub(r"[^\w .-]", "_", name).lstrip(".") or "_"
-
-
-def epubs(chapters: DataFrame, author: str = "Unknown", language: str = "en", date: str = "1970-01-01") -> DataFrame:
-    """(book_id, n_chapters, epub): each book's file as bytes, from (book_id, chapter_no, title, content)."""
+@contextmanager
+def stream(folder: str, name: str) -> Iterator[BinaryIO]:
+    """A file to write in, which stands there whole or not at all, however often it is tried; in any file system that Arrow knows. Only the folder may be a URI."""
+    system, base = FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (LocalFileSystem(), folder)
+    at = f"{base}/{name}"
+    system.create_dir(at.rpartition("/")[0])
+    part = f"{at}.{uuid.uuid4().hex}.part"
+    try:
+        with system.open_output_stream(part) as f:
+            yield f
+        system.move(part, at)
+    except BaseException:
+        with suppress(OSError):
+            system.delete_file(part)
+        raise
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("chapter_no")
-        meta = epub.Metadata(key[0], author, language, f"urn:book:{key[0]}", date, f"{date}T00:00:00Z")
-        return pd.DataFrame({"book_id": [key[0]], "n_chapters": [len(rows)], "epub": [epub.build(meta, list(zip(rows["title"], rows["content"], strict=True)))]})
 
-    return chapters.groupBy("book_id").applyInPandas(run, "book_id string, n_chapters int, epub binary")
+def safe(name: str | None) -> str:
+    """A book's id as the name of a file or folder, another one for each id: what may not stand there is written as %XX, in UTF-8."""
+    escaped = re.sub(r"[^\w .-]|\A\.", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), name or "")
+    return escaped or ("%" if name is None else "%00")
 
 
 def _jpegs(images: DataFrame, change: Callable, quality: int) -> DataFrame:
@@ -128,3 +177,22 @@ def rotated_images(images: DataFrame, degrees: int, quality: int = 95) -> DataFr
 def study(results: DataFrame, path: str) -> None:
     """Results of an accuracy study as JSON lines."""
     results.write.mode("overwrite").json(path)
+
+
+def digests(rows: DataFrame, keys: list[str], order: list[str], text: str = "text") -> DataFrame:
+    """(keys, n_chars, digest): length and MD5 of the texts of each key put together in order, read row by row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, own in groupby(each(batches), itemgetter(*keys)):
+            n, state = 0, hashlib.md5(usedforsecurity=False)
+            for r in own:
+                n += len(r[text] or "")
+                state.update((r[text] or "").encode())
+            values = [*(key if len(keys) > 1 else (key,)), n, state.hexdigest()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
+
+    narrow = rows.select(*keys, *order, text)
+    names = [f"{k} {narrow.schema[k].dataType.simpleString()}" for k in keys]
+    schema = pa.schema([*((k, to_arrow(narrow.schema[k].dataType)) for k in keys), ("n_chars", pa.int64()), ("digest", pa.string())])
+    dealt = narrow.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return dealt.mapInArrow(run, ", ".join([*names, "n_chars bigint, digest string"]))

@@ -180,8 +180,8 @@ def test_writers(spark, tmp_path):
 def test_plan(spark):
     rows = spark.createDataFrame([("b", 0, '[{"category":"Text","text":"One cur-\\nrently"}]', "x", True), ("b", 1, None, "goes on.", True), ("b", 2, None, "", False)], "book_id string, page_no int, raw string, text_nohf string, success boolean")
     done = book.run(rows, spark.createDataFrame([("currently",)], "word string"))
-    assert done.success and done.books.first().content == "One currently <!-- page 1 -->goes on."
-    assert done.reports.first().n_errors == 2 and done.epubs.first().n_chapters == 1 and done.boundaries.count() == 2
+    assert done.success and done.books.first().text == "One currently <!-- page 1 -->goes on."
+    assert done.reports.first().n_errors == 2 and [r.title for r in done.chapters.collect()] == ["Content"] and done.boundaries.count() == 2
     assert not book.run(rows.limit(0)).success
     assert not book.run(rows.drop("raw")).success
 
@@ -262,10 +262,10 @@ def test_page_files_are_read_whole(spark, tmp_path):
     rows = spark.createDataFrame([("a/b", 0, "one\n\ntwo\n", "x\ny", '[1]'), ("a/b", 1, "three\r\nfour", "", None)], "book_id string, page_no int, text string, text_nohf string, raw string")
     writers.page_files(rows, f"file:{tmp_path}").collect()
     got = readers.page_texts(spark, str(tmp_path), ("*_nohf.md",)).orderBy("page_no").collect()
-    assert [(r.book_id, r.text) for r in got] == [("a_b", "x\ny"), ("a_b", "")]
+    assert [(r.book_id, r.text) for r in got] == [("a%2Fb", "x\ny"), ("a%2Fb", "")]
     assert [r.text for r in readers.page_texts(spark, str(tmp_path), ("page_????.md",)).orderBy("page_no").collect()] == ["one\n\ntwo\n", "three\r\nfour"]
-    assert [r.content for r in readers.markdown(spark, f"{tmp_path}/a_b/page_0000.md").collect()] == ["one\n\ntwo\n"]
-    assert [(r.page_no, r.has_json, r.json_valid) for r in readers.outputs(spark, f"{tmp_path}/a_b").orderBy("page_no").collect()] == [(0, True, True), (1, False, None)]
+    assert [r.content for r in readers.markdown(spark, f"{tmp_path}/a%2Fb/page_0000.md").collect()] == ["one\n\ntwo\n"]
+    assert [(r.page_no, r.has_json, r.json_valid) for r in readers.outputs(spark, f"{tmp_path}/a%2Fb").orderBy("page_no").collect()] == [(0, True, True), (1, False, None)]
 
 
 def test_review_requests_go_over_http(spark):
