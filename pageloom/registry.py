@@ -799,6 +799,22 @@ def captured_files(spark, sf_dir):
     return readers.captured_images(spark, folder).select("name", "captured")
 
 
+@query(f"with {p_sql()} select book_id, page_no, md5(case when book_id like '%3' and page_no % 5 = 0 then concat('edited ', doc_id, chr(10), text) else text end) digest, book_id like '%3' rewritten from p")
+def saved_edits(spark, sf_dir):
+    """Pages written, some edited and saved, and read again: of each whether its file is a new one. Edits of pages that aren't there touch no file."""
+    folder, columns = own_folder(spark), "page_no int, doc_id bigint, text string"
+    writers.pages(pages(spark, sf_dir).select("book_id", "page_no", "doc_id", "text"), folder)
+    stood = ordered.stored(writers.read_pages(spark, folder, columns).select(F.col("_metadata.file_name").alias("was")).distinct())
+    before = writers.read_pages(spark, folder, columns)
+    edits = before.where("book_id like '%3' and page_no % 5 = 0").select("book_id", "page_no", F.concat(F.lit("edited "), "doc_id", F.lit("\n"), "text").alias("text"))
+    unknown = before.where("book_id like '%4'").select("book_id", (-1 - F.col("page_no")).alias("page_no"), F.lit("x").alias("text"))
+    edits = ordered.stored(edits.unionByName(unknown))
+    for _ in range(2):  # saving again changes nothing
+        writers.save_edits(spark, folder, edits, columns)
+    after = writers.read_pages(spark, folder, columns).select("book_id", "page_no", F.md5(F.encode("text", "UTF-8")).alias("digest"), F.col("_metadata.file_name").alias("file"))
+    return after.join(stood, F.col("file") == F.col("was"), "left").select("book_id", "page_no", "digest", F.col("was").isNull().alias("rewritten"))
+
+
 EPUB_FILES = "mimetype META-INF/container.xml OEBPS/content.opf OEBPS/toc.ncx OEBPS/nav.xhtml OEBPS/stylesheet.css".split()
 
 

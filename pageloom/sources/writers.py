@@ -16,10 +16,12 @@ from typing import BinaryIO
 import pandas as pd
 import pyarrow as pa
 from pyarrow.fs import FileSystem, LocalFileSystem
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type as to_arrow
 
+from ..operators.ordered import run_of
+from ..operators.review import upsert
 from . import epub
 
 
@@ -28,6 +30,26 @@ def pages(results: DataFrame, path: str, mode: str = "overwrite") -> None:
     results.write.mode(mode).partitionBy("book_id").parquet(path)
 
 
+def read_pages(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """Pages that ``pages`` has written, with these columns (as in a schema); the book is the folder's name as it is."""
+    return spark.read.schema(f"{columns}, book_id string").parquet(path)
+
+
+def save_edits(spark: SparkSession, path: str, edits: DataFrame, columns: str, text: str = "text") -> None:
+    """Texts of ``edits`` (book_id, page_no, text) put into the pages that ``pages`` has written.
+
+    Only the folders of books with an edit of a page that is there are read and written anew; Spark stages the new files
+    beside them and swaps whole folders once all tasks have ended, so a failed attempt changes nothing, and what is
+    saved twice stands there once. Edits of unknown pages are ignored; of several edits of a page the last by text counts.
+    """
+    fresh = edits.where("book_id is not null and page_no is not null").groupBy("book_id", "page_no").agg(F.max(text).alias(text))
+    known = read_pages(spark, path, columns).select("book_id", "page_no").join(fresh, ["book_id", "page_no"], "left_semi")
+    touched = known.select("book_id").distinct()
+    rows = read_pages(spark, path, columns)
+    found = upsert(rows.join(touched, "book_id", "left_semi"), fresh, text).select(*rows.columns)
+    found.repartition("book_id", run_of()).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book_id").parquet(path)
+
+
 def page_files(results: DataFrame, folder: str) -> DataFrame:
     """(book_id, page_no, written): ``page_NNNN.md``, ``_nohf.md`` and ``.json`` of each page in a shared folder, by book."""
 

@@ -124,3 +124,35 @@ def test_markdown_in_pieces_is_converted_alike():
     out = io.BytesIO()
     epub.write(out, epub.Metadata("x"), [], [])
     assert zipfile.ZipFile(io.BytesIO(out.getvalue())).infolist()[0].filename == "mimetype"
+
+
+# pages with edits, saved
+COLUMNS = "page_no int, text string"
+
+
+def files_of(folder):
+    return {str(p.relative_to(folder)): p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+
+
+def test_saved_edits_touch_only_their_books(spark, tmp_path):
+    rows = [(b, p, f"{b}{p}") for b in ("01", "1", "x y", "a=b") for p in range(5)]
+    writers.pages(spark.createDataFrame(rows, PAGES), str(tmp_path))
+    first = files_of(tmp_path)
+    edits = spark.createDataFrame([("01", 2, "new"), ("01", 3, None), ("x y", 99, "unknown page"), ("none", 0, "unknown book"), (None, 0, "n"), ("a=b", 0, "b"), ("a=b", 0, "a")], PAGES)
+    read = lambda: {(r.book_id, r.page_no): r.text for r in writers.read_pages(spark, str(tmp_path), COLUMNS).collect()}
+    for _ in range(2):
+        writers.save_edits(spark, str(tmp_path), edits, COLUMNS)
+        want = {(b, p): t for b, p, t in rows} | {("01", 2): "new", ("01", 3): None, ("a=b", 0): "b"}
+        assert read() == want and writers.read_pages(spark, str(tmp_path), COLUMNS).count() == len(rows)
+    left = files_of(tmp_path)
+    kept = {f for f in first if left.get(f) == first[f]}
+    assert {f.partition("/")[0] for f in kept} == {"book_id=1", "book_id=x y"} and {f for f in left if f.partition("/")[0] in {"book_id=1", "book_id=x y"}} == kept
+
+
+def test_a_failed_save_changes_nothing(spark, tmp_path):
+    writers.pages(spark.createDataFrame([("a", p, f"t{p}") for p in range(9)], PAGES), str(tmp_path))
+    before = files_of(tmp_path)
+    broken = spark.createDataFrame([("a", 3, "x"), ("a", 5, "y")], PAGES).withColumn("text", F.when(F.col("text") == "y", F.raise_error(F.lit("stop"))).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="stop"):
+        writers.save_edits(spark, str(tmp_path), broken, COLUMNS)
+    assert files_of(tmp_path) == before and [r.text for r in writers.read_pages(spark, str(tmp_path), COLUMNS).orderBy("page_no").collect()] == [f"t{p}" for p in range(9)]
