@@ -6,20 +6,22 @@ that near ones mostly share a part; each node is also a guest of the next part.
 a part give first neighbours. Then each round is two joins on the part: a part asks the others
 for the neighbours of its nodes' neighbours, both ways, and every node keeps the closest of
 all it meets (``nngraph.merge``); only steps that are new since the last round are taken.
-Vectors travel as signed bytes, once for each part that needs them. Parts are kept in tables
+Vectors travel in single precision, once for each part that needs them. Parts are kept in tables
 bucketed by part, in the shared checkpoint folder, so they are never shuffled themselves.
 
 Search: a query goes to the two parts that the tree names, and there to the leaves of a finer
 tree; from these it follows the graph greedily, within a part until its beam holds nothing to
-expand, then on to the parts where the rest of the beam lives. The closest nodes found are
-scored on the original vectors in double precision. A query needn't be a row of the table.
+expand, then on to the parts where the rest of the beam lives. All nodes of the beam are
+scored on the original vectors in double precision. A query needn't be a row of the table. More
+answers than ``answers``, of which each node keeps ids, are refused.
 
 Every row is indexed and every query answered; sizes of lists, beams and rounds are
 parameters. Vectors of different lengths have no cosine: each length has a graph of its own.
 Cases: vectors that are null, empty, zero, or hold null or non-finite numbers take no part,
 neither as query nor as candidate; null ids neither; rows that repeat an id and vector count
 once; an id with several vectors is a query with each, and an answer once, by its closest;
-a query's own id is no answer; ties go to the smaller id; other columns don't matter.
+a query's own id is no answer; ties go to the smaller id, and vectors that differ by as little
+as single precision can tell in their difference are told apart; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -45,10 +47,10 @@ BEAM, WIDTH, HOPS = 200, 8, 8
 #: Queries of a group, and shares that the answers of equal queries are dealt in.
 GROUP, SALTS = 512, 8
 
-PART_COLUMNS = {"ids": "<i8", "vec": "i1", "near": "<i8", "nearp": "<i4", "sims": "<f4", "fresh": "?", "hid": "<i8", "hpart": "<i4", "hvec": "i1"}
-ASK = {"vids": "<i8", "vvec": "i1", "v": "<i4", "m": "<i8", "watch": "<i8"}
-REPLY = {"m": "<i8", "count": "<i4", "e": "<i4", "uids": "<i8", "upart": "<i4", "uvec": "i1"}
-INDEX = {"ids": "<i8", "vec": "i1", "links": "<i4", "hid": "<i8", "hpart": "<i4", "hvec": "i1", "directions": "<f4", "cuts": "<f4", "leaf": "<i4"}
+PART_COLUMNS = {"ids": "<i8", "vec": "<f4", "near": "<i8", "nearp": "<i4", "sims": "<f4", "fresh": "?", "hid": "<i8", "hpart": "<i4", "hvec": "<f4"}
+ASK = {"vids": "<i8", "vvec": "<f4", "v": "<i4", "m": "<i8", "watch": "<i8"}
+REPLY = {"m": "<i8", "count": "<i4", "e": "<i4", "uids": "<i8", "upart": "<i4", "uvec": "<f4"}
+INDEX = {"ids": "<i8", "vec": "<f4", "links": "<i4", "hid": "<i8", "hpart": "<i4", "hvec": "<f4", "directions": "<f4", "cuts": "<f4", "leaf": "<i4"}
 FOUND = {"ids": "<i8", "parts": "<i4", "sims": "<f4", "done": "?"}
 
 
@@ -92,12 +94,20 @@ class Index:
 
     def __init__(self, table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", answers: int = 5, degree: int = DEGREE, rounds: int = ROUNDS, part: int = PART):
         rows = usable(table, id_col, vec_col)
-        self.spark = table.sparkSession
+        self.spark, self.answers, self.graphs = table.sparkSession, answers, {}
         found = rows.groupBy(F.size("v").alias("dim")).count().collect()  # one row for each length of vectors
-        self.graphs = {r["dim"]: Graph(rows.where(F.size("v") == r["dim"]), r["dim"], r["count"], answers, degree, rounds, part) for r in sorted(found)}
+        try:
+            for r in sorted(found):
+                self.graphs[r["dim"]] = graph = Graph(table.sparkSession, r["dim"], answers, degree, part)
+                graph.build(rows.where(F.size("v") == r["dim"]), r["count"], rounds)
+        except BaseException:
+            self.close()
+            raise
 
     def search(self, queries: DataFrame, k: int = 5, beam: int = BEAM, width: int = WIDTH, hops: int = HOPS, id_col: str = "id", vec_col: str = "v") -> DataFrame:
         """(query_id, rank, vec_id, score) for queries of any table; a query whose length no row has finds nothing."""
+        if k > min(self.answers, beam):
+            raise ValueError(f"an index of answers={self.answers}, searched with beam={beam}, has no {k} answers for every query")
         rows = usable(queries, id_col, vec_col)
         out = self.spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
         for dim, graph in self.graphs.items():
@@ -111,17 +121,20 @@ class Index:
 
 
 class Graph:
-    def __init__(self, rows: DataFrame, dim: int, n: int, answers: int, degree: int, rounds: int, part: int):
-        self.spark, self.dim, self.degree = rows.sparkSession, dim, degree
+    def __init__(self, spark: SparkSession, dim: int, answers: int, degree: int, part: int):
+        self.spark, self.dim, self.answers, self.degree, self.part = spark, dim, answers, degree, part
         self.name, self.tables, self.scored = f"neighbours_{uuid.uuid4().hex}", [], None
-        use_checkpoint_dir(self.spark)
-        self.folder = self.spark.sparkContext.getCheckpointDir()
-        depth = max(0, int(np.ceil(np.log2(n / part)))) if n else 0
+        use_checkpoint_dir(spark)
+        self.folder = spark.sparkContext.getCheckpointDir()
+        self.widths = {"vec": dim, "hvec": dim, "vvec": dim, "uvec": dim, "near": degree, "nearp": degree, "sims": degree, "fresh": degree, "links": degree + LISTERS, "directions": dim}
+
+    def build(self, rows: DataFrame, n: int, rounds: int) -> None:
+        """The graph of n rows, by rounds until little changes."""
+        depth = max(0, int(np.ceil(np.log2(n / self.part)))) if n else 0
         self.buckets = 1 << depth
         self.keys = part_keys(self.spark, self.buckets)
         self.tree = G.grow(self.sample(rows, n, min(SAMPLE, max(4096, 64 << depth))), depth)
-        self.widths = {"vec": dim, "hvec": dim, "vvec": dim, "uvec": dim, "near": degree, "nearp": degree, "sims": degree, "fresh": degree, "links": degree + LISTERS, "directions": dim}
-        begun = self.deal(rows, answers).groupBy("pid").applyInArrow(self.starter(answers), shape(PART_COLUMNS | {"raw": "", "counts": "", "members": ""}, "pid int", "changed bigint", "held bigint"))
+        begun = self.deal(rows, self.answers).groupBy("pid").applyInArrow(self.starter(self.answers), shape(PART_COLUMNS | {"raw": "", "counts": "", "members": ""}, "pid int", "changed bigint", "held bigint"))
         self.raw = state = self.saved(begun)
         for turn in range(rounds):
             told = self.joined(state, self.asked(state, False), self.replier(turn), shape(REPLY, "pid int"))
@@ -176,7 +189,7 @@ class Graph:
                 none = [None] * len(guest)
                 columns = [
                     np.concatenate([own, beside[guest]]).astype(np.int32), np.concatenate([own, own[guest]]).astype(np.int32), np.concatenate([named, named[guest]]),
-                    pa.array([*(x.tobytes() for x in raw), *none], pa.binary()), pa.array([*([None] * len(own)), *(x.tobytes() for x in G.bytes_of(unit[guest]))], pa.binary()), pa.array([*members, *none], pa.binary()),
+                    pa.array([*(x.tobytes() for x in raw), *none], pa.binary()), pa.array([*([None] * len(own)), *(x.tobytes() for x in unit[guest])], pa.binary()), pa.array([*members, *none], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=["pid", "home", "node", "raw", "vec", "members"])
 
@@ -200,8 +213,8 @@ class Graph:
             members = [np.unique(np.frombuffer(b"".join(x), "<i8"))[: answers + 1] for x in held["members"]]
             raw = np.frombuffer(b"".join(held["raw"]), "<f8").reshape(-1, dim)
             guests = table.filter(pa.compute.is_valid(table["vec"])).sort_by("node")
-            gids, gpart, gvec = G.once(guests["node"].to_numpy(), guests["home"].to_numpy(), np.frombuffer(b"".join(guests["vec"].to_pylist()), "i1").reshape(-1, dim))
-            vec = G.bytes_of(unit_of(raw)) if len(raw) else np.zeros((0, dim), np.int8)
+            gids, gpart, gvec = G.once(guests["node"].to_numpy(), guests["home"].to_numpy(), np.frombuffer(b"".join(guests["vec"].to_pylist()), "<f4").reshape(-1, dim))
+            vec = unit_of(raw) if len(raw) else np.zeros((0, dim), np.float32)
             part = G.begin(np.array(held["ids"], np.int64), vec, pid, gids, gpart, gvec, degree)
             row = packed(PART_COLUMNS, part) | {"raw": raw.tobytes(), "counts": np.array([len(x) for x in members], "<i4").tobytes(), "members": np.concatenate([np.zeros(0, "<i8"), *members]).astype("<i8").tobytes()}
             return rows_of([{"pid": pid, "changed": 0, "held": 0} | row], ["pid", "changed", "held"])
@@ -325,7 +338,7 @@ class Graph:
                 out = []
                 for r in b.to_pylist():
                     x = opened(FOUND, r, {})
-                    ids, parts = x["ids"][: 2 * k + 6], x["parts"][: 2 * k + 6]
+                    ids, parts = x["ids"], x["parts"]
                     out += [{"pid": int(p), "q": r["q"], "raw": r["raw"], "ids": ids[parts == p].tobytes()} for p in np.unique(parts)]
                 yield from rows_of(out, ["pid", "q"], ["raw", "ids"], ("q",)).to_batches()
 

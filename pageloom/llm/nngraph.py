@@ -1,9 +1,11 @@
 """NN-descent and greedy graph search within one part of a table's vectors, in numpy.
 
-A part is a dict of arrays: its own nodes (``ids`` ascending, ``vec`` unit vectors as signed
-bytes), their neighbours (``near`` ids, ``nearp`` their parts, ``sims`` cosines, ``fresh``: new
-since the last round; a row for each node, -1 where there are fewer), and the neighbours that
-live in other parts (``hid`` ascending, ``hpart``, ``hvec``). Messages are dicts of arrays too.
+A part is a dict of arrays: its own nodes (``ids`` ascending, ``vec`` unit vectors in single
+precision), their neighbours (``near`` ids, ``nearp`` their parts, ``sims`` how near they are,
+``fresh``: new since the last round; a row for each node, -1 where there are fewer), and the
+neighbours that live in other parts (``hid`` ascending, ``hpart``, ``hvec``). Messages are dicts
+of arrays too. Nearness is the squared distance of unit vectors, negated: it orders as the cosine
+does, and taken from differences it tells vectors apart whose cosines are all 1 in this precision.
 """
 
 from __future__ import annotations
@@ -18,17 +20,6 @@ BLOCK, ORDERS, PAIRS = 128, 3, 1 << 18
 LEAF, ENTRIES = 32, 16
 
 
-def bytes_of(unit: np.ndarray) -> np.ndarray:
-    """Vectors as signed bytes, each scaled to its largest component."""
-    top = np.abs(unit).max(axis=1, keepdims=True)
-    return np.rint(unit / np.where(top > 0, top, 1) * 127).astype(np.int8)
-
-
-def units(vec: np.ndarray) -> np.ndarray:
-    x = vec.astype(np.float32)
-    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), np.float32(1e-9))
-
-
 def lottery(a: np.ndarray, b: np.ndarray, turn: int) -> np.ndarray:
     """A number for each pair that says which pairs a sample takes."""
     x = (a.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) ^ b.astype(np.uint64)) + np.uint64(turn)
@@ -68,13 +59,14 @@ def once(ids: np.ndarray, *rest: np.ndarray) -> tuple[np.ndarray, ...]:
     return (ids, *(x[first] for x in rest))
 
 
-def cosines(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
+def nearness(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Of rows i of x with rows j of y, some at a time."""
     out = np.empty(len(i), np.float32)
     for a in range(0, len(i), PAIRS // 8):
         some = slice(a, a + PAIRS // 8)
-        np.einsum("ij,ij->i", x[i[some]], y[j[some]], out=out[some])
-    return out
+        apart = x[i[some]] - y[j[some]]
+        np.einsum("ij,ij->i", apart, apart, out=out[some])
+    return np.negative(out, out=out)
 
 
 # the tree that deals vectors to parts
@@ -137,12 +129,12 @@ def halves(x: np.ndarray, most: int, seed: int) -> list[np.ndarray]:
 
 
 def best_of(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, n: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each of n owners its closest others (rows of places, -1 where there are fewer) and the cosines; pairs may repeat."""
+    """For each of n owners its closest others (rows of places, -1 where there are fewer) and how near; pairs may repeat."""
     out, sims = np.full((n, most), -1, dtype=np.int64), np.full((n, most), LOW, dtype=np.float32)
     if len(owner):
         order = np.lexsort([other, -sim, owner])
         owner, other, sim = owner[order], other[order], sim[order]
-        # equal pairs have one cosine, so they stand together
+        # equal pairs are equally near, so they stand together
         fresh = np.concatenate([[True], (owner[1:] != owner[:-1]) | (other[1:] != other[:-1])])
         owner, other, sim = owner[fresh], other[fresh], sim[fresh]
         place = rank(owner)
@@ -153,19 +145,21 @@ def best_of(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, n: int, most:
 
 def begin(ids: np.ndarray, vec: np.ndarray, pid: int, gids: np.ndarray, gpart: np.ndarray, gvec: np.ndarray, degree: int) -> Part:
     """A part from its own nodes and guests of other parts: first neighbours from blocks."""
-    x = units(np.concatenate([vec, gvec]))
+    x = np.concatenate([vec, gvec])
     every, parts = np.concatenate([ids, gids]), np.concatenate([np.full(len(ids), pid, np.int32), gpart])
     owner, other, sim = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
     for turn in range(ORDERS):
         for rows in halves(x, BLOCK, turn):
-            sims = x[rows] @ x[rows].T
+            own = x[rows] - x[rows].mean(axis=0)  # else rounding hides how close vectors differ
+            square = (own * own).sum(axis=1)
+            sims = 2 * own @ own.T - square[:, None] - square
             np.fill_diagonal(sims, LOW)
             most = min(degree, len(rows) - 1)
             if most > 0:
                 at = np.argpartition(-sims, most - 1, axis=1)[:, :most]
                 owner.append(np.repeat(rows, most))
                 other.append(rows[at].ravel())
-                sim.append(np.take_along_axis(sims, at, 1).ravel())
+                sim.append(nearness(x, owner[-1], x, other[-1]))
     owner, other, sim = map(np.concatenate, (owner, other, sim))
     mine = owner < len(ids)
     near, sims = best_of(owner[mine], other[mine], sim[mine], len(ids), degree)
@@ -211,7 +205,7 @@ def heard(part: Part, letters: list[tuple[int, Part]], most: int, turn: int) ->
     m = np.concatenate([np.zeros(0, np.int64), *(x["m"] for _, x in letters)])
     v = np.concatenate([np.zeros(0, np.int64), *(x["vids"][x["v"]] for _, x in letters)])
     p = np.concatenate([np.zeros(0, np.int32), *(np.full(len(x["m"]), frm, np.int32) for frm, x in letters)])
-    vec = np.concatenate([np.zeros((0, part["vec"].shape[1]), np.int8), *(x["vvec"][x["v"]] for _, x in letters)])
+    vec = np.concatenate([np.zeros((0, part["vec"].shape[1]), np.float32), *(x["vvec"][x["v"]] for _, x in letters)])
     at = place_of(part["ids"], m)
     order = np.lexsort([lottery(v, m, turn), at])
     order = order[(rank(at[order]) < most) & (at[order] >= 0)]
@@ -264,7 +258,7 @@ def merge(part: Part, pid: int, letters: list[Part], most: int, turn: int) -> Pa
     stay = (apart != pid) & (place_of(part["ids"], away) < 0)
     away, apart, avec = away[stay], apart[stay], avec[stay]
     every, parts, vec = np.concatenate([part["ids"], away]), np.concatenate([np.full(n, pid, np.int32), apart]), np.concatenate([part["vec"], avec])
-    x = units(vec)
+    x = vec
 
     def where(ids: np.ndarray) -> np.ndarray:
         own, far = place_of(part["ids"], ids), place_of(away, ids)
@@ -317,7 +311,7 @@ def merge(part: Part, pid: int, letters: list[Part], most: int, turn: int) -> Pa
         held = distinct(rr * len(every) + via)
         keep = (owner != other) & (place_of(held, key) < 0)
         owner, other = owner[keep], other[keep]
-        sim = cosines(x, owner, x, other)
+        sim = nearness(x, owner, x, other)
         better = sim > part["sims"][owner, -1]
         owner, other, sim = owner[better], other[better], sim[better]
         out[a:b], sims[a:b] = best_of(np.concatenate([rr, owner]) - a, np.concatenate([via, other]), np.concatenate([part["sims"][rr, cc], sim]), b - a, degree)
@@ -329,7 +323,7 @@ def merge(part: Part, pid: int, letters: list[Part], most: int, turn: int) -> Pa
 def finished(part: Part, pid: int, letters: list[tuple[int, Part]], most: int) -> Part:
     """What search needs: for each own node (row of ``links``, -1 where there are fewer) the places, in own nodes and then ``hid``, of its neighbours and of a sample of those that list it; and a tree whose leaves (``leaf`` of each own node) say where to begin."""
     n, degree = part["near"].shape
-    x = units(part["vec"])
+    x = part["vec"]
     tree = grow(x, max(0, int(np.ceil(np.log2(max(1, n / LEAF))))))
     hm, hv, hp, hvec = heard(part, letters, most, 0)
     hid, hpart, hv2 = once(np.concatenate([part["hid"], hv]), np.concatenate([part["hpart"], hp]), np.concatenate([part["hvec"], hvec]))
@@ -356,9 +350,9 @@ def finished(part: Part, pid: int, letters: list[tuple[int, Part]], most: int) -
 
 # search
 def explore(part: Part, pid: int, queries: np.ndarray, seeds: list[tuple[np.ndarray, np.ndarray]], beam: int, width: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
-    """Greedy search for each query from its seeds (ids of own nodes, and which are expanded already; none: from the own nodes of its leaf, of the next one, and some evenly spread): (ids, parts, cosines, expanded, nodes scored) of the closest found. Own nodes among the closest are expanded until none is left."""
+    """Greedy search for each query from its seeds (ids of own nodes, and which are expanded already; none: from the own nodes of its leaf, of the next one, and some evenly spread): (ids, parts, nearness, expanded, nodes scored) of the closest found. Own nodes among the closest are expanded until none is left."""
     n, h = len(part["ids"]), len(part["hid"])
-    x = units(np.concatenate([part["vec"], part["hvec"]]))
+    x = np.concatenate([part["vec"], part["hvec"]])
     every, parts = np.concatenate([part["ids"], part["hid"]]), np.concatenate([np.full(n, pid, np.int32), part["hpart"]])
     out = []
     step = max(1, (64 << 20) // max(1, n + h))
@@ -387,7 +381,7 @@ def explore(part: Part, pid: int, queries: np.ndarray, seeds: list[tuple[np.ndar
         while len(row):
             seen[row, node] = True
             scored += np.bincount(row, minlength=c)
-            sim = cosines(q, row, x, node)
+            sim = nearness(q, row, x, node)
             pool, sims, done = kept_best(pool, sims, done, row, node, sim, flag, beam)
             todo = ~done & (pool >= 0) & (pool < n)
             pick = todo & (np.cumsum(todo, axis=1) <= width)

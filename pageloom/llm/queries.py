@@ -23,9 +23,10 @@ def vocabulary(name: str) -> str:
 def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = read(spark, sf_dir, "embeddings")
     index = neighbours.Index(table)
-    found = index.search(table.where("vec_id % 50 = 0"), 5, id_col="vec_id", vec_col="embedding")
-    index.close()  # what was found is checkpointed
-    return found
+    try:
+        return index.search(table.where("vec_id % 50 = 0"), 5, id_col="vec_id", vec_col="embedding")
+    finally:
+        index.close()  # what was found is checkpointed
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

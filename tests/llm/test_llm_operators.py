@@ -811,10 +811,10 @@ def clustered(n, clusters, seed=0, dim=32, inner=8):
 
 def test_rounds_of_nn_descent_find_the_neighbours():
     """Without Spark: eight parts that exchange messages; each round brings the graph nearer to the true one."""
-    x = nngraph.units(nngraph.bytes_of(clustered(6000, 40)))
+    x = neighbours.unit_of(clustered(6000, 40))
     tree = nngraph.grow(x[::4], 3)
     own, guest = nngraph.leaves(x, tree)
-    ids, vec, parts = np.arange(len(x)) * 3 + 1, nngraph.bytes_of(x), {}
+    ids, vec, parts = np.arange(len(x)) * 3 + 1, x, {}
     for p in range(8):
         o, g = np.flatnonzero(own == p), np.flatnonzero((guest == p) & (own != p))
         parts[p] = nngraph.begin(ids[o], vec[o], p, ids[g], own[g].astype(np.int32), vec[g], 12)
@@ -880,3 +880,24 @@ def test_neighbours_of_odd_vectors(spark):
     lone = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id bigint, embedding array<float>")
     assert [(r.query_id, r.vec_id, r.score) for r in neighbours.Index(lone).search(neighbours.usable(lone, "vec_id", "embedding").where("id = 0"), 5).collect()] == [(0, 1, 1.0)]
     assert neighbours.Index(table.limit(0)).search(neighbours.usable(table.limit(0), "vec_id", "embedding"), 5).count() == 0
+
+
+@pytest.mark.parametrize("noise", [1e-5, 1e-3, 1e-2, 5e-2])
+def test_neighbours_of_vectors_that_lie_close_together(spark, noise):
+    """Near copies: clusters of 300 vectors that bytes, or cosines in single precision, can't tell apart."""
+    r = np.random.default_rng(8)
+    x = np.repeat(r.standard_normal((10, 64)), 300, axis=0) + noise * r.standard_normal((3000, 64))
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>")
+    index = neighbours.Index(table)
+    got = collections.defaultdict(set)
+    for row in index.search(table.where("vec_id % 50 = 0"), 5, id_col="vec_id", vec_col="embedding").collect():
+        got[row.query_id].add(row.vec_id)
+    with pytest.raises(ValueError, match="answers"):
+        index.search(table, 6, id_col="vec_id", vec_col="embedding")
+    index.close()
+    hits = 0
+    for q in range(0, 3000, 50):
+        far = ((x / np.linalg.norm(x, axis=1, keepdims=True) - x[q] / np.linalg.norm(x[q])) ** 2).sum(axis=1)
+        far[q] = 9
+        hits += len(got[q] & set(np.argsort(far)[:5].tolist()))
+    assert hits >= 0.95 * 5 * 60, hits / 300
