@@ -9,8 +9,8 @@ The posterior probability is near 1 for nearly every text, right or wrong, since
 over all n-grams. Two measures that don't saturate stand beside it: ``margin``, by how much
 an n-gram of the text is likelier in its language than in the second one on average, and
 ``fit``, by how much it is likelier than an average n-gram of the language's training
-texts. A text in a language that wasn't learned has a low fit; one of several languages a
-low margin.
+texts. A text in a language that wasn't learned has a low fit. Means over a whole text can't
+tell a mixture of languages: ``clear`` also judges windows of a bounded number of characters.
 
 Cases: a null text, or one without a letter (by Unicode's categories, all planes), gets
 ``und``, score 0, and null margin and fit; a document with a null label doesn't train; ties
@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from .batches import column, steps, texts
 from .features import LETTER, classes_of, code_points, sums
@@ -37,6 +38,8 @@ STEP = 1 << 20
 UNKNOWN = "und"
 #: Columns of the result; columns of the input with these names give way to them.
 RESULTS = ("lang_pred", "score", "margin", "fit")
+#: What is known of a text under a model.
+EACH = ("label", "best", "second", "every", "usual", "n")
 
 
 @dataclass
@@ -140,30 +143,52 @@ def judge(batch: list[str], model: Model, held: tuple | None = None) -> tuple:
     return label, best, second, every, usual, n
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text", most: int = MOST_LABELS) -> DataFrame:
-    """The ``keep`` columns of docs (but for those of these names) with lang_pred, score, margin and fit."""
-    keep = [c for c in keep if c not in RESULTS]
-    names = [f"k{i}" for i in range(len(keep))]
-    rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, names, strict=True)], F.col(text).alias("judged"))
-    state = ["label", "best", "second", "every", "usual", "n"]
+def scored(rows: DataFrame, model: Model, window: int = 0, most: int = MOST_LABELS) -> DataFrame:
+    """Rows (..., judged) with the figures of ``judge`` in place of the text, as arrays: of the whole text, and then of its windows of about so many characters, if any."""
+    given, state = rows.columns, list(EACH)
     for turn, block in enumerate(model.blocks(most)):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-        given = [*names, "judged"]
-        schema = rows.select(*given).schema.add("label", "string")
-        for x in state[1:]:
-            schema = schema.add(x, "double")
+        shared = rows.sparkSession.sparkContext.broadcast(block)
+        schema = rows.select(*given).schema
+        for x in state:
+            schema = schema.add(x, ArrayType(StringType() if x == "label" else DoubleType()))
 
-        def run(batches: Iterator[pa.RecordBatch], turn=turn, shared=shared, given=given) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], turn=turn, shared=shared) -> Iterator[pa.RecordBatch]:
             for b in steps(batches, "judged", STEP):
-                held = tuple(column(b, x).to_numpy(zero_copy_only=False) for x in state[:5]) if turn else None
-                found = judge(texts(b, "judged"), shared.value, held)
-                yield pa.RecordBatch.from_arrays([*(column(b, k) for k in given), pa.array(found[0], pa.string()), *(pa.array(x, pa.float64()) for x in found[1:])], names=[*given, *state])
+                cut = [[t, *windows(t, window)] for t in texts(b, "judged")]
+                ends = pa.array(np.cumsum([0, *map(len, cut)]), pa.int32())
+                held = tuple(column(b, x).flatten().to_numpy(zero_copy_only=False) for x in state[:5]) if turn else None
+                found = judge([t for own in cut for t in own], shared.value, held)
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.string() if k == 0 else pa.float64())) for k, x in enumerate(found)]
+                yield pa.RecordBatch.from_arrays([*(column(b, k) for k in given), *lists], names=[*given, *state])
 
         rows = rows.mapInArrow(run, schema)
-    known = F.col("label").isNotNull()
-    finite = F.col("second") > float("-inf")
-    out = rows.select(*names, F.coalesce("label", F.lit(UNKNOWN)).alias("lang_pred"), F.when(known, F.exp(F.col("best") - F.col("every"))).otherwise(0.0).alias("score"), F.when(known & finite, (F.col("best") - F.col("second")) / F.col("n")).alias("margin"), F.when(known, F.col("best") / F.col("n") - F.col("usual")).alias("fit"))
-    return out.withColumnsRenamed(dict(zip(names, keep, strict=True)))
+    return rows.drop("judged")
+
+
+def windows(text: str, size: int) -> list[str]:
+    """A text cut in equal parts of about so many characters; none of a text that would be one."""
+    n = round(len(text) / size) if size else 0
+    return [text[len(text) * i // n : len(text) * (i + 1) // n] for i in range(n)] if n > 1 else []
+
+
+def renamed(docs: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, dict[str, str]]:
+    """The ``keep`` columns under other names with the text as ``judged``, and the way back."""
+    back = {f"k{i}": c for i, c in enumerate(keep)}
+    return docs.select(*[F.col(f"`{c}`").alias(k) for k, c in back.items()], F.col(f"`{text}`").alias("judged")), back
+
+
+def figures(x: Column) -> tuple[Column, Column, Column, Column]:
+    """lang_pred, score, margin and fit of one struct of ``judge``'s figures."""
+    known, finite = x["label"].isNotNull(), x["second"] > float("-inf")
+    score = F.when(known, F.exp(x["best"] - x["every"])).otherwise(0.0)
+    return F.coalesce(x["label"], F.lit(UNKNOWN)), score, F.when(known & finite, (x["best"] - x["second"]) / x["n"]), F.when(known, x["best"] / x["n"] - x["usual"])
+
+
+def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text", most: int = MOST_LABELS) -> DataFrame:
+    """The ``keep`` columns of docs (but for those of these names) with lang_pred, score, margin and fit."""
+    rows, back = renamed(docs, [c for c in keep if c not in RESULTS], text)
+    whole = figures(F.get(F.arrays_zip(*EACH), F.lit(0)))
+    return scored(rows, model, 0, most).select(*back, *(x.alias(c) for x, c in zip(whole, RESULTS, strict=True))).withColumnsRenamed(back)
 
 
 def in_fold(id_col: str, folds: int, fold: int) -> Column:
@@ -171,12 +196,21 @@ def in_fold(id_col: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def clear(docs: DataFrame, keep: list[str], margin: float, fit: float, id_col: str = "doc_id", label: str = "lang", text: str = "text") -> DataFrame:
-    """The ``keep`` columns of the documents whose language is told with at least this margin and fit. Each half of the documents, by the hash of the id (a null one is in the first half), is judged by a model of the other half."""
+def clear(docs: DataFrame, keep: list[str], margin: float, fit: float, window: int = 100, foreign: float = 0.15, line_fit: float = -2.0, window_fit: float = -1.5, unfit: float = 0.5, id_col: str = "doc_id", label: str = "lang", text: str = "text") -> DataFrame:
+    """The ``keep`` columns of the documents whose language is clear: the whole text has at least this margin and fit, and, if it is two windows of about ``window`` characters or more, at most a share ``foreign`` of its n-grams lies in windows that this margin gives to another language, and at most ``unfit`` in windows below ``window_fit``. A text of ``1.5 * window`` n-grams, about a line, has ``line_fit`` at least: a longer text fits better than a short one may by chance. Each half of the documents, by the hash of the id (a null one is in the first half), is judged by a model of the other half."""
     second = in_fold(id_col, 2, 1)
     halves = docs.where(~second), docs.where(second)
     out = []
     for own, other in (halves, halves[::-1]):
-        found = identify(own, train(other, label, text), keep, text)
-        out.append(found.where((F.col("lang_pred") != UNKNOWN) & (F.coalesce("margin", F.lit(margin)) >= margin) & (F.col("fit") >= fit)).select(*[F.col(f"`{c}`") for c in keep]))
+        rows, back = renamed(own, keep, text)
+        judged = scored(rows, train(other, label, text), window).withColumn("_every", F.arrays_zip(*EACH))
+        lang, _, margin_of, fit_of = figures(F.get("_every", F.lit(0)))
+        parts = F.slice("_every", F.lit(2), F.greatest(F.size("_every") - 1, F.lit(0)))
+        grams_in = lambda x: F.aggregate(x, F.lit(0.0), lambda a, w: a + w["n"])
+        told = lambda w: (w["label"] != F.get("label", F.lit(0))) & ((w["best"] - w["second"]) / w["n"] >= margin)
+        unlike = lambda w: w["label"].isNotNull() & (w["best"] / w["n"] - w["usual"] < window_fit)
+        all_ = grams_in(parts)
+        one = (grams_in(F.filter(parts, told)) <= foreign * all_) & (grams_in(F.filter(parts, unlike)) <= unfit * all_)
+        good = (lang != UNKNOWN) & (F.coalesce(margin_of, F.lit(margin)) >= margin) & (fit_of >= F.when(F.get("n", F.lit(0)) >= 1.5 * window, max(fit, line_fit)).otherwise(fit)) & one
+        out.append(judged.where(good).select(*back).withColumnsRenamed(back))
     return out[0].unionByName(out[1])

@@ -38,7 +38,7 @@ from .batches import checkpoint, column
 #: Rows in a chunk, segments of the whole table, pivots, queries that meet a chunk at a time.
 CHUNK, MOST, PIVOTS, GROUP = 2048, 65_536, 256, 256
 #: Segments that the first round's radius reaches, and how many times as many each further one does.
-FIRST, GROWTH = 8, 16
+FIRST, GROWTH = 8, 32
 #: Numbers that planning holds at a time.
 CELLS = 1 << 22
 #: Distances are taken for known up to this share of the longest.
@@ -216,7 +216,7 @@ class Index:
 
         schema = "slot bigint, label bigint, vec binary, low bigint, high bigint, done double, radius double, kth bigint, place double"
         begun = queries.select("slot", "label", "vec", F.coalesce("low", F.lit(LEAST)).alias("low"), F.coalesce("high", F.lit(LARGEST)).alias("high"), F.lit(-1.0).alias("done"), F.lit(-1.0).alias("radius"), F.lit(LEAST).alias("kth"), F.lit(0.0).alias("place"))
-        slots = checkpoint(begun.mapInArrow(packed, schema).sort("place", "vec", "slot"))
+        slots = begun.mapInArrow(packed, schema).sort("place", "vec", "slot")
         found, reach = None, FIRST
         place = F.row_number().over(Window.partitionBy("slot").orderBy(F.desc("score"), "id"))
         while True:
@@ -230,7 +230,7 @@ class Index:
             if reach >= len(self.space.segment):
                 break
             kth = found.where(F.col("rank") == k).select("slot", F.col("score").alias("_kth"))
-            slots = checkpoint(plan.join(kth, "slot", "left").withColumns({"done": F.col("radius"), "kth": F.coalesce("_kth", "kth")}).select(*slots.columns).sort("place", "vec", "slot"))
+            slots = plan.join(kth, "slot", "left").withColumns({"done": F.col("radius"), "kth": F.coalesce("_kth", "kth")}).select(*slots.columns).sort("place", "vec", "slot")
             reach *= GROWTH
         if found is None:
             found = self.spark.createDataFrame([], "slot bigint, id bigint, score bigint, rank int")

@@ -765,19 +765,47 @@ def test_naive_bayes_against_brute_force(spark, most):
     assert langid.identify(df.limit(0), model, ["doc_id"]).count() == 0
 
 
+SENTENCES = {
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem.",
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+    "it": "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti.",
+    "pt": "O menino foi para a escola com os seus amigos e depois voltaram para casa muito cansados porque tinham jogado futebol durante toda a tarde no parque da cidade, onde havia muitas árvores e um lago com patos.",
+    "nl": "De jongen ging naar school met zijn vrienden en daarna kwamen ze heel moe thuis omdat ze de hele middag in het park hadden gevoetbald, waar veel bomen stonden en een vijver met eenden was.",
+    "code": "for (int i = 0; i < n; i++) { if (buf[i] == '\\n') { *out++ = '\\0'; count += 1; } else { *out++ = buf[i]; } } return count;",
+    "random": "".join(random.Random(2).choice("bcdfghjklmnpqrstvwxz ") for _ in range(300)),
+    "emoji": "😀😀😀 12", "empty": "", "null": None,
+}
+
+
 def test_unclear_languages_go(spark):
+    """With the pipeline's own figures: languages that weren't learned, code, and two languages in one text at all shares."""
+    import corpus_pipeline
+
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    r = random.Random(2)
-    odd = {
-        "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem.",
-        "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах.",
-        "it": "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti.",
-        "random": "".join(r.choice("bcdfghjklmnpqrstvwxz ") for _ in range(300)),
-        "emoji": "😀😀😀 12", "empty": "", "null": None,
-    }
-    planted = docs_of(spark, []).union(spark.createDataFrame([(10**9 + i, t, "en", "s", 1) for i, t in enumerate(odd.values())], DOC))
-    kept = {x.doc_id for x in langid.clear(docs.unionByName(planted), ["doc_id", "text"], 0.2, -2.5).collect()}
-    assert not any(i >= 10**9 for i in kept) and docs.count() - len(kept) <= 2
+    items = [x.text for x in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()]
+    r, by = random.Random(2), collections.defaultdict(list)
+    for x in docs.collect():
+        if len(x.text or "") > 900 and not any(i[:60] in x.text or i[-60:] in x.text for i in items):
+            by[x.lang].append(x.text)
+    odd, names = list(SENTENCES.values()), list(SENTENCES)
+    for share in (0.5, 0.6, 0.7, 0.8):
+        for _ in range(20):
+            a, b = (r.choice(by[k]) for k in r.sample(sorted(by), 2))
+            odd.append(a[: int(900 * share)] + " " + b[: int(900 * (1 - share))])
+            names.append(f"mixed {share}")
+    planted = spark.createDataFrame([(10**9 + i, t, None, "s", 1) for i, t in enumerate(odd)], DOC)
+    kept = {x.doc_id for x in langid.clear(docs.unionByName(planted), ["doc_id", "text"], corpus_pipeline.LEAST_MARGIN, corpus_pipeline.LEAST_FIT).collect()}
+    left = collections.Counter(names[i - 10**9] for i in kept if i >= 10**9)
+    assert not left.keys() & SENTENCES.keys() and all(n <= 2 for n in left.values()), left
+    gone = [x for x in docs.collect() if x.doc_id not in kept]
+    assert sum(not any(i[:60] in (x.text or "") or i[-60:] in (x.text or "") for i in items) for x in gone) <= 3 and len(gone) <= 12, len(gone)
+
+
+def test_windows_cover_the_text():
+    for n in (0, 1, 99, 149, 151, 1000, 12345):
+        text = "".join(chr(97 + k % 26) for k in range(n))
+        cut = langid.windows(text, 100)
+        assert "".join(cut) == (text if n >= 150 else "") and all(50 <= len(x) <= 150 for x in cut) and langid.windows(text, 0) == []
 
 
 # neighbours
