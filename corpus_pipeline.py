@@ -17,7 +17,7 @@ from pageloom.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document stays if the model gives it at least this probability of good quality, and its language this margin and fit (nats an n-gram).
-LEAST_QUALITY, LEAST_MARGIN, LEAST_FIT = 0.5, 0.1, -2.5
+LEAST_QUALITY, LEAST_MARGIN, LEAST_FIT = 0.5, 0.2, -2.5
 CAPACITY = 1024
 
 
@@ -29,7 +29,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is clear: an n-gram is on average as likely as this in a language that was learned, and by so much likelier than in the next one. Those without letters, of unlearned languages and of none go; each half of the documents is judged by a model of the other."""
+    """Documents whose language is clear: an n-gram is on average as likely as this in a language that was learned, and by so much likelier than in the next one, and little of the text stands in another one, window by window. Those without letters, of unlearned languages, of several and of none go; each half of the documents is judged by a model of the other."""
     return langid.clear(docs, COLUMNS, LEAST_MARGIN, LEAST_FIT)
 
 
