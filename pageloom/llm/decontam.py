@@ -18,8 +18,13 @@ spread over blocks). With more than one block, a single pass with a bit filter o
 q-grams of the whole benchmark (itself in parts of a bounded size) leaves the texts that can
 reach a bound at all; these are checkpointed, and only they meet the blocks.
 
-Cases: null and empty texts match nothing, and so do items without letters or digits; items
-may repeat (equal rows count once), and a null item id is reported as such; different texts
+A text that shares many q-grams with the benchmark, as a long one that repeats a passage of it,
+is worked through in slices of a bounded number of them, which overlap by a segment; what a
+further match can't change is not looked at again.
+
+Cases: null and empty texts match nothing, and so do items without letters or digits; an empty
+table of documents or of items gives no row; texts of any length are searched whole, one at a
+time beyond a megabyte; items may repeat (equal rows count once), and a null item id is reported as such; different texts
 under one id are reported each; every row of documents reports its own matches, also where ids or texts
 repeat; extra columns don't matter.
 """
@@ -42,14 +47,16 @@ from .features import ASSIGNED, CODES, DIGIT, MARK, SPACE, classes, code_points
 
 Q, RATE, SEGMENT, STRIDE, SHORT = 10, 0.08, 72, 8, 40
 #: Characters of a piece of an item, of a block of pieces, and of the benchmark that one filter covers.
-PIECE, BLOCK_CHARS, FILTER_CHARS = 65_536, 4_000_000, 64_000_000
+PIECE, BLOCK_CHARS, FILTER_CHARS = 8192, 4_000_000, 64_000_000
 #: Bits of the filter for each q-gram, and of the table that a block is first looked up in.
 GRAM_BITS, LOOK_BITS = 16, 24
-#: Alignments, hits and UTF-8 bytes at a time.
-ALIGN, HITS, STEP = 2048, 1 << 16, 1 << 20
+#: Alignments, hits, shared q-grams of texts and pieces, and UTF-8 bytes at a time.
+ALIGN, HITS, ENTRIES, STEP = 2048, 1 << 16, 1 << 18, 1 << 20
 #: Hashes of so many texts with leaks are broadcast to the documents; more are joined by a shuffle.
 MOST_BROADCAST = 200_000
 FAR = 1 << 20
+#: Added to diagonals, so that none is negative.
+SHIFT = 65_536
 
 
 @lru_cache
@@ -205,29 +212,67 @@ def align(low: np.ndarray, begins: np.ndarray, widths: int, patterns: np.ndarray
     return before[np.arange(n), best], begins + best + size
 
 
-def shared_grams(h: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place in the text, piece, place in the piece) of the q-grams that both have."""
+def known_grams(h: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the text, number in the index) of the q-grams of a text that the index has."""
     maybe = np.flatnonzero(index.seen[(h >> np.uint64(64 - LOOK_BITS)).astype(np.int64)])
     if not len(maybe) or not len(index.gram):
-        return (np.zeros(0, np.int64),) * 3
+        return (np.zeros(0, np.int64),) * 2
     slot = np.searchsorted(index.gram, h[maybe])
     slot[slot == len(index.gram)] = 0
     real = index.gram[slot] == h[maybe]
-    maybe, slot = maybe[real], slot[real]
+    return maybe[real], slot[real]
+
+
+def slices_of(place: np.ndarray, slot: np.ndarray, starts: np.ndarray, index: Index) -> list[tuple[int, int]]:
+    """The places of known q-grams as ranges (first, end) that share about ``ENTRIES`` q-grams with the index, each reaching so far into the next one that a segment's q-grams lie in one of them. A text of several has its first and its last one looked at first."""
+    before = np.concatenate([[0], np.cumsum(index.at[slot + 1] - index.at[slot])])
+    if before[-1] <= ENTRIES:
+        return [(0, len(place))] if len(place) else []
+    cuts = np.searchsorted(before, np.arange(0, before[-1], ENTRIES), side="right") - 1
+    texts_at = np.searchsorted(place, starts)
+    long = np.flatnonzero(before[texts_at[1:]] - before[texts_at[:-1]] > ENTRIES)
+    cuts = np.unique(np.concatenate([cuts, texts_at[long], texts_at[long + 1]]))
+    cuts = cuts[cuts < len(place)]
+    over = SEGMENT + 2 * (int(index.limits.edits(SEGMENT)) + 1)
+    ends = np.append(np.searchsorted(place, place[cuts[1:]] + over), len(place))
+    of = np.searchsorted(texts_at, cuts, side="right")
+    first = np.concatenate([[True], of[1:] != of[:-1]])
+    last = np.concatenate([of[1:] != of[:-1], [True]])
+    order = np.lexsort([~(first | last), of])
+    return [(int(cuts[k]), int(ends[k])) for k in order]
+
+
+def shared_grams(place: np.ndarray, slot: np.ndarray, index: Index) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place in the text, piece, place in the piece) of known q-grams; all of a piece at a time, few pieces where there are many."""
     times = index.at[slot + 1] - index.at[slot]
-    row = np.repeat(index.at[slot], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    return np.repeat(maybe, times), index.entry[row].astype(np.int64), index.place[row].astype(np.int64)
-
-
-def candidates(h: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    total = int(times.sum())
+    parts = max(1, min(-(-total // (4 * ENTRIES)), len(index.first) - 1))
+    edges = np.linspace(0, len(index.first) - 1, parts + 1).astype(np.int64)
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        begin, count = index.at[slot], times
+        if parts > 1:  # a q-gram's entries stand in order of their pieces
+            begin, count = entries_of(index, slot, low, high)
+        row = np.repeat(begin, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        yield np.repeat(place, count), index.entry[row].astype(np.int64), index.place[row].astype(np.int64)
+
+
+def entries_of(index: Index, slot: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, how many) of the entries of q-grams that are in pieces from low to high."""
+    each, back = np.unique(slot, return_inverse=True)
+    own = [index.entry[index.at[k] : index.at[k + 1]] for k in each.tolist()]
+    begin = np.array([index.at[k] + np.searchsorted(x, low) for k, x in zip(each.tolist(), own, strict=True)], dtype=np.int64)
+    end = np.array([index.at[k] + np.searchsorted(x, high) for k, x in zip(each.tolist(), own, strict=True)], dtype=np.int64)
+    return begin[back], (end - begin)[back]
+
+
+def candidates(place: np.ndarray, entry: np.ndarray, own: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(segment, its piece, band): where a segment shares as many q-grams with a diagonal band as the lemma asks for."""
-    place, entry, own = shared_grams(h, index)
     none = np.zeros(0, np.int64)
     if not len(place):
         return none, none, none
     limits, size = index.limits, np.minimum(index.size, SEGMENT)
     wide = limits.edits(size) + 1
-    band = (place - own + PIECE) // wide[entry]
+    band = (place - own + SHIFT) // wide[entry]
     entry, own, band = np.tile(entry, 2), np.tile(own, 2), np.concatenate([band, band - 1])
     order = np.lexsort([own, band, entry])
     entry, own, band = entry[order], own[order], band[order]
@@ -279,34 +324,84 @@ def matches(batch: list[str], index: Index) -> tuple[np.ndarray, ...]:
             text = text[:-1] if len(text) and text[-1] == 32 else text
             for k in index.tiny.get(text.tobytes(), ()):
                 add([i], [k], [-1], [0], [own[starts[i]]], [own[starts[i] + len(text) - 1] + 1])
-    segment, entry, band = candidates(gram_hashes(low, index.limits.q), index)
-    sizes = np.minimum(index.size, SEGMENT)
-    back = low[::-1]
-    for size in np.unique(sizes[entry]):
-        mine = np.flatnonzero(sizes[entry] == size)
-        e = int(index.limits.edits(size))
-        for some in np.array_split(mine, -(-len(mine) // ALIGN)):
-            seg, piece = segment[some], entry[some]
-            at = index.first[piece] + index.starts(seg, piece)
-            patterns = index.chars[at[:, None] + np.arange(size)]
-            # diagonals count from the piece's first character; the segment begins later
-            begins = band[some] * (e + 1) - PIECE - e + index.starts(seg, piece)
-            edits, ends = align(low, begins, 2 * (e + 1) + 2 * e, patterns)
-            good = edits <= e
-            if not good.any():
-                continue
-            edits, ends, seg, piece, patterns = edits[good], ends[good], seg[good], piece[good], patterns[good]
-            # backwards from the end: the other end of the stretch
-            _, heads = align(back, len(low) - ends - e, 2 * e + 1, patterns[:, ::-1], e)
-            text = np.searchsorted(starts, ends - 1, side="right") - 1
-            heads = np.maximum(len(low) - heads, starts[text])
-            if size < SHORT:  # whole words only
-                word = ((heads == starts[text]) | (low[heads - 1] <= 32)) & (low[ends] <= 32)
-                text, seg, piece, edits, heads, ends = (x[word] for x in (text, seg, piece, edits, heads, ends))
-            add(text, index.item[piece], seg, edits, own[heads], own[ends - 1] + 1)
+    told, back, sizes = Told(index, len(batch)), low[::-1], np.minimum(index.size, SEGMENT)
+    places, slots = known_grams(gram_hashes(low, index.limits.q), index)
+    for first, end in slices_of(places, slots, starts, index):
+        if told.all_known(places[first:end], slots[first:end], starts):
+            continue
+        for shared in shared_grams(places[first:end], slots[first:end], index):
+            segment, entry, band = candidates(*shared, index)
+            for size in np.unique(sizes[entry]):
+                mine = np.flatnonzero(sizes[entry] == size)
+                e = int(index.limits.edits(size))
+                for some in np.array_split(mine, -(-len(mine) // ALIGN)):
+                    seg, piece = segment[some], entry[some]
+                    # diagonals count from the piece's first character; the segment begins later
+                    begins = band[some] * (e + 1) - SHIFT - e + index.starts(seg, piece)
+                    wide = 2 * (e + 1) + 2 * e
+                    new = ~told.known(seg, index.item[piece], begins, begins + wide + size, starts)
+                    seg, piece, begins = seg[new], piece[new], begins[new]
+                    if not len(seg):
+                        continue
+                    at = index.first[piece] + index.starts(seg, piece)
+                    patterns = index.chars[at[:, None] + np.arange(size)]
+                    edits, ends = align(low, begins, wide, patterns)
+                    good = edits <= e
+                    if not good.any():
+                        continue
+                    edits, ends, seg, piece, patterns = edits[good], ends[good], seg[good], piece[good], patterns[good]
+                    # backwards from the end: the other end of the stretch
+                    _, heads = align(back, len(low) - ends - e, 2 * e + 1, patterns[:, ::-1], e)
+                    text = np.searchsorted(starts, ends - 1, side="right") - 1
+                    heads = np.maximum(len(low) - heads, starts[text])
+                    if size < SHORT:  # whole words only
+                        word = ((heads == starts[text]) | (low[heads - 1] <= 32)) & (low[ends] <= 32)
+                        text, seg, piece, edits, heads, ends = (x[word] for x in (text, seg, piece, edits, heads, ends))
+                    told.add(text, index.item[piece], seg, edits, heads, ends)
+                    add(text, index.item[piece], seg, edits, own[heads], own[ends - 1] + 1)
     return tuple(np.concatenate(x) for x in found)
 
 
+class Told:
+    """What is known of a batch's texts so far: the segments found in each, and of each item the stretch from the first to the last match and the fewest edits. A further match of a segment that was found, without an edit somewhere, within that stretch, changes nothing."""
+
+    def __init__(self, index: Index, n: int):
+        self.index, self.segments = index, np.zeros(0, np.int64)
+        self.items = len(index.items[0])
+        self.key, self.start, self.end, self.edits = (np.zeros(0, np.int64) for _ in range(4))
+
+    def add(self, text: np.ndarray, item: np.ndarray, segment: np.ndarray, edits: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        if not len(text):
+            return
+        self.segments = np.union1d(self.segments, text * (self.index.segments[-1] + 1) + segment)
+        key = np.concatenate([self.key, text * self.items + item])
+        order = np.argsort(key, kind="stable")
+        self.key, cut = np.unique(key[order], return_index=True)
+        joined = lambda f, old, new: f.reduceat(np.concatenate([old, new])[order], cut)
+        self.start, self.end, self.edits = joined(np.minimum, self.start, start), joined(np.maximum, self.end, end), joined(np.minimum, self.edits, edits)
+
+    def known(self, segment: np.ndarray, item: np.ndarray, start: np.ndarray, end: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Which matches of segments, somewhere from start to end, would change nothing."""
+        if not len(self.key):
+            return np.zeros(len(segment), dtype=bool)
+        text = np.searchsorted(starts, np.clip(start, 0, starts[-1] - 1), side="right") - 1
+        at = np.minimum(np.searchsorted(self.key, text * self.items + item), len(self.key) - 1)
+        same = (self.key[at] == text * self.items + item) & (self.edits[at] == 0) & (self.start[at] <= start) & (self.end[at] >= end)
+        return same & np.isin(text * (self.index.segments[-1] + 1) + segment, self.segments)
+
+    def all_known(self, place: np.ndarray, slot: np.ndarray, starts: np.ndarray) -> bool:
+        """No match of a segment with these q-grams would change anything."""
+        if not len(self.key):
+            return False
+        index, far = self.index, 2 * SEGMENT
+        rows = np.unique(slot)
+        pieces = np.unique(np.concatenate([index.entry[index.at[k] : index.at[k + 1]] for k in rows.tolist()])) if len(rows) <= HITS else np.arange(len(index.first) - 1)
+        segment = np.concatenate([np.arange(index.segments[k], index.segments[k + 1]) for k in pieces.tolist()])
+        item = np.repeat(index.item[pieces], index.segments[pieces + 1] - index.segments[pieces])
+        one = np.ones(len(segment), np.int64)
+        return bool(self.known(segment, item, one * (place[0] - far), one * (place[-1] + far), starts).all())
+
+
 def benchmark_pieces(benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
     """(item, origin, chars, size): the pieces of all distinct items; the origin tells the texts of an id apart."""
     kind = benchmark.schema[item_col].dataType.simpleString()

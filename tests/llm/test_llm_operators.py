@@ -929,3 +929,41 @@ def test_neighbours_of_vectors_that_lie_close_together(spark, noise):
         far[q] = 9
         hits += len(got[q] & set(np.argsort(far)[:5].tolist()))
     assert hits >= 0.95 * 5 * 60, hits / 300
+
+
+def test_slices_of_shared_grams_change_nothing(monkeypatch):
+    """Texts that repeat passages of items, worked through in slices of all sizes."""
+    r = random.Random(4)
+    prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6))) for _ in range(n))
+    items = [prose(r.randint(1, 60)) for _ in range(5)] + ["ha" * 150, "a" * 90, "abc " * 40]
+    texts_ = []
+    for _ in range(6):
+        own = r.choice(items)
+        texts_.append(" ".join([prose(10), own[: r.randint(10, 300)], r.choice(["ha", "a", "abc "]) * r.randint(50, 500), own, prose(3)]))
+    texts_ += ["", "ha" * 1500 + "z" + "ha" * 300]
+    pieces = [(i, p) for i, t in enumerate(items) for p in decontam.pieces_of(t)]
+    index = decontam.index_of(pa.array([i for i, _ in pieces]), [str(i) for i, _ in pieces], [p for _, p in pieces], decontam.Limits())
+
+    def told(entries):
+        monkeypatch.setattr(decontam, "ENTRIES", entries)
+        out = {}
+        for text, item, segment, edits, start, end in np.stack(decontam.matches(texts_, index)).T.tolist():
+            x = out.setdefault((text, item), [start, end, edits, set()])
+            x[:3] = min(x[0], start), max(x[1], end), min(x[2], edits)
+            x[3].add(segment)
+        return out
+
+    whole = told(1 << 40)
+    assert whole == told(1 << 18) == told(3000) == told(400) and whole[(7, 5)][:2] == [0, 3601]
+
+
+def test_a_long_text_that_repeats_an_item_takes_little_memory():
+    import resource
+
+    item = "ha" * 150
+    index = decontam.index_of(pa.array([1]), ["x"], decontam.pieces_of(item), decontam.Limits())
+    decontam.matches(["ha" * 2000], index)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found = np.stack(decontam.matches(["ha" * 500_000], index))
+    assert found[4].min() == 0 and found[5].max() == 1_000_000 and found[3].min() == 0 and len(np.unique(found[2])) == 30
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
