@@ -909,6 +909,17 @@ def streamed_pages(spark, sf_dir):
     return done.select("book_id", "page_no", F.md5(F.encode("text", "UTF-8")).alias("digest"), "n_errors", "n_warnings", "n_infos")
 
 
+@query(f"with {p_sql(BOTH)}, {HEADER_LINES}, {ONCE}, {edges_sql('once')}, {stripped_sql('once')} select book_id, page_no, text from stripped")
+def streamed_books(spark, sf_dir):
+    """Pages that arrive in three goes, the last ones first; what repeats in a book is dropped from all its pages in the end."""
+    folder = own_folder(spark)
+    rows = ordered.stored(pages(spark, sf_dir, BOTH).select("book_id", "page_no", "text"))
+    for go in (2, 0, 1):
+        rows.where(F.col("page_no") % 3 == go).write.mode("append").parquet(f"{folder}/in")
+        incremental.run_books(incremental.stream(spark, f"{folder}/in", incremental.TEXTS), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return incremental.books(spark, f"{folder}/out")
+
+
 @query(f"with {RUNS}, m as (select rotation, avg(ocr_time) avg_time from runs group by rotation) select m.rotation, round(m.avg_time, 6) avg_time, round(b.avg_time / m.avg_time, 6) speedup from m, m b where b.rotation = 0")
 def study_files(spark, sf_dir):
     """A study's results written as JSON lines and read again."""

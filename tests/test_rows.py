@@ -10,8 +10,9 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from pageloom.operators import chapters, joiner, ordered, running
+from pageloom.operators import chapters, headers, joiner, ordered, running
 from pageloom.sources import epub, readers, writers
+from pageloom.streaming import incremental
 
 PAGES = "book_id string, page_no int, text string"
 TOKENS = ["# Run", "## Head two", "# RUN", "#", "##  ", "# #", "text goes", "on and on", "Ends here.", "\n", "\n\n", "\n\n\n", "  indented", "> quote", "* item", "Chapter 3", "1. x", " ", "\t", "\x0b#", "###### deep", "word " * 30 + ".", "lower " * 80, "<!-- c -->"]
@@ -156,3 +157,29 @@ def test_a_failed_save_changes_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="stop"):
         writers.save_edits(spark, str(tmp_path), broken, COLUMNS)
     assert files_of(tmp_path) == before and [r.text for r in writers.read_pages(spark, str(tmp_path), COLUMNS).orderBy("page_no").collect()] == [f"t{p}" for p in range(9)]
+
+
+# books from batches of pages
+def test_any_split_of_pages_into_batches_gives_the_same_books(spark, tmp_path):
+    r = random.Random(4)
+    texts = [("b", p, f"BOOK TITLE\n\n# Part {p // 15}\n# Running\nPage {p} text.\nEnd of it") for p in range(45)] + [("c", p, f"Body {p}\n# Once\nmore") for p in range(4)]
+    rows = spark.createDataFrame(texts, PAGES)
+    want = {(x.book_id, x.page_no): x.text for x in headers.clean_book_pages(rows).collect()}
+    for turn in range(2):
+        folder, go = str(tmp_path / str(turn)), {k: r.randrange(3) for k in range(len(texts))}
+        batches = [spark.createDataFrame([t for k, t in enumerate(texts) if go[k] == n] or [(None, 1, "of no book")], PAGES) for n in range(3)]
+        old = spark.createDataFrame([("b", 3, "replaced later"), ("b", None, "x")], PAGES)
+        incremental.keep_books(old, 0, folder)
+        for n, batch in enumerate(batches):
+            incremental.keep_books(batch, n + 1, folder)
+        incremental.keep_books(batches[2], 3, folder)  # tried again
+        assert {(x.book_id, x.page_no): x.text for x in incremental.books(spark, folder).collect()} == want and incremental.books(spark, folder).count() == len(want)
+
+
+def test_a_header_is_withdrawn_once_it_repeats(spark, tmp_path):
+    page = lambda p: ("b", p, f"TOP LINE\nText {p} stands here.")
+    first = lambda: incremental.books(spark, str(tmp_path)).where("page_no = 0").first().text
+    incremental.keep_books(spark.createDataFrame([page(p) for p in range(9)], PAGES), 0, str(tmp_path))
+    assert first() == "TOP LINE\nText 0 stands here."
+    incremental.keep_books(spark.createDataFrame([page(9)], PAGES), 1, str(tmp_path))
+    assert first() == "Text 0 stands here."
