@@ -815,6 +815,25 @@ def saved_edits(spark, sf_dir):
     return after.join(stood, F.col("file") == F.col("was"), "left").select("book_id", "page_no", "digest", F.col("was").isNull().alias("rewritten"))
 
 
+#: Three blocks of a page, by its number: their boxes, one of them from its lower right corner, and their categories, one of them unknown.
+LAYOUT = "concat('[{\"bbox\":[', page_no, ',10,', page_no + 200, ',40],\"category\":\"Title\",\"text\":\"t\"},{\"bbox\":[300.5,', page_no + 99, ',20.25,50],\"category\":\"', case when page_no % 2 = 0 then 'Text' else 'A & B' end, '\"},{\"bbox\":[1,2],\"category\":\"Text\"}', case when page_no % 7 = 3 then '' else ']' end)"
+
+
+@query(f"""with {p_sql()}, good as (select * from p where page_no % 7 <> 3)
+ select book_id, page_no, 0 place, 'Title' category, page_no::double x, 10::double y, 200::double width, 30::double height, '{writers.COLOURS["Title"]}' colour from good
+ union all select book_id, page_no, 1, case when page_no % 2 = 0 then 'Text' else 'A &amp; B' end, 20.25::double, least(50, page_no + 99)::double, 280.25::double, abs(page_no + 49)::double, case when page_no % 2 = 0 then '{writers.COLOURS["Text"]}' else '{writers.COLOURS[None]}' end from good""")
+def drawn_layouts(spark, sf_dir):
+    """Layouts drawn beside the pages' files, and the boxes as the files have them; a layout that can't be read is not drawn."""
+    folder = own_folder(spark)
+    rows = pages(spark, sf_dir).select("book_id", "page_no", "text", F.lit(None).cast("string").alias("text_nohf"), F.expr(LAYOUT).alias("raw"))
+    written(writers.page_files(rows, folder, drawn=True))
+    found = readers.whole_files(spark, folder, "page_*.svg", True)
+    box = r'<rect x="([^"]*)" y="([^"]*)" width="([^"]*)" height="([^"]*)" fill="none" stroke="([^"]*)"><title>([^<]*)</title></rect>'
+    each = found.select(readers.book_of(F.col("path")).alias("book_id"), F.regexp_extract(readers.name_of(F.col("path")), r"page_(\d+)\.svg", 1).cast("int").alias("page_no"), F.posexplode(F.regexp_extract_all("text", F.lit(f"({box})"), F.lit(1))).alias("place", "rect"))
+    part = lambda k: F.regexp_extract("rect", box, k)
+    return each.select("book_id", "page_no", "place", part(6).alias("category"), *(part(k + 1).cast("double").alias(c) for k, c in enumerate(("x", "y", "width", "height"))), part(5).alias("colour"))
+
+
 EPUB_FILES = "mimetype META-INF/container.xml OEBPS/content.opf OEBPS/toc.ncx OEBPS/nav.xhtml OEBPS/stylesheet.css".split()
 
 

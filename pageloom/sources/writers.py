@@ -16,12 +16,14 @@ from typing import BinaryIO
 import pandas as pd
 import pyarrow as pa
 from pyarrow.fs import FileSystem, LocalFileSystem
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type as to_arrow
 
 from ..operators.ordered import run_of
-from ..operators.review import upsert
+from ..functions.pystr import lstrip
+from ..functions.scalar import escape_xml
+from ..operators.review import parsed_blocks, upsert
 from . import epub
 
 
@@ -50,22 +52,44 @@ def save_edits(spark: SparkSession, path: str, edits: DataFrame, columns: str, t
     found.repartition("book_id", run_of()).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book_id").parquet(path)
 
 
-def page_files(results: DataFrame, folder: str) -> DataFrame:
-    """(book_id, page_no, written): ``page_NNNN.md``, ``_nohf.md`` and ``.json`` of each page in a shared folder, by book."""
+#: Of boxes by category; others are drawn in the last colour.
+COLOURS = {"Title": "#b00020", "Section-header": "#d2691e", "Text": "#1e66d0", "List-item": "#2e8b57", "Table": "#8a2be2", "Picture": "#c71585", "Caption": "#008b8b", "Footnote": "#708090", "Formula": "#556b2f", "Page-header": "#b8860b", "Page-footer": "#a0522d", None: "#000000"}
+
+
+def overlay(raw: Column, image: Column) -> Column:
+    """An SVG that draws a page's layout over its image (a file beside it): a box for each block with four numbers, in its category's colour, named by it. Null where the layout is no list of blocks."""
+    blocks = F.filter(parsed_blocks(raw), lambda b: (F.size(b["bbox"]) == 4) & ~F.exists(b["bbox"], lambda x: x.isNull()))
+    number = lambda x: F.format_string("%.2f", x)
+    colours = F.create_map(*[F.lit(x) for k, v in COLOURS.items() if k for x in (k, v)])
+
+    def box(b: Column) -> Column:
+        x1, y1, x2, y2 = (F.get(b["bbox"], F.lit(k)) for k in range(4))
+        category = F.coalesce(b["category"], F.lit("Text"))
+        colour = F.coalesce(F.try_element_at(colours, category), F.lit(COLOURS[None]))
+        return F.concat(F.lit('<rect x="'), number(F.least(x1, x2)), F.lit('" y="'), number(F.least(y1, y2)), F.lit('" width="'), number(F.abs(x2 - x1)), F.lit('" height="'), number(F.abs(y2 - y1)), F.lit('" fill="none" stroke="'), colour, F.lit('"><title>'), escape_xml(category), F.lit("</title></rect>"))
+
+    edge = lambda a, b: number(F.coalesce(F.array_max(F.transform(blocks, lambda x: F.greatest(F.get(x["bbox"], F.lit(a)), F.get(x["bbox"], F.lit(b))))), F.lit(0.0)))
+    made = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 '), edge(0, 2), F.lit(" "), edge(1, 3), F.lit('"><image href="'), escape_xml(image), F.lit('" width="100%" height="100%"/>'), F.array_join(F.transform(blocks, box), ""), F.lit("</svg>"))
+    return F.when(lstrip(raw).startswith("[") & F.try_parse_json(raw).isNotNull(), made)
+
+
+def page_files(results: DataFrame, folder: str, drawn: bool = False) -> DataFrame:
+    """(book_id, page_no, written): ``page_NNNN.md``, ``_nohf.md`` and ``.json`` of each page in a shared folder, by book; ``drawn``: ``.svg`` too, its layout over ``page_NNNN.jpg``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             n = []
             for r in b.itertuples(index=False):
                 stem = f"{safe(r.book_id)}/page_{r.page_no:04d}"
-                parts = {".md": r.text, "_nohf.md": r.text_nohf, ".json": indented(r.raw)}
+                parts = {".md": r.text, "_nohf.md": r.text_nohf, ".json": indented(r.raw), ".svg": r.svg}
                 for suffix, text in parts.items():
                     if text is not None:
                         _put(folder, stem + suffix, text.encode())
                 n.append(sum(x is not None for x in parts.values()))
             yield b[["book_id", "page_no"]].assign(written=n)
 
-    return results.select("book_id", "page_no", "text", "text_nohf", "raw").mapInPandas(run, "book_id string, page_no int, written int")
+    svg = overlay(F.col("raw"), F.format_string("page_%04d.jpg", "page_no")) if drawn else F.lit(None).cast("string")
+    return results.select("book_id", "page_no", "text", "text_nohf", "raw", svg.alias("svg")).mapInPandas(run, "book_id string, page_no int, written int")
 
 
 def indented(raw: str | None) -> str | None:
