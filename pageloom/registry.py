@@ -847,6 +847,26 @@ def book_epubs(spark, sf_dir):
     return made.join(files, "book_id").select("book_id", "n_chapters", "x.n_files", F.array_join("x.titles", "\n").alias("titles"))
 
 
+#: The page's whole text in letters, digits, commas and full stops, in one line; then markdown around it and what it becomes.
+PLAIN = "concat('P ', regexp_replace(text, '[^A-Za-z0-9,.]', ' '{g}))"
+MARKED = """concat('# Head *', doc_id, '* & more\n\n', {plain}, '\n\n- one ', doc_id, '\n- **two**\n    - inner `x<y & **z**`\n    - second\n- three\n\n4. first\n5. second & last\n\n> said ', doc_id, '\n> # Quoted\n\n',
+ '| a | b |\n|:--|--:|\n| ', doc_id, ' | __x__ |\n| only |\n\n```sql\nselect "', doc_id, '" < 3;\n\n# no head\n```\n\n---\n\n[link](http://x/', doc_id, ') ![pic](p.png)\n<div class="c">raw</div>\n\n## Head\n\n## Head\nlast line<br>end')"""
+BODY = """concat('<h1 id="head-', doc_id, '-more">Head <em>', doc_id, '</em> &amp; more</h1>\n<p>', {plain}, '</p>\n<ul><li>one ', doc_id, '</li><li><strong>two</strong><ul><li>inner <code>x&lt;y &amp; **z**</code></li><li>second</li></ul></li><li>three</li></ul>\n<ol><li>first</li><li>second &amp; last</li></ol>\n',
+ '<blockquote>\n<p>said ', doc_id, '</p>\n<h1 id="quoted">Quoted</h1>\n</blockquote>\n<table><thead><tr><th style="text-align: left;">a</th><th style="text-align: right;">b</th></tr></thead><tbody><tr><td style="text-align: left;">', doc_id, '</td><td style="text-align: right;"><strong>x</strong></td></tr><tr><td style="text-align: left;">only</td><td style="text-align: right;"></td></tr></tbody></table>\n',
+ '<pre><code class="language-sql">select &quot;', doc_id, '&quot; &lt; 3;\n\n# no head\n</code></pre>\n<hr/>\n<p><a href="http://x/', doc_id, '">link</a> <img alt="pic" src="p.png"/>\n<div class="c">raw</div></p>\n<h2 id="head">Head</h2>\n<h2 id="head_1">Head</h2>\n<p>last line<br/>end</p>')"""
+
+
+@query(f"with {p_sql()} select book_id, page_no, md5({BODY.format(plain=PLAIN.format(g=', ' + repr('g')))}) digest from p")
+def chapter_bodies(spark, sf_dir):
+    """Chapters of markdown of all kinds, as their EPUB files have them."""
+    folder = own_folder(spark)
+    sql = MARKED.format(plain=PLAIN.format(g=""))
+    rows = pages(spark, sf_dir).select("book_id", F.col("page_no").cast("bigint").alias("chapter_no"), F.lit("t").alias("title"), F.lit(0).cast("bigint").alias("block"), F.lit(0).alias("part"), F.expr(sql).alias("text"))
+    written(writers.epub_files(rows, folder))
+    found = spark.read.format("binaryFile").load(folder).select(F.regexp_replace(readers.name_of(F.col("path")), r"\.epub\z", "").alias("book_id"), F.posexplode(F.pandas_udf(epub.bodies, "array<string>")("content")).alias("page_no", "body"))
+    return found.select("book_id", "page_no", F.md5(F.encode("body", "UTF-8")).alias("digest"))
+
+
 #: From ``cleaned`` (book_id, page_no, text) to books: headers and footers, joining, running headers.
 FROM_CLEANED = f"""final as (with p as (select * from cleaned), {HEADER_LINES}, {ONCE}, {edges_sql('once')}, {stripped_sql('once')} select book_id, page_no, text from stripped),
  whole as (with p as (select * from final), {CLASSES}, {pieces_sql(True)}, k as (select book_id, count(*) n_pages, string_agg(piece, '' order by page_no) content from x group by book_id), {without_running_sql('k')} select * from rr)
