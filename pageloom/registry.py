@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -741,6 +742,36 @@ def page_files(spark, sf_dir):
     return readers.page_texts(spark, folder, readers.TIERS["analyze"]).select("book_id", "page_no", "kind", F.length("text").alias("n_chars"), F.md5(F.encode("text", "UTF-8")).alias("digest"))
 
 
+@query(f"""with {p_sql()}, j as (select *, '[' || chr(10) || '  "' || doc_id || '"' || chr(10) || ']' raw from p)
+ select 'join' tiers, 'json' kind, book_id, page_no, md5(raw) digest from j where page_no % 3 <> 1
+ union all select 'join', 'markdown', book_id || '-md', page_no, md5(text) from j
+ union all select 'join_only', 'json', book_id, page_no, md5(raw) from j where page_no % 3 <> 1
+ union all select 'join_only', 'markdown', book_id || '-nohf', page_no, md5(text || '.') from j""".replace("book_id, page_no, md5(raw) digest from j where page_no % 3 <> 1", "book_id, cast(row_number() over (partition by book_id order by page_no) - 1 as int) page_no, md5(raw) digest from j where page_no % 3 <> 1").replace("book_id, page_no, md5(raw) from j where page_no % 3 <> 1", "book_id, cast(row_number() over (partition by book_id order by page_no) - 1 as int), md5(raw) from j where page_no % 3 <> 1"))
+def page_file_tiers(spark, sf_dir):
+    """Folders of page files read by what they hold: JSON of some pages goes before all markdown, then the text without headers, then any."""
+    rows = ordered.stored(pages(spark, sf_dir).select("book_id", "page_no", "text", F.concat("text", F.lit(".")).alias("text_nohf"), F.when(F.col("page_no") % 3 != 1, F.to_json(F.array(F.col("doc_id").cast("string")))).alias("raw")))
+    none = F.lit(None).cast("string")
+    made = {"": rows, "-nohf": rows.withColumns({"raw": none, "text": none}), "-md": rows.withColumns({"raw": none, "text_nohf": none})}
+    folders = {}
+    for name, some in made.items():
+        folders[name] = own_folder(spark)
+        written(writers.page_files(some.withColumn("book_id", F.concat("book_id", F.lit(name))), folders[name]))
+    found = [readers.page_texts(spark, folders[name], readers.TIERS[tiers]).select(F.lit(tiers).alias("tiers"), "kind", "book_id", "page_no", F.md5(F.encode("text", "UTF-8")).alias("digest")) for tiers, name in (("join", ""), ("join", "-md"), ("join_only", ""), ("join_only", "-nohf"))]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("select cast(row_number() over (order by doc_id) - 1 as int) page_no, md5(coalesce(text, '')) digest, 'pages' folder from documents")
+def found_page_folder(spark, sf_dir):
+    """A book's pages in one of the usual folders below the given one."""
+    base = own_folder(spark)
+    none = F.lit(None).cast("string")
+    number = ordered.numbered(table(spark, sf_dir, "documents").select(F.lit("pages").alias("book_id"), "doc_id"), [F.col("doc_id")], "page_no")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(number, "doc_id")
+    written(writers.page_files(rows.withColumns({"text_nohf": none, "raw": none}), base))
+    found = readers.whole_files(spark, readers.pages_folder(spark, base), "page_*.md")
+    return found.select(review.page_number(readers.name_of(F.col("path"))).alias("page_no"), F.md5(F.encode("text", "UTF-8")).alias("digest"), readers.book_of(F.col("path")).alias("folder"))
+
+
 @query("select cast(doc_id as int) page_no, doc_id % 3 <> 0 has_json, doc_id % 5 <> 0 has_nohf, case when doc_id % 3 = 0 then null else doc_id % 3 = 1 end json_valid from documents where doc_id % 3 <> 0 or doc_id % 5 <> 0")
 def earlier_outputs(spark, sf_dir):
     """What an earlier run left in a folder: some pages without JSON or with a broken one, some without their text."""
