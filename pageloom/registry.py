@@ -990,6 +990,21 @@ def streamed_books(spark, sf_dir):
     return incremental.books(spark, f"{folder}/out")
 
 
+@query("select n % 3 go, count(*) n_pages from (select row_number() over (order by doc_id) - 1 n from documents) group by 1")
+def stream_progress(spark, sf_dir):
+    """Pages that arrive in three goes, counted by what Spark reports of each."""
+    folder = own_folder(spark)
+    numbers = ordered.numbered(table(spark, sf_dir, "documents").select(F.lit("b").alias("book_id"), "doc_id"), [F.col("doc_id")], "page_no")
+    rows = ordered.stored(numbers.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("book_id", "page_no", F.lit(None).cast("string").alias("raw"), F.col("text").alias("text_nohf"), F.lit(True).alias("success")))
+    counts = []
+    for go in range(3):
+        rows.where(F.col("page_no") % 3 == go).write.mode("append").parquet(f"{folder}/in")
+        shown = progress.Progress(0)
+        progress.followed(spark, shown, lambda: incremental.run(incremental.stream(spark, f"{folder}/in"), f"{folder}/out", f"{folder}/state"))
+        counts.append((go, shown.current))
+    return spark.createDataFrame(counts, "go bigint, n_pages bigint")
+
+
 @query(f"with {RUNS}, m as (select rotation, avg(ocr_time) avg_time from runs group by rotation) select m.rotation, round(m.avg_time, 6) avg_time, round(b.avg_time / m.avg_time, 6) speedup from m, m b where b.rotation = 0")
 def study_files(spark, sf_dir):
     """A study's results written as JSON lines and read again."""

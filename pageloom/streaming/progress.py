@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import sys
 import time
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import TextIO
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..functions.scalar import DURATIONS, duration, percent, rate, remaining
 
@@ -80,6 +81,46 @@ class Progress:
             print(self.line(), end=end, file=self.out, flush=True)
 
 
+class BatchListener(StreamingQueryListener):
+    """Feeds a counter with the rows that each batch of a stream has read, as Spark reports them. A task that is tried
+    again doesn't count again; a batch that is tried again after a restart has the same number and counts once."""
+
+    def __init__(self, shown: Progress, name: str | None = None):
+        self.shown, self.name, self.seen = shown, name, set()
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        if (self.name is None or p.name == self.name) and p.numInputRows and (p.id, p.batchId) not in self.seen:
+            self.seen.add((p.id, p.batchId))
+            self.shown.update(p.numInputRows, item=f"batch {p.batchId}")
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        if event.exception:
+            self.shown.update(0, item=event.exception.splitlines()[0])
+
+
+def followed(spark: SparkSession, shown: Progress, start: Callable[[], StreamingQuery], wait: float = 30.0) -> StreamingQuery:
+    """Start a stream that ends by itself, wait for its end, and have its batches counted."""
+    listener = BatchListener(shown)
+    spark.streams.addListener(listener)
+    try:
+        query = start()
+        query.awaitTermination()
+        told = {(p.id, p.batchId) for p in query.recentProgress if p.numInputRows}
+        until = time.monotonic() + wait  # reports come a little later than the end
+        while not told <= listener.seen and time.monotonic() < until:
+            time.sleep(0.05)
+        return query
+    finally:
+        spark.streams.removeListener(listener)
+
+
 def progress_iter(items: Iterable, desc: str = "", unit: str = "items", out: TextIO | None = sys.stderr) -> Iterator:
     held = items if hasattr(items, "__len__") else list(items)
     shown = Progress(len(held), desc, unit, out)

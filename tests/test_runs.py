@@ -197,6 +197,29 @@ def test_stream(spark, tmp_path):
     assert [(r.page_no, r.text, r.n_warnings) for r in rows] == [(0, "a b", 2), (1, "c", 2)]  # short, and of short words
 
 
+def test_a_listener_counts_what_a_stream_reads(spark, tmp_path):
+    pages_ = spark.createDataFrame([("b", p, None, f"text {p}", True) for p in range(40)], incremental.PAGES).repartition(3)
+    pages_.write.parquet(str(tmp_path / "in"))
+    shown = progress.Progress(40)
+    start = lambda: incremental.run(incremental.stream(spark, str(tmp_path / "in"), files_per_batch=1), str(tmp_path / "out"), str(tmp_path / "cp"))
+    progress.followed(spark, shown, start)
+    assert shown.current == 40 == spark.read.parquet(str(tmp_path / "out")).count() and shown.item.startswith("batch ")
+    progress.followed(spark, shown, start)  # nothing new
+    assert shown.current == 40
+    # a batch that fails isn't counted; the one that takes its place is
+    pages_.limit(5).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def fail(done, number):
+        raise ValueError("stop")
+
+    again = lambda after: incremental.run(incremental.stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), after=after)
+    with pytest.raises(Exception, match="stop"):
+        progress.followed(spark, shown, lambda: again(fail), wait=2)
+    assert shown.current == 40
+    progress.followed(spark, shown, lambda: again(None))
+    assert shown.current == 45 and shown.percent == 112.5
+
+
 def test_progress(spark):
     p = progress.Progress(10, "Pages", out=io.StringIO())
     p.update(4, item="x" * 40)
