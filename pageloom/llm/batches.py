@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from collections.abc import Iterator
@@ -46,6 +47,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def reclaim(spark: SparkSession) -> None:
+    """Have Spark free the shuffles and checkpoints of steps that are over and no longer referred to; it does so only when the driver's JVM collects garbage, which many small rounds don't make it do."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def use_checkpoint_dir(spark: SparkSession) -> None:
     """Keep the session's checkpoint folder; set one only where there is none, and only for a local master, as in tests."""
     if spark.sparkContext.getCheckpointDir() is None:

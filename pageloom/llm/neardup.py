@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batches import checkpoint, column, steps, texts
+from .batches import checkpoint, column, reclaim, steps, texts
 from .simhash import STEP, components, fingerprints, forest, links, set_digest, shingle_hashes
 
 WORDS, SIMILARITY, LANES, RADIUS, WIDE, FIRST = 5, 0.8, 4, 66, (8, 84), 46
@@ -76,7 +76,10 @@ def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
     found = components(links(nodes.select(F.col("node").alias("id"), "fp", "shingles"), RADIUS, LANES, FIRST, similarity, wide=WIDE))
     both = found.unionByName(found.select(F.col("component").alias("id"), "component")).distinct().withColumnRenamed("id", "node")
     candidates = checkpoint(both.join(nodes.select("node", "id", "digest"), "node"))
+    del found, both
+    reclaim(docs.sparkSession)
     pairs = checkpoint(verified(docs, candidates, words, similarity, id_col, text_col))
+    reclaim(docs.sparkSession)
     made = components(pairs).select(F.col("id").alias("node"), "component")
     named = nodes.select("digest", "node").join(made, "node", "left").select("digest", F.coalesce("component", "node").alias("group"))
     return fps.select("id", "digest").join(named, "digest").select("id", "digest", "group")
