@@ -315,3 +315,19 @@ def test_review_requests_go_over_http(spark):
     assert [(r.page_no, r.success) for r in got.orderBy("page_no").collect()] == [(0, True), (1, False)]
     assert [(r.page_no, r.type, r.severity) for r in review.issues(got).collect()] == [(0, "spelling", "high")]
     server.shutdown()
+
+
+def test_folders_are_listed_by_tasks(spark, tmp_path):
+    """The driver holds no list of files, and empty files are told like others."""
+    (tmp_path / "a").mkdir()
+    for name, said in (("page_0000.md", "one"), ("page_0001.md", ""), ("page_0002.svg", "x"), (".page_0003.md", "hidden")):
+        (tmp_path / "a" / name).write_text(said)
+    for name in ("a.jpg", "b.JPG", "c.txt"):
+        (tmp_path / name).write_bytes(b"\xff\xd8" + b"x" * 300_000)
+    found = readers.whole_files(spark, str(tmp_path), "page_*.md", True)
+    assert sorted((r.path, r.text, r.modified is not None) for r in found.collect()) == [(f"file:{tmp_path}/a/page_0000.md", "one", True), (f"file:{tmp_path}/a/page_0001.md", "", True)]
+    pages = readers.page_texts(spark, str(tmp_path), ("*.nothing", "page_*.md"))
+    assert sorted((r.book_id, r.page_no, r.text) for r in pages.collect()) == [("a", 0, "one"), ("a", 1, "")]
+    images = readers.images(spark, str(tmp_path), content=True)
+    assert sorted((r.name, len(r.content)) for r in images.collect()) == [("a.jpg", 300_002), ("b.JPG", 300_002)]
+    assert [x.inputFiles() for x in (found, pages, images)] == [[], [], []]
