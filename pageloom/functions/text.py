@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Collection
+from collections.abc import Callable, Collection, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,10 +15,22 @@ from .pystr import WORD, replace, strip
 #: A word broken over two lines; the second part starts with an ASCII lower-case letter.
 BREAK = re.compile(r"(\w+)-\n([a-z]\w*)")
 JAVA_BREAK = f"({WORD}+)-\\n([a-z]{WORD}*)"
+#: Texts of a batch that are Python objects at a time.
+SLICE = 64
 #: A quoted string after "text":, possessive, so that a very long one can't overflow the matcher's stack.
 FRAGMENT = r'"text"\s*+:\s*+"((?:[^"\\]++|\\.)*+)(?:"|(?=\n?\z))'
 
 
+def slices(batch: pa.Array) -> Iterator[list]:
+    """A batch's values, few at a time: Spark hands over thousands of texts at once, of any length."""
+    for k in range(0, len(batch), SLICE):
+        yield batch.slice(k, SLICE).to_pylist()
+
+
+def joined(parts: Iterator[pa.Array], kind: pa.DataType) -> pa.Array:
+    return pa.concat_arrays([pa.array([], kind), *parts])
+
+
 def mend(text: str, known: Collection[str]) -> str:
     """Join broken words that are in the dictionary, and give the others their hyphen back."""
     return BREAK.sub(lambda m: m[1] + m[2] if (m[1] + m[2]).lower() in known else f"{m[1]}-{m[2]}", text)
@@ -27,10 +39,10 @@ def mend(text: str, known: Collection[str]) -> str:
 def mender(words: Broadcast) -> Callable[[Column], Column]:
     """``mend`` with a broadcast word set; only texts with a broken word go to Python."""
 
-    def run(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: mend(t, words.value) if t and "-\n" in t else t)
+    def run(text: pa.Array) -> pa.Array:
+        return joined((pa.array([mend(t, words.value) if t and "-\n" in t else t for t in own], pa.string()) for own in slices(text)), pa.string())
 
-    return lambda text: F.coalesce(F.pandas_udf(run, "string")(F.when(text.contains("-\n"), text)), text)
+    return lambda text: F.coalesce(F.arrow_udf(run, "string")(F.when(text.contains("-\n"), text)), text)
 
 
 def mend_with(text: Column, known: Column) -> Column:
@@ -104,17 +116,24 @@ def drop_repetition(text: str | None, min_repeats: int = 10) -> tuple[str | None
 
 def without_repetition(text: Column) -> Column:
     """struct(text, phrase) of ``drop_repetition``."""
-    return F.pandas_udf(_drop_rows, "struct<text: string, phrase: string>")(text)
+    return F.arrow_udf(_drop_rows, "struct<text: string, phrase: string>")(text)
+
+
+def _drop_rows(text: pa.Array) -> pa.Array:
+    kind = pa.struct([("text", pa.string()), ("phrase", pa.string())])
 
+    def dropped(own: list[str | None]) -> pa.Array:
+        texts, phrases = zip(*map(drop_repetition, own), strict=True)
+        return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(phrases, pa.string())], fields=list(kind))
 
-def _drop_rows(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([drop_repetition(t) for t in text], columns=["text", "phrase"], dtype=object)
+    return joined(map(dropped, slices(text)), kind)
 
 
 def blocks_without_repetition(blocks: Column) -> Column:
     """``drop_repetition`` on each text of an array."""
-    return F.pandas_udf(_drop_blocks, "array<string>")(blocks)
+    return F.arrow_udf(_drop_blocks, "array<string>")(blocks)
 
 
-def _drop_blocks(blocks: pd.Series) -> pd.Series:
-    return pd.Series([None if b is None else [drop_repetition(t)[0] for t in b] for b in blocks], dtype=object)
+def _drop_blocks(blocks: pa.Array) -> pa.Array:
+    kind = pa.list_(pa.string())
+    return joined((pa.array([None if b is None else [drop_repetition(t)[0] for t in b] for b in own], kind) for own in slices(blocks)), kind)
