@@ -39,20 +39,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Page numbers (a narrow row each) that are broadcast to the texts at most; more are joined by a shuffle.
-MOST_BROADCAST = 500_000
-
-
 def pages(spark: SparkSession, sf_dir: str, enriched: str | None = None) -> DataFrame:
     """(book_id, page_no, doc_id, text, n_chars), the text as the SQL expression gives it."""
     docs = table(spark, sf_dir, "documents")
     numbers = ordered.numbered(docs.select(F.col("source").alias("book_id"), "doc_id"), [F.col("doc_id")], "page_no")  # without the texts
-    numbers = F.broadcast(numbers) if numbers.count() <= MOST_BROADCAST else numbers
-    texts = docs.select("doc_id", "text", "n_chars")
+    texts = docs.select(F.col("source").alias("book_id"), "doc_id", "text", "n_chars")
     cores = spark.sparkContext.defaultParallelism
     if texts.rdd.getNumPartitions() < cores:  # a table of one small file would be one task's work; a large one is not shuffled
         texts = texts.repartition(cores)
-    rows = texts.join(numbers, "doc_id").select("book_id", "page_no", "doc_id", "text", "n_chars")
+    rows = ordered.with_numbers(texts, numbers, "doc_id", "page_no").select("book_id", "page_no", "doc_id", "text", "n_chars")
     return rows.withColumn("text", F.expr(enriched)) if enriched else rows
 
 
@@ -766,7 +761,7 @@ def found_page_folder(spark, sf_dir):
     base = own_folder(spark)
     none = F.lit(None).cast("string")
     number = ordered.numbered(table(spark, sf_dir, "documents").select(F.lit("pages").alias("book_id"), "doc_id"), [F.col("doc_id")], "page_no")
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(number, "doc_id")
+    rows = ordered.with_numbers(table(spark, sf_dir, "documents").select(F.lit("pages").alias("book_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text")), number, "doc_id", "page_no")
     written(writers.page_files(rows.withColumns({"text_nohf": none, "raw": none}), base))
     found = readers.whole_files(spark, readers.pages_folder(spark, base), "page_*.md")
     return found.select(review.page_number(readers.name_of(F.col("path"))).alias("page_no"), F.md5(F.encode("text", "UTF-8")).alias("digest"), readers.book_of(F.col("path")).alias("folder"))
@@ -983,7 +978,7 @@ def streamed_pages(spark, sf_dir):
 def streamed_books(spark, sf_dir):
     """Pages that arrive in three goes, the last ones first; what repeats in a book is dropped from all its pages in the end."""
     folder = own_folder(spark)
-    rows = ordered.stored(pages(spark, sf_dir, BOTH).select("book_id", "page_no", "text"))
+    rows = pages(spark, sf_dir, BOTH).select("book_id", "page_no", "text")
     for go in (2, 0, 1):
         rows.where(F.col("page_no") % 3 == go).write.mode("append").parquet(f"{folder}/in")
         incremental.run_books(incremental.stream(spark, f"{folder}/in", incremental.TEXTS), f"{folder}/out", f"{folder}/state").awaitTermination()
@@ -995,7 +990,8 @@ def stream_progress(spark, sf_dir):
     """Pages that arrive in three goes, counted by what Spark reports of each."""
     folder = own_folder(spark)
     numbers = ordered.numbered(table(spark, sf_dir, "documents").select(F.lit("b").alias("book_id"), "doc_id"), [F.col("doc_id")], "page_no")
-    rows = ordered.stored(numbers.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("book_id", "page_no", F.lit(None).cast("string").alias("raw"), F.col("text").alias("text_nohf"), F.lit(True).alias("success")))
+    met = ordered.with_numbers(table(spark, sf_dir, "documents").select(F.lit("b").alias("book_id"), "doc_id", "text"), numbers, "doc_id", "page_no")
+    rows = met.select("book_id", "page_no", F.lit(None).cast("string").alias("raw"), F.col("text").alias("text_nohf"), F.lit(True).alias("success"))
     counts = []
     for go in range(3):
         rows.where(F.col("page_no") % 3 == go).write.mode("append").parquet(f"{folder}/in")

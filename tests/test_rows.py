@@ -10,6 +10,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from pageloom import registry
 from pageloom.operators import chapters, headers, joiner, ordered, running
 from pageloom.sources import epub, readers, writers
 from pageloom.streaming import incremental
@@ -71,6 +72,27 @@ def test_totals_and_last_values_over_runs(spark):
         assert (x.s, x.l) == (sum(own), own[-1] if own else None)
 
 
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_numbers_meet_their_rows(spark, most):
+    r = random.Random(2)
+    ids = [*range(-5000, 5000, 3), *range(20_000, 24_100), *(r.randrange(-(1 << 62), 1 << 62) for _ in range(200))]
+    numbers = {i: r.randint(0, 1 << 30) for i in ids if i % 7}
+    rows = spark.createDataFrame([(i, f"t{i}") for i in [*ids, *ids[:50], None]], "id bigint, text string")
+    found = ordered.with_numbers(rows, spark.createDataFrame([*numbers.items(), (None, 3)], "id bigint, n int"), "id", "n", most)
+    assert sorted(tuple(x) for x in found.select("id", "text", "n").collect()) == sorted((i, f"t{i}", numbers[i]) for i in [*ids, *ids[:50]] if i in numbers)
+    again = ordered.with_numbers(rows, spark.createDataFrame([(0, 1), (0, 2)], "id bigint, n int"), "id", "n", most)
+    assert sorted(x.n for x in again.where("id = 0").collect()) == ([1, 2] if 0 in ids else [])
+
+
+def test_texts_of_many_pages_are_not_shuffled(spark, tmp_path):
+    n = 500_001
+    docs = spark.range(0, n, 1, 8).select(F.col("id").alias("doc_id"), F.concat(F.lit("book "), F.col("id") % 3).alias("source"), F.concat(F.lit("text "), "id").alias("text"), F.lit(1).alias("n_chars"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = registry.pages(spark, str(tmp_path))
+    assert "SortMergeJoin" not in rows._jdf.queryExecution().toString()
+    assert rows.where("page_no = doc_id div 3 and text = concat('text ', doc_id) and book_id = concat('book ', doc_id % 3)").count() == n
+
+
 # files
 def test_files_of_books(spark, tmp_path):
     df = spark.createDataFrame(odd_pages(3), PAGES).where("book_id is not null")
