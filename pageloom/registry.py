@@ -260,7 +260,7 @@ def page_findings(spark, sf_dir):
 
 @query(f"with {q_sql(LETTERS)} select book_id, page_no, seq, severity, error_type, cast(n as bigint) n from found where error_type = 'SHORT_WORDS'")
 def short_words(spark, sf_dir):
-    return quality.findings(pages(spark, sf_dir, LETTERS)).where("error_type = 'SHORT_WORDS'").select("book_id", "page_no", "seq", "severity", "error_type", "n")
+    return quality.findings(pages(spark, sf_dir, LETTERS), kinds=["SHORT_WORDS"]).select("book_id", "page_no", "seq", "severity", "error_type", "n")
 
 
 REPORT = f"""with {q_sql(DEFECTS, SHORT)}, every as (select book_id, severity from found union all select book_id, 'error' from p where page_no % 7 = 3),
