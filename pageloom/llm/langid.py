@@ -205,9 +205,10 @@ def clear(docs: DataFrame, keep: list[str], margin: float, fit: float, window: i
         rows, back = renamed(own, keep, text)
         judged = scored(rows, train(other, label, text), window).withColumn("_every", F.arrays_zip(*EACH))
         lang, _, margin_of, fit_of = figures(F.get("_every", F.lit(0)))
+        # a window without a letter has no n-grams, and is neither
         parts = F.slice("_every", F.lit(2), F.greatest(F.size("_every") - 1, F.lit(0)))
         grams_in = lambda x: F.aggregate(x, F.lit(0.0), lambda a, w: a + w["n"])
-        told = lambda w: (w["label"] != F.get("label", F.lit(0))) & ((w["best"] - w["second"]) / w["n"] >= margin)
+        told = lambda w: (w["label"] != F.get("label", F.lit(0))) & (F.try_divide(w["best"] - w["second"], w["n"]) >= margin)
         unlike = lambda w: w["label"].isNotNull() & (w["best"] / w["n"] - w["usual"] < window_fit)
         all_ = grams_in(parts)
         one = (grams_in(F.filter(parts, told)) <= foreign * all_) & (grams_in(F.filter(parts, unlike)) <= unfit * all_)

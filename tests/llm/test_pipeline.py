@@ -53,3 +53,11 @@ def test_stages_take_odd_and_empty_tables(spark):
     for df in (spark.createDataFrame(rows, shape), spark.createDataFrame([], shape)):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, df, SF).collect()
+
+
+def test_language_takes_texts_with_a_long_stretch_without_letters(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    text = (docs.where("lang = 'en' and doc_id % 7 = 0").orderBy("doc_id").first().text * 20)[:2000]
+    more = [(10**9 + i, text[:1000] + gap + text[1000:], "en", "s", 2600) for i, gap in enumerate(["\n" + "-" * 600 + "\n", " 12 34" * 100])]
+    kept = corpus_pipeline.keep_language(spark, docs.unionByName(spark.createDataFrame(more, docs.schema)), SF)
+    assert {r.doc_id for r in kept.where(f"doc_id >= {10**9}").collect()} == {10**9, 10**9 + 1}
