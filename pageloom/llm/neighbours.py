@@ -6,8 +6,9 @@ that near ones mostly share a part; each node is also a guest of the next part.
 a part give first neighbours. Then each round is two joins on the part: a part asks the others
 for the neighbours of its nodes' neighbours, both ways, and every node keeps the closest of
 all it meets (``nngraph.merge``); only steps that are new since the last round are taken.
-Vectors travel in single precision, once for each part that needs them. Parts are kept in tables
-bucketed by part, in the shared checkpoint folder, so they are never shuffled themselves.
+Replies name nodes without their vectors; what a part doesn't hold of these it fetches from their
+parts, in single precision and once, however many replies name it. Parts and replies are kept in
+tables bucketed by part, in the shared checkpoint folder, so parts are never shuffled themselves.
 
 Search: a query goes to the two parts that the tree names, and there to the leaves of a finer
 tree; from these it follows the graph greedily, within a part until its beam holds nothing to
@@ -27,7 +28,7 @@ as single precision can tell in their difference are told apart; other columns d
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,9 +50,13 @@ GROUP, SALTS = 512, 8
 
 PART_COLUMNS = {"ids": "<i8", "vec": "<f4", "near": "<i8", "nearp": "<i4", "sims": "<f4", "fresh": "?", "hid": "<i8", "hpart": "<i4", "hvec": "<f4"}
 ASK = {"vids": "<i8", "vvec": "<f4", "v": "<i4", "m": "<i8", "watch": "<i8"}
-REPLY = {"m": "<i8", "count": "<i4", "e": "<i4", "uids": "<i8", "upart": "<i4", "uvec": "<f4"}
+ASK_IDS = {c: t for c, t in ASK.items() if c != "vvec"}
+REPLY = {"m": "<i8", "count": "<i4", "e": "<i4", "uids": "<i8", "upart": "<i4"}
+FETCHED = {"vids": "<i8", "vvec": "<f4"}
 INDEX = {"ids": "<i8", "vec": "<f4", "links": "<i4", "hid": "<i8", "hpart": "<i4", "hvec": "<f4", "directions": "<f4", "cuts": "<f4", "leaf": "<i4"}
 FOUND = {"ids": "<i8", "parts": "<i4", "sims": "<f4", "done": "?"}
+#: What of a part its replies are made of.
+REPLIES = ("ids", "near", "nearp", "fresh")
 
 
 def shape(columns: dict[str, str], *first: str) -> str:
@@ -62,6 +67,12 @@ def packed(kind: dict[str, str], arrays: G.Part) -> dict[str, bytes]:
     return {c: np.ascontiguousarray(arrays[c], dtype=t).tobytes() for c, t in kind.items()}
 
 
+def rows_in(table: pa.Table) -> list[dict]:
+    """The rows, their bytes as views of the table's."""
+    columns = {c: table[c] for c in table.column_names}
+    return [{c: x[i].as_buffer() if pa.types.is_binary(x.type) else x[i].as_py() for c, x in columns.items()} for i in range(table.num_rows)]
+
+
 def opened(kind: dict[str, str], row: dict, widths: dict[str, int]) -> G.Part:
     """The arrays of a row; a column with a width is a matrix."""
     return {c: (x.reshape(-1, widths[c]) if c in widths else x) for c, t in kind.items() for x in [np.frombuffer(row[c], dtype=t)]}
@@ -137,15 +148,20 @@ class Graph:
         begun = self.deal(rows, self.answers).groupBy("pid").applyInArrow(self.starter(self.answers), shape(PART_COLUMNS | {"raw": "", "counts": "", "members": ""}, "pid int", "changed bigint", "held bigint"))
         self.raw = state = self.saved(begun)
         for turn in range(rounds):
-            told = self.joined(state, self.asked(state, False), self.replier(turn), shape(REPLY, "pid int"))
-            new = self.saved(self.joined(state, told, self.merger(turn), shape(PART_COLUMNS, "pid int", "changed bigint", "held bigint")))
+            told = self.saved(self.joined(state, self.asked(state, False), self.replier(turn), shape(REPLY, "pid int"), REPLIES).repartition(self.buckets, "pid"))
+            wanted = self.joined(state, told, self.wanting, "pid int, frm int, vids binary", ["hid"])
+            fetched = self.joined(state, wanted, self.fetching, shape(FETCHED, "pid int"), ["ids", "vec"])
+            # parts and replies are bucketed alike, so only the vectors are shuffled
+            whole = state.select("pid", *PART_COLUMNS).unionByName(told, allowMissingColumns=True)
+            new = self.saved(whole.groupBy("pid").cogroup(fetched.groupBy("pid")).applyInArrow(self.merger(turn), shape(PART_COLUMNS, "pid int", "changed bigint", "held bigint")))
+            self.drop(self.tables[-2])
             if turn:  # the first one has the original vectors
-                self.drop(self.tables[-2])
+                self.drop(self.tables[-3])
             state = new
             changed, held = state.agg(F.sum("changed"), F.sum("held")).first()
             if not held or changed < STILL * held:
                 break
-        self.index = self.saved(self.joined(state, self.asked(state, True), self.finisher(), shape(INDEX, "pid int")))
+        self.index = self.saved(self.joined(state, self.asked(state, True), self.finisher(), shape(INDEX, "pid int"), PART_COLUMNS))
 
     def sample(self, rows: DataFrame, n: int, most: int) -> np.ndarray:
         """A sample by hash, of at most twice so many rows."""
@@ -222,43 +238,67 @@ class Graph:
         return run
 
     def asked(self, state: DataFrame, every: bool) -> DataFrame:
-        """(pid, frm, ...): the messages of each part to the others."""
-        widths, need = self.widths, [c for c in PART_COLUMNS if c not in ("sims", "hid", "hpart", "hvec")]
+        """(pid, frm, ...): the messages of each part to the others; with vectors for the last ones, of ``every`` edge."""
+        kind, left_out = (ASK, ()) if every else (ASK_IDS, ("vec",))
+        widths, need = self.widths, [c for c in PART_COLUMNS if c not in ("sims", "hid", "hpart", "hvec", *left_out)]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for r in b.to_pylist():
+                for r in rows_in(pa.Table.from_batches([b])):
                     part = opened({c: PART_COLUMNS[c] for c in need}, r, widths)
-                    out = [{"pid": q, "frm": r["pid"]} | packed(ASK, x) for q, x in G.asks(part, r["pid"], every).items()]
-                    yield from rows_of(out, ["pid", "frm"], ASK).to_batches()
+                    out = [{"pid": q, "frm": r["pid"]} | packed(kind, x) for q, x in G.asks(part, r["pid"], every, every).items()]
+                    yield from rows_of(out, ["pid", "frm"], kind).to_batches()
 
-        return state.select("pid", *need).mapInArrow(run, shape(ASK, "pid int", "frm int"))
+        return state.select("pid", *need).mapInArrow(run, shape(kind, "pid int", "frm int"))
 
-    def joined(self, state: DataFrame, messages: DataFrame, run: Callable, result: str) -> DataFrame:
-        """Each part with the messages to it; only the messages are shuffled."""
+    def joined(self, state: DataFrame, messages: DataFrame, run: Callable, result: str, need: Iterable[str]) -> DataFrame:
+        """Each part, these columns of it, with the messages to it; only the messages are shuffled."""
         names = [c.split()[0] for c in result.split(", ")]
 
         def one(own: pa.Table, sent: pa.Table) -> pa.Table:
-            out = [x for r in own.to_pylist() for x in run(r, sent.to_pylist())]
+            out = [x for r in rows_in(own) for x in run(r, rows_in(sent))]
             return rows_of(out, [n for n, c in zip(names, result.split(", "), strict=True) if not c.endswith("binary")], [n for n, c in zip(names, result.split(", "), strict=True) if c.endswith("binary")])
 
-        return state.select("pid", *(c for c in state.columns if c in PART_COLUMNS)).groupBy("pid").cogroup(messages.groupBy("pid")).applyInArrow(one, result)
+        return state.select("pid", *need).groupBy("pid").cogroup(messages.groupBy("pid")).applyInArrow(one, result)
 
     def replier(self, turn: int) -> Callable:
         widths = self.widths
 
         def run(r: dict, sent: list[dict]) -> list[dict]:
-            letters = [(x["frm"], opened(ASK, x, widths)) for x in sorted(sent, key=lambda x: x["frm"])]
-            return [{"pid": q} | packed(REPLY, x) for q, x in G.replies(opened(PART_COLUMNS, r, widths), r["pid"], letters, LISTERS, turn).items()]
+            letters = [(x["frm"], opened(ASK_IDS, x, widths)) for x in sorted(sent, key=lambda x: x["frm"])]
+            part = opened({c: PART_COLUMNS[c] for c in REPLIES}, r, widths)
+            return [{"pid": q} | packed(REPLY, x) for q, x in G.replies(part, r["pid"], letters, LISTERS, turn, False).items()]
+
+        return run
+
+    @staticmethod
+    def wanting(r: dict, sent: list[dict]) -> list[dict]:
+        letters = [opened({c: REPLY[c] for c in ("uids", "upart")}, x, {}) for x in sent]
+        return [{"pid": q, "frm": r["pid"], "vids": ids.tobytes()} for q, ids in G.wants(np.frombuffer(r["hid"], "<i8"), r["pid"], letters).items()]
+
+    @property
+    def fetching(self) -> Callable:
+        dim = self.dim
+
+        def run(r: dict, sent: list[dict]) -> list[dict]:
+            ids, vec = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["vec"], "<f4").reshape(-1, dim)
+            return [{"pid": x["frm"], "vids": bytes(x["vids"]), "vvec": vec[G.place_of(ids, np.frombuffer(x["vids"], "<i8"))].tobytes()} for x in sent]
 
         return run
 
     def merger(self, turn: int) -> Callable:
         widths = self.widths
 
-        def run(r: dict, sent: list[dict]) -> list[dict]:
-            part = G.merge(opened(PART_COLUMNS, r, widths), r["pid"], [opened(REPLY, x, widths) for x in sent], LISTERS, turn)
-            return [{"pid": r["pid"], "changed": int(part["fresh"].sum()), "held": int((part["near"] >= 0).sum())} | packed(PART_COLUMNS, part)]
+        def run(own: pa.Table, sent: pa.Table) -> pa.Table:
+            rows = rows_in(own)
+            fetched = [(x["vids"], x["vvec"]) for x in (opened(FETCHED, y, widths) for y in rows_in(sent))]
+            letters = [opened(REPLY, x, widths) for x in rows if x["ids"] is None]
+            out = []
+            for r in rows:
+                if r["ids"] is not None:  # a part, once
+                    part = G.merge(opened(PART_COLUMNS, r, widths), r["pid"], letters, LISTERS, turn, fetched)
+                    out.append({"pid": r["pid"], "changed": int(part["fresh"].sum()), "held": int((part["near"] >= 0).sum())} | packed(PART_COLUMNS, part))
+            return rows_of(out, ["pid", "changed", "held"], PART_COLUMNS)
 
         return run
 

@@ -175,8 +175,8 @@ def settled(part: Part, pid: int, near: np.ndarray, sims: np.ndarray, fresh: np.
     return part | {"near": np.where(none, NONE, every[near]), "nearp": np.where(none, -1, parts[near]).astype(np.int32), "sims": sims, "fresh": fresh, "hid": hid, "hpart": hpart, "hvec": hvec}
 
 
-def asks(part: Part, pid: int, every: bool = False) -> dict[int, Part]:
-    """To each other part: the new edges to its nodes (from ``v``, by place in ``vids``, to ``m``) with the vectors of those that they come from, and the nodes ``watch`` that old edges lead to. ``every``: all edges are sent as new ones."""
+def asks(part: Part, pid: int, every: bool = False, vectors: bool = True) -> dict[int, Part]:
+    """To each other part: the new edges to its nodes (from ``v``, by place in ``vids``, to ``m``) with the vectors of those that they come from (if asked for), and the nodes ``watch`` that old edges lead to. ``every``: all edges are sent as new ones."""
     near, nearp = part["near"], part["nearp"]
     away = (near >= 0) & (nearp != pid)
     rows, cols = np.nonzero(away)
@@ -188,7 +188,7 @@ def asks(part: Part, pid: int, every: bool = False) -> dict[int, Part]:
     for q, a, b in cuts_of(to):
         r, m, f = rows[a:b], near[rows[a:b], cols[a:b]], new[a:b]
         v, at = np.unique(r[f], return_inverse=True)
-        out[q] = {"vids": part["ids"][v], "vvec": part["vec"][v], "v": at.astype(np.int32), "m": m[f], "watch": np.unique(m[~f])}
+        out[q] = {"vids": part["ids"][v], "v": at.astype(np.int32), "m": m[f], "watch": np.unique(m[~f])} | ({"vvec": part["vec"][v]} if vectors else {})
     return out
 
 
@@ -200,29 +200,31 @@ def cuts_of(keys: np.ndarray) -> list[tuple[int, int, int]]:
     return [(int(keys[a]), int(a), int(b)) for a, b in zip(firsts, np.append(firsts[1:], len(keys)), strict=True)]
 
 
-def heard(part: Part, letters: list[tuple[int, Part]], most: int, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place of m, v's id, part and vector): who of other parts lists an own node anew, a sample of at most so many each."""
+def heard(part: Part, letters: list[tuple[int, Part]], most: int, turn: int, vectors: bool = True) -> tuple[np.ndarray, ...]:
+    """(place of m, v's id and part, and its vector if asked for): who of other parts lists an own node anew, a sample of at most so many each."""
     m = np.concatenate([np.zeros(0, np.int64), *(x["m"] for _, x in letters)])
     v = np.concatenate([np.zeros(0, np.int64), *(x["vids"][x["v"]] for _, x in letters)])
     p = np.concatenate([np.zeros(0, np.int32), *(np.full(len(x["m"]), frm, np.int32) for frm, x in letters)])
-    vec = np.concatenate([np.zeros((0, part["vec"].shape[1]), np.float32), *(x["vvec"][x["v"]] for _, x in letters)])
     at = place_of(part["ids"], m)
     order = np.lexsort([lottery(v, m, turn), at])
     order = order[(rank(at[order]) < most) & (at[order] >= 0)]
-    return at[order], v[order], p[order], vec[order]
+    out = at[order], v[order], p[order]
+    if not vectors:
+        return out
+    vec = np.concatenate([np.zeros((0, part["vec"].shape[1]), np.float32), *(x["vvec"][x["v"]] for _, x in letters)])
+    return *out, vec[order]
 
 
-def replies(part: Part, pid: int, letters: list[tuple[int, Part]], most: int, turn: int) -> dict[int, Part]:
-    """To each part that asked: for every node ``m`` that it names, ``count`` entries: its neighbours and a sample of those that list it (``e``: the place in ``uids``, or -1 less that place if new; of watched nodes the new ones only), and the parts and vectors of all but the part's own (``upart``, ``uvec``, the first of ``uids``). To the part itself: who has listed its nodes."""
-    hm, hv, hp, hvec = heard(part, letters, most, turn)
+def replies(part: Part, pid: int, letters: list[tuple[int, Part]], most: int, turn: int, vectors: bool = True) -> dict[int, Part]:
+    """To each part that asked: for every node ``m`` that it names, ``count`` entries: its neighbours and a sample of those that list it (``e``: the place in ``uids``, or -1 less that place if new; of watched nodes the new ones only), and the parts and vectors of all but the part's own (``upart``, ``uvec``, the first of ``uids``). To the part itself: who has listed its nodes. Without ``vectors``, whoever is told fetches these from their own parts (``wants``), each once."""
+    hm, hv, hp, *hvec = heard(part, letters, most, turn, vectors)
     out = {}
     if len(hm):
-        u, up, uv = once(hv, hp, hvec)
+        u, up, *uv = once(hv, hp, *hvec)
         m, count = np.unique(hm, return_counts=True)
-        out[pid] = {"m": part["ids"][m], "count": count.astype(np.int32), "e": (-1 - place_of(u, hv)).astype(np.int32), "uids": u, "upart": up, "uvec": uv}
-    known = np.concatenate([part["ids"], part["hid"], hv])
-    vecs = np.concatenate([part["vec"], part["hvec"], hvec])
-    known, vecs = once(known, vecs)
+        out[pid] = {"m": part["ids"][m], "count": count.astype(np.int32), "e": (-1 - place_of(u, hv)).astype(np.int32), "uids": u, "upart": up} | dict(zip(["uvec"], uv))
+    if vectors:
+        known, vecs = once(np.concatenate([part["ids"], part["hid"], hv]), np.concatenate([part["vec"], part["hvec"], *hvec]))
     for frm, x in letters:
         asked = np.unique(place_of(part["ids"], x["m"]))
         watched = np.setdiff1d(place_of(part["ids"], x["watch"]), asked)
@@ -243,22 +245,38 @@ def replies(part: Part, pid: int, letters: list[tuple[int, Part]], most: int, tu
         u, up = once(e[p != frm], p[p != frm])
         theirs = np.unique(e[p == frm])
         at = np.where(p == frm, place_of(theirs, e) + len(u), place_of(u, e))
-        out[frm] = {"m": part["ids"][each], "count": count.astype(np.int32), "e": np.where(new, -1 - at, at).astype(np.int32), "uids": np.concatenate([u, theirs]), "upart": up, "uvec": vecs[place_of(known, u)]}
+        out[frm] = {"m": part["ids"][each], "count": count.astype(np.int32), "e": np.where(new, -1 - at, at).astype(np.int32), "uids": np.concatenate([u, theirs]), "upart": up} | ({"uvec": vecs[place_of(known, u)]} if vectors else {})
     return out
 
 
-def merge(part: Part, pid: int, letters: list[Part], most: int, turn: int) -> Part:
-    """The part after a round: every node meets the neighbours of its neighbours, both ways, where one of the two steps is new, and keeps the closest."""
+def known_of(hid: np.ndarray, hpart: np.ndarray, letters: list[Part]) -> tuple[np.ndarray, np.ndarray]:
+    """(id, part) of the nodes of other parts that a part knows and those that replies name, each once."""
+    uids = np.concatenate([hid[:0], *(x["uids"][: len(x["upart"])] for x in letters)])
+    return once(np.concatenate([hid, uids]), np.concatenate([hpart, *(x["upart"] for x in letters)]))
+
+
+def wants(hid: np.ndarray, pid: int, letters: list[Part]) -> dict[int, np.ndarray]:
+    """To each other part the nodes whose vectors replies without them make a part fetch: those that it doesn't hold."""
+    ids, parts = known_of(hid[:0], np.zeros(0, np.int32), letters)
+    new = (place_of(hid, ids) < 0) & (parts != pid)
+    ids, parts = ids[new], parts[new]
+    order = np.argsort(parts, kind="stable")
+    return {q: ids[order[a:b]] for q, a, b in cuts_of(parts[order])}
+
+
+def merge(part: Part, pid: int, letters: list[Part], most: int, turn: int, fetched: list[tuple[np.ndarray, np.ndarray]] = ()) -> Part:
+    """The part after a round: every node meets the neighbours of its neighbours, both ways, where one of the two steps is new, and keeps the closest. ``fetched``: (ids, vectors) of those that the replies name without one."""
     n, degree = part["near"].shape
-    got = lambda c, like: np.concatenate([like[:0], *(x[c] for x in letters)])
-    uids = np.concatenate([part["hid"][:0], *(x["uids"][: len(x["upart"])] for x in letters)])
-    upart, uvec = got("upart", part["hpart"]), got("uvec", part["hvec"])
-    # own nodes first, so that their places are those in the part
-    away, apart, avec = once(np.concatenate([part["hid"], uids]), np.concatenate([part["hpart"], upart]), np.concatenate([part["hvec"], uvec]))
+    away, apart = known_of(part["hid"], part["hpart"], letters)
     stay = (apart != pid) & (place_of(part["ids"], away) < 0)
-    away, apart, avec = away[stay], apart[stay], avec[stay]
-    every, parts, vec = np.concatenate([part["ids"], away]), np.concatenate([np.full(n, pid, np.int32), apart]), np.concatenate([part["vec"], avec])
-    x = vec
+    away, apart = away[stay], apart[stay]
+    # own nodes first, so that their places are those in the part; each vector is copied once
+    every, parts = np.concatenate([part["ids"], away]), np.concatenate([np.full(n, pid, np.int32), apart])
+    x = np.zeros((len(every), part["vec"].shape[1]), np.float32)
+    x[:n] = part["vec"]
+    for ids, vec in [(part["hid"], part["hvec"]), *((y["uids"][: len(y["upart"])], y["uvec"]) for y in letters if "uvec" in y), *fetched]:
+        at = place_of(away, ids)
+        x[n + at[at >= 0]] = vec if (at >= 0).all() else vec[at >= 0]
 
     def where(ids: np.ndarray) -> np.ndarray:
         own, far = place_of(part["ids"], ids), place_of(away, ids)
@@ -268,21 +286,21 @@ def merge(part: Part, pid: int, letters: list[Part], most: int, turn: int) -> Pa
     near[part["near"] < 0] = -1
     # steps from a node: (src, dst, new)
     r, c = np.nonzero(near >= 0)
-    src, dst, new = [r], [near[r, c]], [part["fresh"][r, c]]
+    src, dst, new = [r.astype(np.int32)], [near[r, c].astype(np.int32)], [part["fresh"][r, c]]
     back = (near[r, c] < n) & part["fresh"][r, c]
     m, v = near[r, c][back], r[back]
     order = np.lexsort([lottery(v, m, turn), m])
     order = order[rank(m[order]) < most]
-    src.append(m[order])
-    dst.append(v[order])
+    src.append(m[order].astype(np.int32))
+    dst.append(v[order].astype(np.int32))
     new.append(np.ones(len(order), bool))
     direct = [(m, v)]
     for y in letters:
         was_new = y["e"] < 0
         s, d = np.repeat(where(y["m"]), y["count"]), where(y["uids"])[np.where(was_new, -1 - y["e"], y["e"])]
         good = (s >= 0) & (d >= 0)
-        src.append(s[good])
-        dst.append(d[good])
+        src.append(s[good].astype(np.int32))
+        dst.append(d[good].astype(np.int32))
         new.append(was_new[good])
         listed = good & (s < n)  # who lists an own node
         direct.append((s[listed], d[listed]))
@@ -317,7 +335,7 @@ def merge(part: Part, pid: int, letters: list[Part], most: int, turn: int) -> Pa
         out[a:b], sims[a:b] = best_of(np.concatenate([rr, owner]) - a, np.concatenate([via, other]), np.concatenate([part["sims"][rr, cc], sim]), b - a, degree)
         o2, c2 = np.nonzero(out[a:b] >= 0)
         fresh[a + o2, c2] = place_of(held, (a + o2) * len(every) + out[a + o2, c2]) < 0
-    return settled({"ids": part["ids"], "vec": part["vec"]}, pid, out, sims, fresh, every, parts, vec)
+    return settled({"ids": part["ids"], "vec": part["vec"]}, pid, out, sims, fresh, every, parts, x)
 
 
 def finished(part: Part, pid: int, letters: list[tuple[int, Part]], most: int) -> Part:

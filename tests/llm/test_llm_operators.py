@@ -862,6 +862,31 @@ def test_rounds_of_nn_descent_find_the_neighbours():
     assert recalls == sorted(recalls) and recalls[0] < 0.7 and recalls[-1] > 0.97, recalls
 
 
+def test_replies_without_vectors_and_fetched_ones_give_the_same_parts():
+    """A vector that many parts' replies name is sent to a part once, not once by each; the parts are those of replies with vectors."""
+    x = neighbours.unit_of(np.random.default_rng(3).standard_normal((4000, 16)))
+    own, guest = nngraph.leaves(x, nngraph.grow(x, 3))
+    ids, parts = np.arange(len(x)) * 3 + 1, {}
+    for p in range(8):
+        o, g = np.flatnonzero(own == p), np.flatnonzero((guest == p) & (own != p))
+        parts[p] = nngraph.begin(ids[o], x[o], p, ids[g], own[g].astype(np.int32), x[g], 12)
+    for turn in range(3):
+        sent = {p: nngraph.asks(part, p) for p, part in parts.items()}
+        thin = {p: nngraph.asks(part, p, vectors=False) for p, part in parts.items()}
+        told = {q: nngraph.replies(parts[q], q, [(p, sent[p][q]) for p in parts if q in sent[p]], 8, turn) for q in parts}
+        named = {q: nngraph.replies({c: parts[q][c] for c in neighbours.REPLIES}, q, [(p, thin[p][q]) for p in parts if q in thin[p]], 8, turn, vectors=False) for q in parts}
+        merged = {p: nngraph.merge(part, p, [told[q][p] for q in told if p in told[q]], 8, turn) for p, part in parts.items()}
+        for p, part in parts.items():
+            letters = [named[q][p] for q in named if p in named[q]]
+            wanted = nngraph.wants(part["hid"], p, letters)
+            fetched = [(w, parts[q]["vec"][nngraph.place_of(parts[q]["ids"], w)]) for q, w in wanted.items()]
+            got = nngraph.merge(part, p, letters, 8, turn, fetched)
+            assert got.keys() == merged[p].keys() and all((got[c] == merged[p][c]).all() for c in got)
+            rows = sum(len(w) for w in wanted.values())
+            assert rows + len(part["hid"]) + len(part["ids"]) <= len(x) and rows < sum(len(told[q][p]["uvec"]) for q in told if p in told[q])
+        parts = merged
+
+
 def test_search_looks_at_few_and_takes_queries_from_anywhere(spark):
     x = clustered(13_000, 60, 1)
     rows, asked = x[:12_000].astype(np.float32), x[12_000:12_200].astype(np.float32)
