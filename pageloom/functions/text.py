@@ -5,18 +5,23 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Collection, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .pystr import WORD, replace, strip
+from .pystr import WORD, given, replace, strip
 
 #: A word broken over two lines; the second part starts with an ASCII lower-case letter.
 BREAK = re.compile(r"(\w+)-\n([a-z]\w*)")
 JAVA_BREAK = f"({WORD}+)-\\n([a-z]{WORD}*)"
+#: The same, tried at the beginnings of words only.
+WHOLE_BREAK = f"(?<!{WORD})({WORD}++)-\\n([a-z]{WORD}*+)"
 #: Texts of a batch that are Python objects at a time.
 SLICE = 64
+#: Places in a run that are compared before all of it.
+PROBES = (0, 1, 2, 5)
 #: A quoted string after "text":, possessive, so that a very long one can't overflow the matcher's stack.
 FRAGMENT = r'"text"\s*+:\s*+"((?:[^"\\]++|\\.)*+)(?:"|(?=\n?\z))'
 
@@ -55,8 +60,8 @@ def mend_with(text: Column, known: Column) -> Column:
 
 
 def keep_hyphens(text: Column) -> Column:
-    """``mend`` with an empty dictionary."""
-    return F.regexp_replace(text, JAVA_BREAK, "$1-$2")
+    """``mend`` with an empty dictionary; to look for a hyphen at a line end is cheaper than to try the words."""
+    return given(text, lambda t: F.when(F.contains(t, F.lit("-\n")), F.regexp_replace(t, WHOLE_BREAK, "$1-$2")).otherwise(t))
 
 
 def unwrap(text: Column) -> Column:
@@ -97,12 +102,22 @@ def find_repetition(text: str | None, min_repeats: int = 10, min_phrase: int = 1
         return None
     n = len(text)
     samples = min(50, n // min_phrase)
-    for size in range(min_phrase, min(100, n // min_repeats)):
-        step, run = max(1, (n - size * min_repeats) // samples), size * (min_repeats - 1)
-        for start in range(0, min(samples * step, n - size * min_repeats + 1), step):
-            # a run repeats with this period exactly if it equals itself moved on by it; its ends differ first in most texts
-            if text[start] == text[start + size] and text.startswith(text[start : start + run], start + size) and len(text[start : start + size].strip()) >= min_phrase // 2:
-                return text[start : start + size]
+    sizes = np.arange(min_phrase, min(100, n // min_repeats))
+    room = n - sizes * min_repeats
+    starts = np.maximum(1, room // samples)[:, None] * np.arange(samples)
+    of, at = np.nonzero(starts <= room[:, None])
+    starts, moved = starts[of, at], sizes[of]
+    # a run repeats with this period exactly if it equals itself moved on by it: a few of its characters tell most others apart
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    for k in PROBES:
+        if k >= min_phrase * (min_repeats - 1):
+            break
+        same = np.flatnonzero(codes[starts + k] == codes[starts + moved + k])
+        starts, moved = starts[same], moved[same]
+    for start, size in zip(starts.tolist(), moved.tolist(), strict=True):
+        run = size * (min_repeats - 1)
+        if text.startswith(text[start : start + run], start + size) and len(text[start : start + size].strip()) >= min_phrase // 2:
+            return text[start : start + size]
     return None
 
 
@@ -115,15 +130,26 @@ def drop_repetition(text: str | None, min_repeats: int = 10) -> tuple[str | None
 
 
 def without_repetition(text: Column) -> Column:
-    """struct(text, phrase) of ``drop_repetition``."""
-    return F.arrow_udf(_drop_rows, "struct<text: string, phrase: string>")(text)
+    """struct(text, phrase) of ``drop_repetition``; from Python come only texts that change."""
+    found = F.arrow_udf(_changed_rows, "struct<text: string, phrase: string>")(text)
+    return F.struct(F.when(found["phrase"].isNull(), text).otherwise(found["text"]).alias("text"), found["phrase"].alias("phrase"))
 
 
 def _drop_rows(text: pa.Array) -> pa.Array:
+    return _dropped(text, True)
+
+
+def _changed_rows(text: pa.Array) -> pa.Array:
+    return _dropped(text, False)
+
+
+def _dropped(text: pa.Array, every: bool) -> pa.Array:
+    """``drop_repetition`` of each text; unless ``every``, a text that stays as it is is null."""
     kind = pa.struct([("text", pa.string()), ("phrase", pa.string())])
 
     def dropped(own: list[str | None]) -> pa.Array:
         texts, phrases = zip(*map(drop_repetition, own), strict=True)
+        texts = [t if every or p is not None else None for t, p in zip(texts, phrases, strict=True)]
         return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(phrases, pa.string())], fields=list(kind))
 
     return joined(map(dropped, slices(text)), kind)

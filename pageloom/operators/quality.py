@@ -49,13 +49,13 @@ def measured(text: Column, kinds: Collection[str] | None = None) -> Column:
     """All figures that the detectors (of these kinds) judge by, as one struct."""
     used = {x for kind, names in DETECTORS if kinds is None or kind in kinds for x in names.split()}
     spaced = F.translate(text, SPACES, " " * len(SPACES))  # one kind of space, so that words are counted without listing them
-    return given(spaced, lambda s: figures(text, s, used))
+    both = given(spaced, lambda s: F.struct(s.alias("spaced"), F.length(F.replace(s, F.lit(" "), F.lit(""))).alias("solid")))
+    return given(both, lambda b: figures(text, b["spaced"], b["solid"], used))
 
 
-def figures(text: Column, spaced: Column, used: Collection[str]) -> Column:
-    """The figures of these names of a text; ``spaced``: the text with each white space as a blank."""
+def figures(text: Column, spaced: Column, solid: Column, used: Collection[str]) -> Column:
+    """The figures of these names of a text; ``spaced``: the text with each white space as a blank, ``solid``: its length without these."""
     size, blank = F.length(text), F.lit(" ")
-    solid = F.length(F.replace(spaced, blank, F.lit("")))
     # where blanks follow one another, a run of them becomes one pair of characters that are white space, of which none is left
     paired = F.length(F.replace(F.replace(spaced, blank, F.lit("\x1c\x1d")), F.lit("\x1d\x1c"), F.lit("")))
     gaps = F.when(F.contains(spaced, F.lit("  ")), ((paired - solid) / 2).cast("int")).otherwise(size - solid)
