@@ -3,6 +3,7 @@
 import io
 import json
 import os
+import random
 import subprocess
 import sys
 import zipfile
@@ -331,3 +332,27 @@ def test_folders_are_listed_by_tasks(spark, tmp_path):
     images = readers.images(spark, str(tmp_path), content=True)
     assert sorted((r.name, len(r.content)) for r in images.collect()) == [("a.jpg", 300_002), ("b.JPG", 300_002)]
     assert [x.inputFiles() for x in (found, pages, images)] == [[], [], []]
+
+
+def test_similarity_is_the_matchers_and_visits_no_common_letters():
+    from difflib import SequenceMatcher
+
+    r = random.Random(5)
+    for _ in range(400):
+        letters = r.choice(["ab", "abc ", "abcdefghijklmnop .,XYZ", "aé😀", "a" * 30 + "bcdefgh"])
+        a, b = ("".join(r.choices(letters, k=r.choice([0, 1, 5, 60, 199, 200, 201, 450]))) for _ in range(2))
+        if r.random() < 0.5:
+            b = "".join(c for c in a if r.random() < 0.95) + r.choice(["", "x", "abab"])
+        for x, y in ((a, b), (a.split(), b.split()), (a, a)):
+            assert accuracy.ratio(x, y) == SequenceMatcher(None, x, y).ratio()
+
+    class Counted(str):
+        seen = 0
+
+        def __getitem__(self, k):
+            Counted.seen += 1
+            return str.__getitem__(self, k)
+
+    # letters of which each makes up a seventh are not indexed, so but for both ends of a match none is looked at
+    a, b = ("".join(r.choices("abcdefg", k=20_000)) for _ in range(2))
+    assert accuracy.ratio(Counted(a), b) == SequenceMatcher(None, a, b).ratio() and Counted.seen < 100
