@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.pystr import SPACE, strip
+from ..functions.pystr import SPACE, given, strip
 from ..functions.scalar import normal_header
 from .ordered import run_of, stored
 
@@ -68,9 +68,12 @@ def drop_repeated_section_headers(pages: DataFrame, repeated: DataFrame, text: s
 
 
 def edge_lines(text: Column) -> tuple[Column, Column]:
-    """The first and last line that isn't blank, stripped."""
-    full = F.filter(F.transform(lines(text), strip), lambda x: x != "")
-    return F.get(full, F.lit(0)), F.element_at(full, -1)
+    """The first and last line that isn't blank, stripped; null if all are. The other lines are not looked at."""
+    return edge_line(text, 1), edge_line(text, -1)
+
+
+def edge_line(text: Column, side: int) -> Column:
+    return given(strip(text), lambda t: F.when(t != "", strip(F.substring_index(t, "\n", side))))
 
 
 def repeated_edges(pages: DataFrame, min_occurrences: int = 10, max_length: int = 80, text: str = "text") -> DataFrame:
@@ -82,15 +85,21 @@ def repeated_edges(pages: DataFrame, min_occurrences: int = 10, max_length: int
 
 
 def without_edges(text: Column, headers: Column, footers: Column) -> Column:
-    """The text without leading lines among the headers and then trailing ones among the footers."""
-    kept = lines(strip(text))
+    """The text without leading lines among the headers and then trailing ones among the footers. Only a text whose first (last) line is among them is cut into lines."""
 
     def cut(rows: Column, phrases: Column) -> Column:
         at = F.array_position(F.transform(rows, lambda x: F.array_contains(phrases, strip(x))), F.lit(False))
         return F.when(at == 0, F.slice(rows, 1, 0)).otherwise(F.slice(rows, at.cast("int"), F.size(rows)))
 
-    body = cut(kept, headers)
-    return strip(F.array_join(F.reverse(cut(F.reverse(body), footers)), "\n"))
+    def top(t: Column) -> Column:
+        found = F.array_contains(headers, strip(F.substring_index(t, "\n", 1)))
+        return F.when(found, F.array_join(cut(lines(t), headers), "\n")).otherwise(t)
+
+    def bottom(t: Column) -> Column:
+        found = F.array_contains(footers, strip(F.substring_index(t, "\n", -1)))
+        return F.when(found, F.array_join(F.reverse(cut(F.reverse(lines(t)), footers)), "\n")).otherwise(t)
+
+    return strip(given(given(strip(text), top), bottom))
 
 
 def drop_edges(pages: DataFrame, repeated: DataFrame, text: str = "text") -> DataFrame:
