@@ -292,6 +292,15 @@ def test_page_files_are_read_whole(spark, tmp_path):
     assert [(r.page_no, r.has_json, r.json_valid) for r in readers.outputs(spark, f"{tmp_path}/a%2Fb").orderBy("page_no").collect()] == [(0, True, True), (1, False, None)]
 
 
+@pytest.mark.parametrize(("tiers", "of"), [(readers.TIERS["analyze"], ("text", "text_nohf")), (readers.TIERS["join"], ("text", "raw"))])
+def test_pages_of_more_than_four_digits_come_behind_those_of_four(spark, tmp_path, tiers, of):
+    numbers = [7, 1000, 1001, 9999, 10000, 10001, 99999, 100000]
+    rows = spark.createDataFrame([(b, n, *(str(n) if x in of else None for x in ("text", "text_nohf", "raw"))) for b in "ab" for n in numbers], "book_id string, page_no int, text string, text_nohf string, raw string")
+    writers.page_files(rows, str(tmp_path)).collect()
+    got = readers.page_texts(spark, str(tmp_path), tiers).orderBy("book_id", "page_no").collect()
+    assert [(r.book_id, r.page_no, int(r.text)) for r in got] == [(b, k, n) for b in "ab" for k, n in enumerate(numbers)]
+
+
 def test_review_requests_go_over_http(spark):
     import http.server
     import threading
