@@ -167,6 +167,28 @@ def test_epub():
         assert part in html, part
 
 
+def test_chapters_of_files_are_rows_as_they_are_read(spark, tmp_path):
+    texts = {"a": [f"**{k}** " + "x" * (200_000 * (k % 3)) for k in range(60)], "b": [], "c": ["é"]}
+    for name, own in texts.items():
+        (tmp_path / f"{name}.epub").write_bytes(epub.build(epub.Metadata(name), [(f"t{k}", x) for k, x in enumerate(own)]))
+    (tmp_path / "d.txt").write_text("no book")
+    found = readers.epub_bodies(spark, str(tmp_path))
+    got = {(os.path.basename(r.path).removesuffix(".epub"), r.chapter_no): r.body for r in found.collect()}
+    assert got == {(name, k): epub.to_html(x) for name, own in texts.items() for k, x in enumerate(own)}
+
+    class Counted(io.BytesIO):
+        read_bytes = 0
+
+        def read(self, n=-1):
+            data = super().read(n)
+            Counted.read_bytes += len(data)
+            return data
+
+    data = epub.build(epub.Metadata("r"), [("t", random.Random(k).randbytes(40_000).hex()) for k in range(50)])
+    first = next(epub.bodies(Counted(data)))
+    assert len(first) > 80_000 and Counted.read_bytes < len(data) / 10
+
+
 def test_writers(spark, tmp_path):
     rows = spark.createDataFrame([("b", 0, "t", "n", "[]"), ("b", 1, "é", None, None)], "book_id string, page_no int, text string, text_nohf string, raw string")
     assert [r.written for r in writers.page_files(rows, str(tmp_path / "p")).orderBy("page_no").collect()] == [3, 1]
