@@ -12,7 +12,7 @@ from xml.dom import minidom
 import pytest
 from pyspark.sql import functions as F
 
-from pageloom.operators import accuracy, ocr, resume, review
+from pageloom.operators import accuracy, ocr, ordered, resume, review
 from pageloom.plans import book, cli
 from pageloom.plans.config import Config
 from pageloom.sources import epub, readers, writers
@@ -323,6 +323,38 @@ def test_pages_of_more_than_four_digits_come_behind_those_of_four(spark, tmp_pat
     assert [(r.book_id, r.page_no, int(r.text)) for r in got] == [(b, k, n) for b in "ab" for k, n in enumerate(numbers)]
 
 
+@pytest.mark.parametrize(("name", "most"), [("captured_files", 600)])
+def test_files_are_written_some_at_a_time_and_deleted(spark, monkeypatch, name, most):
+    import duckdb
+
+    from pageloom import registry
+
+    folders, counts = [], []
+    own, written = registry.own_folder, registry.written
+
+    def count():
+        return sum(len([x for x in names if x.endswith((".md", ".json", ".jpg"))]) for folder in folders for _, _, names in os.walk(folder.removeprefix("file:")))
+
+    monkeypatch.setattr(registry, "STANDING", 500, raising=False)
+    monkeypatch.setattr(registry, "own_folder", lambda spark: folders.append(own(spark)) or folders[-1])
+    monkeypatch.setattr(registry, "written", lambda files: (written(files), counts.append(count())))
+    df = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    con = duckdb.connect()
+    con.execute("set timezone='UTC'")
+    for t in ("documents", "events"):
+        con.execute(f"create view {t} as select * from read_parquet('/root/testdata/sf0.001/{t}.parquet')")
+    cols = sorted(df.columns)
+    got = sorted(str(tuple(r[c] for c in cols)) for r in df.collect())
+    want = sorted(map(str, con.execute(f"select {', '.join(cols)} from ({registry.ORACLE_SQL[name]})").fetchall()))
+    assert got == want and len(got) > 500
+    assert 100 < max(counts) <= most and count() == 0
+    # nor does what was stored on the way stay
+    with ordered.fleeting(spark):
+        path = ordered.stored(spark.range(3))._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get().removeprefix("file:")
+        assert os.path.isdir(path)
+    assert not os.path.exists(path)
+
+
 def test_review_requests_go_over_http(spark):
     import http.server
     import threading
