@@ -323,7 +323,7 @@ def test_pages_of_more_than_four_digits_come_behind_those_of_four(spark, tmp_pat
     assert [(r.book_id, r.page_no, int(r.text)) for r in got] == [(b, k, n) for b in "ab" for k, n in enumerate(numbers)]
 
 
-@pytest.mark.parametrize(("name", "most"), [("captured_files", 600)])
+@pytest.mark.parametrize(("name", "most"), [("page_file_tiers", 300), ("captured_files", 600)])
 def test_files_are_written_some_at_a_time_and_deleted(spark, monkeypatch, name, most):
     import duckdb
 
