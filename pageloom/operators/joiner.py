@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pystr import NOT_SPACE, SPACE, SPACE_SET, WORD, lstrip, rstrip, strip
-from .ordered import RUN, last_before, previous
+from .ordered import RUN, in_runs, last_before, previous
 
 # What ends a sentence, begins a section or goes on with one; abbreviations whose dot ends nothing.
 SENTENCE_END = "[.!?;:][\"')\\]]*\\z|[。！？；：」』）】]\\z"
@@ -104,8 +104,9 @@ def joined_pages(pages: DataFrame, text: str = "text", markers: bool = True, run
 
 
 def _pieces(pages: DataFrame, text: str, markers: bool, run: int) -> DataFrame:
-    rows = pages.select("book_id", "page_no", text).withColumn("stripped", strip(F.coalesce(F.col(text), F.lit(""))))
-    rows = decided(rows.withColumn("facts", edge_facts(F.col("stripped"))), run)
+    stripped = strip(F.coalesce(F.col(text), F.lit("")))
+    rows = in_runs(pages.select("book_id", "page_no", text), run=run)
+    rows = decided(rows.withColumn("facts", edge_facts(stripped)), run).withColumn("stripped", stripped)  # a text is shuffled once
     piece = F.when(F.col("before_page").isNull(), F.col("stripped")).when(F.col("stripped") == "", "").otherwise(F.concat(separator(F.col("page_no"), F.col("decision"), markers), F.col("stripped")))
     return rows.withColumn("piece", piece)
 
@@ -127,7 +128,7 @@ def blocks(pages: DataFrame, text: str = "text", markers: bool = True, run: int
     rows = _pieces(pages.where("book_id is not null"), text, markers, run)
     piece = F.when(F.col("last") & F.col("before_page").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.col("piece"))
     begins = F.coalesce("before_closed", F.lit(False)) & F.startswith(F.col("piece"), F.lit("\n"))
-    rows = rows.select("book_id", F.col("page_no").cast("bigint").alias("page_no"), "last", piece.alias("piece"), begins.alias("_begins"))
+    rows = rows.select("book_id", "_run", F.col("page_no").cast("bigint").alias("page_no"), "last", piece.alias("piece"), begins.alias("_begins"))
     rows = rows.withColumn("_cut", F.when(F.col("_begins"), "").otherwise(F.regexp_substr("piece", F.lit(CUT))))
     rows = last_before(rows, F.when(F.col("_cut").isNotNull(), F.col("page_no")), "_of", run=run)
     at = F.expr("locate(_cut, piece) + length(_cut)")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import chapters, clean, headers, joiner, quality, running
-from ..operators.ordered import stored
+from ..operators.ordered import packed, stored
 
 
 @dataclass
@@ -36,7 +36,7 @@ def cleaned_pages(results: DataFrame, dictionary: DataFrame | None = None) -> Da
 
 def joined_books(pages: DataFrame, markers: bool = True, running_headers: bool = True, min_occurrences: int = 10) -> DataFrame:
     """Books as rows (``joiner.blocks``): headers and footers that repeat dropped, pages joined, running headers dropped."""
-    whole = joiner.blocks(headers.clean_book_pages(stored(pages), min_occurrences), markers=markers)
+    whole = joiner.blocks(headers.clean_book_pages(packed(pages), min_occurrences), markers=markers)
     return running.drop_running_headers(whole) if running_headers else whole
 
 
@@ -46,7 +46,7 @@ def run(results: DataFrame, dictionary: DataFrame | None = None, markers: bool =
         if results.limit(1).isEmpty():
             return Result(False, "No pages found")
         reports = quality.report(results, "text_nohf", "success", **limits)
-        pages = headers.clean_book_pages(stored(cleaned_pages(results, dictionary)))
+        pages = headers.clean_book_pages(packed(cleaned_pages(results, dictionary)))
         books = running.drop_running_headers(joiner.blocks(pages, markers=markers))
         made = chapters.of_blocks(stored(books)) if "epub" in formats else None
         return Result(True, "", books, made, reports, joiner.boundaries(pages))

@@ -182,9 +182,8 @@ def books_without_running_headers(spark, sf_dir):
 
 def book_digests(blocks: DataFrame) -> DataFrame:
     """Of books as rows the pages, the length and the digest of the whole text."""
-    rows = ordered.stored(blocks)
-    counted = rows.groupBy("book_id").agg(F.sum("n_pages").alias("n_pages"))
-    found = writers.digests(rows, ["book_id"], ["block"]).withColumn("n_chars", F.col("n_chars").cast("int"))
+    counted = blocks.groupBy("book_id").agg(F.sum("n_pages").alias("n_pages"))
+    found = writers.digests(blocks, ["book_id"], ["block"]).withColumn("n_chars", F.col("n_chars").cast("int"))
     return found.join(counted, "book_id").select("book_id", "n_pages", "n_chars", "digest")
 
 

@@ -12,7 +12,7 @@ from xml.dom import minidom
 import pytest
 from pyspark.sql import functions as F
 
-from pageloom.operators import accuracy, ocr, ordered, resume, review
+from pageloom.operators import accuracy, ocr, ordered, resume, review, running
 from pageloom.plans import book, cli
 from pageloom.plans.config import Config
 from pageloom.sources import epub, readers, writers
@@ -355,6 +355,23 @@ def test_files_are_written_some_at_a_time_and_deleted(spark, monkeypatch, name,
     assert not os.path.exists(path)
 
 
+def test_running_headers_leave_one_packed_copy_of_the_texts(spark):
+    letters = random.Random(3)
+    texts = [f"# Head {k % 3}\n" + letters.randbytes(10_000).hex() + f"\n## Own {k}\nend\n" for k in range(100)]
+    rows = spark.createDataFrame([("b", k, k == 0, k == 99, 1, x) for k, x in enumerate(texts)], "book_id string, block bigint, first boolean, last boolean, n_pages bigint, text string")
+    folder = ordered.shared_folder(spark).removeprefix("file:")
+
+    def held():
+        return sum(os.path.getsize(f"{top}/{x}") for top, _, names in os.walk(folder) for x in names)
+
+    stood = held()
+    found = running.drop_running_headers(rows, run=8)
+    assert held() - stood < sum(map(len, texts))
+    got = "".join(r.text for r in found.orderBy("block").collect())
+    want = spark.createDataFrame([("".join(texts),)], "text string").select(running.without_running_headers(F.col("text"))).first()[0]
+    assert got == want and len(got) > 2_000_000
+
+
 def test_review_requests_go_over_http(spark):
     import http.server
     import threading
